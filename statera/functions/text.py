@@ -150,7 +150,7 @@ def normalize_answer(c: Column, german: bool = True, abbreviations: dict[str, st
     return out
 
 
-def _decode_markup(c: Column) -> Column:
+def decode_markup(c: Column) -> Column:
     out = c
     for entity, char in MARKUP_ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(char))
@@ -172,7 +172,7 @@ def text_nodes(c: Column) -> Column:
 
 
 def html_to_text(c: Column, separator: str = "\n") -> Column:
-    return _decode_markup(F.array_join(text_nodes(c), separator))
+    return decode_markup(F.array_join(text_nodes(c), separator))
 
 
 def clean_mail_body(c: Column) -> Column:

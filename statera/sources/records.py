@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import html_to_text, normalize_text, strip, text_nodes, unicode_ws
+from ..functions.text import INVISIBLE, decode_markup, html_to_text, normalize_text, strip, text_nodes
 
 
 def _filled(*cs: str) -> Column:
@@ -89,12 +89,10 @@ def extract_sections_from_pages(df: DataFrame, keep: list[str], html: str = "htm
 
     An element ends at its closing tag or where the next one begins.
     """
-    from ..functions.text import INVISIBLE
-
     visible = F.regexp_replace(html, INVISIBLE, "")
     parts = F.slice(F.split(visible, f"(?i)<{element}(?: [^>]*)?>"), 2, 1_000_000_000)
     inner = F.transform(parts, lambda p: F.array_join(text_nodes(F.get(F.split(p, f"(?i)</{element}>", 2), F.lit(0))), ""))
-    text = F.array_join(F.filter(inner, lambda p: p != ""), "\n\n")
+    text = decode_markup(F.array_join(F.filter(inner, lambda p: p != ""), "\n\n"))
     return df.select(*keep, text.alias("text")).filter(F.length("text") >= min_chars)
 
 
@@ -106,7 +104,7 @@ def extract_toc_links(df: DataFrame, keep: list[str], html: str = "html", marker
     hrefs = F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1))
     titles = F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(2))
     links = df.select(*keep, F.posexplode(F.arrays_zip(hrefs.alias("href"), titles.alias("title"))).alias("link_no", "l"))
-    section = F.replace(F.get(F.split(F.col("l.href"), unicode_ws(f"\\Q{marker}\\E")), F.lit(1)), F.lit(".html"), F.lit(""))
+    section = F.replace(F.get(F.split(F.col("l.href"), f"\\Q{marker}\\E"), F.lit(1)), F.lit(".html"), F.lit(""))
     return (
         links.filter(F.col("l.href").contains(marker))
         .select(
