@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import fixed
+
 # Signal weights, thresholds and labels.
 WEIGHTS = {
     "semantic_similarity": 0.60,
@@ -85,12 +87,12 @@ def explain(conf: Column, label: Column, parts: dict[str, Column], verified: Col
         "citation_presence": "Citation Presence",
         "coverage": "Coverage",
     }
-    lines = [F.format_string("Confidence: %.2f (%s)\n", conf, label), F.lit("Component Breakdown:")]
+    lines = [F.concat(F.lit("Confidence: "), fixed(conf, 2), F.lit(" ("), label, F.lit(")\n")), F.lit("Component Breakdown:")]
     for key, name in names.items():
-        lines.append(F.format_string(f"  • {name}: %.2f (weight: {weights[key]:.0%}%)", parts[key]))
+        lines.append(F.concat(F.lit(f"  • {name}: "), fixed(parts[key], 2), F.lit(f" (weight: {weights[key]:.0%})")))
     lines.append(F.lit("\nStatistics:"))
     lines.append(F.format_string("  • Verified Sentences: %d/%d", verified.cast("long"), total.cast("long")))
-    lines.append(F.format_string("  • Verification Rate: %.1f%%", coverage_score(verified, total) * 100))
+    lines.append(F.concat(F.lit("  • Verification Rate: "), fixed(coverage_score(verified, total) * 100, 1), F.lit("%")))
     lines.append(
         F.when(should_retry(conf), F.lit("\n⚠️ Recommendation: Retry with improved context"))
     )

@@ -104,6 +104,11 @@ def cut(c: Column, n: int, ellipsis: str = "...") -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(ellipsis))).otherwise(c)
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """Fixed-point form; ties go to the even digit."""
+    return F.format_string(f"%.{digits}f", F.bround(c, digits))
+
+
 def contains_any(c: Column, needles) -> Column:
     """True when one of a short literal list occurs in the text; a plain OR keeps it in codegen."""
     out = F.lit(False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cut
+from ..functions.text import cut, fixed
 from .similarity import match_chunks
 
 
@@ -105,7 +105,7 @@ def format_context(results: DataFrame, query_id: str = "query_id", limit: int =
         ).otherwise(""),
         F.lit("**Target Content:**\n"), F.col("content"), F.lit("\n\n"),
         related,
-        F.format_string("\n*(Relevance: %.2f%%)*\n", F.col("score") * 100),
+        F.lit("\n*(Relevance: "), fixed(F.col("score") * 100, 2), F.lit("%)*\n"),
         F.lit("-" * 80 + "\n\n"),
     )
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import fixed, strip
 
 QUALITIES = ("excellent", "good", "poor", "none", "unknown")
 
@@ -48,7 +48,7 @@ def merge_pages(embedded: DataFrame, ocr: DataFrame, quality: Column, threshold:
         usable, ["doc_id", "page_num"], "left"
     )
     q, conf, ocr_text = F.col("_q"), F.col("_o.avg_confidence"), F.col("_o.full_text")
-    two = lambda c: F.format_string("%.2f", c)
+    two = lambda c: fixed(c, 2)
     given = F.coalesce(F.col("_raw"), F.lit("")) != ""
     rules = [
         (F.col("_o").isNull(), F.col("text"), "embedded", F.lit(0.9), F.lit("No OCR result available")),

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
+
 
 def corpus_info(store: DataFrame, name: str) -> DataFrame:
     return store.agg(F.count(F.lit(1)).alias("points_count")).select(
@@ -165,9 +167,9 @@ def keywords_found(hits: DataFrame, expected: DataFrame, query_id: str = "query_
 def retrieval_verdict(metrics: DataFrame, min_score: float) -> DataFrame:
     reason = (
         F.when(F.col("results") == 0, "No results returned")
-        .when(F.col("top_score") < min_score, F.format_string(f"Top score %.4f < threshold {min_score}", F.col("top_score")))
-        .when(F.col("precision_at_5") < 0.4, F.format_string("Precision@5 %.2f too low", F.col("precision_at_5")))
-        .when(F.col("reciprocal_rank") < 0.2, F.format_string("MRR %.2f too low", F.col("reciprocal_rank")))
+        .when(F.col("top_score") < min_score, F.concat(F.lit("Top score "), fixed(F.col("top_score"), 4), F.lit(f" < threshold {min_score}")))
+        .when(F.col("precision_at_5") < 0.4, F.concat(F.lit("Precision@5 "), fixed(F.col("precision_at_5"), 2), F.lit(" too low")))
+        .when(F.col("reciprocal_rank") < 0.2, F.concat(F.lit("MRR "), fixed(F.col("reciprocal_rank"), 2), F.lit(" too low")))
     )
     return metrics.withColumn("failure_reason", reason).withColumn("passed", reason.isNull())
 
