@@ -170,14 +170,15 @@ def sustained_alert(rows: DataFrame, keys: list[str], condition: str, step_secon
         F.col("_prev").isNull() | ~F.col("_prev.on") | (us - F.col("_prev.us") > step_seconds * 1_000_000)
     )
     marked = with_running_sum(prev, keys, [ts], F.coalesce(begins, F.lit(False)).cast("long"), "island", day)
+    names = {k: f"_r_{k}" for k in [*keys, "island"]}
     starts = (
-        marked.filter(F.col(condition)).groupBy(*keys, "island").agg(F.min(ts).alias("active_since"))
+        marked.filter(F.col(condition)).groupBy(*keys, "island").agg(F.min(ts).alias("active_since")).withColumnsRenamed(names)
     )
-    cond = (marked["island"] == starts["island"])
-    for k in keys:
-        cond = cond & marked[k].eqNullSafe(starts[k])
-    joined = marked.join(starts, cond, "left").select(
-        *[marked[c] for c in marked.columns], F.when(marked[condition], starts["active_since"]).alias("active_since")
+    cond = F.lit(True)
+    for left, right in names.items():
+        cond = cond & F.col(left).eqNullSafe(F.col(right))
+    joined = marked.join(starts, cond, "left").drop(*names.values()).withColumn(
+        "active_since", F.when(F.col(condition), F.col("active_since"))
     )
     held = us - F.unix_micros(F.col("active_since").cast("timestamp"))
     return joined.withColumn(

@@ -20,13 +20,11 @@ def time_bucket(ts: str | Column, seconds: int) -> Column:
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on keys that may be null."""
-    renamed = right
+    names = {k: f"_r_{k}" for k in keys}
     cond = F.lit(True)
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(renamed[f"_r_{k}"])
-    return left.join(renamed, cond, "left").drop(*[f"_r_{k}" for k in keys])
+    for k, r in names.items():
+        cond = cond & F.col(k).eqNullSafe(F.col(r))
+    return left.join(right.withColumnsRenamed(names), cond, "left").drop(*names.values())
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,

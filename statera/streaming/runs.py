@@ -15,9 +15,9 @@ from ..sources.store import latest_per_id
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str = "ts", delay: str = "10 minutes",
-                 files_per_trigger: int | None = None) -> DataFrame:
+                 files_per_trigger: int | None = None, pattern: str = "*.parquet") -> DataFrame:
     """File stream with a watermark. Naive timestamps become UTC instants: watermarks need them."""
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
