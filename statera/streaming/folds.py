@@ -131,10 +131,10 @@ def cached_query_hits(queries: DataFrame, keys: list[str], ts: str = "ts", row_i
 
 def admit_stream(requests: DataFrame, client: str = "user_id", ts: str = "ts", row_id: str = "event_id",
                  limit: int = 60, burst: int | None = 10) -> DataFrame:
-    """The same fold over a stream; the state per client is the list of admitted instants of a minute."""
+    """The same fold over a stream (column names must not start with an underscore there); the state per client is the list of admitted instants of a minute."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    fields = [requests.schema[client], requests.schema[row_id], T.StructField("_us", T.LongType())]
+    fields = [requests.schema[client], requests.schema[row_id], T.StructField("us", T.LongType())]
     out_schema = T.StructType([requests.schema[client], requests.schema[row_id]] + ADMIT_FIELDS)
     client_, row_ = client, row_id
 
@@ -146,8 +146,8 @@ def admit_stream(requests: DataFrame, client: str = "user_id", ts: str = "ts", r
             before = list(self.state.get()[0]) if self.state.exists() else []
             fold = Admission(limit, burst, before)
             # One micro-batch of one client, put into event order.
-            pdf = pd.concat(rows).sort_values(["_us", row_])
-            results = [fold.step(int(u)) for u in pdf["_us"]]
+            pdf = pd.concat(rows).sort_values(["us", row_])
+            results = [fold.step(int(u)) for u in pdf["us"]]
             self.state.update((list(fold.admitted),))
             out = pdf[[client_, row_]].copy()
             out["allowed"] = [r[0] for r in results]
@@ -158,7 +158,7 @@ def admit_stream(requests: DataFrame, client: str = "user_id", ts: str = "ts", r
         def close(self) -> None:
             pass
 
-    slim = requests.withColumn("_us", micros(ts)).select(*[f.name for f in fields])
+    slim = requests.withColumn("us", micros(ts)).select(*[f.name for f in fields])
     return slim.groupBy(client).transformWithStateInPandas(
         statefulProcessor=Limiter(), outputStructType=out_schema, outputMode="Append", timeMode="None"
     )
@@ -177,8 +177,8 @@ def cached_query_hits_stream(queries: DataFrame, keys: list[str], ts: str = "ts"
 
         def handleInputRows(self, key, rows, timerValues):
             fold = CachedHits(ttl, self.state.get()[0] if self.state.exists() else None)
-            pdf = pd.concat(rows).sort_values(["_us", row_])
-            hits = [fold.step(int(u))[0] for u in pdf["_us"]]
+            pdf = pd.concat(rows).sort_values(["us", row_])
+            hits = [fold.step(int(u))[0] for u in pdf["us"]]
             if fold.stored is not None:
                 self.state.update((fold.stored,))
             yield pd.DataFrame({row_: pdf[row_].to_numpy(), "hit": hits})
@@ -186,7 +186,7 @@ def cached_query_hits_stream(queries: DataFrame, keys: list[str], ts: str = "ts"
         def close(self) -> None:
             pass
 
-    slim = queries.withColumn("_us", micros(ts)).select(*keys, row_id, "_us")
+    slim = queries.withColumn("us", micros(ts)).select(*keys, row_id, "us")
     return slim.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=Cache(), outputStructType=out_schema, outputMode="Append", timeMode="None"
     )
