@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import time_bucket, values_at_ranks, with_previous, with_running_sum
+from .ordered import time_bucket, values_at_ranks, with_changes
 
 # Histogram bounds.
 QUERY_LATENCY_BOUNDS = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0)
@@ -165,24 +165,20 @@ def sustained_alert(rows: DataFrame, keys: list[str], condition: str, step_secon
     day = time_bucket(ts, 86_400)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     base = rows.withColumn("_state", F.struct(us.alias("us"), F.col(condition).alias("on")))
-    prev = with_previous(base, keys, [ts], "_state", "_prev", day)
-    begins = F.col(condition) & (
-        F.col("_prev").isNull() | ~F.col("_prev.on") | (us - F.col("_prev.us") > step_seconds * 1_000_000)
+    gap = step_seconds * 1_000_000
+    marked = with_changes(
+        base, keys, [ts], "_state",
+        lambda prev, cur: cur["on"] & (prev.isNull() | ~prev["on"] | (cur["us"] - prev["us"] > gap)),
+        "_prev", "island", day,
     )
-    marked = with_running_sum(prev, keys, [ts], F.coalesce(begins, F.lit(False)).cast("long"), "island", day)
-    names = {k: f"_r_{k}" for k in [*keys, "island"]}
-    starts = (
-        marked.filter(F.col(condition)).groupBy(*keys, "island").agg(F.min(ts).alias("active_since")).withColumnsRenamed(names)
-    )
-    cond = F.lit(True)
-    for left, right in names.items():
-        cond = cond & F.col(left).eqNullSafe(F.col(right))
-    joined = marked.join(starts, cond, "left").drop(*names.values()).withColumn(
+    marked = marked.withColumn("_island", F.struct(*keys, "island"))
+    starts = marked.filter(F.col(condition)).groupBy("_island").agg(F.min(ts).alias("active_since"))
+    joined = marked.join(starts, "_island", "left").withColumn(
         "active_since", F.when(F.col(condition), F.col("active_since"))
     )
     held = us - F.unix_micros(F.col("active_since").cast("timestamp"))
     return joined.withColumn(
         "firing", F.col(condition) & (held >= hold_seconds * 1_000_000)
-    ).drop("_state", "_prev", "island")
+    ).drop("_state", "_prev", "island", "_island")
 
 

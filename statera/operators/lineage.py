@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash
-from .ordered import with_previous, with_running_sum
+from .ordered import with_changes
 
 
 def source_versions(snapshots: DataFrame, bucket: Column, source: str = "source_id", order: list[str] | None = None,
                     text_hash: str = "source_hash") -> DataFrame:
     """Version number, previous hash and changed flag; a snapshot is compared with the latest one before it."""
     order = order or ["ts"]
-    prev = with_previous(snapshots, [source], order, text_hash, "previous_hash", bucket)
-    flagged = prev.withColumn("changed", F.coalesce(F.col("previous_hash") != F.col(text_hash), F.lit(False)))
-    return with_running_sum(flagged, [source], order, F.col("changed").cast("long"), "_n", bucket).withColumn(
-        "version", F.col("_n") + 1
-    ).drop("_n")
+    out = with_changes(
+        snapshots, [source], order, text_hash, lambda prev, cur: prev != cur, "previous_hash", "_n", bucket
+    )
+    return (
+        out.withColumn("changed", F.coalesce(F.col("previous_hash") != F.col(text_hash), F.lit(False)))
+        .withColumn("version", F.col("_n") + 1)
+        .drop("_n")
+    )
 
 
 def affected_verifications(versions: DataFrame, links: DataFrame) -> DataFrame:

@@ -3,14 +3,20 @@
 A plain window puts a whole key into one task. Here every key is cut into time buckets: each bucket
 is worked on its own and a second, small window over one row per bucket carries the state across.
 Results are exact and the cut is a function of the row, so a lost task recomputes the same rows.
+
+Rows are exchanged once in full, by (key, bucket). Running sums take their bucket totals by a partial
+aggregation ahead of any exchange; changes need a second, narrow exchange (order and value only).
+Key and bucket form one struct, so null keys match each other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = "_bucket"
+CELL = "_cell"
 
 
 def time_bucket(ts: str | Column, seconds: int) -> Column:
@@ -18,48 +24,69 @@ def time_bucket(ts: str | Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(c.cast("timestamp")) / (seconds * 1_000_000)).cast("long")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on keys that may be null."""
-    names = {k: f"_r_{k}" for k in keys}
-    cond = F.lit(True)
-    for k, r in names.items():
-        cond = cond & F.col(k).eqNullSafe(F.col(r))
-    return left.join(right.withColumnsRenamed(names), cond, "left").drop(*names.values())
+def _cut(df: DataFrame, keys: list[str], bucket: Column, **extra: Column) -> DataFrame:
+    cell = F.struct(F.struct(*keys).alias("key"), bucket.alias("bucket"))
+    return df.withColumns({CELL: cell, **extra})
 
 
-def with_previous(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-                  bucket: Column) -> DataFrame:
-    """Value of the preceding row of the same key. ``order[0]`` must grow with ``bucket``."""
-    cut = df.withColumn(BUCKET, bucket)
-    last = cut.groupBy(*keys, BUCKET).agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last")
-    )
-    carried = last.select(
-        *keys,
-        BUCKET,
-        F.lag("_last").over(Window.partitionBy(*keys).orderBy(BUCKET)).getField("v").alias("_carry"),
-    )
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    joined = _null_safe(cut, carried, keys + [BUCKET])
-    first = F.row_number().over(inside) == 1
-    return joined.withColumn(
-        out, F.when(first, F.col("_carry")).otherwise(F.lag(value).over(inside))
-    ).drop("_carry", BUCKET)
+def _across() -> "Window":
+    return Window.partitionBy(f"{CELL}.key").orderBy(f"{CELL}.bucket")
+
+
+def _before() -> "Window":
+    return _across().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def with_running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
                      bucket: Column) -> DataFrame:
-    """Sum of ``value`` over the rows of the key up to and including this row."""
-    cut = df.withColumn(BUCKET, bucket).withColumn("_v", value)
-    totals = cut.groupBy(*keys, BUCKET).agg(F.sum("_v").alias("_t"))
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, BUCKET, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry"))
-    inside = (
-        Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """Sum of ``value`` over the rows of the key up to and including this row.
+
+    ``order[0]`` must grow with ``bucket``; the same holds for the functions below.
+    """
+    cut = _cut(df, keys, bucket, _v=value)
+    totals = cut.groupBy(CELL).agg(F.sum("_v").alias("_t"))
+    carried = totals.select(CELL, F.coalesce(F.sum("_t").over(_before()), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy(CELL).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(carried, CELL).withColumn(out, F.col("_carry") + F.sum("_v").over(inside)).drop(
+        "_carry", "_v", CELL
     )
-    joined = _null_safe(cut, carried, keys + [BUCKET])
-    return joined.withColumn(out, F.col("_carry") + F.sum("_v").over(inside)).drop(
-        "_carry", "_v", BUCKET
+
+
+def with_changes(df: DataFrame, keys: list[str], order: list[str], value: str,
+                 begins: Callable[[Column, Column], Column], previous: str, number: str, bucket: Column) -> DataFrame:
+    """Adds the value of the preceding row and the running number of ``begins(previous, current)``.
+
+    ``begins`` decides from two values alone whether the current row starts something new; the
+    previous value is null at the first row of a key.
+    """
+
+    def flag(prev: Column, cur: Column) -> Column:
+        return F.coalesce(begins(prev, cur), F.lit(False)).cast("long")
+
+    inside = Window.partitionBy(CELL).orderBy(*order)
+    cut = _cut(df, keys, bucket, _v=F.struct(F.col(value).alias("v")))
+    staged = (
+        cut.withColumn("_p", F.lag("_v").over(inside))
+        .withColumn("_first", F.row_number().over(inside) == 1)
+        .withColumn("_f", F.when(F.col("_first"), F.lit(0)).otherwise(flag(F.col("_p.v"), F.col("_v.v"))))
+    )
+    ends = staged.groupBy(CELL).agg(
+        F.min_by("_v", F.struct(*order)).alias("_head"),
+        F.max_by("_v", F.struct(*order)).alias("_tail"),
+        F.sum("_f").alias("_t"),
+    )
+    carried = (
+        ends.withColumn("_cp", F.lag("_tail").over(_across()))
+        .withColumn("_edge", flag(F.col("_cp.v"), F.col("_head.v")))
+        .withColumn("_base", F.coalesce(F.sum(F.col("_t") + F.col("_edge")).over(_before()), F.lit(0)) + F.col("_edge"))
+        .select(CELL, "_cp", "_base")
+    )
+    running = F.sum("_f").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        staged.join(carried, CELL)
+        .withColumn(previous, F.when(F.col("_first"), F.col("_cp.v")).otherwise(F.col("_p.v")))
+        .withColumn(number, F.col("_base") + running)
+        .drop("_p", "_first", "_f", "_v", "_cp", "_base", CELL)
     )
 
 
@@ -69,27 +96,19 @@ def count_in_last(df: DataFrame, key: str, ts: str, seconds: int, out: str) -> D
     Rows with one timestamp are folded first, so a group is bounded by the clock (the distinct
     instants of one bucket and the bucket before it), not by the number of rows.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     span = seconds * 1_000_000
-    per_instant = (
-        df.groupBy(key, ts)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_us", micros)
-        .withColumn(BUCKET, F.floor(F.col("_us") / span).cast("long"))
+    instant = F.struct(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    rows = df.withColumn("_at", instant)
+    per_instant = rows.groupBy("_at").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_bucket", F.floor(F.col("_at.us") / span).cast("long")
     )
     # Each instant also serves the following bucket as context.
-    halo = per_instant.withColumn("_home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
-        BUCKET, F.col(BUCKET) + F.when(F.col("_home"), 0).otherwise(1)
+    halo = per_instant.withColumn("_ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "_bucket", F.col("_bucket") + F.col("_ahead")
     )
-    w = Window.partitionBy(key, BUCKET).orderBy("_us").rangeBetween(-span, 0)
-    counted = (
-        halo.withColumn(out, F.sum("_n").over(w))
-        .filter("_home")
-        .select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), out)
-    )
-    return df.join(
-        counted, df[key].eqNullSafe(counted["_k"]) & df[ts].eqNullSafe(counted["_ts"]), "left"
-    ).drop("_k", "_ts")
+    w = Window.partitionBy("_at.key", "_bucket").orderBy("_at.us").rangeBetween(-span, 0)
+    counted = halo.withColumn(out, F.sum("_n").over(w)).filter("_ahead = 0").select("_at", out)
+    return rows.join(counted, "_at").drop("_at")
 
 
 def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -101,51 +120,41 @@ def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, r
 def values_at_ranks(df: DataFrame, column: str, ranks: list[int], bins: int = 4096) -> list[float]:
     """Exact order statistics (0-based ranks) by narrowing value ranges.
 
-    Every pass is one map-side aggregated scan with at most ``bins`` counts per open rank, so
-    neither a global sort nor a whole column ever reaches one task.
+    Every pass is one map-side aggregated scan of one column with at most ``bins`` counts per open
+    range, so neither a global sort nor a whole column ever reaches one task.
     """
     data = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
     low, high = data.agg(F.min("v"), F.max("v")).first()
-    state = {r: (low, high, 0) for r in ranks}  # closed value range, rows strictly below it
+    open_ranges = {r: (low, high, 0) for r in set(ranks)}  # closed value range, rows strictly below it
     found: dict[int, float] = {}
-    while len(found) < len(ranks):
-        for r, (lo, hi, _) in state.items():
-            if r not in found and lo == hi:
+    while open_ranges:
+        for r, (lo, hi, _) in list(open_ranges.items()):
+            if lo == hi:
                 found[r] = lo
-        ranges = sorted({(lo, hi) for r, (lo, hi, _) in state.items() if r not in found})
-        if not ranges:
+                del open_ranges[r]
+        bounds = sorted({(lo, hi) for lo, hi, _ in open_ranges.values()})
+        if not bounds:
             break
-        marks = F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        F.col("v").between(lo, hi),
-                        F.struct(
-                            F.lit(i).alias("i"),
-                            F.least(
-                                F.floor((F.col("v") - lo) / ((hi - lo) / bins)), F.lit(bins - 1)
-                            ).cast("int").alias("bin"),
-                        ),
-                    )
-                    for i, (lo, hi) in enumerate(ranges)
-                ]
+        v = F.col("v")
+        hits = [
+            F.when(
+                v.between(lo, hi),
+                F.struct(F.lit(i).alias("i"), F.least(F.floor((v - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("int").alias("bin")),
             )
-        )
-        bounds = ranges[0][0], max(hi for _, hi in ranges)
+            for i, (lo, hi) in enumerate(bounds)
+        ]
         counts = (
-            data.filter(F.col("v").between(*bounds))
-            .select("v", F.explode(marks).alias("m"))
+            data.filter(v.between(bounds[0][0], max(hi for _, hi in bounds)))
+            .select("v", F.explode(F.array_compact(F.array(*hits))).alias("m"))
             .groupBy("m.i", "m.bin")
             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
             .collect()
         )
-        for r, (lo, hi, below) in list(state.items()):
-            if r in found:
-                continue
-            i = ranges.index((lo, hi))
-            for row in sorted((c for c in counts if c["i"] == i), key=lambda c: c["bin"]):
+        for r, (lo, hi, below) in list(open_ranges.items()):
+            mine = sorted((c for c in counts if c["i"] == bounds.index((lo, hi))), key=lambda c: c["bin"])
+            for row in mine:
                 if below + row["n"] > r:
-                    state[r] = (row["lo"], row["hi"], below)
+                    open_ranges[r] = (row["lo"], row["hi"], below)
                     break
                 below += row["n"]
     return [found[r] for r in ranks]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "segments", "retrieval", "audits", "quality", "operations", "streams")
+MODULES = ("corpus", "landing", "segments", "retrieval", "audits", "quality", "operations", "streams")
 
 
 def load() -> dict:

@@ -46,10 +46,15 @@ def _stem(name: Column) -> Column:
 
 
 def read_statute_markdown(spark: SparkSession, folder: str, base_url: str = "file:///") -> DataFrame:
-    """One file is one law: front matter ``key: value``, else ``# [SLUG] Title``, else the file name."""
     raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(
         F.col("value"), _file_name().alias("file_name")
     )
+    return parse_statute_markdown(raw, base_url)
+
+
+def parse_statute_markdown(raw: DataFrame, base_url: str = "file:///") -> DataFrame:
+    """One row (``value, file_name``) is one law: front matter ``key: value``, else ``# [SLUG] Title``,
+    else the file name."""
     front_rx = r"(?s)^---\n(.*?)\n---\n(.*)"
     front = F.regexp_extract("value", front_rx, 1)
     has_front = F.col("value").rlike(front_rx)
@@ -92,10 +97,17 @@ def read_statute_markdown(spark: SparkSession, folder: str, base_url: str = "fil
 
 
 def read_eu_json(spark: SparkSession, folder: str, min_chars: int = 100, base_url: str = "file:///") -> DataFrame:
-    """One JSON file is one document; header, recitals, body parts and attachments joined by blank lines."""
     raw = spark.read.schema(schemas.EU_RECORD).json(
         folder, multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.json"
     ).select("*", _stem(_file_name()).alias("stem"))
+    return parse_eu_records(raw, min_chars, base_url)
+
+
+def parse_eu_records(raw: DataFrame, min_chars: int = 100, base_url: str = "file:///") -> DataFrame:
+    """One record is one document; header, recitals, body parts and attachments joined by blank lines.
+
+    ``raw`` has the record columns and ``stem``, the file name without its suffix.
+    """
     parts = F.concat(
         F.array("header", "recitals"), F.coalesce("main_body", F.array().cast("array<string>")), F.array("attachments")
     )
@@ -138,11 +150,15 @@ EXTENSION_TYPES = {
 
 
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """Path, size, sha256 and type: leading bytes first, then the extension.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return inventory_rows(files)
+
+
+def inventory_rows(files: DataFrame) -> DataFrame:
+    """Path, size, sha256 and type of ``path, length, content`` rows: leading bytes, then the extension.
 
     A zip container whose extension names an office format is that format.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     ext = F.lower(F.regexp_extract("path", r"[^./]\.([^./]+)$", 1))
     by_ext = F.lit(None).cast("string")
     for e, t in EXTENSION_TYPES.items():

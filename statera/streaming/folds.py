@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordered import time_bucket, with_previous, with_running_sum
+from ..operators.ordered import time_bucket, with_changes
 
 # Requests per minute by endpoint.
 ENDPOINT_LIMITS = {"index": 10, "analyze": 60, "default": 100}
@@ -76,10 +76,10 @@ def micros(ts: str) -> Column:
 
 def silent_parts(df: DataFrame, keys: list[str], ts: str, row_id: str, gap_us: int) -> DataFrame:
     """Adds ``_part``: a new part starts after a silence longer than the gap. Needs ``_us``."""
-    hour = time_bucket(ts, 3600)
-    prev = with_previous(df, keys, ["_us", row_id], "_us", "_prev", hour)
-    starts = (F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") > gap_us)).cast("long")
-    return with_running_sum(prev, keys, ["_us", row_id], starts, "_part", hour).drop("_prev")
+    begins = lambda prev, cur: prev.isNull() | (cur - prev > gap_us)
+    return with_changes(
+        df, keys, ["_us", row_id], "_us", begins, "_prev", "_part", time_bucket(ts, 3600)
+    ).drop("_prev")
 
 
 def _fold_batch(df: DataFrame, keys: list[str], ts: str, row_id: str, gap_us: int, make, arg: str | None,
