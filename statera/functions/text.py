@@ -124,7 +124,9 @@ def nfc(c: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
-    return F.coalesce(run(F.when(c.rlike(NFC_CANDIDATE), c)), c)
+    # Everything below U+0300 is stable under NFC, so most texts end at the first, cheap test.
+    may_change = c.rlike(r"[^\x{0000}-\x{02FF}]") & c.rlike(NFC_CANDIDATE)
+    return F.coalesce(run(F.when(may_change, c)), c)
 
 
 def normalize_text(c: Column, use_nfc: bool = True) -> Column:
@@ -135,8 +137,8 @@ def normalize_text(c: Column, use_nfc: bool = True) -> Column:
     for entity, char in CORPUS_ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = F.regexp_replace(out, "<[^>]+>", "")
-    out = F.replace(out, F.lit("\r\n"), F.lit("\n"))
-    out = F.translate(out, "\r\t", "\n ")
+    for old, new in (("\r\n", "\n"), ("\r", "\n"), ("\t", " ")):
+        out = F.replace(out, F.lit(old), F.lit(new))
     out = F.regexp_replace(out, " {2,}", " ")
     out = F.regexp_replace(out, "\n{3,}", "\n\n")
     out = F.regexp_replace(out, f"§{WS}+([0-9]+)", "§$1")
@@ -147,7 +149,8 @@ def normalize_text(c: Column, use_nfc: bool = True) -> Column:
 def normalize_answer(c: Column, german: bool = True, abbreviations: dict[str, str] | None = None) -> Column:
     """Answer normalisation: white space, typographic signs, doubled section signs, abbreviations."""
     out = collapse_ws(c)
-    out = F.translate(out, "„“‚‘–—", "\"\"''--")
+    for old, new in (("„", '"'), ("“", '"'), ("‚", "'"), ("‘", "'"), ("–", "-"), ("—", "-")):
+        out = F.replace(out, F.lit(old), F.lit(new))
     if german:
         out = F.replace(out, F.lit("§§"), F.lit("§ "))
     for short, full in (abbreviations or {}).items():

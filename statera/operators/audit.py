@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.domains import DomainPack, LanguagePack
 from ..functions.ids import content_hash, short_hash
+from ..functions.rows import exploded
 from ..session import cut_lineage
 from .blocks import match_terms
 from .sentences import analyze_answers, sentence_table
@@ -101,7 +102,9 @@ def audit_batch(answers: DataFrame, sources: DataFrame, key: str, answer_ids: li
     are not copied per answer). An answer without sentences or sources is rejected with a reason.
     """
     analysed = analyze_answers(answers, answer_ids, text, language, domain)
-    rows = analysed.select(key, *[c for c in answer_ids if c != key], F.posexplode("sentences").alias("sentence_index", "sentence"))
+    rows = exploded(
+        analysed, list(dict.fromkeys([key, *answer_ids])), F.col("sentences"), "sentence_index", "sentence"
+    )
     best = match_sentences(rows, sources, key, [*answer_ids, "sentence_index"], threshold=threshold)
     base = (
         analysed.drop("sentences")

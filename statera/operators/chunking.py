@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import exploded
 from ..functions.text import strip
 
 # Where a window may end, tried in this order.
@@ -124,9 +125,7 @@ def chunk_corpus(df: DataFrame, chunks: Column, doc_id: str = "doc_id", text: st
     """One row per chunk with inherited metadata."""
     staged = df.withColumn("_chunks", chunks).withColumn("total_chunks", F.size("_chunks"))
     keep = [c for c in df.columns if c != text]
-    return staged.select(
-        *keep, "total_chunks", F.posexplode("_chunks").alias("chunk_index", text)
-    ).withColumn(
+    return exploded(staged, [*keep, "total_chunks"], F.col("_chunks"), "chunk_index", text).withColumn(
         "chunk_id",
         F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("unknown")), F.lit("_chunk_"), F.col("chunk_index")),
     )

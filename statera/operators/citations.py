@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import exploded
 from ..functions.text import WS, contains_any, cut, strip, words
 from ..functions.vectors import jaccard
 
@@ -37,9 +38,9 @@ def match_citations(answers: DataFrame, hits: DataFrame, key: str = "answer_id")
     i = F.lower(F.coalesce("section_id", F.lit("")))
     t = F.lower(F.coalesce("content", F.lit("")))
     found = F.filter("citations", lambda c: i.contains(F.lower(c)) | t.contains(F.lower(c)))
-    matched = hits.join(held, key).select(
-        key, "rank", "chunk_id", "content", "similarity", F.explode(found).alias("citation")
-    )
+    matched = exploded(
+        hits.join(held, key), [key, "rank", "chunk_id", "content", "similarity"], found, "n", "citation"
+    ).drop("n")
     first = matched.groupBy(key, "citation").agg(
         F.min_by(F.struct("chunk_id", "content", "similarity", "rank"), F.struct("rank", "chunk_id")).alias("_hit")
     )
@@ -75,7 +76,7 @@ def unsupported_claims(answers: DataFrame, citations: DataFrame, key: str = "ans
     """Claim sentences (5 words or more) that hold no citation of confidence above 0.5."""
     # At most one row per citation of the answer's own text, so the list is bounded by the text.
     strong = citations.filter(F.col("confidence") > 0.5).groupBy(key).agg(F.collect_set("citation").alias("_ok"))
-    rows = answers.select(key, F.posexplode(F.split("text", CLAIM_SPLIT)).alias("sentence_index", "sentence"))
+    rows = exploded(answers, [key], F.split("text", CLAIM_SPLIT), "sentence_index", "sentence")
     claims = rows.filter((F.size(words(F.col("sentence"))) >= 5) & contains_any(F.lower("sentence"), CLAIM_WORDS))
     j = claims.join(strong, key, "left")
     supported = F.exists(F.coalesce("_ok", F.array().cast("array<string>")), lambda c: F.col("sentence").contains(c))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import exploded
+
 
 @dataclass(frozen=True)
 class Recognizer:
@@ -79,7 +81,7 @@ def mask_pii(df: DataFrame, request_id: str, text: str, recognizers=GERMAN_RECOG
     """Masked rows, and the mapping table ``request_id, placeholder, original``."""
     staged = df.withColumn("_e", detect_pii(F.col(text), recognizers, threshold))
     masked = staged.withColumn("masked", mask_text(F.col(text), F.col("_e"))).withColumn("entities", F.size("_e")).drop("_e")
-    mapping = staged.select(request_id, F.explode("_e").alias("e")).select(
+    mapping = exploded(staged, [request_id], F.col("_e"), "n", "e").select(
         request_id, F.col("e.placeholder").alias("placeholder"), F.col("e.text").alias("original")
     )
     return masked, mapping

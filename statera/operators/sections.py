@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import exploded
 from ..functions.text import strip, unicode_ws, word_count
 from .chunking import section_pieces
 
@@ -100,7 +101,7 @@ def parse_sections(df: DataFrame, doc_id: str, text: Column, markers=GERMAN_MARK
         .select(doc_id, section_spans(F.col("_text"), F.col("_markers")).alias("_sections"))
         .withColumn("_parents", section_parents(F.col("_sections.level"), depth))
     )
-    return staged.select(doc_id, F.posexplode(F.arrays_zip("_sections", "_parents")).alias("position", "_s")).select(
+    return exploded(staged, [doc_id], F.arrays_zip("_sections", "_parents"), "position", "_s").select(
         doc_id,
         "position",
         F.col("_s._sections.section_id").alias("section_id"),
@@ -151,7 +152,7 @@ def number_chunks(df: DataFrame, doc_id: str, text: Column, markers=GERMAN_MARKE
 
     flat = F.flatten(F.transform("_sections", spread))
     return (
-        staged.select(doc_id, F.posexplode(flat).alias("position", "_c"))
+        exploded(staged, [doc_id], flat, "position", "_c")
         .select(doc_id, "position", "_c.*")
         .withColumn("char_count", F.length("content"))
         .withColumn("word_count", word_count(F.col("content")))

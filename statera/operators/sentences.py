@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domains import DomainPack, LanguagePack
+from ..functions.rows import exploded
 from ..functions.text import WS, strip, word_count
 
 SENTENCE_END = f"[.!?]+{WS}+"
@@ -39,7 +40,7 @@ def sentence_table(df: DataFrame, keys: list[str], text: str, language: Language
         "_sentences", split_sentences(F.col("_norm"), min_len)
     )
     return (
-        staged.select(*keys, F.posexplode(sentence_spans(F.col("_norm"), F.col("_sentences"))).alias("sentence_index", "_s"))
+        exploded(staged, keys, sentence_spans(F.col("_norm"), F.col("_sentences")), "sentence_index", "_s")
         .select(*keys, "sentence_index", "_s.*")
         .withColumn("tokens", word_count(F.col("sentence")))
         .withColumn("has_citation", domain.has_citation(F.col("sentence")))

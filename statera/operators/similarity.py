@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ids import content_hash
+from ..functions.rows import exploded
 from ..functions.text import strip, tokens
 from .blocks import _top, best_k, match_vectors, unit_rows
 
@@ -170,13 +171,11 @@ def term_string(c: Column) -> Column:
 
 def term_cosine(pairs: DataFrame, pair_id: list[str], a: str, b: str) -> DataFrame:
     """Term-count cosine of two texts per row, by two partial aggregations and no join."""
-    side = F.explode(
-        F.concat(
-            F.transform(tokens(F.col(a)), lambda t: F.struct(t.alias("t"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
-            F.transform(tokens(F.col(b)), lambda t: F.struct(t.alias("t"), F.lit(0).alias("a"), F.lit(1).alias("b"))),
-        )
+    side = F.concat(
+        F.transform(tokens(F.col(a)), lambda t: F.struct(t.alias("t"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
+        F.transform(tokens(F.col(b)), lambda t: F.struct(t.alias("t"), F.lit(0).alias("a"), F.lit(1).alias("b"))),
     )
-    counts = pairs.select(*pair_id, side.alias("s")).groupBy(*pair_id, "s.t").agg(
+    counts = exploded(pairs, pair_id, side, "n", "s").groupBy(*pair_id, "s.t").agg(
         F.sum("s.a").cast("double").alias("ta"), F.sum("s.b").cast("double").alias("tb")
     )
     sums = counts.groupBy(*pair_id).agg(

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.domains import GERMAN
+from ..functions.rows import exploded
 from ..functions.text import tokens
 from ..functions.vectors import jaccard
 from ..operators import audit, citations, lineage, sentences
 from ..sources import store
-from .catalog import WS, lit, query, sql_strip, sql_tokens, sql_words, table
+from .catalog import WS, lit, query, sql_strip, sql_tokens, sql_words, table, texts
 from .corpus import LOG_SQL, log_table, sql_answer
 from .segments import REFS, long, sql_citations, sql_sentences
 
@@ -57,7 +58,7 @@ LABEL = f"case when conf >= 0.8 then '{scoring.VERIFIED}' when conf >= 0.6 then
 
 
 def answers(spark, sf):
-    return table(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
+    return texts(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
 
 
 def sources(spark, sf):
@@ -67,8 +68,8 @@ def sources(spark, sf):
 
 
 def _best(spark, sf):
-    rows = sentences.analyze_answers(answers(spark, sf), KEYS, "text", GERMAN, REFS).select(
-        *KEYS, F.posexplode("sentences").alias("sentence_index", "sentence")
+    rows = exploded(
+        sentences.analyze_answers(answers(spark, sf), KEYS, "text", GERMAN, REFS), KEYS, F.col("sentences"), "sentence_index", "sentence"
     )
     return audit.match_sentences(rows, sources(spark, sf), "conv_id", [*KEYS, "sentence_index"], threshold=T)
 
@@ -90,8 +91,8 @@ def match_sentences(spark, sf):
     BEST + "select conv_id, turn, i as sentence_index, source_id, round(score, 6) as score, row_number() over (partition by conv_id, turn, i order by score desc, source_id) as rank from pr",
 )
 def all_scores(spark, sf):
-    rows = sentences.analyze_answers(answers(spark, sf), KEYS, "text", GERMAN, REFS).select(
-        *KEYS, F.posexplode("sentences").alias("sentence_index", "sentence")
+    rows = exploded(
+        sentences.analyze_answers(answers(spark, sf), KEYS, "text", GERMAN, REFS), KEYS, F.col("sentences"), "sentence_index", "sentence"
     )
     out = audit.match_sentences(rows, sources(spark, sf), "conv_id", [*KEYS, "sentence_index"], k=None)
     return long(out.drop("verified").withColumn("score", F.round("score", 6)), "sentence_index", "rank")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.rows import spread
 from ..functions.text import CORPUS_ENTITIES, INVISIBLE, MARKUP_ENTITIES, WS, WS_CHARS
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -32,10 +33,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     return add
 
 
+TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table ahead of costly per-text work."""
+    return spread(table(spark, sf_dir, name), *TEXT_KEYS[name])
+
+
 # --- SQL fragments shared by the twins -------------------------------------------------------
 
 

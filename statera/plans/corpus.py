@@ -10,7 +10,7 @@ from ..operators import lineage, similarity, validation
 from ..sources import records, store
 from .catalog import (
     INVISIBLE, WS, lit, query, sql_collapse, sql_decode, sql_normalize, sql_replace, sql_strip, sql_text_nodes,
-    sql_words, table,
+    sql_words, table, texts,
 )
 
 VISIBLE = f"regexp_replace(html, {lit(INVISIBLE)}, '', 'g')"
@@ -28,7 +28,7 @@ INNER = sql_text_nodes("regexp_split_to_array(p, '(?i)</p>')[1]")
     """,
 )
 def extract_sections(spark, sf):
-    return records.extract_sections_from_pages(table(spark, sf, "pages"), ["page_id"])
+    return records.extract_sections_from_pages(texts(spark, sf, "pages"), ["page_id"])
 
 
 @query(
@@ -45,7 +45,7 @@ def extract_sections(spark, sf):
     """,
 )
 def toc_links(spark, sf):
-    return records.extract_toc_links(table(spark, sf, "pages"), ["page_id"], marker="/").withColumn(
+    return records.extract_toc_links(texts(spark, sf, "pages"), ["page_id"], marker="/").withColumn(
         "link_no", F.col("link_no").cast("long")
     )
 
@@ -115,7 +115,7 @@ def scan_payload(spark, sf):
 
 @query("b1_normalize_text", f"select doc_id, {sql_normalize('text')} as text from documents")
 def normalize_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
+    return texts(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
 
 
 @query(
@@ -124,7 +124,7 @@ def normalize_text(spark, sf):
         where length(text) >= 20""",
 )
 def normalize_corpus(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", F.col("url").alias("title"), F.col("html").alias("text"))
+    p = texts(spark, sf, "pages").select("page_id", F.col("url").alias("title"), F.col("html").alias("text"))
     return records.normalize_corpus(p)
 
 
@@ -142,7 +142,7 @@ def normalize_answer(spark, sf):
 
 @query("b4_html_to_text", f"select page_id, {sql_decode(f'array_to_string({sql_text_nodes(chr(104) + chr(116) + chr(109) + chr(108))}, chr(10))')} as text from pages")
 def html_to_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+    return texts(spark, sf, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
 def sql_mail(x: str) -> str:
@@ -163,7 +163,7 @@ def clean_mail_body(spark, sf):
         from documents""",
 )
 def strip_page_furniture(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.strip_page_furniture(F.col("text")).alias("text"))
+    return texts(spark, sf, "documents").select("doc_id", text.strip_page_furniture(F.col("text")).alias("text"))
 
 
 STANDARD = """
@@ -176,7 +176,7 @@ STANDARD = """
 
 
 def _standard(spark, sf):
-    d = table(spark, sf, "documents").withColumn("url", F.concat_ws("/", "source", "doc_id"))
+    d = texts(spark, sf, "documents").withColumn("url", F.concat_ws("/", "source", "doc_id"))
     day = F.lit("2024-01-01")
     laws = records.statutes_to_corpus(
         d.filter("lang = 'de'").select(
@@ -248,7 +248,7 @@ GERMAN_SQL = " + ".join(
     f"select doc_id, case when length(text) >= 50 and {GERMAN_SQL} >= 3 then 'de' else 'other' end as detected from documents",
 )
 def detect_german(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.detect_german(F.col("text")).alias("detected"))
+    return texts(spark, sf, "documents").select("doc_id", text.detect_german(F.col("text")).alias("detected"))
 
 
 @query("b11_payload_filter", "select vec_id, label from embeddings where label = 3")
@@ -402,7 +402,7 @@ def prefix(spark, sf):
               length(regexp_replace(text, '[aeiou]', '', 'g'))::bigint as consonants from documents""",
 )
 def regex(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id",
         F.size(F.regexp_extract_all("text", F.lit(r"\([0-9]+\)"), F.lit(0))).cast("long").alias("refs"),
         F.col("text").rlike("[0-9]{3,}").alias("has_number"),
@@ -417,7 +417,7 @@ def cut(spark, sf):
 
 @query("h6_counts", f"select doc_id, len({sql_words('text')})::bigint as words, length(text)::bigint as chars from documents")
 def counts(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", text.word_count(F.col("text")).cast("long").alias("words"), F.length("text").cast("long").alias("chars")
     )
 

@@ -11,7 +11,7 @@ from ..functions.domains import list_presets, preset
 from ..session import shared_dir
 from ..sources import files, mail, records, store
 from ..streaming import runs
-from .catalog import query, sql_decode, sql_strip, sql_text_nodes, table
+from .catalog import query, sql_decode, sql_strip, sql_text_nodes, table, texts
 from .segments import long
 
 DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("text", T.StringType())])
@@ -119,7 +119,7 @@ NODES = sql_decode(f"array_to_string({sql_text_nodes('html')}, chr(10))")
     f"""select * from (select 'case-' || page_id as doc_id, 'Court - N/A - 2024' as title, {NODES} as text, 'x/case/' as url, 'C' || page_id as court from pages) where length(text) >= 50""",
 )
 def normalize_case_records(spark, sf):
-    p = table(spark, sf, "pages").select(
+    p = texts(spark, sf, "pages").select(
         F.col("page_id").cast("string").alias("id"), F.lit(None).cast("string").alias("slug"),
         F.struct(F.lit("Court").alias("name"), F.concat(F.lit("c"), "page_id").alias("slug")).alias("court"),
         F.lit(None).cast("string").alias("file_number"), F.lit("2024").alias("date"), F.lit("Urteil").alias("type"), F.col("html").alias("content"),
@@ -133,7 +133,7 @@ def normalize_case_records(spark, sf):
               'x/law/s' || page_id as url, 'S' || page_id as law from pages) where length(text) >= 50""",
 )
 def normalize_law_records(spark, sf):
-    p = table(spark, sf, "pages").select(
+    p = texts(spark, sf, "pages").select(
         F.col("page_id").cast("string").alias("id"), F.concat(F.lit("s"), "page_id").alias("slug"), F.col("url").alias("title"),
         F.lit(None).cast("string").alias("abbreviation"), F.when(F.col("page_id") % 5 != 0, F.col("html")).otherwise("").alias("content"),
         F.col("url").alias("text"), F.lit("2023-01-01").alias("latest_date"),
@@ -160,7 +160,7 @@ def normalize_court_records(spark, sf):
 
 def messages(spark, sf):
     """Turns as mail files: a reply names the turn before it; system turns are multipart with an attachment."""
-    c = table(spark, sf, "conversations")
+    c = texts(spark, sf, "conversations")
     head = F.concat(
         F.lit("Message-ID: <m"), "conv_id", F.lit("."), "turn", F.lit(">\nFrom: "), "role", F.lit("@example.org\nTo: a@example.org\nCc: b@example.org\n"),
         F.lit("Subject: "), F.when(F.col("turn") % 2 == 1, "Fwd: t").otherwise("t"), "turn", F.lit("\n"),
@@ -222,7 +222,7 @@ def file_inventory(spark, sf):
     kind = F.col("page_id") % 4
     magic = F.when(kind == 0, "%PDF-1.7").when((kind == 1) | (kind == 3), "PK\x03\x04").otherwise("")
     name = F.when(kind == 0, "a.bin").when(kind == 1, "b.dat").when(kind == 2, "c.msg").otherwise("d.DOCX")
-    raw = table(spark, sf, "pages").select(
+    raw = texts(spark, sf, "pages").select(
         "page_id", F.concat(F.lit("/in/"), "page_id", F.lit("/"), name).alias("path"), F.encode(F.concat(magic, "html"), "utf-8").alias("content")
     ).withColumn("length", F.octet_length("content").cast("long"))
     out = files.inventory_rows(raw)
@@ -252,7 +252,7 @@ def domain_presets(spark, sf):
     """One aggregation for all presets: how many turns hold one of three keywords under each."""
     from ..functions.domains import DomainPack
 
-    c = table(spark, sf, "conversations")
+    c = texts(spark, sf, "conversations")
     picks = []
     for name in sorted(set(list_presets()) & {"default", "generic", "generic.german", "german_legal", "legal.german"}):
         _, domain = preset(name)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.domains import GERMAN, GERMAN_LEGAL, DomainPack
+from ..functions.rows import exploded
 from ..operators import chunking, pii, sections, sentences
 from ..streaming.runs import guarded_chunks
-from .catalog import WS, lit, query, sql_strip, sql_words, table
+from .catalog import WS, lit, query, sql_strip, sql_words, texts
 from .corpus import sql_answer
 
 EMAIL = pii.EMAIL.pattern
@@ -77,7 +78,7 @@ OVER = "f.used + length(p.part) + 2 > 4000"
     """,
 )
 def chunk_paragraphs(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = texts(spark, sf, "documents").select("doc_id", "text")
     out = chunking.chunk_corpus(d, chunking.chunk_paragraphs(F.col("text"), 4000, 100, "."))
     return long(out.select("doc_id", "chunk_index", "text"), "chunk_index")
 
@@ -91,7 +92,7 @@ FIXED = """
 
 
 def _fixed(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    d = texts(spark, sf, "documents").select("doc_id", "lang", "text")
     return chunking.chunk_corpus(d, chunking.chunk_windows(F.col("text"), 800, 100, boundary=False))
 
 
@@ -106,7 +107,7 @@ def chunk_windows_fixed(spark, sf):
         from ({sql_windows("select doc_id, text from documents", "doc_id", 800, 100)})""",
 )
 def chunk_windows_boundary(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = texts(spark, sf, "documents").select("doc_id", "text")
     out = chunking.chunk_corpus(d, chunking.chunk_windows(F.col("text"), 800, 100))
     return long(out.select("doc_id", "chunk_index", "text"), "chunk_index")
 
@@ -137,7 +138,7 @@ def chunk_stats(spark, sf):
 )
 def bad_records(spark, sf):
     # Too short counts as empty here, as the corpus normaliser would drop it.
-    d = table(spark, sf, "documents").withColumn("text", F.when(F.length("text") >= 20, F.col("text")).otherwise(""))
+    d = texts(spark, sf, "documents").withColumn("text", F.when(F.length("text") >= 20, F.col("text")).otherwise(""))
     return guarded_chunks(d).filter(F.col("error").isNotNull()).select("doc_id", "error")
 
 
@@ -166,7 +167,7 @@ PARENTS = f"""
 
 
 def page_sections(spark, sf):
-    out = sections.parse_sections(table(spark, sf, "pages"), "page_id", F.col("html"), sections.PAGE_MARKERS)
+    out = sections.parse_sections(texts(spark, sf, "pages"), "page_id", F.col("html"), sections.PAGE_MARKERS)
     return long(out, "position", "level", "parent_position")
 
 
@@ -176,9 +177,8 @@ def page_sections(spark, sf):
         from ({PAGE_PARTS})""",
 )
 def extract_markers(spark, sf):
-    m = table(spark, sf, "pages").select(
-        "page_id", F.explode(sections.extract_markers(F.col("html"), sections.PAGE_MARKERS)).alias("m")
-    )
+    found = sections.extract_markers(F.col("html"), sections.PAGE_MARKERS)
+    m = exploded(texts(spark, sf, "pages"), ["page_id"], found, "n", "m")
     return long(m.select("page_id", "m.start", "m.stop", "m.section_id", "m.level"), "start", "stop", "level")
 
 
@@ -194,7 +194,7 @@ def section_hierarchy(spark, sf):
 
 @query("c7_split_sections")
 def split_sections(spark, sf):
-    out = sections.number_chunks(table(spark, sf, "pages"), "page_id", F.col("html"), sections.PAGE_MARKERS, 300, 50)
+    out = sections.number_chunks(texts(spark, sf, "pages"), "page_id", F.col("html"), sections.PAGE_MARKERS, 300, 50)
     return long(out.filter("is_split"), "position", "split_index")
 
 
@@ -205,7 +205,7 @@ def split_sections(spark, sf):
 )
 def number_chunks(spark, sf):
     # No section of the test pages is longer than the limit, so positions are those of the sections.
-    out = sections.number_chunks(table(spark, sf, "pages"), "page_id", F.col("html"), sections.PAGE_MARKERS, 1_000_000)
+    out = sections.number_chunks(texts(spark, sf, "pages"), "page_id", F.col("html"), sections.PAGE_MARKERS, 1_000_000)
     return long(out.select("page_id", "position", "section_id", "char_count", "word_count"), "position", "char_count", "word_count")
 
 
@@ -217,7 +217,7 @@ def number_chunks(spark, sf):
     ),
 )
 def extract_section_ids(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", F.array_join(sections.extract_section_ids(F.col("text")), "|").alias("section_ids")
     )
 
@@ -243,8 +243,8 @@ def sql_sentences(x: str) -> str:
     f"""select doc_id, unnest(range(len(s))) as sentence_index, unnest(s) as sentence from (select doc_id, {sql_sentences('text')} as s from documents)""",
 )
 def split_sentences(spark, sf):
-    d = table(spark, sf, "documents")
-    out = d.select("doc_id", F.posexplode(sentences.split_sentences(F.col("text"))).alias("sentence_index", "sentence"))
+    d = texts(spark, sf, "documents")
+    out = exploded(d, ["doc_id"], sentences.split_sentences(F.col("text")), "sentence_index", "sentence")
     return long(out, "sentence_index")
 
 
@@ -264,7 +264,7 @@ def split_sentences(spark, sf):
     """,
 )
 def sentence_table(spark, sf):
-    out = sentences.sentence_table(table(spark, sf, "conversations"), ["conv_id", "turn"], "text", GERMAN, REFS)
+    out = sentences.sentence_table(texts(spark, sf, "conversations"), ["conv_id", "turn"], "text", GERMAN, REFS)
     return long(out, "sentence_index", "start", "stop", "tokens")
 
 
@@ -274,12 +274,12 @@ def sql_citations(x: str) -> str:
 
 @query("c11_extract_citations", f"select doc_id, unnest({sql_citations('text')}) as citation from documents")
 def extract_citations(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(REFS.citations(F.col("text"))).alias("citation"))
+    return texts(spark, sf, "documents").select("doc_id", F.explode_outer(REFS.citations(F.col("text"))).alias("citation")).filter("citation is not null")
 
 
 @query("g2_distinct_citations", f"select distinct unnest({sql_citations('text')}) as citation from documents")
 def distinct_citations(spark, sf):
-    return table(spark, sf, "documents").select(F.explode(REFS.citations(F.col("text"))).alias("citation")).distinct()
+    return extract_citations(spark, sf).select("citation").distinct()
 
 
 STATEMENT = " or ".join(f"contains(text, {lit(k)})" for k in GERMAN_LEGAL.keywords)
@@ -291,7 +291,7 @@ CITED = "|".join(f"(?:{p.replace(chr(92) + 's', WS)})" for p in GERMAN_LEGAL.cit
     f"select doc_id, regexp_matches(text, {lit(CITED)}) or {STATEMENT} as is_statement from documents",
 )
 def is_domain_statement(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", GERMAN_LEGAL.is_statement(F.col("text")).alias("is_statement"))
+    return texts(spark, sf, "documents").select("doc_id", GERMAN_LEGAL.is_statement(F.col("text")).alias("is_statement"))
 
 
 @query(
@@ -304,7 +304,7 @@ def is_domain_statement(spark, sf):
     """,
 )
 def analyze_answers(spark, sf):
-    c = table(spark, sf, "conversations").filter("role = 'assistant'")
+    c = texts(spark, sf, "conversations").filter("role = 'assistant'")
     out = sentences.analyze_answers(c, ["conv_id", "turn"], "text", GERMAN, REFS)
     return long(
         out.select("conv_id", "turn", "total_sentences", "total_tokens", F.size("citations").alias("citations")),
@@ -331,7 +331,7 @@ MASKED = f"""
 
 
 def _masked(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = texts(spark, sf, "documents").select("doc_id", "text")
     return pii.mask_pii(d, "doc_id", "text", (pii.EMAIL,))
 
 
@@ -340,13 +340,13 @@ def _masked(spark, sf):
     f"select doc_id, found as text, cast(start as bigint) as start, cast(start + length(found) as bigint) as stop, '<EMAIL_ADDRESS_' || i || '>' as placeholder from ({MAILS})",
 )
 def detect_pii(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.explode(pii.detect_pii(F.col("text"), (pii.EMAIL,))).alias("e"))
+    d = exploded(texts(spark, sf, "documents"), ["doc_id"], pii.detect_pii(F.col("text"), (pii.EMAIL,)), "n", "e")
     return long(d.select("doc_id", "e.text", "e.start", "e.stop", "e.placeholder"), "start", "stop")
 
 
 @query("c15_detect_german_ids")
 def detect_german_ids(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.explode(pii.detect_pii(F.col("text"))).alias("e"))
+    d = exploded(texts(spark, sf, "documents"), ["doc_id"], pii.detect_pii(F.col("text")), "n", "e")
     return long(d.select("doc_id", "e.*"), "start", "stop")
 
 

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.ids import point_id
+from ..functions.rows import computed, spread
 from ..functions.text import normalize_text
 from ..operators import chunking
 from ..session import shared_dir
@@ -73,7 +74,7 @@ def dedupe_stream(spark, sf):
 
 def prepare(batch):
     """Normalise, chunk and key a batch of documents."""
-    clean = batch.withColumn("text", normalize_text(F.col("text"))).filter(F.length("text") >= 20)
+    clean = computed(spread(batch, "doc_id"), "text", normalize_text(F.col("text")), lambda t: F.length(t) >= 20)
     chunks = chunking.chunk_corpus(clean.select("doc_id", "text"), chunking.chunk_windows(F.col("text"), 800, 100, boundary=False))
     return chunks.withColumn("point_id", point_id(F.col("chunk_id")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions.rows import computed
 from ..functions.text import WS, classify_doc_type, strip
 
 
@@ -113,8 +114,7 @@ def parse_eu_records(raw: DataFrame, min_chars: int = 100, base_url: str = "file
     )
     kept = F.filter(parts, lambda p: F.coalesce(p, F.lit("")) != "")
     return (
-        raw.withColumn("text", F.array_join(kept, "\n\n"))
-        .filter(F.length("text") >= min_chars)
+        computed(raw, "text", F.array_join(kept, "\n\n"), lambda t: F.length(t) >= min_chars)
         .select(
             F.concat(F.lit("eurlex-"), "stem").alias("doc_id"),
             F.concat(F.lit("EUR-Lex "), "stem").alias("title"),

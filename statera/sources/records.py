@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import computed, exploded
 from ..functions.text import INVISIBLE, decode_markup, html_to_text, normalize_text, strip, text_nodes
 
 
@@ -17,8 +18,7 @@ def normalize_case_records(df: DataFrame, base_url: str = "") -> DataFrame:
     text = F.coalesce(html_to_text(F.col("content")), F.lit(""))
     na = lambda c: F.coalesce(F.col(c), F.lit("N/A"))
     return (
-        df.withColumn("_text", text)
-        .filter(F.length("_text") >= 50)
+        computed(df, "_text", text, lambda t: F.length(t) >= 50)
         .select(
             F.coalesce("slug", F.concat(F.lit("case-"), F.col("id"))).alias("doc_id"),
             F.concat_ws(
@@ -40,8 +40,7 @@ def normalize_law_records(df: DataFrame, base_url: str = "") -> DataFrame:
     text = F.coalesce(html_to_text(F.when(F.col("content") != "", F.col("content"))), F.col("text"), F.lit(""))
     abbreviation = F.coalesce("abbreviation", F.upper(F.coalesce("slug", F.lit("Unknown"))))
     return (
-        df.withColumn("_text", text)
-        .filter(F.length("_text") >= 50)
+        computed(df, "_text", text, lambda t: F.length(t) >= 50)
         .select(
             F.coalesce("slug", F.concat(F.lit("law-"), F.col("id"))).alias("doc_id"),
             F.concat_ws(" - ", abbreviation, F.coalesce(F.col("title"), abbreviation)).alias("title"),
@@ -66,8 +65,7 @@ def normalize_court_records(df: DataFrame, base_url: str = "") -> DataFrame:
         F.when(body != "", F.concat(F.lit("\n\n"), body)),
     )
     return (
-        df.withColumn("_text", text)
-        .filter(F.length("_text") >= 50)
+        computed(df, "_text", text, lambda t: F.length(t) >= 50)
         .select(
             F.regexp_replace(F.concat_ws("-", "court", case_id), "[/ ]", "-").alias("doc_id"),
             # The headnote serves as the title when there is none.
@@ -93,7 +91,7 @@ def extract_sections_from_pages(df: DataFrame, keep: list[str], html: str = "htm
     parts = F.slice(F.split(visible, f"(?i)<{element}(?: [^>]*)?>"), 2, 1_000_000_000)
     inner = F.transform(parts, lambda p: F.array_join(text_nodes(F.get(F.split(p, f"(?i)</{element}>", 2), F.lit(0))), ""))
     text = decode_markup(F.array_join(F.filter(inner, lambda p: p != ""), "\n\n"))
-    return df.select(*keep, text.alias("text")).filter(F.length("text") >= min_chars)
+    return computed(df, "text", text, lambda t: F.length(t) >= min_chars).select(*keep, "text")
 
 
 LINK = r"(?is)<a\b[^>]*\bhref=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
@@ -103,7 +101,7 @@ def extract_toc_links(df: DataFrame, keep: list[str], html: str = "html", marker
     """Links whose href holds the marker: id (behind the marker, no ``.html``), title and href."""
     hrefs = F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1))
     titles = F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(2))
-    links = df.select(*keep, F.posexplode(F.arrays_zip(hrefs.alias("href"), titles.alias("title"))).alias("link_no", "l"))
+    links = exploded(df, keep, F.arrays_zip(hrefs.alias("href"), titles.alias("title")), "link_no", "l")
     section = F.replace(F.get(F.split(F.col("l.href"), f"\\Q{marker}\\E"), F.lit(1)), F.lit(".html"), F.lit(""))
     return (
         links.filter(F.col("l.href").contains(marker))
@@ -118,10 +116,10 @@ def extract_toc_links(df: DataFrame, keep: list[str], html: str = "html", marker
 
 def normalize_corpus(df: DataFrame, min_len: int = 20, use_nfc: bool = True) -> DataFrame:
     """Normalise text and title, drop what is too short afterwards."""
-    out = df.withColumn("text", normalize_text(F.col("text"), use_nfc))
+    out = computed(df, "text", normalize_text(F.col("text"), use_nfc), lambda t: F.length(t) >= min_len)
     if "title" in df.columns:
         out = out.withColumn("title", normalize_text(F.col("title"), use_nfc))
-    return out.filter(F.length("text") >= min_len)
+    return out
 
 
 def statutes_to_corpus(df: DataFrame, created: Column | None = None) -> DataFrame:
