@@ -25,6 +25,23 @@ def exploded(df: DataFrame, keep: list[str], array: Column, position: str, value
     return df.select(*keep, F.posexplode_outer(array).alias(position, value)).filter(F.col(position).isNotNull())
 
 
+UNION_SETTING = "spark.sql.unionOutputPartitioning"
+
+
+def union_rows(*dfs: DataFrame, fill: bool = False) -> DataFrame:
+    """Union by name, safe to group or join afterwards.
+
+    Spark 4.1 takes a union of equally partitioned inputs for partitioned itself and skips the
+    exchange behind it; together with a reused exchange that loses matches. The session setting
+    that allows this is switched off here (other versions ignore it).
+    """
+    dfs[0].sparkSession.conf.set(UNION_SETTING, "false")
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d, allowMissingColumns=fill)
+    return out
+
+
 def spread(df: DataFrame, *ids: str) -> DataFrame:
     """Give costly per-row work one task per core when the input has fewer splits than that.
 

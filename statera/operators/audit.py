@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.domains import DomainPack, LanguagePack
 from ..functions.ids import content_hash, short_hash
-from ..functions.rows import exploded
+from ..functions.rows import exploded, union_rows
 from ..session import cut_lineage
 from .blocks import match_terms
 from .sentences import analyze_answers, sentence_table
@@ -138,7 +138,7 @@ def audit_with_retry(answers: DataFrame, rounds: list[DataFrame], key: str, answ
             )
         )
         final = result if attempt == last else result.filter(~scoring.should_retry(F.col("confidence_score"), retry_below))
-        done = final if done is None else done.unionByName(final)
+        done = final if done is None else union_rows(done, final)
         if attempt < last:
             low = result.filter(scoring.should_retry(F.col("confidence_score"), retry_below))
             todo = answers.join(low.select(*answer_ids), answer_ids, "left_semi")

@@ -17,11 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rows import union_rows
+
 
 def _blocks_of(left: DataFrame, right: DataFrame, key: str, block: int) -> DataFrame:
     """Number of blocks per side for the keys that need more than one."""
-    sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r"))
+    sides = union_rows(
+        left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")),
+        right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")),
     )
     counts = sides.groupBy(key).agg(F.sum("l").alias("nl"), F.sum("r").alias("nr"))
     return counts.filter((F.col("nl") > block) | (F.col("nr") > block)).select(
@@ -52,9 +55,7 @@ def cells(left: DataFrame, right: DataFrame, key: str, left_ids: list[str], righ
             F.col("row").alias("_l" if side == "l" else "_r"),
         )
 
-    both = place(left, "l", left_ids, left_cols).unionByName(
-        place(right, "r", [right_id], right_cols), allowMissingColumns=True
-    )
+    both = union_rows(place(left, "l", left_ids, left_cols), place(right, "r", [right_id], right_cols), fill=True)
     return both.groupBy(key, "_lb", "_rb").agg(
         F.collect_list("_l").alias("lefts"), F.collect_list("_r").alias("rights")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import union_rows
 from ..functions.text import cut, fixed
 from .similarity import match_chunks
 
@@ -60,7 +61,7 @@ def context_chunks(targets: DataFrame, chunks: DataFrame) -> DataFrame:
     siblings = seek.join(
         chunks, (F.col("target_parent") == F.col("parent_id")) & (F.col("target_id") != F.col("chunk_id"))
     ).select("target_id", *cols, F.lit("sibling").alias("relation"))
-    return self_rows.unionByName(parents).unionByName(siblings)
+    return union_rows(self_rows, parents, siblings)
 
 
 def retrieve_with_context(queries: DataFrame, chunks: DataFrame, threshold: float = 0.7, k: int = 5,

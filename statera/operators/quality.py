@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import union_rows
 from ..functions.text import fixed
 
 
@@ -191,7 +190,7 @@ def retrieval_summary(verdicts: DataFrame, category: str = "category") -> DataFr
 
 def quality_gate(checks: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """All checks (``check, status, value``) as one table, and the overall verdict."""
-    table = reduce(lambda a, b: a.unionByName(b), checks)
+    table = union_rows(*checks)
     count = lambda s: F.count_if(F.col("status") == s)
     verdict = table.agg(
         count("pass").alias("passed"), count("fail").alias("failed"), count("warn").alias("warnings")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ids import content_hash
-from ..functions.rows import exploded
+from ..functions.rows import exploded, union_rows
 from ..functions.text import strip, tokens
 from .blocks import _top, best_k, match_vectors, unit_rows
 
@@ -161,7 +161,7 @@ def encode_with_cache(texts: DataFrame, text: str, cache: DataFrame, encoder, pr
     known = cache.select("text_hash", F.col("vec").cast("array<float>").alias("vec"))
     hits = distinct.join(known, "text_hash").withColumn("hit", F.lit(True))
     misses = encode(distinct.join(known, "text_hash", "left_anti"), text, encoder, prefix=prefix)
-    return hits.unionByName(misses.withColumn("hit", F.lit(False)))
+    return union_rows(hits, misses.withColumn("hit", F.lit(False)))
 
 
 def term_string(c: Column) -> Column:

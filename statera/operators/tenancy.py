@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import union_rows
+
 
 def tenant_scope(rows: DataFrame, documents: DataFrame, users: DataFrame, document: str = "document_id",
                  null_passes: bool = False) -> DataFrame:
@@ -13,7 +15,7 @@ def tenant_scope(rows: DataFrame, documents: DataFrame, users: DataFrame, docume
         F.col("document_id").alias("_doc")
     )
     visible = rows.filter(F.col(document).isNotNull()).join(mine, F.col(document) == F.col("_doc"), "left_semi")
-    return visible.unionByName(rows.filter(F.col(document).isNull())) if null_passes else visible
+    return union_rows(visible, rows.filter(F.col(document).isNull())) if null_passes else visible
 
 
 def cascade_delete(children: DataFrame, deleted: DataFrame, document: str = "document_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import union_rows
 from .ordered import with_running_sum
 
 # Default monthly quotas and retention.
@@ -104,7 +105,7 @@ def purge_counts(parts: dict[str, DataFrame]) -> DataFrame:
         row = df.agg(
             F.count_if("expired").alias("purged"), F.count_if(~F.col("expired")).alias("kept")
         ).withColumn("table_name", F.lit(name))
-        out = row if out is None else out.unionByName(row)
+        out = row if out is None else union_rows(out, row)
     return out
 
 

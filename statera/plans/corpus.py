@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, scoring, text, vectors
+from ..functions.rows import union_rows
 from ..functions.domains import GERMAN
 from ..operators import lineage, similarity, validation
 from ..sources import records, store
@@ -67,7 +68,7 @@ def upsert_points(spark, sf):
     again = e.filter("label = 3").select(
         (F.col("vec_id") + 100).alias("point_id"), (F.col("label") + 200).alias("label"), (F.col("vec_id") + 1000000).alias("seq")
     )
-    fresh = store.latest_per_id(new.unionByName(again), "point_id", ["seq"]).drop("seq")
+    fresh = store.latest_per_id(union_rows(new, again), "point_id", ["seq"]).drop("seq")
     return store.upsert_points(fresh, e.select(F.col("vec_id").alias("point_id"), "label"))
 
 

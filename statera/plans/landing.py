@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rows import union_rows
 from ..functions.domains import list_presets, preset
 from ..session import shared_dir
 from ..sources import files, mail, records, store
@@ -25,7 +26,7 @@ def _dir(spark, name: str) -> str:
 def read_jsonl(spark, sf):
     path = _dir(spark, "jsonl")
     files.write_stage(table(spark, sf, "documents").select("doc_id", "lang", "text"), path, "json")
-    return files.read_jsonl(spark, path, DOC).unionByName(files.read_jsonl(spark, f"{path}-missing", DOC))
+    return union_rows(files.read_jsonl(spark, path, DOC), files.read_jsonl(spark, f"{path}-missing", DOC))
 
 
 @query("a2_write_stage", "select lang, count(*) as n from documents where lang <> 'en' group by 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rows import computed, exploded
+from ..functions.rows import computed, exploded, union_rows
 from ..functions.text import INVISIBLE, decode_markup, html_to_text, normalize_text, strip, text_nodes
 
 
@@ -141,7 +141,5 @@ def eu_to_corpus(df: DataFrame, created: Column | None = None) -> DataFrame:
 
 
 def union_sources(*dfs: DataFrame) -> DataFrame:
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d, allowMissingColumns=True)
-    return out
+    """Sources with different columns as one table; what a source lacks is null."""
+    return union_rows(*dfs, fill=True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash, point_id
+from ..functions.rows import union_rows
 from ..functions.text import strip
 
 
@@ -24,7 +25,7 @@ def upsert_points(new: DataFrame, store: DataFrame, row_id: str = "point_id", or
     """Store after replacing by id. Idempotent: the same batch twice gives the same store."""
     fresh = latest_per_id(new, row_id, order) if order else new.dropDuplicates([row_id])
     kept = store.join(fresh.select(row_id), row_id, "left_anti")
-    return kept.unionByName(fresh, allowMissingColumns=True)
+    return union_rows(kept, fresh, fill=True)
 
 
 def upsert_counts(new: DataFrame, before: DataFrame, after: DataFrame, row_id: str) -> DataFrame:
