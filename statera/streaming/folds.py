@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordered import time_bucket, with_changes
+from ..session import STATE_STORE
 
 # Requests per minute by endpoint.
 ENDPOINT_LIMITS = {"index": 10, "analyze": 60, "default": 100}
@@ -129,11 +130,17 @@ def cached_query_hits(queries: DataFrame, keys: list[str], ts: str = "ts", row_i
     )
 
 
+def _state_store(df: DataFrame) -> None:
+    """Arbitrary state needs the RocksDB store; a session that names another one is switched."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
 def admit_stream(requests: DataFrame, client: str = "user_id", ts: str = "ts", row_id: str = "event_id",
                  limit: int = 60, burst: int | None = 10) -> DataFrame:
     """The same fold over a stream (column names must not start with an underscore there); the state per client is the list of admitted instants of a minute."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    _state_store(requests)
     fields = [requests.schema[client], requests.schema[row_id], T.StructField("us", T.LongType())]
     out_schema = T.StructType([requests.schema[client], requests.schema[row_id]] + ADMIT_FIELDS)
     client_, row_ = client, row_id
@@ -168,6 +175,7 @@ def cached_query_hits_stream(queries: DataFrame, keys: list[str], ts: str = "ts"
                              ttl: int = 3600) -> DataFrame:
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    _state_store(queries)
     out_schema = T.StructType([queries.schema[row_id]] + HIT_FIELDS)
     row_ = row_id
 
