@@ -188,8 +188,12 @@ def term_cosine(pairs: DataFrame, pair_id: list[str], a: str, b: str) -> DataFra
 
 
 def approx_knn(queries: DataFrame, store: DataFrame, k: int = 5, lists: int = 16, probes: int = 4,
-               query_id: str = "query_id", store_id: str = "vec_id", seed: int = 7) -> DataFrame:
-    """Inverted lists: k-means partitions the store, a query visits its nearest ``probes`` lists."""
+               query_id: str = "query_id", store_id: str = "vec_id", seed: int = 7, train_rows: int = 1_000_000) -> DataFrame:
+    """Inverted lists: k-means partitions the store, a query visits its nearest ``probes`` lists.
+
+    The centers are fitted on about ``train_rows`` vectors; every vector of the store is in a list. A
+    large list is cut into blocks by the match, so an uneven clustering costs no task its memory.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -197,7 +201,9 @@ def approx_knn(queries: DataFrame, store: DataFrame, k: int = 5, lists: int = 16
     from ..functions.vectors import l2_normalize
 
     unit = store.select(store_id, "vec", array_to_vector(l2_normalize(F.col("vec"))).alias("_unit"))
-    model = KMeans(k=lists, seed=seed, featuresCol="_unit", predictionCol="list", maxIter=10).fit(unit)
+    rows = store.count()
+    train = unit if rows <= train_rows else unit.sample(train_rows / rows, seed)
+    model = KMeans(k=lists, seed=seed, featuresCol="_unit", predictionCol="list", maxIter=10).fit(train)
     centers = np.array(model.clusterCenters())  # ``lists`` rows by construction
     placed = model.transform(unit).select(store_id, "vec", F.col("list"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import point_id
 from ..functions.rows import computed, spread
 from ..functions.text import normalize_text
-from ..operators import chunking
+from ..operators import chunking, latency
 from ..session import shared_dir
 from ..streaming import folds, runs
 from . import operations as ops
@@ -64,6 +64,16 @@ def cached_query_hits_stream(spark, sf):
     return _land(spark, folds.cached_query_hits_stream(e, ["user_id", "event_type"], ttl=300)).select("event_id", "hit")
 
 
+@query("j6_sustained_alert_stream", f"select * from ({CATALOG['j6_sustained_alert'].sql}) where window_start + interval 5 minute <= (select max(ts) - interval 10 minute from events)")
+def sustained_alert_stream(spark, sf):
+    # The closed windows of the rate stream are landed; the alert reads them as a stream of its own.
+    rates = latency.request_rate(_stream(spark, sf), "event_type").withColumn("busy", F.col("requests") >= 1)
+    base = f"{shared_dir(spark)}/alert-{uuid.uuid4().hex}"
+    runs.run_available(rates, f"{base}/rates", f"{base}/rates-checkpoint")
+    rows = spark.readStream.schema(rates.schema).parquet(f"{base}/rates")
+    return ops.naive(_land(spark, folds.sustained_alert_stream(rows, ["event_type"], "busy", 60, 600)))
+
+
 @query("j15_dedupe_stream", "select user_id, event_type, count(*) as n from (select distinct user_id, event_type, props from events) group by all")
 def dedupe_stream(spark, sf):
     # One batch holds the whole test table, so no key comes back after its state is gone.

@@ -71,6 +71,22 @@ class CachedHits:
         return (False,)
 
 
+class Hold:
+    """A condition that has held without a break for the given time; a missing step breaks it."""
+
+    def __init__(self, step_seconds: int, hold_seconds: int, since: int | None = None, last: int | None = None):
+        self.gap, self.hold = step_seconds * 1_000_000, hold_seconds * 1_000_000
+        self.since, self.last = since, last
+
+    def step(self, now: int, on: bool) -> bool:
+        if not on:
+            self.since = None
+        elif self.since is None or self.last is None or now - self.last > self.gap:
+            self.since = now
+        self.last = now
+        return self.since is not None and now - self.since >= self.hold
+
+
 def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
@@ -198,3 +214,36 @@ def cached_query_hits_stream(queries: DataFrame, keys: list[str], ts: str = "ts"
     return slim.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=Cache(), outputStructType=out_schema, outputMode="Append", timeMode="None"
     )
+
+
+def sustained_alert_stream(rows: DataFrame, keys: list[str], condition: str, step_seconds: int, hold_seconds: int,
+                           ts: str = "window_start") -> DataFrame:
+    """Alert state over a stream of window rows; per key only the start of the hold and the last step are kept."""
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    _state_store(rows)
+    out_schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("us", T.LongType()), T.StructField("firing", T.BooleanType())])
+    names = out_schema.names
+
+    class Alert(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState(
+                "hold", T.StructType([T.StructField("since", T.LongType()), T.StructField("last", T.LongType())])
+            )
+
+        def handleInputRows(self, key, batches, timerValues):
+            since, last = self.state.get() if self.state.exists() else (None, None)
+            fold = Hold(step_seconds, hold_seconds, since, last)
+            pdf = pd.concat(batches).sort_values("us")
+            pdf["firing"] = [fold.step(int(u), bool(on)) for u, on in zip(pdf["us"], pdf["on"])]
+            self.state.update((fold.since, fold.last))
+            yield pdf[names]
+
+        def close(self) -> None:
+            pass
+
+    slim = rows.select(*keys, micros(ts).alias("us"), F.col(condition).alias("on"))
+    out = slim.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=Alert(), outputStructType=out_schema, outputMode="Append", timeMode="None"
+    )
+    return out.select(*keys, F.timestamp_micros("us").alias(ts), "firing")
