@@ -204,12 +204,13 @@ KEYWORDS = "case when query_id % 2 = 0 then ['the', 'of', 'And', 'zzz'] else ['d
 EXPECTED = f"(select query_id, {KEYWORDS} as keywords, case when query_id % 3 = 0 then 'reference' else 'concept' end as category from {QUERIES})"
 MIN = 0.2
 METRICS = f"""
-    with j as (select h.*, h.score >= {MIN} and len(list_filter(x.keywords, lambda k: contains(lower(h.text), lower(k)))) >= len(x.keywords) * 0.5 as rel
-               from {HITS} h join {EXPECTED} x on x.query_id = h.query_id),
-    m as (select query_id, count(*) as results, max(score) as top_score, count(*) filter (rel and rank <= 5) / least(5, count(*)) as precision_at_5,
-                 count(*) filter (rel and rank <= 10) / least(10, count(*)) as precision_at_10, count(*) filter (rel and rank <= 5) / 3.0 as recall_at_5,
+    with j as (select x.query_id, h.vec_id, h.score, h.rank,
+                      coalesce(h.score >= {MIN} and len(list_filter(x.keywords, lambda k: contains(lower(h.text), lower(k)))) >= len(x.keywords) * 0.5, false) as rel
+               from {EXPECTED} x left join {HITS} h on x.query_id = h.query_id),
+    m as (select query_id, count(vec_id) as results, coalesce(max(score), 0.0) as top_score, coalesce(count(*) filter (rel and rank <= 5) / nullif(least(5, count(vec_id)), 0), 0.0) as precision_at_5,
+                 coalesce(count(*) filter (rel and rank <= 10) / nullif(least(10, count(vec_id)), 0), 0.0) as precision_at_10, count(*) filter (rel and rank <= 5) / 3.0 as recall_at_5,
                  count(*) filter (rel and rank <= 10) / 3.0 as recall_at_10, coalesce(1.0 / min(rank) filter (rel), 0.0) as reciprocal_rank from j group by 1),
-    v as (select m.*, x.category, case when top_score < {MIN} then 'Top score ' || printf('%.4f', top_score) || ' < threshold {MIN}'
+    v as (select m.*, x.category, case when results = 0 then 'No results returned' when top_score < {MIN} then 'Top score ' || printf('%.4f', top_score) || ' < threshold {MIN}'
                  when precision_at_5 < 0.4 then 'Precision@5 ' || printf('%.2f', precision_at_5) || ' too low'
                  when reciprocal_rank < 0.2 then 'MRR ' || printf('%.2f', reciprocal_rank) || ' too low' end as failure_reason
           from m join {EXPECTED} x on x.query_id = m.query_id)
@@ -248,7 +249,7 @@ def score_distribution(spark, sf):
     return _round(quality.score_distribution(search_hits(spark, sf)), "max_score", "min_score", "avg_score", "top_10_avg")
 
 
-FILTERED = f"""(select count(*) as queries_tested, count(*) filter (top > 0.5) as passed, avg(top) as avg_score from (select query_id, max(score) as top from {HITS} group by 1))"""
+FILTERED = f"""(select count(*) as queries_tested, count(*) filter (top > 0.5) as passed, avg(top) as avg_score from (select q.query_id, max(h.score) as top from {QUERIES} q left join {HITS} h on h.query_id = q.query_id group by 1))"""
 
 
 @query(
@@ -259,7 +260,8 @@ def filtered_retrieval_check(spark, sf):
     return _round(quality.filtered_retrieval_check(search_hits(spark, sf), _queries(spark, sf)), "avg_score")
 
 
-CROSS = f"""(select count(*) as queries_tested, sum(case when n >= 2 then 1.0 else 0.5 end)::double as credit from (select query_id, count(distinct lang) as n from {HITS} where rank <= 10 group by 1))"""
+CROSS = f"""(select count(*) as queries_tested, sum(case when n >= 2 then 1.0 when n = 1 then 0.5 else 0.0 end)::double as credit
+    from (select q.query_id, count(distinct h.lang) as n from {QUERIES} q left join (select * from {HITS} where rank <= 10) h on h.query_id = q.query_id group by 1))"""
 
 
 @query("e18_cross_source_check", f"select queries_tested, credit, case when credit >= queries_tested * 0.5 then 'pass' else 'fail' end as status from {CROSS}")
@@ -291,7 +293,7 @@ FOUND = f"""
 """
 
 
-@query("e20_keywords_found", FOUND + "select query_id, array_to_string(list_sort(found), ',') as found from g")
+@query("e20_keywords_found", FOUND + f"select x.query_id, array_to_string(list_sort(coalesce(g.found, [])), ',') as found from {EXPECTED} x left join g on g.query_id = x.query_id")
 def keywords_found(spark, sf):
     return quality.keywords_found(search_hits(spark, sf), expected(spark, sf)).select("query_id", F.array_join("found", ",").alias("found"))
 
