@@ -45,7 +45,8 @@ def union_rows(*dfs: DataFrame, fill: bool = False) -> DataFrame:
 def spread(df: DataFrame, *ids: str) -> DataFrame:
     """Give costly per-row work one task per core when the input has fewer splits than that.
 
-    A large input has more splits than cores and is left alone: no shuffle.
+    For scans: counting the splits of a shuffled frame would run it. A large input has more splits
+    than cores and is left alone: no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

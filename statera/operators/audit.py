@@ -17,7 +17,7 @@ from .similarity import term_string
 
 def match_sentences(sentences: DataFrame, sources: DataFrame, key: str, sentence_ids: list[str],
                     source_id: str = "source_id", threshold: float = scoring.SENTENCE_THRESHOLD,
-                    k: int | None = 1) -> DataFrame:
+                    k: int | None = 1, sizes: DataFrame | None = None) -> DataFrame:
     """Best sources of every sentence under the same key by term cosine.
 
     ``sentences``: key, ids, ``sentence``; ``sources``: key, id, ``text``. ``k=None`` returns the full
@@ -25,7 +25,7 @@ def match_sentences(sentences: DataFrame, sources: DataFrame, key: str, sentence
     """
     left = sentences.withColumn("terms", term_string(F.col("sentence")))
     right = sources.withColumn("terms", term_string(F.col("text")))
-    hits = match_terms(left, right, key, sentence_ids, source_id, k)
+    hits = match_terms(left, right, key, sentence_ids, source_id, k, sizes=sizes)
     return hits.withColumn("verified", F.col("score") >= threshold)
 
 
@@ -105,7 +105,9 @@ def audit_batch(answers: DataFrame, sources: DataFrame, key: str, answer_ids: li
     rows = exploded(
         analysed, list(dict.fromkeys([key, *answer_ids])), F.col("sentences"), "sentence_index", "sentence"
     )
-    best = match_sentences(rows, sources, key, [*answer_ids, "sentence_index"], threshold=threshold)
+    # A sentence has about forty characters; counting them exactly would split all texts once more.
+    sizes = answers.select(key, (F.floor(F.length(text) / 40) + 1).alias("rows"))
+    best = match_sentences(rows, sources, key, [*answer_ids, "sentence_index"], threshold=threshold, sizes=sizes)
     base = (
         analysed.drop("sentences")
         .join(verify_answers(best, answer_ids, threshold), answer_ids, "left")

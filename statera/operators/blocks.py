@@ -20,11 +20,12 @@ from pyspark.sql import types as T
 from ..functions.rows import union_rows
 
 
-def _blocks_of(left: DataFrame, right: DataFrame, key: str, block: int) -> DataFrame:
+def _blocks_of(left: DataFrame, right: DataFrame, key: str, block: int, sizes: DataFrame | None) -> DataFrame:
     """Number of blocks per side for the keys that need more than one."""
+    weights = left.select(key, F.lit(1).alias("l")) if sizes is None else sizes.select(key, F.col("rows").alias("l"))
     sides = union_rows(
-        left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")),
-        right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")),
+        weights.select(key, F.col("l").cast("long").alias("l"), F.lit(0).alias("r")),
+        right.select(key, F.lit(0).cast("long").alias("l"), F.lit(1).alias("r")),
     )
     counts = sides.groupBy(key).agg(F.sum("l").alias("nl"), F.sum("r").alias("nr"))
     return counts.filter((F.col("nl") > block) | (F.col("nr") > block)).select(
@@ -35,9 +36,13 @@ def _blocks_of(left: DataFrame, right: DataFrame, key: str, block: int) -> DataF
 
 
 def cells(left: DataFrame, right: DataFrame, key: str, left_ids: list[str], right_id: str,
-          left_cols: list[str], right_cols: list[str], block: int = 1024) -> DataFrame:
-    """One row per cell: ``key``, ``lefts`` and ``rights`` (arrays of structs). One shuffle of the rows."""
-    hot = _blocks_of(left, right, key, block)
+          left_cols: list[str], right_cols: list[str], block: int = 1024, sizes: DataFrame | None = None) -> DataFrame:
+    """One row per cell: ``key``, ``lefts`` and ``rights`` (arrays of structs). One shuffle of the rows.
+
+    ``sizes`` (key, rows) may estimate the left rows of a key where counting them would repeat costly
+    work; it only steers how far a key is cut.
+    """
+    hot = _blocks_of(left, right, key, block, sizes)
 
     def place(df: DataFrame, side: str, row_ids: list[str], cols: list[str]) -> DataFrame:
         own, other = ("_bl", "_br") if side == "l" else ("_br", "_bl")
@@ -152,8 +157,8 @@ def dense_kernel(left_ids: list[str], right_id: str, k: int | None, floor: float
     return kernel
 
 
-def _match(left, right, key, left_ids, right_id, payload, kernel, k, block) -> DataFrame:
-    c = cells(left, right, key, left_ids, right_id, [*left_ids, payload], [right_id, payload], block)
+def _match(left, right, key, left_ids, right_id, payload, kernel, k, block, sizes=None) -> DataFrame:
+    c = cells(left, right, key, left_ids, right_id, [*left_ids, payload], [right_id, payload], block, sizes)
     schema = T.StructType(
         [T.StructField(i, left.schema[i].dataType) for i in left_ids]
         + [T.StructField(right_id, right.schema[right_id].dataType), T.StructField("score", T.DoubleType())]
@@ -162,9 +167,9 @@ def _match(left, right, key, left_ids, right_id, payload, kernel, k, block) -> D
 
 
 def match_terms(left: DataFrame, right: DataFrame, key: str, left_ids: list[str], right_id: str,
-                k: int | None = 1, block: int = 1024) -> DataFrame:
+                k: int | None = 1, block: int = 1024, sizes: DataFrame | None = None) -> DataFrame:
     """Best ``k`` right rows for each left row of the same key by term cosine (``None``: all of them)."""
-    return _match(left, right, key, left_ids, right_id, "terms", term_kernel(left_ids, right_id, k), k, block)
+    return _match(left, right, key, left_ids, right_id, "terms", term_kernel(left_ids, right_id, k), k, block, sizes)
 
 
 def match_vectors(left: DataFrame, right: DataFrame, key: str, left_ids: list[str], right_id: str,

@@ -192,10 +192,31 @@ def section_hierarchy(spark, sf):
     return page_sections(spark, sf).select("page_id", "position", "level", "parent_position")
 
 
-@query("c7_split_sections")
+def _pieces(rows: str) -> str:
+    """One step of the section split: end at the last full stop of the window, else hard."""
+    return f"""select page_id, position, section_id, chunk_type, content, s,
+               case when s + 300 < length(content) and soft > s + 50 then soft else s + 300 end as e
+        from (select *, s + ({_rfind("substring(content, s + 1, 300)", ". ")}) + 1 as soft from ({rows}))"""
+
+
+@query(
+    "c7_split_sections",
+    f"""
+    with recursive x as ({SECTIONS}),
+    w as ({_pieces("select page_id, position, section_id, chunk_type, content, 0::bigint as s from x where length(content) > 300")}
+          union all {_pieces("select page_id, position, section_id, chunk_type, content, e - 50 as s from w where e < length(content)")}),
+    p as (select page_id, position, section_id, chunk_type, {sql_strip("substring(content, s + 1, e - s)")} as content, true as is_split,
+                 row_number() over (partition by page_id, position order by s) - 1 as split_index from w
+          union all select page_id, position, section_id, chunk_type, content, false, 0 from x where length(content) <= 300),
+    n as (select *, row_number() over (partition by page_id order by position, split_index) - 1 as running from p)
+    select page_id, running as position, section_id || '_' || split_index as section_id, content, chunk_type, is_split, split_index,
+           section_id as parent_section_id, length(content)::bigint as char_count, len({sql_words('content')})::bigint as word_count
+    from n where is_split
+    """,
+)
 def split_sections(spark, sf):
     out = sections.number_chunks(texts(spark, sf, "pages"), "page_id", F.col("html"), sections.PAGE_MARKERS, 300, 50)
-    return long(out.filter("is_split"), "position", "split_index")
+    return long(out.filter("is_split"), "position", "split_index", "char_count", "word_count")
 
 
 @query(

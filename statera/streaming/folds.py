@@ -168,7 +168,7 @@ def admit_stream(requests: DataFrame, client: str = "user_id", ts: str = "ts", r
         def handleInputRows(self, key, rows, timerValues):
             before = list(self.state.get()[0]) if self.state.exists() else []
             fold = Admission(limit, burst, before)
-            # One micro-batch of one client, put into event order.
+            # One micro-batch of one client, put into event order (size it by maxFilesPerTrigger).
             pdf = pd.concat(rows).sort_values(["us", row_])
             results = [fold.step(int(u)) for u in pdf["us"]]
             self.state.update((list(fold.admitted),))
