@@ -14,7 +14,7 @@ from ..functions.text import tokens
 from ..functions.vectors import jaccard
 from ..operators import audit, citations, lineage, sentences
 from ..sources import store
-from .catalog import WS, lit, query, sql_strip, sql_tokens, sql_words, table, texts
+from .catalog import lit, query, sql_strip, sql_tokens, sql_words, table, texts
 from .corpus import LOG_SQL, log_table, sql_answer
 from .segments import REFS, long, sql_citations, sql_sentences
 
