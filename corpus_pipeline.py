@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statera.llm import attention, decontaminate, mixing, sharding
+from statera.llm import attention, decontaminate, mixing, ngram_join, sharding
 from statera.llm.queries import table
 from statera.session import shared_dir
 
@@ -16,6 +16,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return attention.good_documents(docs, attention.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays."""
+    return ngram_join.one_of_each(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -33,6 +38,7 @@ def shard_manifest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
     ("benchmark decontamination", benchmark_decontamination),
     ("mixing sources to target weights", source_mixing),
     ("sharding", shard_manifest),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, compression, decontaminate, mixing, sharding, token_counts, urls
+from . import attention, compression, decontaminate, mixing, ngram_join, sharding, token_counts, urls
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +81,38 @@ def op8(spark, sf):
     return attention.quality_scores(docs, attention.fit(docs, table(spark, sf, "labels")))
 
 
+GRAMS = r"""
+    words as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+') as w from documents),
+    grams as (
+      select distinct doc_id, array_to_string(w[p:p + 3], ' ') as g
+      from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) as p from words where len(w) > 0)),
+    sizes as (select doc_id, count(*) as n from grams group by 1)"""
+
+
+@query(
+    "op9_ngram_jaccard",
+    f"""
+    with recursive {GRAMS},
+    common as (
+      select x.doc_id as a, y.doc_id as b, count(*) as c from grams x join grams y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+    links as (
+      select a, b from common join sizes s on s.doc_id = a join sizes t on t.doc_id = b where 100 * c >= 85 * (s.n + t.n - c)),
+    ways as (select a, b from links union select b, a from links),
+    reach as (
+      select doc_id as a, doc_id as b from documents
+      union
+      select reach.a, ways.b from reach join ways on reach.b = ways.a)
+    select documents.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
+    from documents join (select a as doc_id, min(b) as component_id from reach group by 1) using (doc_id)
+    left join sizes using (doc_id)
+    """,
+)
+def op9(spark, sf):
+    return ngram_join.near_duplicates(table(spark, sf, "documents"))
+
+
 def _sql_two(host: str) -> str:
     return f"array_to_string(string_split({host}, '.')[-2:], '.')"
 
