@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of this many narrow rows may be broadcast; a larger one is joined by a shuffle.
@@ -22,6 +27,43 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def stored_parquet(df: DataFrame) -> DataFrame:
+    """A wide intermediate table, written compressed to the shared folder and read by columns."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by integer keys as tables of whole blocks (rows of equal keys), with the first row of each block.
+    A block that runs over the end of a batch waits for the next one."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> tuple[pa.Table, np.ndarray]:
+        part = pa.Table.from_batches(held)
+        where = [part.column(k).to_numpy() for k in keys]
+        new = np.ones(part.num_rows, bool)
+        new[1:] = np.any([w[1:] != w[:-1] for w in where], axis=0)
+        return part, np.flatnonzero(new)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy() for k in keys]
+        same = np.all([c == c[-1] for c in columns], axis=0)
+        cut = 0 if same.all() else b.num_rows - int(np.argmin(same[::-1]))
+        ends = held and any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != c[0] for k, c in zip(keys, columns))
+        if cut:
+            held.append(b.slice(0, cut))
+        if cut or ends:
+            yield out()
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield out()
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether a stored table may be broadcast, by its count."""
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

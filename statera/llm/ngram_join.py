@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, is_small, join_stored, stored
+from .common import blocks_of, col, is_small, join_stored, stored
 from .components import components
 
 RARITY_BITS = 18
@@ -303,41 +303,16 @@ def tile_pairs(blocks: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
     rows = blocks.join(maps.select("set", "bits"), "set").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(part: pa.Table) -> pa.RecordBatch:
-            where = np.stack([part.column(k).to_numpy().astype(np.int64) for k in keys])
-            cuts = np.flatnonzero(np.append(True, (where[:, 1:] != where[:, :-1]).any(0)))
+        for part, starts in blocks_of(batches, keys):
             columns = {k: part.column(k).to_numpy() for k in ("side", "own", "set", "n", "root", "major")}
             maps = part.column("bits").to_pylist()
             got = [
                 _block_pairs({k: v[s:e] for k, v in columns.items()}, maps[s:e], like)
-                for s, e in zip(cuts, np.append(cuts[1:], part.num_rows))
+                for s, e in zip(starts, np.append(starts[1:], part.num_rows))
             ]
             a, b = (np.concatenate([g[x] for g in got]) for x in (0, 1))
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            pairs = np.unique(np.stack([low, high]), axis=1) if len(low) else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            last = [b.column(k)[b.num_rows - 1].as_py() for k in keys]
-            same = np.ones(b.num_rows, bool)
-            for k, v in zip(keys, last):
-                same &= b.column(k).to_numpy(zero_copy_only=False) == v
-            cut = b.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
-            # Rows before the last block's first row end all blocks they belong to.
-            if cut:
-                held.append(b.slice(0, cut))
-                yield flush(pa.Table.from_batches(held))
-                held = []
-            elif held and any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != v for k, v in zip(keys, last)):
-                yield flush(pa.Table.from_batches(held))
-                held = []
-            held.append(b.slice(cut))
-        if held:
-            yield flush(pa.Table.from_batches(held))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return rows.select(*keys, "side", "own", "set", "n", "root", "major", "bits").mapInArrow(run, "a long, b long").distinct()
 

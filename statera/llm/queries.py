@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, compression, decontaminate, mixing, ngram_join, sharding, token_counts, urls
+from . import attention, chat, compression, decontaminate, line_dedup, mixing, ngram_join, sharding, token_counts, urls
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,16 @@ def op4(spark, sf):
     return mixing.mix_sources(table(spark, sf, "documents"))
 
 
+@query("op5_line_dedup")
+def op5(spark, sf):
+    return line_dedup.repeated_lines(table(spark, sf, "documents")).drop("row")
+
+
+@query("op7_transcript_roles")
+def op7(spark, sf):
+    return chat.parsed_conversations(table(spark, sf, "conversations"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
