@@ -68,11 +68,16 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if len(stop) < len(begin):
         stop = np.append(stop, len(raw))
     length = (stop - begin).astype(np.float64)
-    # Bytes of a passage run from its first word to the next passage's.
+    # Bytes of a passage run from its first word to the next passage's; the blanks that end a text and those
+    # before its first word (all of a text without words) are no passage's.
     low = begin[edge]
-    high = np.append(low[1:], ends[-1])
-    kinds = _CLASS[raw]
-    size = np.maximum(1, high - low)
+    first_word = np.where(n_words > 0, begin[np.minimum(words_before, len(begin) - 1)], ends)
+    outer = np.zeros(len(raw) + 1, np.int32)
+    np.add.at(outer, starts, 1)
+    np.add.at(outer, first_word, -1)
+    kinds = np.where(np.cumsum(outer[:-1]) > 0, np.uint8(255), _CLASS[raw])
+    kinds[ends - 1] = 255
+    size = np.maximum(1, np.add.reduceat(kinds != 255, low, dtype=np.int64))
     for k in range(_CLASSES):
         sums = np.add.reduceat(kinds == k, low, dtype=np.int64)
         out[which, k] = sums / size
