@@ -15,10 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, parts_of
 
 PASSAGE = 64
-BATCH_BYTES = 4 << 20
 
 # Byte classes whose shares in a passage are features.
 _GROUPS = (
@@ -228,21 +227,6 @@ def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
     return train(bags, made["_y"].to_numpy(), options)
 
 
-def parts_of(column: pa.Array) -> Iterator[list[tuple[int, str]]]:
-    """Places and texts of a column in parts of bounded bytes; a longer text is a part of its own."""
-    part: list[tuple[int, str]] = []
-    size = 0
-    for i, t in enumerate(column):
-        t = t.as_py() or ""
-        if part and size + len(t) > BATCH_BYTES:
-            yield part
-            part, size = [], 0
-        part.append((i, t))
-        size += len(t)
-    if part:
-        yield part
-
-
 def quality_scores(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, held_out, score (0 to 1) and predicted (1 from a score of 0.5 on).
 

@@ -64,6 +64,25 @@ def blocks_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tu
         yield out()
 
 
+#: Text that a task works on at a time.
+PART_BYTES = 4 << 20
+
+
+def parts_of(column: pa.Array) -> Iterator[list[tuple[int, str]]]:
+    """Places and texts of a column (null as empty) in parts of bounded bytes; a longer text is a part of its own."""
+    part: list[tuple[int, str]] = []
+    size = 0
+    for i, t in enumerate(column):
+        t = t.as_py() or ""
+        if part and size + len(t) > PART_BYTES:
+            yield part
+            part, size = [], 0
+        part.append((i, t))
+        size += len(t)
+    if part:
+        yield part
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether a stored table may be broadcast, by its count."""
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

@@ -13,7 +13,7 @@ matches it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, col, join_stored, stored, stored_parquet
-from .ngram_join import _WORDS, IDS, bitmap, folded
+from .common import blocks_of, col, join_stored, parts_of, stored, stored_parquet
+from .ngram_join import IDS, _mixed, folded
 
 BITS_BYTES = 64
 LOOK = 1 << 21
@@ -35,26 +35,92 @@ class Similar:
     corpus). ``tile``: sets that meet in one piece; more frequent words are cut by length and into blocks."""
 
     percent: int = 80
-    rarity_bits: int = 20
+    rarity_bits: int = 18
     tile: int = 4096
 
 
-def line_words(line: str) -> np.ndarray:
-    """Sorted distinct hashes of a line's words."""
-    words = line.encode().lower().split()
-    return np.unique(np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)))
-
-
-def lines_of(text: str | None) -> Iterator[tuple[int, np.ndarray]]:
-    """Places (from 0) and sets of the lines that hold a word."""
-    for i, line in enumerate((text or "").split("\n")):
-        words = line_words(line)
-        if len(words):
-            yield i, words
-
-
-def set_name(words: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(words.tobytes()) - (1 << 63)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_SALT = np.random.default_rng(5).integers(0, 1 << 63, 256, np.uint64)
+_PLACE = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+
+
+@dataclass
+class Lines:
+    """Lines with a word of some texts: text, place in the text, and the sorted distinct hashes of the words from
+    ``start`` on."""
+
+    text: np.ndarray
+    place: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    words: np.ndarray
+
+    @property
+    def names(self) -> np.ndarray:
+        """A 64-bit name for each set of words."""
+        if not len(self.start):
+            return np.zeros(0, np.int64)
+        return _mixed(np.add.reduceat(_mixed(self.words + np.uint64(1)), self.start) + self.size.astype(np.uint64)).view(np.int64)
+
+
+def lines_of(texts: list[str]) -> Lines:
+    """All lines of the texts at once, over their bytes. A word's hash sums a salt of each byte times its place; words
+    of more than 64 bytes are hashed one by one."""
+    data = [t.encode().lower() + b"\n" for t in texts]
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    blank = _BLANK[raw]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    begin = np.flatnonzero(first)
+    if not len(begin):
+        none = np.zeros(0, np.int64)
+        return Lines(none, none, none, none, np.zeros(0, np.uint64))
+    last = ~blank
+    last[:-1] &= blank[1:]
+    length = np.flatnonzero(last) + 1 - begin
+    inside = np.flatnonzero(~blank)
+    codes = np.zeros(len(raw), np.uint64)
+    codes[inside] = _SALT[raw[inside]] * _PLACE[(inside - np.repeat(begin, length)) & 63]
+    word = _mixed(np.add.reduceat(codes, begin) + length.astype(np.uint64))
+    for i in np.flatnonzero(length > 64):
+        word[i] = xxhash.xxh3_64_intdigest(raw[begin[i] : begin[i] + length[i]].tobytes())
+    starts = np.cumsum([0, *map(len, data)])
+    breaks = np.append(0, np.cumsum(raw == 10))
+    line = breaks[begin]
+    order = np.lexsort((word, line))
+    word = word[order]
+    fresh = np.append(True, (word[1:] != word[:-1]) | (line[1:] != line[:-1]))
+    word, line = word[fresh], line[fresh]
+    start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    first_line = breaks[starts[:-1]]
+    text = np.searchsorted(first_line, line[start], "right") - 1
+    return Lines(text, line[start] - first_line[text], start, np.diff(np.append(start, len(word))), word)
+
+
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
+
+
+def _bytes(sizes: np.ndarray, data: bytes) -> pa.Array:
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+
+
+def bitmaps(lines: Lines) -> pa.Array:
+    """Bits at the hashes' low bits: two or more for each word, up to 512 in all."""
+    bits = np.minimum(8 * BITS_BYTES, np.maximum(64, 1 << np.ceil(np.log2(2.0 * lines.size)).astype(np.int64)))
+    base = np.cumsum(bits) - bits
+    flat = np.zeros(int(bits.sum()), np.uint8)
+    flat[np.repeat(base, lines.size) + (lines.words & np.repeat(bits - 1, lines.size).astype(np.uint64)).astype(np.int64)] = 1
+    return _bytes(bits // 8, np.packbits(flat, bitorder="little").tobytes())
+
+
+def chosen(lines: Lines, keep: np.ndarray) -> Lines:
+    """Some of the lines."""
+    words = lines.words[np.repeat(keep, lines.size)]
+    size = lines.size[keep]
+    return Lines(lines.text[keep], lines.place[keep], np.cumsum(size) - size, size, words)
 
 
 def _rows(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -69,9 +135,8 @@ def word_counts(rows: DataFrame, rule: Similar) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << rule.rarity_bits, np.int32)
         for b in batches:
-            for t in b.column(0):
-                if found := [w for _, w in lines_of(t.as_py())]:
-                    np.add.at(seen, (np.concatenate(found) >> shift).astype(np.int64), 1)
+            for part in parts_of(b.column(0)):
+                seen += np.bincount((lines_of([t for _, t in part]).words >> shift).astype(np.int64), minlength=len(seen)).astype(np.int32)
         at = np.flatnonzero(seen)
         for i in range(0, len(at), 50_000):
             part = at[i : i + 50_000]
@@ -89,9 +154,12 @@ def line_names(rows: DataFrame) -> DataFrame:
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[{"line": i, "set": set_name(w)} for i, w in lines_of(t.as_py())] for t in b.column(2)]
-            kinds = pa.list_(pa.struct([("line", pa.int32()), ("set", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, kinds)], names=["doc_id", "row", "lines"])
+            for part in parts_of(b.column(2)):
+                lines = lines_of([t for _, t in part])
+                counts = np.bincount(lines.text, minlength=len(part))
+                found = pa.StructArray.from_arrays([pa.array(lines.place.astype(np.int32)), pa.array(lines.names)], names=["line", "set"])
+                at = pa.array([i for i, _ in part])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), _lists(counts, found)], names=["doc_id", "row", "lines"])
 
     return rows.mapInArrow(name, f"doc_id {kind}, row long, lines array<struct<line:int,set:long>>")
 
@@ -102,38 +170,29 @@ def line_sets(rows: DataFrame, often: np.ndarray, rule: Similar) -> DataFrame:
     to three words match equal sets only."""
     table, shift = rows.sparkSession.sparkContext.broadcast(often), np.uint64(64 - rule.rarity_bits)
     kind = dict(rows.dtypes)["doc_id"]
-    entry = pa.struct([("word", pa.int64()), ("pos", pa.int32()), ("hot", pa.bool_())])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "line", "set", "n", "bits", "words", "pos", "hot")}
-            for d, t in zip(b.column(0), b.column(2)):
-                for i, w in lines_of(t.as_py()):
-                    n = len(w)
-                    if n < 4:
-                        continue
-                    seen = table.value[(w >> shift).astype(np.int64)]
-                    order = np.lexsort((w, seen))[: n - -(-rule.percent * n // 100) + 1]
-                    some = np.flatnonzero(seen[order] > 1)
-                    if not len(some):
-                        continue
-                    bits = bitmap(w).tobytes()
-                    out["doc_id"].append(d)
-                    out["line"].append(i)
-                    out["set"].append(set_name(w))
-                    out["n"].append(n)
-                    out["bits"].append(folded(bits, BITS_BYTES))
-                    out["words"].append(w[order][some].view(np.int64))
-                    out["pos"].append(some.astype(np.int32))
-                    out["hot"].append(seen[order][some] > rule.tile)
-            sizes = np.cumsum([0, *map(len, out["words"])]).astype(np.int32)
-            flat = [np.concatenate(out[k]) if out[k] else np.zeros(0, t) for k, t in (("words", np.int64), ("pos", np.int32), ("hot", bool))]
-            entries = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays([pa.array(x) for x in flat], fields=list(entry)))
-            ids = pa.array([d.as_py() for d in out["doc_id"]], b.column(0).type)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(out["line"], pa.int32()), pa.array(out["set"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["bits"], pa.binary()), entries],
-                names=["doc_id", "line", "set", "n", "bits", "rare"],
-            )
+            for part in parts_of(b.column(2)):
+                lines = lines_of([t for _, t in part])
+                lines = chosen(lines, lines.size > 3)
+                n = lines.size
+                seen = table.value[(lines.words >> shift).astype(np.int64)]
+                line = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((lines.words, seen, line))
+                pos = np.arange(len(line)) - np.repeat(lines.start, n)
+                rare = (pos < np.repeat(n - -(-rule.percent * n // 100) + 1, n)) & (seen[order] > 1)
+                some = order[rare]
+                entries = pa.StructArray.from_arrays(
+                    [pa.array(lines.words[some].view(np.int64)), pa.array(pos[rare].astype(np.int32)), pa.array(seen[some] > rule.tile)],
+                    names=["word", "pos", "hot"],
+                )
+                made = [
+                    b.column(0).take(pa.array(np.array([i for i, _ in part], np.int64)[lines.text])), pa.array(lines.place.astype(np.int32)),
+                    pa.array(lines.names), pa.array(n.astype(np.int32)), bitmaps(lines), _lists(np.bincount(line[some], minlength=len(n)), entries),
+                ]
+                out = pa.RecordBatch.from_arrays(made, names=["doc_id", "line", "set", "n", "bits", "rare"])
+                yield out.filter(pa.array(np.bincount(line[some], minlength=len(n)) > 0))
 
     lines = rows.mapInArrow(describe, f"doc_id {kind}, line int, set long, n int, bits binary, rare array<struct<word:long,pos:int,hot:boolean>>")
     return lines.groupBy("set").agg(
@@ -223,24 +282,20 @@ def paired(cells: DataFrame, rule: Similar, first_only: bool) -> DataFrame:
     return rows.mapInArrow(run, "word long, x long, y long, more boolean")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, rule: Similar) -> DataFrame:
-    """The pairs whose sorted arrays reach the similarity; arrays are made for sets in pairs only."""
+def verified(pairs: DataFrame, rows: DataFrame, names: DataFrame, rule: Similar) -> DataFrame:
+    """The pairs whose sorted arrays reach the similarity; arrays are made for sets in pairs only, from the text of one
+    row that has the set."""
     wanted = stored(pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct())
     few = wanted.limit(IDS + 1).count() <= IDS
     known = rows.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["set"].to_numpy()) if few else None)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[int, bytes] = {}
-            for t in b.column(0):
-                for _, w in lines_of(t.as_py()):
-                    name = set_name(w)
-                    if few:
-                        at = np.searchsorted(known.value, name)
-                        if at == len(known.value) or known.value[at] != name:
-                            continue
-                    found[name] = w.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["set", "words"])
+            for part in parts_of(b.column(0)):
+                lines = lines_of([t for _, t in part])
+                keep = np.isin(lines.names, known.value) if few else np.ones(len(lines.size), bool)
+                lines = chosen(lines, keep)
+                yield pa.RecordBatch.from_arrays([pa.array(lines.names), _bytes(8 * lines.size, lines.words.tobytes())], names=["set", "words"])
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,18 +306,22 @@ def verified(pairs: DataFrame, rows: DataFrame, rule: Similar) -> DataFrame:
                 keep.append(100 * common >= rule.percent * (len(x) + len(y) - common))
             yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    made = rows.select("text").mapInArrow(arrays, "set long, words binary").join(wanted, "set", "left_semi").dropDuplicates(["set"])
+    lines = names.select("row", F.explode("lines.set").alias("set"))
+    holders = join_stored(lines, wanted, ["set"], "left_semi", few).groupBy("set").agg(F.min("row").alias("row")).select("row").distinct()
+    holders = stored(holders)
+    some = join_stored(rows, holders, ["row"], "left_semi", holders.limit(IDS + 1).count() <= IDS)
+    made = some.select("text").mapInArrow(arrays, "set long, words binary").join(wanted, "set", "left_semi").dropDuplicates(["set"])
     made = stored(made)
     both = pairs.join(made.select(F.col("set").alias("x"), F.col("words").alias("wx")), "x")
     both = both.join(made.select(F.col("set").alias("y"), F.col("words").alias("wy")), "y").select("x", "y", "wx", "wy")
     return both.mapInArrow(intersect, "x long, y long")
 
 
-def matched_sets(rows: DataFrame, rule: Similar) -> DataFrame:
+def matched_sets(rows: DataFrame, names: DataFrame, rule: Similar) -> DataFrame:
     """Sets that an earlier, different set matches."""
     sets = stored_parquet(line_sets(rows, word_counts(rows, rule), rule))
     one = stored(paired(entries(sets, rule), rule, True))
-    gone = stored(verified(stored(one.select("x", "y").distinct()), rows, rule).select(F.col("x").alias("set")).distinct())
+    gone = stored(verified(stored(one.select("x", "y").distinct()), rows, names, rule).select(F.col("x").alias("set")).distinct())
     left = join_stored(one.filter("more").select("word", F.col("x").alias("set")).distinct(), gone, ["set"], "left_anti", gone.limit(IDS + 1).count() <= IDS)
     left = stored(left)
     if left.isEmpty():
@@ -270,7 +329,7 @@ def matched_sets(rows: DataFrame, rule: Similar) -> DataFrame:
     again = entries(sets, rule, stored(left.select("word").distinct()))
     again = again.join(left.withColumn("open", F.lit(True)), ["word", "set"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
     two = stored(paired(again, rule, False).select("x", "y").distinct())
-    return stored(gone.unionAll(verified(two, rows, rule).select(F.col("x").alias("set"))).distinct())
+    return stored(gone.unionAll(verified(two, rows, names, rule).select(F.col("x").alias("set"))).distinct())
 
 
 def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text", rule: Similar = Similar()) -> DataFrame:
@@ -284,7 +343,7 @@ def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text", rule:
     """
     rows = _rows(df, id, text)
     names = stored(line_names(rows))
-    gone = matched_sets(rows, rule)
+    gone = matched_sets(rows, names, rule)
     lines = names.select("doc_id", "row", F.explode("lines").alias("l")).select("doc_id", "row", "l.line", "l.set")
     at = F.struct("doc_id", "line")
     often = lines.groupBy("set").agg(F.min(at).alias("first"), F.count("*").alias("k")).filter("k > 1").select("set", "first")
