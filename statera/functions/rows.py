@@ -42,6 +42,14 @@ def union_rows(*dfs: DataFrame, fill: bool = False) -> DataFrame:
     return out
 
 
+def left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on a key that is often null: rows without it match nothing and take no part in the shuffle, where
+    they would all meet in one task."""
+    held = left.filter(F.col(key).isNotNull()).join(right, key, "left")
+    rest = left.filter(F.col(key).isNull())
+    return union_rows(held, rest, fill=True).select(*held.columns)
+
+
 def spread(df: DataFrame, *ids: str) -> DataFrame:
     """Give costly per-row work one task per core when the input has fewer splits than that.
 

@@ -205,8 +205,10 @@ GERMAN_MARKERS = (
 )
 
 
-def detect_german(c: Column, sample_chars: int = 500, min_hits: int = 3, min_chars: int = 50) -> Column:
-    sample = F.concat(F.lit(" "), F.lower(F.substring(c, 1, sample_chars)), F.lit(" "))
+def detect_german(c: Column, sample_chars: int | None = None, min_hits: int = 3, min_chars: int = 50) -> Column:
+    """``de`` if enough marker words stand in the text; ``sample_chars`` looks at its beginning only."""
+    seen = c if sample_chars is None else F.substring(c, 1, sample_chars)
+    sample = F.concat(F.lit(" "), F.lower(seen), F.lit(" "))
     hits = F.lit(0)
     for w in GERMAN_MARKERS:
         hits = hits + sample.contains(f" {w} ").cast("int")

@@ -40,8 +40,9 @@ def cells(left: DataFrame, right: DataFrame, key: str, left_ids: list[str], righ
     """One row per cell: ``key``, ``lefts`` and ``rights`` (arrays of structs). One shuffle of the rows.
 
     ``sizes`` (key, rows) may estimate the left rows of a key where counting them would repeat costly
-    work; it only steers how far a key is cut.
+    work; it only steers how far a key is cut. A null key equals nothing, so rows with one take no part.
     """
+    left, right = left.filter(F.col(key).isNotNull()), right.filter(F.col(key).isNotNull())
     hot = _blocks_of(left, right, key, block, sizes)
 
     def place(df: DataFrame, side: str, row_ids: list[str], cols: list[str]) -> DataFrame:

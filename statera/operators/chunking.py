@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate, groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,84 +16,70 @@ from ..functions.text import strip
 # Where a window may end, tried in this order.
 SENTENCE_ENDS = (".\n", ". ", ".\n\n", "!", "?")
 
+SoftEnd = Callable[[int, int], int]
+
+
+def _spans(n: int, size: int, overlap: int, soft_end: SoftEnd) -> Iterator[tuple[int, int]]:
+    """Windows over ``n`` characters. A window that does not reach the end stops at its soft end, if that lies beyond
+    the overlap with the next window; else at its full size. So every window starts after the one before."""
+    at = 0
+    while at < n:
+        hard = at + size
+        soft = soft_end(at, hard) if hard < n else 0
+        stop = soft if soft > at + overlap else hard
+        yield at, stop
+        at = stop - overlap
+
 
 def boundary_windows(text: str, size: int, overlap: int) -> list[str]:
-    """Windows that end at a sentence, else a space, else hard; every step moves forward.
-
-    A soft end is taken only beyond ``start + overlap``; otherwise the next window would not advance.
-    """
-    out: list[str] = []
-    start, n = 0, len(text)
-    while start < n:
-        end = start + size
-        if end < n:
-            zone = end - int(size * 0.2)
-            for mark in SENTENCE_ENDS:
-                at = text.rfind(mark, zone, end)
-                if at >= 0:
-                    soft = at + len(mark)
-                    break
-            else:
-                soft = text.rfind(" ", start + 1, end) + 1
-            if soft > start + overlap:
-                end = soft
-        piece = text[start:end].strip()
-        if piece:
-            out.append(piece)
-        start = end - overlap
+    """Windows that end at a sentence in their last fifth, else after the last space, else hard."""
+
+    def soft_end(at: int, hard: int) -> int:
+        ends = (text.rfind(mark, hard - int(size * 0.2), hard) + len(mark) for mark in SENTENCE_ENDS)
+        found = [e for e, mark in zip(ends, SENTENCE_ENDS) if e >= len(mark)]
+        return found[0] if found else text.rfind(" ", at + 1, hard) + 1
+
+    pieces = (text[a:b].strip() for a, b in _spans(len(text), size, overlap, soft_end))
+    return [p for p in pieces if p]
+
+
+def section_pieces(content: str, size: int, overlap: int) -> list[str]:
+    """Windows of a long section that end at their last full stop, else hard; none begins in the overlap with the end."""
+    n, out = len(content), []
+    for a, b in _spans(n, size, overlap, lambda at, hard: content.rfind(". ", at, hard) + 1):
+        out.append(content[a:b].strip())
+        if b >= n:
+            break
     return out
 
 
+def _filled(lengths: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Ranges of paragraphs that fill a chunk. A paragraph costs its length and a separator of two; the first
+    chunk also pays for the separator after its last one. With an overlap every further chunk begins with the
+    last paragraph of the one before; it takes at least one new paragraph."""
+    cost = [0, *accumulate(n + 2 for n in lengths)]
+    first, fresh, spare = 0, 0, 0
+    while fresh < len(lengths):
+        stop = max(fresh + 1, bisect_right(cost, cost[first] + size + spare) - 1)
+        yield first, stop
+        first, fresh, spare = (stop - 1 if overlap > 0 else stop), stop, 2
+
+
 def paragraph_chunks(text: str, size: int, overlap: int, separator: str) -> list[str]:
-    """Greedy fill with whole paragraphs; a new chunk repeats the last paragraph of the one before."""
-    if not text:
-        return []
+    """Chunks of whole paragraphs; one that is too long is cut into windows on its own."""
     if len(text) <= size:
-        return [text]
+        return [text] if text else []
+    parts = [p for p in map(str.strip, text.split(separator)) if p]
     chunks: list[str] = []
-    held: list[str] = []
-    used = 0
-
-    def flush() -> None:
-        if held:
-            chunks.append(separator.join(held))
-
-    for part in (p.strip() for p in text.split(separator)):
-        if not part:
-            continue
-        if len(part) > size:
-            flush()
-            held, used = [], 0
-            chunks.extend(boundary_windows(part, size, overlap))
-        elif used + len(part) + 2 <= size:
-            held.append(part)
-            used += len(part) + 2
+    for long, run in groupby(parts, key=lambda p: len(p) > size):
+        run = list(run)
+        if long:
+            chunks += [w for p in run for w in boundary_windows(p, size, overlap)]
         else:
-            flush()
-            if overlap > 0 and held:
-                used = len(held[-1]) + len(part) + 2
-                held = [held[-1], part]
-            else:
-                held, used = [part], len(part)
-    flush()
+            chunks += [separator.join(run[a:b]) for a, b in _filled(list(map(len, run)), size, overlap)]
     return chunks
 
 
-def section_pieces(content: str, size: int, overlap: int) -> list[str]:
-    """Split of a long section at its last full stop before the limit; every step moves forward."""
-    out: list[str] = []
-    start, n = 0, len(content)
-    while start < n:
-        end = start + size
-        if end < n:
-            stop = content.rfind(". ", start, end)
-            if stop + 1 > start + overlap:
-                end = stop + 1
-        out.append(content[start:end].strip())
-        start = end - overlap if end < n else n
-    return out
-
-
 def _check(size: int, overlap: int) -> None:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")

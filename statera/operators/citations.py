@@ -66,7 +66,7 @@ def citation_confidence(answers: DataFrame, hits: DataFrame, key: str = "answer_
         .withColumn("_n", F.when(F.col("chunk_id").isNotNull(), backing).otherwise(0))
         .select(
             key, "citation", "chunk_id", "rank",
-            F.when(F.col("chunk_id").isNull(), F.lit(MISSING)).otherwise(F.substring("content", 1, 500)).alias("content"),
+            F.when(F.col("chunk_id").isNull(), F.lit(MISSING)).otherwise(F.col("content")).alias("content"),
             value.alias("confidence"),
         )
     )

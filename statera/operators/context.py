@@ -5,23 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rows import union_rows
-from ..functions.text import cut, fixed
+from ..functions.rows import left_join, union_rows
+from ..functions.text import fixed
 from .similarity import match_chunks
 
 
 def with_parent(chunks: DataFrame) -> DataFrame:
     """Adds ``parent_content`` (null without a parent)."""
     parents = chunks.select(F.col("chunk_id").alias("parent_id"), F.col("content").alias("parent_content"))
-    return chunks.join(parents, "parent_id", "left")
+    return left_join(chunks, parents, "parent_id")
 
 
-def with_siblings(chunks: DataFrame, shown: int = 3) -> DataFrame:
-    """Adds ``sibling_count`` and the first ``shown`` siblings by position.
+def sibling_rows(targets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every sibling of the given chunks as a row: ``chunk_id``, ``sibling_id``, ``position``, ``content``.
 
-    The first ``shown + 1`` children of a parent hold the first ``shown`` siblings of every child, so
+    ``targets`` has ``chunk_id`` and ``parent_id``. The rows of a large family stay rows, so Spark may split them.
+    """
+    family = chunks.filter(F.col("parent_id").isNotNull()).select(
+        "parent_id", F.col("chunk_id").alias("sibling_id"), "position", "content"
+    )
+    seek = targets.filter(F.col("parent_id").isNotNull()).select("chunk_id", "parent_id")
+    return seek.join(family, "parent_id").filter(F.col("chunk_id") != F.col("sibling_id")).drop("parent_id")
+
+
+def _all_siblings(targets: DataFrame, chunks: DataFrame) -> DataFrame:
+    kin = sibling_rows(targets, chunks).groupBy("chunk_id").agg(
+        F.sort_array(F.collect_list(F.struct("position", "sibling_id", "content"))).alias("_kin")
+    )
+    return kin.select("chunk_id", F.size("_kin").alias("sibling_count"), F.col("_kin.content").alias("siblings"))
+
+
+def with_siblings(chunks: DataFrame, shown: int | None = None) -> DataFrame:
+    """Adds ``sibling_count`` and the siblings by position: all of them, or for display the first ``shown``.
+
+    With ``shown`` the first ``shown + 1`` children of a parent hold the first ``shown`` siblings of every child, so
     the work is linear in the chunks: no self join of a parent's children with each other.
     """
+    if shown is None:
+        return (
+            chunks.join(_all_siblings(chunks, chunks), "chunk_id", "left")
+            .withColumn("sibling_count", F.coalesce("sibling_count", F.lit(0)))
+            .withColumn("siblings", F.coalesce("siblings", F.array().cast("array<string>")))
+        )
     family = chunks.filter(F.col("parent_id").isNotNull())
     w = Window.partitionBy("parent_id").orderBy("position", "chunk_id")
     first = (
@@ -32,7 +57,7 @@ def with_siblings(chunks: DataFrame, shown: int = 3) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("position", "chunk_id", "content"))).alias("_first"))
     )
     sizes = family.groupBy("parent_id").agg(F.count(F.lit(1)).alias("_children"))
-    joined = chunks.join(first.join(sizes, "parent_id"), "parent_id", "left")
+    joined = left_join(chunks, first.join(sizes, "parent_id"), "parent_id")
     others = F.slice(F.filter("_first", lambda s: s["chunk_id"] != F.col("chunk_id")), 1, shown)
     return (
         joined.withColumn("sibling_count", F.coalesce(F.col("_children") - 1, F.lit(0)))
@@ -65,33 +90,35 @@ def context_chunks(targets: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def retrieve_with_context(queries: DataFrame, chunks: DataFrame, threshold: float = 0.7, k: int = 5,
-                          shown: int = 3) -> DataFrame:
-    """Top-k chunks per query with parent content and siblings."""
+                          shown: int | None = None) -> DataFrame:
+    """Top-k chunks per query with parent content and siblings (all, or the first ``shown``)."""
     hits = match_chunks(queries, chunks, threshold, k)
     light = chunks.drop("vec")
     found = hits.join(light, "chunk_id")
     # Only families of hits are looked up.
     families = found.select("parent_id").filter(F.col("parent_id").isNotNull()).distinct()
     kin = light.join(families, "parent_id", "left_semi")
-    sib = with_siblings(kin, shown).select("chunk_id", "siblings", "sibling_count")
+    wanted = found.select("chunk_id", "parent_id").distinct()
+    sib = _all_siblings(wanted, kin) if shown is None else with_siblings(kin, shown).select("chunk_id", "siblings", "sibling_count")
     parents = light.select(F.col("chunk_id").alias("parent_id"), F.col("content").alias("parent_content"))
     return (
-        found.join(parents, "parent_id", "left")
+        left_join(found, parents, "parent_id")
         .join(sib, "chunk_id", "left")
         .withColumn("siblings", F.coalesce("siblings", F.array().cast("array<string>")))
         .withColumn("sibling_count", F.coalesce("sibling_count", F.lit(0)))
     )
 
 
-def format_context(results: DataFrame, query_id: str = "query_id", limit: int = 200) -> DataFrame:
-    """Prompt text per query from its (at most k) ranked results."""
+def format_context(results: DataFrame, query_id: str = "query_id", limit: int = 200, shown: int = 3) -> DataFrame:
+    """Prompt text per query from its (at most k) ranked results; of the related sections it shows the first
+    ``shown``, up to ``limit`` characters each."""
     related = F.when(
         F.size("siblings") > 0,
         F.concat(
             F.lit("**Related Sections:**\n"),
             F.array_join(
                 F.transform(
-                    F.slice("siblings", 1, 3),
+                    F.slice("siblings", 1, shown),
                     lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), F.substring(s, 1, limit), F.lit("...\n")),
                 ),
                 "",
@@ -129,7 +156,3 @@ def chunk_by_section_id(chunks: DataFrame, refs: DataFrame) -> DataFrame:
 
 def chunks_in_order(chunks: DataFrame, document_id) -> DataFrame:
     return chunks.filter(F.col("document_id") == F.lit(document_id)).orderBy("position")
-
-
-def preview(c, n: int = 500):
-    return cut(c, n)

@@ -117,16 +117,34 @@ def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+def _bin(v: Column, lo: float, hi: float, bins: int) -> Column:
+    """Place of ``v`` between two ends. Halves do not overflow; a range too small to be cut has two bins."""
+    if hi - lo == float("inf"):
+        return (v / 2 - lo / 2) / ((hi / 2 - lo / 2) / bins)
+    return (v - lo) / ((hi - lo) / bins or hi - lo)
+
+
 def values_at_ranks(df: DataFrame, column: str, ranks: list[int], bins: int = 4096) -> list[float]:
     """Exact order statistics (0-based ranks) by narrowing value ranges.
 
     Every pass is one map-side aggregated scan of one column with at most ``bins`` counts per open
-    range, so neither a global sort nor a whole column ever reaches one task.
+    range, so neither a global sort nor a whole column ever reaches one task. Nulls do not count; infinities
+    are the ends of the order, and NaN comes after all, as in Spark's own order.
     """
-    data = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    low, high = data.agg(F.min("v"), F.max("v")).first()
-    open_ranges = {r: (low, high, 0) for r in set(ranks)}  # closed value range, rows strictly below it
+    every = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    infinite = float("inf")
+    finite = ~F.isnan("v") & (F.abs("v") < infinite)
+    data = every.filter(finite)
+    low, high, n, least, most = every.agg(
+        F.min(F.when(finite, F.col("v"))), F.max(F.when(finite, F.col("v"))), F.count_if(finite),
+        F.count_if(F.col("v") == -infinite), F.count_if(F.col("v") == infinite),
+    ).first()
     found: dict[int, float] = {}
+    for r in set(ranks):
+        if not least <= r < least + n:
+            found[r] = -infinite if r < least else infinite if r < least + n + most else float("nan")
+    # Closed value range, rows strictly below it.
+    open_ranges = {r: (low, high, least) for r in set(ranks) if r not in found}
     while open_ranges:
         for r, (lo, hi, _) in list(open_ranges.items()):
             if lo == hi:
@@ -139,7 +157,7 @@ def values_at_ranks(df: DataFrame, column: str, ranks: list[int], bins: int = 40
         hits = [
             F.when(
                 v.between(lo, hi),
-                F.struct(F.lit(i).alias("i"), F.least(F.floor((v - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("int").alias("bin")),
+                F.struct(F.lit(i).alias("i"), F.least(F.floor(_bin(v, lo, hi, bins)), F.lit(bins - 1)).cast("int").alias("bin")),
             )
             for i, (lo, hi) in enumerate(bounds)
         ]
@@ -154,6 +172,8 @@ def values_at_ranks(df: DataFrame, column: str, ranks: list[int], bins: int = 40
             mine = sorted((c for c in counts if c["i"] == bounds.index((lo, hi))), key=lambda c: c["bin"])
             for row in mine:
                 if below + row["n"] > r:
+                    if (row["lo"], row["hi"]) == (lo, hi):
+                        raise ArithmeticError(f"the range {lo} to {hi} cannot be cut")
                     open_ranges[r] = (row["lo"], row["hi"], below)
                     break
                 below += row["n"]

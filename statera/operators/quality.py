@@ -32,11 +32,13 @@ def corpus_breakdown(store: DataFrame, source: str = "source", doc_type: str = "
     )
 
 
-def breakdown_check(breakdown: DataFrame, expected: int) -> DataFrame:
-    n = F.col("n")
-    return breakdown.filter(F.col("dimension") == "total").select(
+def breakdown_check(breakdown: DataFrame, expected: DataFrame) -> DataFrame:
+    """Total against the expected one, the single row ``expected`` of a table."""
+    n, expected_n = F.col("n"), F.col("expected")
+    total = breakdown.filter(F.col("dimension") == "total").withColumn("_one", F.lit(1))
+    return total.join(F.broadcast(expected.select("expected", F.lit(1).alias("_one"))), "_one").select(
         F.lit("vector_count_breakdown").alias("check"),
-        F.when(n < expected * 0.9, "fail").when(n > expected * 1.2, "warn").otherwise("pass").alias("status"),
+        F.when(n < expected_n * 0.9, "fail").when(n > expected_n * 1.2, "warn").otherwise("pass").alias("status"),
         n.cast("double").alias("value"),
     )
 

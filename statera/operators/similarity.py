@@ -9,6 +9,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,13 +30,13 @@ def payload_filter(df: DataFrame, filters: dict | None) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in filters.items()]))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int | None = None) -> np.ndarray:
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(arr)
-    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if n == 0 or flat.size % n:
-        raise ValueError("vectors of one column must share one length")
-    m = flat.reshape(n, -1)
+    lengths = np.unique(pa.compute.list_value_length(arr).to_numpy(zero_copy_only=False))
+    if len(lengths) != 1 or (dim is not None and lengths[0] != dim):
+        raise ValueError(f"vectors must share one length, found {lengths.tolist()}" + (f" with queries of {dim}" if dim else ""))
+    m = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
     norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
@@ -52,6 +53,8 @@ def knn(queries: DataFrame, store: DataFrame, k: int = 5, filters: dict | None =
     store = payload_filter(store, filters).filter(F.col(vec).isNotNull())
     extra = [match_on] if match_on else []
     wanted = queries.select(query_id, vec, *extra).filter(F.col(vec).isNotNull())
+    if match_on:  # a null key equals nothing
+        wanted, store = wanted.filter(F.col(match_on).isNotNull()), store.filter(F.col(match_on).isNotNull())
     head = wanted.limit(QUERY_ROWS + 1).collect()
     size = sum(len(r[vec]) for r in head) * 8
     if len(head) > QUERY_ROWS or size > QUERY_BYTES:
@@ -66,6 +69,10 @@ def knn(queries: DataFrame, store: DataFrame, k: int = 5, filters: dict | None =
     for r in head:
         groups.setdefault(r[match_on] if match_on else None, []).append(r)
     packed = {g: (unit_rows([r[vec] for r in rows]), [r[query_id] for r in rows]) for g, rows in groups.items()}
+    dims = {q.shape[1] for q, _ in packed.values()}
+    if len(dims) > 1:
+        raise ValueError(f"query vectors must share one length, found {sorted(dims)}")
+    dim = next(iter(dims), None)
     shared = store.sparkSession.sparkContext.broadcast(packed)
     schema = T.StructType(
         [
@@ -82,7 +89,7 @@ def knn(queries: DataFrame, store: DataFrame, k: int = 5, filters: dict | None =
             if table.num_rows == 0:
                 continue
             ids_all = table.column(0).to_numpy(zero_copy_only=False)
-            m_all = _matrix(table.column(1))
+            m_all = _matrix(table.column(1), dim)
             tags = np.array(table.column(2).to_pylist(), dtype=object) if match_on else None
             for g, (q, qids) in shared.value.items():
                 pick = slice(None) if g is None and not match_on else np.flatnonzero(tags == g)
@@ -187,12 +194,12 @@ def term_cosine(pairs: DataFrame, pair_id: list[str], a: str, b: str) -> DataFra
     return sums.select(*pair_id, F.when(scale > 0, F.col("d") / scale).otherwise(0.0).alias("score"))
 
 
-def approx_knn(queries: DataFrame, store: DataFrame, k: int = 5, lists: int = 16, probes: int = 4,
-               query_id: str = "query_id", store_id: str = "vec_id", seed: int = 7, train_rows: int = 1_000_000) -> DataFrame:
+def approx_knn(queries: DataFrame, store: DataFrame, k: int = 5, lists: int = 16, probes: int = 12,
+               query_id: str = "query_id", store_id: str = "vec_id", seed: int = 7) -> DataFrame:
     """Inverted lists: k-means partitions the store, a query visits its nearest ``probes`` lists.
 
-    The centers are fitted on about ``train_rows`` vectors; every vector of the store is in a list. A
-    large list is cut into blocks by the match, so an uneven clustering costs no task its memory.
+    The centers are fitted on all vectors, and every vector of the store is in a list. With as many probes as lists
+    the result is exact. A large list is cut into blocks by the match, so an uneven clustering costs no task its memory.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -201,9 +208,7 @@ def approx_knn(queries: DataFrame, store: DataFrame, k: int = 5, lists: int = 16
     from ..functions.vectors import l2_normalize
 
     unit = store.select(store_id, "vec", array_to_vector(l2_normalize(F.col("vec"))).alias("_unit"))
-    rows = store.count()
-    train = unit if rows <= train_rows else unit.sample(train_rows / rows, seed)
-    model = KMeans(k=lists, seed=seed, featuresCol="_unit", predictionCol="list", maxIter=10).fit(train)
+    model = KMeans(k=lists, seed=seed, featuresCol="_unit", predictionCol="list", maxIter=10).fit(unit)
     centers = np.array(model.clusterCenters())  # ``lists`` rows by construction
     placed = model.transform(unit).select(store_id, "vec", F.col("list"))
 

@@ -82,17 +82,25 @@ def filter_valid_queries(queries: DataFrame, **kwargs) -> tuple[DataFrame, DataF
     return checked.filter(F.col("reason").isNull()).drop("reason"), checked.filter(F.col("reason").isNotNull())
 
 
-def sanitize_metadata(m: Column, max_keys: int = 50, max_value: int = 500) -> Column:
-    """Safe keys and cut values; null when there are too many keys. Of keys that collide the last stays."""
+def metadata_violation(m: Column, max_keys: int = 50, max_key: int = 100, max_value: int = 500) -> Column:
+    """Why a map breaks the limits, else null; the map itself stays whole."""
+    return (
+        F.when(F.size(m) > max_keys, "too many keys")
+        .when(F.exists(F.map_keys(m), lambda k: F.length(k) > max_key), "key too long")
+        .when(F.exists(F.map_values(m), lambda v: F.length(v) > max_value), "value too long")
+    )
+
+
+def sanitize_metadata(m: Column) -> Column:
+    """Keys with safe characters only; entries and values stay whole. Of keys that collide the last stays."""
     entries = F.transform(
         F.map_entries(m),
         lambda e: F.struct(
-            F.regexp_replace(F.substring(e["key"], 1, 100), "[^a-zA-Z0-9_]", "_").alias("key"),
-            F.substring(e["value"], 1, max_value).alias("value"),
+            F.regexp_replace(e["key"], "[^a-zA-Z0-9_]", "_").alias("key"), e["value"].alias("value")
         ),
     )
     last = F.filter(
         entries,
         lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]),
     )
-    return F.when(F.size(m) <= max_keys, F.map_from_entries(last))
+    return F.map_from_entries(last)

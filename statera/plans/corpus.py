@@ -240,7 +240,7 @@ def classify_source(spark, sf):
 
 
 GERMAN_SQL = " + ".join(
-    f"contains(' ' || lower(left(text, 500)) || ' ', {lit(f' {w} ')})::int" for w in text.GERMAN_MARKERS
+    f"contains(' ' || lower(text) || ' ', {lit(f' {w} ')})::int" for w in text.GERMAN_MARKERS
 )
 
 
@@ -324,7 +324,7 @@ def filter_valid_files(spark, sf):
 
 @query(
     "b16_sanitize_metadata",
-    """select event_id, regexp_replace(left('k ' || event_type, 100), '[^a-zA-Z0-9_]', '_', 'g') || '=' || left(props, 500) as entry from events
+    """select event_id, regexp_replace('k ' || event_type, '[^a-zA-Z0-9_]', '_', 'g') || '=' || props as entry from events
        union all select event_id, 'user=' || user_id from events""",
 )
 def sanitize_metadata(spark, sf):

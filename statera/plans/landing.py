@@ -75,7 +75,7 @@ def read_statute_markdown(spark, sf):
     select doc_id, text, type, array_to_string(concepts, ',') as concepts from (
       select 'eurlex-' || doc_id as doc_id, array_to_string(list_filter([nullif(lang, 'en'), source, text, text], lambda x: x <> ''), chr(10) || chr(10)) as text,
              case when source = 'src1' then 'eu_directive' when source = 'src2' then 'eu_decision' else 'eu_regulation' end as type,
-             [case source when 'src1' then 'A Directive' when 'src2' then 'Decisions' else 'law' end] || list_transform(range(9), lambda i: i::varchar) as concepts from documents)
+             [case source when 'src1' then 'A Directive' when 'src2' then 'Decisions' else 'law' end] || list_transform(range(12), lambda i: i::varchar) as concepts from documents)
     where length(text) >= 100
     """,
 )

@@ -317,7 +317,7 @@ def retrieval_summary(spark, sf):
 
 GATE = f"""
     select 'collection_stats' as "check", case when count(*) > 0 then 'pass' else 'fail' end as status, count(*)::double as value from documents
-    union all select 'vector_count_breakdown', case when n < 900 then 'fail' when n > 1200 then 'warn' else 'pass' end, n::double from ({BREAKDOWN}) where dimension = 'total'
+    union all select 'vector_count_breakdown', case when n < 0.9 * 2.5 * (select count(*) from labels) then 'fail' when n > 1.2 * 2.5 * (select count(*) from labels) then 'warn' else 'pass' end, n::double from ({BREAKDOWN}) where dimension = 'total'
     union all select 'filtered_retrieval', case when passed >= queries_tested * 0.8 then 'pass' else 'fail' end, passed::double from {FILTERED}
     union all select 'cross_source_retrieval', case when credit >= queries_tested * 0.5 then 'pass' else 'fail' end, credit from {CROSS}
     union all select 'embedding_quality', case when avg(t) > 0.6 then 'pass' else 'warn' end, round(avg(t), 6) from (select query_id, sum(score) filter (rank <= 10) / 10 as t from {HITS} group by 1)
@@ -331,6 +331,9 @@ def gate(spark, sf):
     d = table(spark, sf, "documents")
     hits, q = search_hits(spark, sf), _queries(spark, sf)
 
+    # Labels are drawn from two fifths of the documents.
+    expected = table(spark, sf, "labels").agg((F.count(F.lit(1)) * 2.5).alias("expected"))
+
     def check(name, status, value, df):
         return df.select(F.lit(name).alias("check"), status.alias("status"), value.cast("double").alias("value"))
 
@@ -341,7 +344,7 @@ def gate(spark, sf):
     return quality.quality_gate(
         [
             check("collection_stats", ok(F.col("points_count") > 0, "fail"), F.col("points_count"), quality.corpus_info(d, "documents")),
-            quality.breakdown_check(_breakdown(spark, sf), 1000),
+            quality.breakdown_check(_breakdown(spark, sf), expected),
             check("filtered_retrieval", F.col("status"), F.col("passed"), quality.filtered_retrieval_check(hits, q)),
             check("cross_source_retrieval", F.col("status"), F.col("credit"), quality.cross_source_check(hits, q, "lang")),
             check("embedding_quality", ok(F.col("t") > 0.6, "warn"), F.col("t"), top),

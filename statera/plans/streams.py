@@ -102,7 +102,28 @@ def incremental_update(spark, sf):
     base = f"{shared_dir(spark)}/update-{uuid.uuid4().hex}"
     docs = spark.readStream.schema(table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
     runs.incremental_update(docs, prepare, f"{base}/store", f"{base}/checkpoint")
-    points = runs.current_points(spark, f"{base}/store")
+    points = runs.current_points(spark, f"{base}/store", document="doc_id")
+    return points.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(
+    "j9_two_sources",
+    f"""
+    select doc_id, count(*) as chunks, sum(length(piece))::bigint as chars from (
+      select doc_id, {sql_strip("substring(text, s + 1, 800)")} as piece from (
+        select doc_id, text, unnest(range(0, length(text), 700)) as s from (
+          select doc_id, {sql_normalize("case when lang = 'de' then left(text, 900) else text end")} as text from documents) where length(text) >= 20))
+    where piece <> '' group by 1
+    """,
+)
+def two_sources(spark, sf):
+    """All documents by one stream, then the German ones again, cut short, by a second one with its own checkpoint."""
+    base = f"{shared_dir(spark)}/update-{uuid.uuid4().hex}"
+    docs = spark.readStream.schema(table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    runs.incremental_update(docs, prepare, f"{base}/store", f"{base}/first")
+    short = docs.filter("lang = 'de'").withColumn("text", F.substring("text", 1, 900))
+    runs.incremental_update(short, prepare, f"{base}/store", f"{base}/second")
+    points = runs.current_points(spark, f"{base}/store", document="doc_id")
     return points.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 

@@ -30,12 +30,15 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
-def append_stage(df: DataFrame, path: str, batch_id: int | None = None, fmt: str = "parquet") -> None:
-    """Append rows. With a batch id the write is idempotent: a repeated batch replaces its own folder."""
+def append_stage(df: DataFrame, path: str, batch_id: int | None = None, fmt: str = "parquet", run: str = "main") -> None:
+    """Append rows. With a batch id the write is idempotent: a repeated batch of a run replaces its own folder.
+
+    Runs number their batches from 0, so every run has a folder of its own.
+    """
     if batch_id is None:
         df.write.mode("append").format(fmt).save(path)
     else:
-        df.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/batch_id={batch_id}")
+        df.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/run={run}/batch_id={batch_id}")
 
 
 def _file_name() -> Column:
@@ -122,7 +125,7 @@ def parse_eu_records(raw: DataFrame, min_chars: int = 100, base_url: str = "file
             F.concat(F.lit(base_url), "stem").alias("url"),
             classify_doc_type(F.col("concepts")).alias("type"),
             F.lit("EU").alias("jurisdiction"),
-            F.coalesce(F.slice("concepts", 1, 10), F.array().cast("array<string>")).alias("concepts"),
+            F.coalesce("concepts", F.array().cast("array<string>")).alias("concepts"),
         )
     )
 

@@ -88,7 +88,8 @@ def extract_sections_from_pages(df: DataFrame, keep: list[str], html: str = "htm
     An element ends at its closing tag or where the next one begins.
     """
     visible = F.regexp_replace(html, INVISIBLE, "")
-    parts = F.slice(F.split(visible, f"(?i)<{element}(?: [^>]*)?>"), 2, 1_000_000_000)
+    parts = F.split(visible, f"(?i)<{element}(?: [^>]*)?>")
+    parts = F.slice(parts, F.lit(2), F.size(parts))
     inner = F.transform(parts, lambda p: F.array_join(text_nodes(F.get(F.split(p, f"(?i)</{element}>", 2), F.lit(0))), ""))
     text = decode_markup(F.array_join(F.filter(inner, lambda p: p != ""), "\n\n"))
     return computed(df, "text", text, lambda t: F.length(t) >= min_chars).select(*keep, "text")
@@ -136,7 +137,7 @@ def eu_to_corpus(df: DataFrame, created: Column | None = None) -> DataFrame:
         F.col("doc_id").alias("slug"), "title", "text", "url",
         (created if created is not None else F.current_date().cast("string")).alias("created_date"),
         F.coalesce("jurisdiction", F.lit("EU")).alias("jurisdiction"),
-        F.slice("concepts", 1, 5).alias("concepts"),
+        "concepts",
     )
 
 

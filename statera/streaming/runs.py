@@ -37,21 +37,37 @@ def dedupe_stream(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(keys)
 
 
-def current_points(spark: SparkSession, store: str, row_id: str = "point_id") -> DataFrame:
-    """Store as of the last batch: every batch is a folder, the newest row of an id counts."""
+VERSION = ["written_at", "run", "batch_id"]
+
+
+def current_points(spark: SparkSession, store: str, row_id: str = "point_id", document: str | None = None) -> DataFrame:
+    """Store as of the last write. With ``document`` the rows of a document's newest batch count and those of its
+    earlier ones do not, so chunks that a shorter text no longer has are gone; else the newest row of an id."""
     rows = spark.read.parquet(store)
-    return latest_per_id(rows, row_id, ["batch_id"]).drop("batch_id")
+    if document is not None:
+        newest = rows.groupBy(F.col(document).alias("_doc")).agg(F.max(F.struct(*VERSION)).alias("_newest"))
+        same = F.col(document).eqNullSafe(F.col("_doc")) & (F.struct(*VERSION) == F.col("_newest"))
+        rows = rows.join(newest, same).drop("_doc", "_newest")
+    return latest_per_id(rows, row_id, VERSION).drop(*VERSION)
+
+
+def compact(spark: SparkSession, store: str, out: str, row_id: str = "point_id", document: str | None = None) -> None:
+    """Write the current rows as the one batch of a new store, so that reads do not fold all batches for ever."""
+    rows = current_points(spark, store, row_id, document).withColumn("written_at", F.current_timestamp())
+    append_stage(rows, out, 0, run="compacted")
 
 
 def incremental_update(source: DataFrame, prepare: Callable[[DataFrame], DataFrame], store: str, checkpoint: str) -> None:
     """Stream of documents -> ``prepare`` (normalise, chunk, encode) -> idempotent upsert.
 
     A batch writes only its own rows, so the cost of an update does not grow with the store. The
-    stream's checkpoint advances after the write, so a failed batch is repeated into the same folder.
+    stream's checkpoint advances after the write, so a failed batch is repeated into the same folder. The run is
+    the id in the checkpoint: several streams, or one with a new checkpoint, do not meet in a folder.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        append_stage(prepare(batch), store, batch_id)
+        run = batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        append_stage(prepare(batch).withColumn("written_at", F.current_timestamp()), store, batch_id, run=run)
 
     q = source.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -127,6 +143,6 @@ def resumable_runs(states: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "bad_record_report", "current_points", "dedupe_stream", "event_stream", "guarded_chunks",
+    "bad_record_report", "compact", "current_points", "dedupe_stream", "event_stream", "guarded_chunks",
     "incremental_update", "latest_run", "resumable_runs", "run_available", "staged_run",
 ]

@@ -95,6 +95,23 @@ def test_knn_small_and_large_query_sides(spark, monkeypatch, limit):
     assert result(filtered, "query_id", "vec_id") == brute([(i, 1, v) for i, _, v in left], right, 4)
 
 
+def test_ragged_vectors_are_refused(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vec array<double>")
+    for rows in ([(1, [1.0, 0.0, 0.0]), (2, [1.0])], [(1, [1.0, 0.0, 0.0])]):
+        s = spark.createDataFrame(rows, "vec_id int, vec array<double>").coalesce(1)
+        with pytest.raises(Exception, match="share one length"):
+            similarity.knn(q, s, 2).collect()
+
+
+@pytest.mark.parametrize("limit", [4096, 1])
+def test_null_keys_match_nothing(spark, monkeypatch, limit):
+    monkeypatch.setattr(similarity, "QUERY_ROWS", limit)
+    q = spark.createDataFrame([(1, None, [1.0]), (2, 7, [1.0]), (3, 8, [1.0])], "query_id int, key int, vec array<double>")
+    s = spark.createDataFrame([(1, None, [1.0]), (2, 7, [1.0])], "vec_id int, key int, vec array<double>")
+    got = similarity.knn(q, s, 2, match_on="key").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(2, 2)]
+
+
 def test_inverted_lists_find_most_neighbours(spark):
     left, right = vectors(10, 8, 6), vectors(400, 8, 7)
     q = spark.createDataFrame(left, "query_id int, key int, vec array<double>")

@@ -56,6 +56,16 @@ def test_values_at_ranks(spark, seed):
     assert ordered.values_at_ranks(df, "x", ranks, bins=8) == [sorted(values)[r] for r in ranks]
 
 
+def test_values_at_ranks_with_odd_numbers(spark):
+    inf, nan = float("inf"), float("nan")
+    values = [inf, -inf, 3.0, nan, 1e308, -1e308, 5e-324, 0.0, inf, 2.0]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    got = ordered.values_at_ranks(df, "x", list(range(10)), bins=4)
+    assert got[:9] == [-inf, -1e308, 0.0, 5e-324, 2.0, 3.0, 1e308, inf, inf] and got[9] != got[9]
+    only = spark.createDataFrame([(nan,), (inf,)], "x double")
+    assert ordered.values_at_ranks(only, "x", [0])[0] == inf
+
+
 def test_histogram_quantile_rules(spark):
     bounds = (0.1, 0.5, 1.0)
     one = spark.createDataFrame([([2, 6, 10, 10],), ([0, 0, 0, 4],), ([0, 0, 0, 0],), ([4, 4, 4, 4],)], "c array<long>")

@@ -52,7 +52,7 @@ def test_eu_json(spark):
     rows = files.read_eu_json(spark, base).collect()
     assert len(rows) == 1
     r = rows[0]
-    assert r["doc_id"] == "eurlex-32001D1" and r["type"] == "eu_decision" and len(r["concepts"]) == 10
+    assert r["doc_id"] == "eurlex-32001D1" and r["type"] == "eu_decision" and len(r["concepts"]) == 21
     assert r["text"] == "\n\n".join(["H" * 40, "A" * 40, "B" * 40, "X"])
 
 

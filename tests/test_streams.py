@@ -113,6 +113,26 @@ def test_incremental_update_resumes_and_replaces(spark):
     assert update() == {1: "a", 2: "B", 3: "c"}
 
 
+def test_two_sources_and_shrinking_documents(spark):
+    base = tempfile.mkdtemp(prefix="spark-")
+
+    def update(name, rows):
+        spark.createDataFrame(rows, "doc long, point_id long, text string").coalesce(1).write.mode("append").parquet(f"{base}/{name}")
+        src = spark.readStream.schema("doc long, point_id long, text string").parquet(f"{base}/{name}")
+        runs.incremental_update(src, lambda d: d, f"{base}/store", f"{base}/check-{name}")
+
+    def now(store="store"):
+        return {r["point_id"]: r["text"] for r in runs.current_points(spark, f"{base}/{store}", document="doc").collect()}
+
+    update("a", [(1, 10, "p"), (1, 11, "q"), (1, 12, "r")])
+    update("b", [(2, 20, "s")])
+    assert now() == {10: "p", 11: "q", 12: "r", 20: "s"}
+    update("b", [(1, 10, "P")])  # the document has one chunk now
+    assert now() == {10: "P", 20: "s"}
+    runs.compact(spark, f"{base}/store", f"{base}/small", document="doc")
+    assert now("small") == now()
+
+
 def test_failed_batch_is_repeated_into_the_same_folder(spark):
     base = tempfile.mkdtemp(prefix="spark-")
     spark.range(3).select(F.col("id").alias("point_id")).write.parquet(f"{base}/in")

@@ -206,5 +206,8 @@ def test_queries(spark):
 
 def test_metadata(spark):
     m = one(spark, {"a b": "x" * 600, "a-b": "last", "ok": "1"}, validation.sanitize_metadata, "map<string,string>")
-    assert m == {"a_b": "last", "ok": "1"} or m == {"a_b": "x" * 500, "ok": "1"}
-    assert one(spark, {str(i): "v" for i in range(51)}, validation.sanitize_metadata, "map<string,string>") is None
+    assert m == {"a_b": "last", "ok": "1"} or m == {"a_b": "x" * 600, "ok": "1"}
+    many = {str(i): "v" for i in range(51)}
+    assert one(spark, many, validation.sanitize_metadata, "map<string,string>") == many
+    for bad, reason in ((many, "too many keys"), ({"k" * 101: "v"}, "key too long"), ({"k": "x" * 501}, "value too long"), ({"k": "v"}, None)):
+        assert one(spark, bad, validation.metadata_violation, "map<string,string>") == reason
