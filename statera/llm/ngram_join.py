@@ -6,10 +6,10 @@ order) and if their sizes lie in the same or in neighbouring bands. Sets meet in
 two bands:
 
 1. each set of a tile is compared with the tile's least set; verified links make first components;
-2. in tiles that still hold several components, the sets outside the tile's largest component are compared with
-   a few of its sets (``ANCHORS``), in two rounds with different ones: one link joins a set to it;
-3. in tiles that hold several components even then, sets of different components are compared with each other,
-   the largest component's sets only with the others. Pairs within a component need no look: they are connected.
+2. in tiles that still hold several components, sets of different components are compared with each other, the
+   largest component's sets only with the others. Pairs within a component need no look: they are connected. A
+   sixteenth of the shingles goes first: the links it finds join most copies of one text, and what is left for the
+   tiles of all shingles is little.
 
 A comparison first counts common bits of two bitmaps, which bounds the intersection from above; only pairs that
 pass are intersected exactly. Every link is found or implied, and no group is expanded into all its pairs.
@@ -33,8 +33,8 @@ RARITY_BITS = 18
 CACHE = 1 << 19
 #: Sets of a tile that are compared with each other at a time.
 SIDE, OTHER = 2048, 8192
-#: Sets of a tile's largest component that the others are compared with in a round, and the rounds.
-ANCHORS, ROUNDS = 4, 2
+#: Shares of the shingles (one in so many) whose tiles are compared, one share after the other; the last is all.
+SHARES = (16, 1)
 #: Ids that may be broadcast (8 bytes each).
 IDS = 500_000
 
@@ -265,16 +265,6 @@ def open_tiles(entries: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def anchor_pairs(tiles: DataFrame, seed: int, like: Likeness) -> DataFrame:
-    """Each set outside its tile's largest component with a few of that component's sets, those least by hashes of
-    this round: linear in the tile, and mostly enough to join copies of one text."""
-    least = [F.min(F.when(F.col("major"), F.struct(F.xxhash64("set", F.lit(seed + k)).alias("h"), "set", "n"))).alias(f"m{k}") for k in range(ANCHORS)]
-    anchors = tiles.groupBy("gram", "tile").agg(*least).select("gram", "tile", F.array_distinct(F.array(*(f"m{k}" for k in range(ANCHORS)))).alias("anchors"))
-    pairs = tiles.filter(~F.col("major")).select("gram", "tile", "set", "n").join(anchors, ["gram", "tile"])
-    pairs = pairs.select("set", "n", F.explode("anchors").alias("m")).filter(_within(F.col("n"), F.col("m.n"), like))
-    return pairs.select(F.least("set", "m.set").alias("a"), F.greatest("set", "m.set").alias("b")).distinct()
-
-
 def dealt(tiles: DataFrame) -> DataFrame:
     """Blocks of a tile: its lesser components' sets (side 0) against all its sets (side 1). Both sides are cut into
     bounded blocks by the hash of the set; a tile of usual size is one block."""
@@ -336,13 +326,11 @@ def set_links(sets: DataFrame, rows: DataFrame, texts: DataFrame, like: Likeness
     entries = stored(shared_entries(sets, like))
     maps = sets.select("set", "n", "bits")
     links = verified(bounded(star_pairs(entries, like), maps, like), rows, texts, like)
-    for k in range(ROUNDS):
-        tiles = stored(open_tiles(entries, stored(components(links))))
-        if tiles.isEmpty():
-            return links
-        links = links.unionAll(verified(bounded(anchor_pairs(tiles, ANCHORS * k, like), maps, like), rows, texts, like))
-    blocks = dealt(open_tiles(entries, stored(components(links))))
-    return links.unionAll(verified(tile_pairs(blocks, maps, like), rows, texts, like))
+    for share in SHARES:
+        some = entries.filter(F.pmod(F.xxhash64("gram"), F.lit(share)) == 0)
+        blocks = dealt(open_tiles(some, stored(components(links))))
+        links = links.unionAll(verified(tile_pairs(blocks, maps, like), rows, texts, like))
+    return links
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:
