@@ -100,6 +100,21 @@ def request_rate(events: DataFrame, status: str, ts: str = "ts", size: str = "5
     return _flat(g).withColumn("per_second", F.col("requests") / seconds)
 
 
+def rate_alerts(events: DataFrame, ts: str = "ts", seconds: int = 300, high: float = 100.0, low: float = 0.1) -> DataFrame:
+    """Requests per second in every window of the clock between the first and the last request, idle ones
+    included, and whether the rate is above ``high`` or below ``low``."""
+    start = (F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000)) * seconds).cast("long")
+    counts = events.filter(F.col(ts).isNotNull()).groupBy(start.alias("start")).agg(F.count(F.lit(1)).alias("requests"))
+    ends = counts.agg(F.min("start").alias("low"), F.max("start").alias("high")).filter(F.col("low").isNotNull())
+    clock = ends.select(F.explode(F.sequence("low", "high", F.lit(seconds).cast("long"))).alias("start"))
+    rate = F.col("requests") / seconds
+    return (
+        clock.join(counts, "start", "left")
+        .withColumn("requests", F.coalesce("requests", F.lit(0)))
+        .select("start", "requests", rate.alias("per_second"), (rate > high).alias("too_high"), (rate < low).alias("too_low"))
+    )
+
+
 def error_rate(events: DataFrame, failed: Column, ts: str = "ts", size: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
     g = events.groupBy(_window(ts, size, slide)).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if(failed).alias("errors")

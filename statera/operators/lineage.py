@@ -101,6 +101,15 @@ def newest_page(df: DataFrame, ts: str, row_id: str, limit: int = 100, offset: i
     return df.orderBy(F.desc(ts), F.asc(row_id)).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, ts: str, row_id: str, last: tuple | None, limit: int = 100) -> DataFrame:
+    """The rows that follow ``last`` (its time and id) in the order of ``newest_page``; the first page without it. A
+    deep page costs as much as the first."""
+    if last is not None:
+        at, id = F.lit(last[0]), F.lit(last[1])
+        df = df.filter((F.col(ts) < at) | ((F.col(ts) == at) & (F.col(row_id) > id)))
+    return df.orderBy(F.desc(ts), F.asc(row_id)).limit(limit)
+
+
 def log_statistics(log: DataFrame, verified: str, review: str, rejected: str) -> DataFrame:
     """Totals over all rows; the mean confidence over valid rows only."""
     label = F.col("trust_label")

@@ -454,6 +454,19 @@ def audit_trail(spark, sf):
     return lineage.audit_trail(fp, links(spark, sf), log_table(spark, sf)).select("source_id", "verification_id", "created_at")
 
 
+@query(
+    "d13_newest_audits",
+    f"""
+    select distinct v.verification_id, v.created_at from (select sha256(p_partkey::varchar) as source_hash from part) f
+    join {LINKS} l on l.source_hash = f.source_hash join {LOG_SQL} v on v.verification_id = l.verification_id
+    order by v.created_at desc, v.verification_id limit 100
+    """,
+)
+def newest_audits(spark, sf):
+    trail = audit_trail(spark, sf).select("verification_id", "created_at").distinct()
+    return lineage.page_after(trail, "created_at", "verification_id", None)
+
+
 @query(
     "d14_verification_status",
     f"""

@@ -143,6 +143,20 @@ def request_rate(spark, sf):
     return rate(utc_events(spark, sf))
 
 
+@query(
+    "j1_rate_alerts",
+    """
+    with c as (select epoch_us(ts) // 300000000 * 300 as start, count(*) as requests from events where ts is not null group by 1),
+    clock as (select unnest(range((select min(start) from c), (select max(start) + 1 from c), 300)) as start)
+    select clock.start, coalesce(requests, 0)::bigint as requests, coalesce(requests, 0) / 300 as per_second,
+           coalesce(requests, 0) / 300 > 0.01 as too_high, coalesce(requests, 0) / 300 < 0.001 as too_low
+    from clock left join c on c.start = clock.start
+    """,
+)
+def rate_alerts(spark, sf):
+    return latency.rate_alerts(events(spark, sf), "ts", 300, high=0.01, low=0.001)
+
+
 @query("j2_error_rate", ERROR_SQL)
 def error_rate(spark, sf):
     return errors(utc_events(spark, sf))

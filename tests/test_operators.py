@@ -88,6 +88,15 @@ def tree(spark):
     )
 
 
+def test_pages_follow_each_other(spark):
+    log = spark.createDataFrame([(i, i % 3) for i in range(10)], "id int, ts int")
+    want = [(r["ts"], r["id"]) for r in lineage.newest_page(log, "ts", "id", 10).collect()]
+    got, last = [], None
+    while page := [(r["ts"], r["id"]) for r in lineage.page_after(log, "ts", "id", last, 3).collect()]:
+        got, last = got + page, page[-1]
+    assert got == want
+
+
 def test_siblings_and_context(spark, tree):
     got = {r["chunk_id"]: (r["sibling_count"], r["siblings"]) for r in context.with_siblings(tree, shown=3).collect()}
     assert got[2] == (4, ["c3", "c4", "c5"]) and got[4] == (4, ["c2", "c3", "c5"]) and got[6] == (4, ["c2", "c3", "c4"])
