@@ -7,9 +7,9 @@ two bands:
 
 1. each set of a tile is compared with the tile's least set; verified links make first components;
 2. in tiles that still hold several components, sets of different components are compared with each other, the
-   largest component's sets only with the others. Pairs within a component need no look: they are connected. A
-   sixteenth of the shingles goes first: the links it finds join most copies of one text, and what is left for the
-   tiles of all shingles is little.
+   largest component's sets only with the others. Pairs within a component need no look: they are connected. Small
+   shares of the shingles go first (``SHARES``): the links they find join most copies of one text, and what is left
+   for the tiles of all shingles is little.
 
 A comparison first counts common bits of two bitmaps, which bounds the intersection from above; only pairs that
 pass are intersected exactly. Every link is found or implied, and no group is expanded into all its pairs.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, col, is_small, join_stored, stored
+from .common import blocks_of, col, join_stored, stored, stored_parquet
 from .components import components
 
 RARITY_BITS = 18
@@ -34,7 +34,7 @@ CACHE = 1 << 19
 #: Sets of a tile that are compared with each other at a time.
 SIDE, OTHER = 2048, 8192
 #: Shares of the shingles (one in so many) whose tiles are compared, one share after the other; the last is all.
-SHARES = (16, 1)
+SHARES = (256, 32, 1)
 #: Ids that may be broadcast (8 bytes each).
 IDS = 500_000
 
@@ -211,7 +211,6 @@ def _bound_pairs(like: Likeness):
 
 
 def bounded(pairs: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
-    few = is_small(maps)
     x = maps.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
     y = maps.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y")
@@ -324,7 +323,9 @@ def tile_pairs(blocks: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
 def set_links(sets: DataFrame, rows: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """Links (a, b) of sets that give the components of all links."""
     entries = stored(shared_entries(sets, like))
-    maps = sets.select("set", "n", "bits")
+    named = entries.select("set").distinct()
+    # Bitmaps of sets without a shared rare shingle are not needed.
+    maps = stored_parquet(sets.select("set", "n", "bits").join(named, "set", "left_semi"))
     links = verified(bounded(star_pairs(entries, like), maps, like), rows, texts, like)
     for share in SHARES:
         some = entries.filter(F.pmod(F.xxhash64("gram"), F.lit(share)) == 0)
