@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, col, join_stored, stored, stored_parquet
+from .common import blocks_of, col, join_stored, release, stored, stored_parquet
 from .components import components
 
 RARITY_BITS = 18
@@ -163,16 +163,19 @@ def band_of(n: Column, like: Likeness) -> Column:
     return F.floor(F.log(n.cast("double")) / like.band + 1e-9).cast("int")
 
 
-def shared_entries(sets: DataFrame, like: Likeness) -> DataFrame:
-    """(gram, tile, set, n, own) of rare shingles that two sets or more have; every set in the tile of its band and in
-    the next one, ``own`` in the first. The counting is a partial aggregation and the join has one row per shingle on
-    one side: a shingle of very many sets is no group."""
+def shared_entries(sets: DataFrame) -> DataFrame:
+    """(gram, set, n) of rare shingles that two sets or more have. The counting is a partial aggregation and the join
+    has one row per shingle on one side: a shingle of very many sets is no group."""
     grams = sets.select(F.explode("rare").alias("gram"), "set", "n")
     shared = grams.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram")
+    return grams.join(shared, "gram").select("gram", "set", "n")
+
+
+def tiled(entries: DataFrame, like: Likeness) -> DataFrame:
+    """Every entry in the tile of its set's band and in the next one, ``own`` in the first."""
     band = band_of(F.col("n"), like)
-    return grams.join(shared, "gram").select(
-        "gram", F.explode(F.array(F.struct(band.alias("tile"), F.lit(True).alias("own")), F.struct((band + 1).alias("tile"), F.lit(False).alias("own")))).alias("t"), "set", "n"
-    ).select("gram", "t.tile", "t.own", "set", "n")
+    tiles = F.array(F.struct(band.alias("tile"), F.lit(True).alias("own")), F.struct((band + 1).alias("tile"), F.lit(False).alias("own")))
+    return entries.select("gram", F.explode(tiles).alias("t"), "set", "n").select("gram", "t.tile", "t.own", "set", "n")
 
 
 def _within(a: Column, b: Column, like: Likeness) -> Column:
@@ -322,15 +325,17 @@ def tile_pairs(blocks: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
 
 def set_links(sets: DataFrame, rows: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """Links (a, b) of sets that give the components of all links."""
-    entries = stored(shared_entries(sets, like))
+    entries = stored(shared_entries(sets))
+    release(entries)
     named = entries.select("set").distinct()
     # Bitmaps of sets without a shared rare shingle are not needed.
     maps = stored_parquet(sets.select("set", "n", "bits").join(named, "set", "left_semi"))
-    links = verified(bounded(star_pairs(entries, like), maps, like), rows, texts, like)
+    links = verified(bounded(star_pairs(tiled(entries, like), like), maps, like), rows, texts, like)
     for share in SHARES:
         some = entries.filter(F.pmod(F.xxhash64("gram"), F.lit(share)) == 0)
-        blocks = dealt(open_tiles(some, stored(components(links))))
+        blocks = dealt(open_tiles(tiled(some, like), stored(components(links))))
         links = links.unionAll(verified(tile_pairs(blocks, maps, like), rows, texts, like))
+        release(entries)
     return links
 
 
