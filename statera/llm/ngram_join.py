@@ -361,25 +361,26 @@ def _joined(df: DataFrame, id: str, text: str, like: Likeness) -> DataFrame:
     roots = stored(roots.select(F.col("node").alias("set"), "root"))
     named = rows.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = named.join(ids, "root").select("set", "component_id")
+    of_set = named.join(ids, "root").select("set", "root", "component_id")
     out = every.select("doc_id", "row", "set", "n").join(of_set, "set", "left")
     return out.withColumn("component_id", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
 
 
 def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:
-    """The input with one document of each component, all columns as they are: the one with the component's id.
+    """The input with one document of each component, all columns as they are: one with the least id.
 
-    Of rows with that id the one with the least hash stays, and of rows equal in id and text only one; documents
-    without words all stay; of a component without ids one row of each set stays.
+    Of rows with that id the one with the least hash stays, and of rows equal in id and text only one; a row without
+    an id stays only if its whole component has none. Components are told apart by their sets, so unlinked texts under
+    one id all stay; documents without words all stay.
     """
-    every = stored(_joined(df, id, text, like).select("doc_id", "row", "set", "component_id"))
+    every = stored(_joined(df, id, text, like).select("doc_id", "row", "set", "root"))
     full = every.filter(F.col("set").isNotNull())
-    name = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("set")).alias("set"))
-    own = full.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = own.groupBy(name.alias("name")).agg(F.min("row").alias("row"))
-    times = own.groupBy("row").agg((F.count("*") > 1).alias("again"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row"))
+    first = stored(full.groupBy("root").agg(least.alias("least")).select("least.row"))
+    few = first.limit(IDS + 1).count() <= IDS
+    times = join_stored(full.select("row"), first, ["row"], "left_semi", few).groupBy("row").agg((F.count("*") > 1).alias("again"))
     empty = every.filter(F.col("set").isNull()).select("row", F.lit(False).alias("again"))
-    keep = stored(keep.select("row").join(times, "row").unionAll(empty).distinct())
+    keep = stored(times.unionAll(empty).distinct())
     marked = df.select(F.struct(*(col(c) for c in df.columns)).alias("_row"), F.xxhash64(col(id), F.coalesce(col(text), F.lit(""))).alias("row"))
     few = keep.limit(IDS + 1).count() <= IDS
     once = join_stored(marked, keep.filter(~F.col("again")).select("row"), ["row"], "left_semi", few)

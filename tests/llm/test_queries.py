@@ -69,6 +69,17 @@ def test_filters_keep_columns(spark, odd, none):
         assert run(none).count() == 0
 
 
+def test_one_of_each_goes_by_links_not_by_ids(spark, odd):
+    got = Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(odd).collect())
+    assert got[(9, "one")] == got[(9, "two")] == 1
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words), " ".join([*words, "more"]), " ".join(["less", *words])]
+    rows = [*((None, t) for t in near), (7, "a b c d e f"), (7, "a b c d e f"), (7, "u v w x y z"), (None, "u v w x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text in near or r.text) for r in ngram_join.one_of_each(docs).collect())
+    assert got == {(None, True): 1, (7, "a b c d e f"): 1, (7, "u v w x y z"): 1}
+
+
 def test_odd_urls(spark):
     rows = [(1, None), (None, "http://A.Example.com"), (2, "no host"), (3, "http:///x"), (4, "s://u@H.net:80/fr/?q#f"), (4, "s://u@H.net:80/fr/?q#f"), (5, "http://www.example.com/en/1")]
     pages = spark.createDataFrame([(i, u, "c") for i, u in rows], "page_id long, url string, host string")
