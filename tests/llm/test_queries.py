@@ -1,5 +1,6 @@
 """Registered queries against their SQL, whole pipelines, and the odd table."""
 
+import zlib
 from collections import Counter
 
 import pytest
@@ -107,6 +108,37 @@ def test_odd_conversations(spark):
     assert chat.parsed_conversations(turns.limit(0)).count() == 0
 
 
+def test_long_conversations_are_decoded_as_one(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_TURNS", 4)
+    monkeypatch.setattr(chat, "FAN", 2)
+    said = ("hello", "why is that?", "one line\n\nafter a blank one", "a long answer " * 6, "so\nit goes")
+    rows = [(c, t, chat.ROLES[(t * t + c) % 5 % 2], said[(t * 7 + c) % 5] + f" {t}") for c in range(1, 9) for t in range(5 * c)]
+    rows += [(20, 3, "user", f"same turn {i}") for i in range(41)] + [(None, t, "user", "x") for t in (1, 2)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    raw = chat.raw_transcripts(turns).collect()
+    assert max(len(r.known) for r in raw) == 4 and sum(len(r.known) for r in raw) == len(rows)
+    whole, states = {}, {}
+    for r in sorted((r for r in raw if not r.alone), key=lambda r: (r.conv_id, r.part)):
+        whole[r.conv_id] = whole.get(r.conv_id, "") + r.transcript
+        states[r.conv_id] = states.get(r.conv_id, []) + r.states
+    counted = [(t, states[c]) for c, t in whole.items() if zlib.crc32(str(c).encode()) % 3 != 1]
+    counted += [(r.transcript, r.states) for r in raw if r.alone]
+    model = chat.fit_roles(spark.createDataFrame(counted, "transcript string, states array<int>"))
+    got = chat.parsed_conversations(turns).collect()
+    assert sum(r.conv_id is None for r in got) == 2 and any("one line\n\nafter" in r.transcript for r in raw)
+    for c, text in whole.items():
+        want = chat.turns_of(text, model)
+        mine = sorted((r for r in got if r.conv_id == c), key=lambda r: r.part)
+        assert [r.part for r in mine] == list(range(len(mine)))
+        assert "".join(r.rendered for r in mine) == chat.rendered(want)
+        assert sum(r.n_turns for r in mine) == len(want) and not mine[0].continued
+
+
+def test_blank_lines_stay_within_a_turn():
+    model = chat.model_of(Counter({0: 9}), Counter({(0, 1): 90, (1, 1): 90}), Counter())
+    assert chat.turns_of("User: one\n\n \ntwo\n", model) == [("user", "one\n\n \ntwo")]
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before = docs
