@@ -110,8 +110,8 @@ def judged_urls(
     of the bad rate that the method judges by.
 
     ``outcomes``: url and bad (0 or 1) of labelled pages; rows with a null in either do not count. A host without
-    labelled pages has the posterior mean of its domain, else its suffix, with the prior's weight only, and no
-    bound above the limit can come from it. A null url, or one without ``://``, has an empty host and path and is
+    labelled pages has the posterior mean of its domain, else its suffix, and no bound: it is allowed unless a
+    rule says otherwise, however bad its domain is. A null url, or one without ``://``, has an empty host and path and is
     judged as the host "". Repeated rows and null ids pass through; other columns are not read; an empty
     table gives an empty result.
     """
