@@ -44,7 +44,7 @@ STAGES = [
     ("sharding", shard_manifest),
 ]
 
-#: A trained classifier and a seeded draw stand in the way of SQL; a brute-force version tests the stages.
+#: A trained classifier and a seeded draw stand in the way of SQL; tests check each stage by its operators.
 ORACLE_SQL = None
 
 
