@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, chat, compression, decontaminate, line_dedup, mixing, ngram_join, sharding, token_counts, urls
+from . import attention, chat, clusters, compression, decontaminate, lexical, licenses, line_dedup, mixing, ngram_join, sharding, token_counts, urls
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +186,83 @@ _TWO_LABELS = "', '".join(urls.SUFFIXES)
 def op10(spark, sf):
     pages = table(spark, sf, "pages")
     return urls.judged_urls(pages, urls.page_outcomes(pages, table(spark, sf, "labels")))
+
+
+@query("op11_license_scan")
+def op11(spark, sf):
+    return licenses.license_digest(licenses.license_scan(table(spark, sf, "documents")))
+
+
+_TERMS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+
+@query(
+    "op12_lexical_search",
+    f"""
+    with items as (
+      select item_id, term, count(*) as times
+      from (select item_id, text, unnest({_TERMS}) as term from (select distinct item_id, text from benchmark where text is not null))
+      group by 1, text, 2),
+    docs as (select row_number() over () as row, doc_id, {_TERMS} as words from documents where text is not null),
+    total as (select count(*) as n, sum(len(words))::bigint as l from docs where len(words) > 0),
+    post as (
+      select row, term, count(*) as tf from (select row, unnest(words) as term from docs)
+      where term in (select term from items) group by 1, 2),
+    weights as (
+      select term, floor(1000 * ln((2 * any_value(n) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from post, total group by 1),
+    norms as (select row, doc_id, 75 + (25 * len(words)::bigint * n) // l as m from docs, total where len(words) > 0),
+    scored as (
+      select item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+      from items join post using (term) join weights using (term) join norms using (row) group by 1, 2, 3),
+    ranked as (
+      select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+      from scored where score > 0)
+    select item_id, rank, doc_id, score from ranked where rank <= 20
+    """,
+)
+def op12(spark, sf):
+    return lexical.ranked_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def _sql_rounds(rounds: int = 10) -> str:
+    """Assignments and new centroids of all rounds, one after the other."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""
+    a{r} as materialized (
+      select vec_id, q, c, d from (
+        select vec_id, kept.q as q, c, row_number() over (partition by row order by d, c) as place, d
+        from (
+          select row, vec_id, kept.q as q, c{r}.c as c,
+                 list_sum(list_transform(list_zip(kept.q, c{r}.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d
+          from kept, c{r}) kept) where place = 1)""")
+        if r < rounds:
+            out.append(f"""
+    c{r + 1} as materialized (
+      select c{r}.c as c, coalesce(m.q, c{r}.q) as q from c{r} left join (
+        select c, list(((s - ((s % n) + n) % n) // n)::bigint order by p) as q from (
+          select c, p, sum(q[p])::bigint as s, count(*)::bigint as n from (select c, q, unnest(range(1, 65)) as p from a{r}) group by 1, 2)
+        group by 1) m on m.c = c{r}.c)""")
+    return ",".join(out)
+
+
+@query(
+    "op13_centroid_clusters",
+    f"""
+    with kept as materialized (
+      select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as q from embeddings
+      where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+    c0 as materialized (
+      select row_number() over (order by mark, q) - 1 as c, q
+      from (select sha256('3:' || vec_id::varchar) as mark, q from kept) order by mark, q limit 8),
+    {_sql_rounds().lstrip()}
+    select vec_id, a10.c::int as cluster, d as distance, (sum(d) over (partition by a10.c))::bigint as cluster_inertia,
+           (sum(d) over ())::bigint as inertia, sha256(array_to_string(c10.q, ',')) as centroid_sha256
+    from a10 join c10 on c10.c = a10.c
+    """,
+)
+def op13(spark, sf):
+    return clusters.clustered(table(spark, sf, "embeddings"))
