@@ -32,15 +32,15 @@ NOTICES = (
     ("bsd-3-clause", "neither endorse", r"neither the name of( the)?( \w+){1,12} (nor the names of its contributors )?may be used to endorse or promote products"),
     ("bsd-4-clause", "advertising acknowledgement", r"all advertising materials mentioning features or use of this software must display the following acknowledgement"),
     ("apache-2.0", "licensed apache except", r"licensed under the apache license version 2 0( the license)? you may not use this file except in compliance with the license"),
-    ("apache-1.1", "redistributions apache acknowledgment", r"this product includes software developed by the apache (software foundation|group)"),
+    ("apache-1.1", "product developed apache", r"this product includes software developed by the apache (software foundation|group)"),
     ("gpl-2.0-or-later", "redistribute gnu version", r"you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("gpl-3.0-or-later", "redistribute gnu version", r"you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl-2.0-only", "redistribute gnu version", r"you can redistribute it and or modify it under the terms of the gnu general public license version 2( only)? as published by the free software foundation"),
     ("gpl-3.0-only", "redistribute gnu version", r"you can redistribute it and or modify it under the terms of the gnu general public license version 3( only)? as published by the free software foundation"),
-    ("lgpl-2.1-or-later", "redistribute lesser version", r"modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
-    ("lgpl-3.0-or-later", "redistribute lesser version", r"modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("lgpl-2.0-or-later", "redistribute library version", r"modify it under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
-    ("agpl-3.0-or-later", "redistribute affero version", r"under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1-or-later", "modify lesser version", r"modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3.0-or-later", "modify lesser version", r"modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.0-or-later", "modify library version", r"modify it under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("agpl-3.0-or-later", "affero version option", r"under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gfdl", "permission copy document", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
     ("mpl-2.0", "source mozilla subject", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("mpl-1.1", "contents mozilla subject", r"the contents of this file are subject to the mozilla public license version 1 1"),
@@ -53,7 +53,7 @@ NOTICES = (
     ("bsl-1.0", "permission organization software", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
     ("postgresql", "permission documentation purpose", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee"),
     ("hpnd", "permission documentation purpose", r"permission to use copy modify (and )?distribute (and sell )?this software and its documentation for any purpose is hereby granted( without fee)?"),
-    ("ncsa", "permission associated files", r"obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+    ("ncsa", "associated files deal", r"obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
     ("artistic-2.0", "everyone permitted copy", r"everyone is permitted to copy and distribute verbatim copies of this license document"),
     ("ofl-1.1", "font software open", r"this font software is licensed under the sil open font license version 1 1"),
     ("cc-by-4.0", "work licensed creative", r"this (work|article|document) is licensed under( the| a)? creative commons attribution 4 0 (international|unported)?( license)?"),
@@ -143,7 +143,7 @@ TAGS = (
 
 LINKS = (
     ("apache-2.0", "apache org", r"(www )?apache org licenses license 2 0( txt| html)?"),
-    ("apache-2.0", "opensource licenses apache", r"opensource org licenses? apache 2 0"),
+    ("apache-2.0", "opensource apache", r"opensource org licenses? apache 2 0"),
     ("mit", "opensource", r"opensource org licenses? mit( license)?( php)?"),
     ("bsd-2-clause", "opensource", r"opensource org licenses? bsd 2 clause"),
     ("bsd-3-clause", "opensource", r"opensource org licenses? bsd 3 clause"),
@@ -323,7 +323,7 @@ FAMILIES = (
     ("cc", "creative commons", r"creative commons( licen[cs]e)?"),
     ("public-domain", "public domain", r"(is |are )?(in|into) the public domain"),
     ("public-domain", "gemeinfrei", r"gemeinfrei(e|er|es|en)?"),
-    ("public-domain", "dominio", r"dominio p\xc3\xbablico"),
+    ("public-domain", "dominio", r"dominio público"),
     ("public-domain", "domaine", r"domaine public"),
 )
 
@@ -333,11 +333,11 @@ HINTS = (
     ("licensed", "licencia", r"bajo( la| una)? licencia"),
     ("licensed", "licence sous", r"sous licence"),
     ("copyright", "copyright", r"copyright( c)?( (19|20)\d\d)?"),
-    ("copyright", "urheberrecht", r"urheberrechtlich gesch\xc3\xbctzt"),
+    ("copyright", "urheberrecht", r"urheberrechtlich geschützt"),
     ("reserved", "all rights reserved", r"all rights reserved"),
     ("reserved", "rechte vorbehalten", r"alle rechte vorbehalten"),
     ("reserved", "derechos reservados", r"todos los derechos reservados"),
-    ("reserved", "droits", r"tous droits r\xc3\xa9serv\xc3\xa9s"),
+    ("reserved", "droits", r"tous droits réservés"),
     ("terms", "terms use", r"(subject to|see)( the| our)? terms of (use|service)"),
     ("permission", "permission reprinted", r"reprinted (with|by) permission( of)?"),
     ("permission", "permission used", r"used (with|by) permission( of)?"),

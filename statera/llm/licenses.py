@@ -41,7 +41,7 @@ class Found(NamedTuple):
 def compiled(pattern: str) -> re.Pattern:
     """A rule's pattern over the bytes of a text in lower case: blanks stand for gaps, ends are ends of words."""
     body = pattern.replace(" ", _GAP).replace(r"\w", _CHAR)
-    return re.compile(f"(?<!{_CHAR})(?:{body})(?!{_CHAR})".encode("latin-1"))
+    return re.compile(f"(?<!{_CHAR})(?:{body})(?!{_CHAR})".encode())
 
 
 def unsuppressed(found: list[Found], level: Sequence[int]) -> list[Found]:
