@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import time_bucket, values_at_ranks, with_changes
+from .ordered import values_at_ranks, with_changes
 
 # Histogram bounds.
 QUERY_LATENCY_BOUNDS = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0)
@@ -37,10 +37,41 @@ def latency_profile(requests: DataFrame, latency: str, success: Column, ts: str)
     )
 
 
-def latency_profile_approx(requests: DataFrame, latency: str, accuracy: int = 10_000) -> DataFrame:
-    return requests.select(
-        F.percentile_approx(latency, [0.5, 0.95, 0.99], accuracy).alias("p")
-    ).select(F.col("p")[0].alias("latency_p50"), F.col("p")[1].alias("latency_p95"), F.col("p")[2].alias("latency_p99"))
+#: Entries of a sketch. Its quantiles have normalized ranks within ``RANK_ERROR`` of the asked ones (with 99 % confidence,
+#: for any order of the data and of merges); up to ``SKETCH_K`` values they are exact.
+SKETCH_K = 400
+RANK_ERROR = 0.007
+
+
+def sketch_quantiles(sketch: str | Column, qs: tuple[float, ...]) -> Column:
+    """Quantiles of a KLL sketch as an array; null for a sketch of no values."""
+    c = F.col(sketch) if isinstance(sketch, str) else sketch
+    n = F.kll_sketch_get_n_double(c)
+    return F.when(n > 0, F.array(*[F.kll_sketch_get_quantile_double(c, F.lit(float(q))) for q in qs]))
+
+
+def latency_profile_approx(requests: DataFrame, latency: str, k: int = SKETCH_K) -> DataFrame:
+    """Median, p95 and p99 from one mergeable sketch: one row a task is shuffled, whatever the data holds."""
+    one = requests.agg(F.kll_sketch_agg_double(F.col(latency).cast("double"), F.lit(k)).alias("s"))
+    p = sketch_quantiles("s", (0.5, 0.95, 0.99))
+    return one.select(p.alias("p")).select(F.col("p")[0].alias("latency_p50"), F.col("p")[1].alias("latency_p95"), F.col("p")[2].alias("latency_p99"))
+
+
+def rank_checks(data: DataFrame, column: str, estimates: dict[float, float], error: float = RANK_ERROR) -> DataFrame:
+    """One row per quantile: n, and whether its estimate's rank among the data is within the stated error."""
+    v = F.col(column).cast("double")
+    parts = []
+    for i, value in enumerate(estimates.values()):
+        parts += [F.count_if(v < value).alias(f"below{i}"), F.count_if(v <= value).alias(f"upto{i}")]
+    one = data.agg(F.count(v).alias("n"), *parts)
+    rows = F.array(*[
+        F.struct(
+            F.lit(q).alias("quantile"),
+            ((F.col(f"below{i}") / F.col("n") <= q + error) & (F.col(f"upto{i}") / F.col("n") >= q - error)).alias("within"),
+        )
+        for i, q in enumerate(estimates)
+    ])
+    return one.select("n", F.explode(rows).alias("r")).select("r.quantile", "n", "r.within")
 
 
 def bucket_counts(value: str | Column, bounds) -> Column:
@@ -91,13 +122,49 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *rest)
 
 
-# Each of these takes a batch or a streaming frame (watermark set by the caller) and aggregates once.
+_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}
+
+
+def _seconds(span: str) -> int:
+    n, unit = span.split()
+    return int(n) * _SECONDS[unit.rstrip("s")]
+
+
+def windowed(events: DataFrame, keys: list[str], pane: dict[str, Column], ts: str, size: str, slide: str | None,
+             whole: dict[str, Column] | None = None) -> DataFrame:
+    """Aggregates of sliding windows by panes: events are aggregated once into panes of one slide, and a window is made
+    of its panes, so that no event is copied into the windows it lies in.
+
+    ``pane``: aggregates of events. ``whole``: how panes are combined, by default as sums. Works on a batch or
+    a stream (watermark set by the caller; append mode). ``size`` must be a multiple of ``slide``.
+    """
+    whole = whole or {name: F.sum(name) for name in pane}
+    if slide is None:
+        return _flat(events.groupBy(_window(ts, size, None), *keys).agg(*[c.alias(name) for name, c in pane.items()]))
+    if _seconds(size) % _seconds(slide):
+        raise ValueError(f"windows of {size} are not made of whole panes of {slide}")
+    panes = events.groupBy(_window(ts, slide, None), *keys).agg(*[c.alias(name) for name, c in pane.items()])
+    over = F.window(F.window_time("window"), size, slide)
+    # Grouped by the pane's time: the window of a pane carries the watermark on to the second aggregation.
+    return _flat(panes.groupBy(over, *keys).agg(*[c.alias(name) for name, c in whole.items()]))
+
+
+def bounded_counts(value: str, bounds) -> dict[str, Column]:
+    """The parts of ``bucket_counts`` as aggregates that can be added up."""
+    return {f"_le{i}": F.count_if(F.col(value) <= float(b)) for i, b in enumerate(bounds)} | {"_all": F.count(value)}
+
+
+def counts_array(bounds) -> Column:
+    return F.array(*[F.col(f"_le{i}") for i in range(len(bounds))], F.col("_all"))
+
+
+# Each of these takes a batch or a streaming frame (watermark set by the caller) and reads every event once.
 
 
 def request_rate(events: DataFrame, status: str, ts: str = "ts", size: str = "5 minutes", slide: str = "1 minute",
                  seconds: int = 300) -> DataFrame:
-    g = events.groupBy(_window(ts, size, slide), status).agg(F.count(F.lit(1)).alias("requests"))
-    return _flat(g).withColumn("per_second", F.col("requests") / seconds)
+    g = windowed(events, [status], {"requests": F.count(F.lit(1))}, ts, size, slide)
+    return g.withColumn("per_second", F.col("requests") / seconds)
 
 
 def rate_alerts(events: DataFrame, ts: str = "ts", seconds: int = 300, high: float = 100.0, low: float = 0.1) -> DataFrame:
@@ -116,44 +183,49 @@ def rate_alerts(events: DataFrame, ts: str = "ts", seconds: int = 300, high: flo
 
 
 def error_rate(events: DataFrame, failed: Column, ts: str = "ts", size: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
-    g = events.groupBy(_window(ts, size, slide)).agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if(failed).alias("errors")
-    )
+    g = windowed(events, [], {"requests": F.count(F.lit(1)), "errors": F.count_if(failed)}, ts, size, slide)
     share = F.col("errors") / F.col("requests")
-    return _flat(g).withColumn("error_rate", share).withColumn("high", share > 0.05).withColumn("critical", share > 0.25)
+    return g.withColumn("error_rate", share).withColumn("high", share > 0.05).withColumn("critical", share > 0.25)
 
 
 def latency_quantiles(events: DataFrame, latency: str, bounds, ts: str = "ts", size: str = "5 minutes",
                       slide: str = "1 minute", p95_limit: float = 0.8, p99_limit: float = 2.0) -> DataFrame:
-    g = _flat(events.groupBy(_window(ts, size, slide)).agg(bucket_counts(latency, bounds).alias("_c")))
-    out = g
+    g = windowed(events, [], bounded_counts(latency, bounds), ts, size, slide)
+    out = g.select("window_start", "window_end", counts_array(bounds).alias("_c"))
     for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
         out = out.withColumn(name, histogram_quantile(F.col("_c"), bounds, q))
     return out.drop("_c").withColumn("p95_high", F.col("p95") > p95_limit).withColumn("p99_high", F.col("p99") > p99_limit)
 
 
+def sketched_quantiles(events: DataFrame, latency: str, ts: str = "ts", size: str = "5 minutes", slide: str = "1 minute",
+                       k: int = SKETCH_K) -> DataFrame:
+    """Quantiles of every window without bucket bounds: panes hold sketches, windows merge them."""
+    value = F.col(latency).cast("double")
+    pane = {"sketch": F.kll_sketch_agg_double(value, F.lit(k)), "measured": F.count(value)}
+    # An empty pane has no sketch worth merging.
+    whole = {"sketch": F.kll_merge_agg_double(F.when(F.col("measured") > 0, F.col("sketch")), F.lit(k)), "measured": F.sum("measured")}
+    g = windowed(events, [], pane, ts, size, slide, whole).withColumn("_p", F.when(F.col("measured") > 0, sketch_quantiles("sketch", (0.5, 0.95, 0.99))))
+    return g.select("window_start", "window_end", "measured", F.get("_p", F.lit(0)).alias("p50"), F.get("_p", F.lit(1)).alias("p95"), F.get("_p", F.lit(2)).alias("p99"))
+
+
 def low_confidence_rate(events: DataFrame, score: str, ts: str = "ts", size: str = "15 minutes", slide: str = "1 minute",
                         at_most: float = 0.6, limit: float = 0.30) -> DataFrame:
-    g = events.groupBy(_window(ts, size, slide)).agg(
-        F.count(score).alias("scored"), F.count_if(F.col(score) <= at_most).alias("low")
-    )
+    """Share of scores of at most ``at_most``. The second rule of the alerts is size 5 minutes, at_most 0.4, limit 0.15."""
+    g = windowed(events, [], {"scored": F.count(score), "low": F.count_if(F.col(score) <= at_most)}, ts, size, slide)
     share = F.col("low") / F.col("scored")
-    return _flat(g).withColumn("low_share", share).withColumn("firing", share > limit)
+    return g.withColumn("low_share", share).withColumn("firing", share > limit)
 
 
 def label_counts(events: DataFrame, label: str, ts: str = "ts", size: str = "1 hour") -> DataFrame:
-    return _flat(events.groupBy(_window(ts, size, None), label).agg(F.count(F.lit(1)).alias("n")))
+    return windowed(events, [label], {"n": F.count(F.lit(1))}, ts, size, None)
 
 
 def sla_violation(events: DataFrame, latency: str, bounds, failed: Column, ts: str = "ts", size: str = "5 minutes",
                   slide: str = "1 minute", p95_limit: float = 0.8, error_limit: float = 0.05) -> DataFrame:
     """Latency and error share in one aggregate, so no join of two windowed streams is needed."""
-    g = _flat(
-        events.groupBy(_window(ts, size, slide)).agg(
-            bucket_counts(latency, bounds).alias("_c"),
-            (F.count_if(failed) / F.count(F.lit(1))).alias("error_rate"),
-        )
-    )
+    parts = bounded_counts(latency, bounds) | {"_failed": F.count_if(failed), "_rows": F.count(F.lit(1))}
+    g = windowed(events, [], parts, ts, size, slide)
+    g = g.select("window_start", "window_end", (F.col("_failed") / F.col("_rows")).alias("error_rate"), counts_array(bounds).alias("_c"))
     return (
         g.withColumn("p95", histogram_quantile(F.col("_c"), bounds, 0.95))
         .drop("_c")
@@ -163,11 +235,9 @@ def sla_violation(events: DataFrame, latency: str, bounds, failed: Column, ts: s
 
 def cache_ratio(lookups: DataFrame, hit: Column, ts: str = "ts", size: str = "10 minutes", slide: str | None = None,
                 limit: float = 0.70) -> DataFrame:
-    g = lookups.groupBy(_window(ts, size, slide)).agg(
-        F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses")
-    )
+    g = windowed(lookups, [], {"hits": F.count_if(hit), "misses": F.count_if(~hit)}, ts, size, slide)
     ratio = F.col("hits") / (F.col("hits") + F.col("misses"))
-    return _flat(g).withColumn("hit_ratio", ratio).withColumn("low", ratio < limit)
+    return g.withColumn("hit_ratio", ratio).withColumn("low", ratio < limit)
 
 
 def sustained_alert(rows: DataFrame, keys: list[str], condition: str, step_seconds: int, hold_seconds: int,
@@ -177,14 +247,13 @@ def sustained_alert(rows: DataFrame, keys: list[str], condition: str, step_secon
     An island begins where the condition turns true or a window is missing; islands are numbered by a
     running sum and their start is carried as the running maximum of island starts.
     """
-    day = time_bucket(ts, 86_400)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     base = rows.withColumn("_state", F.struct(us.alias("us"), F.col(condition).alias("on")))
     gap = step_seconds * 1_000_000
     marked = with_changes(
         base, keys, [ts], "_state",
         lambda prev, cur: cur["on"] & (prev.isNull() | ~prev["on"] | (cur["us"] - prev["us"] > gap)),
-        "_prev", "island", day,
+        "_prev", "island",
     )
     marked = marked.withColumn("_island", F.struct(*keys, "island"))
     starts = marked.filter(F.col(condition)).groupBy("_island").agg(F.min(ts).alias("active_since"))

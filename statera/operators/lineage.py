@@ -9,12 +9,12 @@ from ..functions.ids import content_hash
 from .ordered import with_changes
 
 
-def source_versions(snapshots: DataFrame, bucket: Column, source: str = "source_id", order: list[str] | None = None,
+def source_versions(snapshots: DataFrame, source: str = "source_id", order: list[str] | None = None,
                     text_hash: str = "source_hash") -> DataFrame:
     """Version number, previous hash and changed flag; a snapshot is compared with the latest one before it."""
     order = order or ["ts"]
     out = with_changes(
-        snapshots, [source], order, text_hash, lambda prev, cur: prev != cur, "previous_hash", "_n", bucket
+        snapshots, [source], order, text_hash, lambda prev, cur: prev != cur, "previous_hash", "_n"
     )
     return (
         out.withColumn("changed", F.coalesce(F.col("previous_hash") != F.col(text_hash), F.lit(False)))

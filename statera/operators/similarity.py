@@ -46,9 +46,10 @@ def knn(queries: DataFrame, store: DataFrame, k: int = 5, filters: dict | None =
         vec: str = "vec") -> DataFrame:
     """Exact cosine top-k: ``query_id, store_id, score, rank``.
 
-    ``filters`` holds for all queries; ``match_on`` names a payload column that must equal the
-    query's own value. A small query side (size checked) goes to every task: the store is scanned
-    once, never shuffled, and each task returns k rows per query. A larger one meets the store in blocks.
+    ``filters`` holds for all queries; ``match_on`` names a payload column that must equal the query's own value. A small
+    query side (size checked) goes to every task: the store is scanned once, never shuffled, and each task
+    returns k rows per query. A larger one is a stated set: with ``match_on`` it meets the store in blocks of a key, without
+    it is taken in passes of that size, each a scan of the store. Where that is too much, see ``vector_index``.
     """
     store = payload_filter(store, filters).filter(F.col(vec).isNotNull())
     extra = [match_on] if match_on else []
@@ -56,15 +57,28 @@ def knn(queries: DataFrame, store: DataFrame, k: int = 5, filters: dict | None =
     if match_on:  # a null key equals nothing
         wanted, store = wanted.filter(F.col(match_on).isNotNull()), store.filter(F.col(match_on).isNotNull())
     head = wanted.limit(QUERY_ROWS + 1).collect()
-    size = sum(len(r[vec]) for r in head) * 8
-    if len(head) > QUERY_ROWS or size > QUERY_BYTES:
-        key = match_on or "_all"
-        left = wanted if match_on else wanted.withColumn(key, F.lit(0))
-        right = store.select(store_id, vec, *extra)
-        right = right if match_on else right.withColumn(key, F.lit(0))
-        return match_vectors(
-            left.withColumnRenamed(vec, "vec"), right.withColumnRenamed(vec, "vec"), key, [query_id], store_id, k
+    dim = max((len(r[vec]) for r in head), default=1)
+    most = max(1, min(QUERY_ROWS, QUERY_BYTES // (8 * dim)))
+    if len(head) > most:
+        if match_on:
+            right = store.select(store_id, vec, match_on)
+            return match_vectors(
+                wanted.withColumnRenamed(vec, "vec"), right.withColumnRenamed(vec, "vec"), match_on, [query_id], store_id, k
+            )
+        # Parts of about half the limit: a hash deals unevenly.
+        passes = -(-2 * wanted.count() // most)
+        part = F.pmod(F.xxhash64(query_id), F.lit(passes))
+        return reduce(
+            DataFrame.unionAll,
+            [_scanned(wanted.filter(part == p).collect(), queries, store, k, None, query_id, store_id, vec) for p in range(passes)],
         )
+    return _scanned(head, queries, store, k, match_on, query_id, store_id, vec)
+
+
+def _scanned(head: list, queries: DataFrame, store: DataFrame, k: int, match_on: str | None, query_id: str, store_id: str,
+             vec: str) -> DataFrame:
+    """Top-k of the queries at hand by one scan of the store."""
+    extra = [match_on] if match_on else []
     groups: dict = {}
     for r in head:
         groups.setdefault(r[match_on] if match_on else None, []).append(r)
@@ -192,30 +206,3 @@ def term_cosine(pairs: DataFrame, pair_id: list[str], a: str, b: str) -> DataFra
     )
     scale = F.sqrt("na") * F.sqrt("nb")
     return sums.select(*pair_id, F.when(scale > 0, F.col("d") / scale).otherwise(0.0).alias("score"))
-
-
-def approx_knn(queries: DataFrame, store: DataFrame, k: int = 5, lists: int = 16, probes: int = 12,
-               query_id: str = "query_id", store_id: str = "vec_id", seed: int = 7) -> DataFrame:
-    """Inverted lists: k-means partitions the store, a query visits its nearest ``probes`` lists.
-
-    The centers are fitted on all vectors, and every vector of the store is in a list. With as many probes as lists
-    the result is exact. A large list is cut into blocks by the match, so an uneven clustering costs no task its memory.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    # Unit vectors make Euclidean lists agree with cosine.
-    from ..functions.vectors import l2_normalize
-
-    unit = store.select(store_id, "vec", array_to_vector(l2_normalize(F.col("vec"))).alias("_unit"))
-    model = KMeans(k=lists, seed=seed, featuresCol="_unit", predictionCol="list", maxIter=10).fit(unit)
-    centers = np.array(model.clusterCenters())  # ``lists`` rows by construction
-    placed = model.transform(unit).select(store_id, "vec", F.col("list"))
-
-    @F.pandas_udf("array<int>")
-    def nearest(v: pd.Series) -> pd.Series:
-        d = 1.0 - unit_rows(list(v)) @ centers.T
-        return pd.Series(list(np.argsort(d, axis=1)[:, :probes].astype(np.int32)))
-
-    visits = queries.select(query_id, "vec", F.explode(nearest("vec")).alias("list"))
-    return match_vectors(visits, placed, "list", [query_id], store_id, k)

@@ -67,11 +67,10 @@ def quota_check(requests: DataFrame, usage: DataFrame) -> DataFrame:
 def running_quota(events: DataFrame, amount: Column, limit: int, row_id: str = "event_id", ts: str = "ts") -> DataFrame:
     """Usage so far in the month at every event, and whether it is still within the quota.
 
-    A month of one user is cut by the hour, so a hot user is spread over many tasks.
+    A hot user's month is spread over many tasks, whatever its times are.
     """
     keyed = events.withColumn("month", month_key(ts))
-    hour = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 3_600_000_000).cast("long")
-    out = with_running_sum(keyed, ["user_id", "month"], [ts, row_id], amount, "used", hour)
+    out = with_running_sum(keyed, ["user_id", "month"], [ts, row_id], amount, "used")
     return out.withColumn("within_quota", F.col("used") <= limit)
 
 

@@ -379,8 +379,7 @@ VERSIONS = f"""
 
 
 def _versions(spark, sf):
-    year = F.year("ts").cast("long")
-    return lineage.source_versions(snapshots(spark, sf), year, order=["ts", "o", "n", "p"])
+    return lineage.source_versions(snapshots(spark, sf), order=["ts", "o", "n", "p"])
 
 
 @query("f2_source_versions", f"select source_id, ts, o, n::bigint as n, p, left(previous_hash, 16) as previous_hash, changed, version::bigint as version from ({VERSIONS})")

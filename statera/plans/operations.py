@@ -37,9 +37,15 @@ def latency_profile(spark, sf):
     return out.withColumns({"latency_avg": F.round("latency_avg", 6), "requests_per_second": F.round("requests_per_second", 6)})
 
 
-@query("e22_latency_profile_approx")
+@query(
+    "e22_latency_profile_approx",
+    "select quantile, n, true as within from (select count(value) as n from events), (values (0.5::double), (0.95::double), (0.99::double)) q(quantile)",
+)
 def latency_profile_approx(spark, sf):
-    return latency.latency_profile_approx(events(spark, sf), "value")
+    """Whether the sketch's quantiles have ranks within its stated error among all values."""
+    e = events(spark, sf)
+    p50, p95, p99 = latency.latency_profile_approx(e, "value").first()
+    return latency.rank_checks(e, "value", {0.5: p50, 0.95: p95, 0.99: p99})
 
 
 LE = ", ".join(f"({b}::double)" for b in BOUNDS)
@@ -98,6 +104,11 @@ QUANTILE_SQL = f"""select window_start, window_end, round({sql_quantile(0.5)}, 6
     from (select window_start, window_end, {COUNTS} as c, count(value) as n from {W5} group by all)"""
 LOW_SQL = f"""select window_start, window_end, scored, low, round(low / scored, 6) as low_share, low / scored > 0.30 as firing from (
     select window_start, window_end, count(value) as scored, count(*) filter (value <= 20) as low from {W15} group by all)"""
+VERY_LOW_SQL = f"""select window_start, window_end, scored, low, round(low / scored, 6) as low_share, low / scored > 0.15 as firing from (
+    select window_start, window_end, count(value) as scored, count(*) filter (value <= 5) as low from {W5} group by all)"""
+# A window of these tables holds fewer values than a sketch has room for, so its quantiles are exact order statistics.
+SKETCH_SQL = f"""select window_start, window_end, count(value) as measured, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99
+    from {W5} group by all"""
 LABEL_SQL = "select date_trunc('hour', ts) as window_start, date_trunc('hour', ts) + interval 1 hour as window_end, event_type, count(*) as n from events group by all"
 SLA_SQL = f"""select window_start, window_end, round(e, 6) as error_rate, round({sql_quantile(0.95)}, 6) as p95, coalesce({sql_quantile(0.95)}, 0) > 80.0 or e > 0.05 as violated
     from (select window_start, window_end, {COUNTS} as c, count(value) as n, count(*) filter (event_type = 'error') / count(*) as e from {W5} group by all)"""
@@ -129,6 +140,15 @@ def low(e):
     return naive(latency.low_confidence_rate(e, "value", at_most=20)).withColumn("low_share", F.round("low_share", 6))
 
 
+def very_low(e):
+    """The second rule: a smaller share of worse scores, over a shorter time."""
+    return naive(latency.low_confidence_rate(e, "value", size="5 minutes", at_most=5, limit=0.15)).withColumn("low_share", F.round("low_share", 6))
+
+
+def sketches(e):
+    return naive(latency.sketched_quantiles(e, "value"))
+
+
 def labels(e):
     return naive(latency.label_counts(e, "event_type"))
 
@@ -172,6 +192,16 @@ def low_confidence_rate(spark, sf):
     return low(utc_events(spark, sf))
 
 
+@query("j4_very_low_confidence_rate", VERY_LOW_SQL)
+def very_low_confidence_rate(spark, sf):
+    return very_low(utc_events(spark, sf))
+
+
+@query("j3_sketched_quantiles", SKETCH_SQL)
+def sketched_quantiles(spark, sf):
+    return sketches(utc_events(spark, sf))
+
+
 @query("j7_label_counts", LABEL_SQL)
 def label_counts(spark, sf):
     return labels(utc_events(spark, sf))

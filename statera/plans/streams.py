@@ -44,7 +44,9 @@ for _name, _sql, _shape in (
     ("j1_request_rate", ops.RATE_SQL, ops.rate),
     ("j2_error_rate", ops.ERROR_SQL, ops.errors),
     ("j3_latency_quantiles", ops.QUANTILE_SQL, ops.quantiles),
+    ("j3_sketched_quantiles", ops.SKETCH_SQL, ops.sketches),
     ("j4_low_confidence_rate", ops.LOW_SQL, ops.low),
+    ("j4_very_low_confidence_rate", ops.VERY_LOW_SQL, ops.very_low),
     ("j7_label_counts", ops.LABEL_SQL, ops.labels),
     ("j8_sla_violation", ops.SLA_SQL, ops.sla),
 ):
@@ -127,6 +129,33 @@ def two_sources(spark, sf):
     return points.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
+@query(
+    "j9_removed_documents",
+    f"""
+    select doc_id, count(*) as chunks, sum(length(piece))::bigint as chars from (
+      select doc_id, {sql_strip("substring(text, s + 1, 800)")} as piece from (
+        select doc_id, text, unnest(range(0, length(text), 700)) as s from (
+          select doc_id, {sql_normalize('text')} as text from documents where coalesce(lang, '') not in ('de', 'fr') and coalesce(source, '') <> 'src3')
+        where length(text) >= 20))
+    where piece <> '' group by 1
+    """,
+)
+def removed_documents(spark, sf):
+    """All documents, then the German ones again with a text too short for a chunk and the French ones as removed, then
+    those of one source taken out by their ids: what is left is the rest."""
+    base = f"{shared_dir(spark)}/update-{uuid.uuid4().hex}"
+    docs = spark.readStream.schema(table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    gone = F.lit(False)
+    runs.incremental_update(docs.withColumn("gone", gone), prepare, f"{base}/store", f"{base}/first", document="doc_id")
+    again = docs.filter("lang in ('de', 'fr')").withColumn("text", F.when(F.col("lang") == "de", "short").otherwise(F.col("text")))
+    again = again.withColumn("gone", F.col("lang") == "fr")
+    runs.incremental_update(again, prepare, f"{base}/store", f"{base}/second", document="doc_id", removed=F.col("gone"))
+    ids = table(spark, sf, "documents").filter("source = 'src3'").select("doc_id")
+    runs.remove_documents(ids, f"{base}/store", "doc_id", "without-src3")
+    points = runs.current_points(spark, f"{base}/store", document="doc_id")
+    return points.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+
+
 @query("j10_staged_run", f"select lang, count(*) as n from (select lang, {sql_normalize('text')} as text from documents) where length(text) >= 20 group by 1")
 def staged_run(spark, sf):
     from ..sources.records import normalize_corpus

@@ -21,10 +21,18 @@ def latest_per_id(new: DataFrame, row_id: str, order: list[str]) -> DataFrame:
     return new.groupBy(row_id).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(row_id, "_r.*").select(*new.columns)
 
 
-def upsert_points(new: DataFrame, store: DataFrame, row_id: str = "point_id", order: list[str] | None = None) -> DataFrame:
-    """Store after replacing by id. Idempotent: the same batch twice gives the same store."""
-    fresh = latest_per_id(new, row_id, order) if order else new.dropDuplicates([row_id])
+def upsert_points(new: DataFrame, store: DataFrame, row_id: str = "point_id", order: list[str] | None = None,
+                  removed: Column | None = None) -> DataFrame:
+    """Store after replacing by id. Idempotent: the same batch twice gives the same store.
+
+    Of equal ids the last in ``order`` wins; without an order, or where it ties, the row with the greatest values, column by
+    column (maps cannot be compared and do not count). An id whose winning row ``removed`` marks leaves the store.
+    """
+    rest = [f.name for f in new.schema.fields if f.name != row_id and "map<" not in f.dataType.simpleString()]
+    fresh = latest_per_id(new, row_id, [*(order or []), *rest]) if rest else new.dropDuplicates([row_id])
     kept = store.join(fresh.select(row_id), row_id, "left_anti")
+    if removed is not None:
+        fresh = fresh.filter(~F.coalesce(removed, F.lit(False)))
     return union_rows(kept, fresh, fill=True)
 
 

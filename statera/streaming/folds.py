@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordered import time_bucket, with_changes
+from ..operators.ordered import with_changes
 from ..session import STATE_STORE
 
 # Requests per minute by endpoint.
@@ -91,19 +91,17 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def silent_parts(df: DataFrame, keys: list[str], ts: str, row_id: str, gap_us: int) -> DataFrame:
+def silent_parts(df: DataFrame, keys: list[str], row_id: str, gap_us: int) -> DataFrame:
     """Adds ``_part``: a new part starts after a silence longer than the gap. Needs ``_us``."""
     begins = lambda prev, cur: prev.isNull() | (cur - prev > gap_us)
-    return with_changes(
-        df, keys, ["_us", row_id], "_us", begins, "_prev", "_part", time_bucket(ts, 3600)
-    ).drop("_prev")
+    return with_changes(df, keys, ["_us", row_id], "_us", begins, "_prev", "_part").drop("_prev")
 
 
 def _fold_batch(df: DataFrame, keys: list[str], ts: str, row_id: str, gap_us: int, make, arg: str | None,
                 fields: list[T.StructField]) -> DataFrame:
     out_schema = T.StructType(df.schema.fields + fields)
     names = df.columns
-    parts = silent_parts(df.withColumn("_us", micros(ts)), keys, ts, row_id, gap_us)
+    parts = silent_parts(df.withColumn("_us", micros(ts)), keys, row_id, gap_us)
     group = [*keys, "_part"]
     ordered = parts.repartition(*group).sortWithinPartitions(*group, "_us", row_id)
 

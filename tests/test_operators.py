@@ -153,7 +153,7 @@ def test_eleven_placeholders_restore_in_order(spark):
 def test_versions_compare_with_the_latest(spark):
     rows = [("s", 1, "a"), ("s", 2, "b"), ("s", 3, "a"), ("s", 4, "a"), ("t", 1, "x")]
     df = spark.createDataFrame(rows, "source_id string, ts int, source_hash string")
-    got = {(r["source_id"], r["ts"]): (r["previous_hash"], r["changed"], r["version"]) for r in lineage.source_versions(df, F.col("ts")).collect()}
+    got = {(r["source_id"], r["ts"]): (r["previous_hash"], r["changed"], r["version"]) for r in lineage.source_versions(df).collect()}
     assert got[("s", 3)] == ("b", True, 3) and got[("s", 4)] == ("a", False, 3) and got[("t", 1)] == (None, False, 1)
 
 

@@ -19,31 +19,51 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "k string, s long, i long, v long").withColumn("ts", F.timestamp_seconds("s")).repartition(3)
 
 
-@pytest.mark.parametrize("seconds", [7, 60, 10_000])
-def test_running_sum_and_changes(spark, seconds):
-    rows = log(200, seconds)
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_running_sum_and_changes(spark, parts):
+    rows = log(200, parts)
     df = frame(spark, rows)
-    bucket = ordered.time_bucket("ts", seconds)
-    sums = {r["i"]: r["run"] for r in ordered.with_running_sum(df, ["k"], ["s", "i"], F.col("v"), "run", bucket).collect()}
+    sums = {r["i"]: r["run"] for r in ordered.with_running_sum(df, ["k"], ["s", "i"], F.col("v"), "run", parts).collect()}
     changes = {
         r["i"]: (r["prev"], r["n"])
-        for r in ordered.with_changes(df, ["k"], ["s", "i"], "v", lambda p, c: p != c, "prev", "n", bucket).collect()
+        for r in ordered.with_changes(df, ["k"], ["s", "i"], "v", lambda p, c: p != c, "prev", "n", parts).collect()
     }
-    state = {}
+    begun = {
+        r["i"]: r["n"]
+        for r in ordered.with_changes(df, ["k"], ["s", "i"], "v", lambda p, c: p.isNull() | (p < c), "prev", "n", parts).collect()
+    }
+    state, ups = {}, {}
     for k, s, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
         total, prev, n = state.get(k, (0, None, 0))
         total, n = total + v, n + (prev is not None and prev != v)
         assert sums[i] == total
         assert changes[i] == (prev, n)
+        ups[k] = ups.get(k, 0) + (prev is None or prev < v)
+        assert begun[i] == ups[k]
         state[k] = (total, v, n)
     assert len(sums) == len(changes) == len(rows)
 
 
-def test_count_in_last(spark):
+def test_nulls_in_a_running_sum(spark):
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate([None, None, 2, None, 3, None])], "k int, i int, v int")
+    got = {r["i"]: r["run"] for r in ordered.with_running_sum(df, ["k"], ["i"], F.col("v"), "run", 6).collect()}
+    assert got == {0: None, 1: None, 2: 2, 3: 2, 4: 5, 5: 5}
+
+
+def test_a_hot_key_is_spread_over_all_tasks(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(F.lit(3)).alias("k"), "id")
+    sizes = [r["count"] for r in ordered.dealt(df, ["k"], ["id"], 16).filter("k = 3").groupBy(ordered.CELL).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 20_000 / 16 * 1.5
+    wrong = ordered.with_running_sum(df, ["k"], ["id"], F.lit(1), "n", 16).filter("k = 3").agg(F.max("n"), F.count_distinct("n"), F.count("*")).first()
+    assert wrong[0] == wrong[1] == wrong[2]
+
+
+@pytest.mark.parametrize("seconds", [0, 30, 1000])
+def test_count_in_last(spark, seconds):
     rows = log(150, 9)
-    got = {r["i"]: r["n"] for r in ordered.count_in_last(frame(spark, rows), "k", "ts", 30, "n").collect()}
+    got = {r["i"]: r["n"] for r in ordered.count_in_last(frame(spark, rows), "k", "ts", seconds, "n", 9).collect()}
     for k, s, i, _ in rows:
-        assert got[i] == sum(1 for k2, s2, _, _ in rows if k2 == k and s - 30 <= s2 <= s)
+        assert got[i] == sum(1 for k2, s2, _, _ in rows if k2 == k and s - seconds <= s2 <= s)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -53,14 +73,14 @@ def test_values_at_ranks(spark, seed):
     values = [draw() for _ in range(700)]
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
     ranks = [0, 1, 350, 664, 665, 699]
-    assert ordered.values_at_ranks(df, "x", ranks, bins=8) == [sorted(values)[r] for r in ranks]
+    assert ordered.values_at_ranks(df, "x", ranks, 5) == [sorted(values)[r] for r in ranks]
 
 
 def test_values_at_ranks_with_odd_numbers(spark):
     inf, nan = float("inf"), float("nan")
     values = [inf, -inf, 3.0, nan, 1e308, -1e308, 5e-324, 0.0, inf, 2.0]
     df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
-    got = ordered.values_at_ranks(df, "x", list(range(10)), bins=4)
+    got = ordered.values_at_ranks(df, "x", list(range(10)), 4)
     assert got[:9] == [-inf, -1e308, 0.0, 5e-324, 2.0, 3.0, 1e308, inf, inf] and got[9] != got[9]
     only = spark.createDataFrame([(nan,), (inf,)], "x double")
     assert ordered.values_at_ranks(only, "x", [0])[0] == inf
@@ -81,10 +101,26 @@ def test_alert_needs_an_unbroken_hold(spark):
     assert [r["s"] // 60 for r in out.filter("firing").orderBy("s").collect()] == [2, 9]
 
 
-def test_approximate_profile_is_near(spark):
-    df = spark.range(10_000).select(F.col("id").cast("double").alias("x"))
+def test_approximate_profile_is_within_its_error(spark):
+    df = spark.range(0, 200_000, 1, 16).select(F.pow(F.rand(3), 4).alias("x"))
     r = latency.latency_profile_approx(df, "x").first()
-    assert abs(r["latency_p95"] - 9500) < 20
+    checks = latency.rank_checks(df, "x", dict(zip((0.5, 0.95, 0.99), r))).collect()
+    assert [c["within"] for c in checks] == [True] * 3 and checks[0]["n"] == 200_000
+    assert not latency.rank_checks(df, "x", {0.5: r[1]}).first()["within"]
+    few = spark.createDataFrame([(float(i),) for i in range(1, 101)] + [(None,)], "x double")
+    assert tuple(latency.latency_profile_approx(few, "x").first()) == (50.0, 95.0, 99.0)
+    assert tuple(latency.latency_profile_approx(few.limit(0), "x").first()) == (None, None, None)
+
+
+def test_windows_are_made_of_panes(spark):
+    """Events are not expanded into their windows, and an odd slide is refused."""
+    e = spark.createDataFrame([(60 * i + 7, "a") for i in range(12)], "s long, t string").withColumn("ts", F.timestamp_seconds("s"))
+    out = latency.request_rate(e, "t")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1 and plan.index("Expand") < plan.rindex("Aggregate")
+    assert out.count() == 16 and out.agg(F.max("requests"), F.sum("requests")).first()[:] == (5, 60)
+    with pytest.raises(ValueError):
+        latency.request_rate(e, "t", slide="2 minutes")
 
 
 def test_empty_profile(spark):

@@ -7,6 +7,8 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from statera.sources import files
+from statera.sources.store import upsert_points
 from statera.streaming import folds, runs
 from statera.streaming.folds import Admission, CachedHits
 
@@ -133,6 +135,52 @@ def test_two_sources_and_shrinking_documents(spark):
     assert now("small") == now()
 
 
+def test_emptied_and_removed_documents_lose_their_chunks(spark):
+    base = tempfile.mkdtemp(prefix="spark-")
+    schema = "doc long, point_id long, text string, gone boolean"
+
+    def update(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/{name}")
+        src = spark.readStream.schema(schema).parquet(f"{base}/{name}")
+        keep = lambda d: d.filter("text <> ''").select("doc", "point_id", "text")
+        runs.incremental_update(src, keep, f"{base}/store", f"{base}/check-{name}", document="doc", removed=F.col("gone"))
+
+    def now(store="store"):
+        return {r["point_id"]: r["text"] for r in runs.current_points(spark, f"{base}/{store}", document="doc").collect()}
+
+    update("a", [(1, 10, "p", None), (1, 11, "q", False), (2, 20, "r", False), (3, 30, "s", False), (4, 40, "t", False), (None, 50, "u", False)])
+    assert now() == {10: "p", 11: "q", 20: "r", 30: "s", 40: "t", 50: "u"}
+    update("b", [(1, 10, "", False), (2, 20, "r", True), (3, 30, "x", True), (3, 31, "y", False)])
+    assert now() == {31: "y", 40: "t", 50: "u"}  # emptied, removed, and one that keeps a row
+    ids = spark.createDataFrame([(4,), (4,)], "doc long")
+    runs.remove_documents(ids, f"{base}/store", "doc", "manual")
+    runs.remove_documents(ids, f"{base}/store", "doc", "manual")
+    assert now() == {31: "y", 50: "u"}
+    runs.compact(spark, f"{base}/store", f"{base}/small", document="doc")
+    assert now("small") == now()
+    update("a", [(4, 40, "back", False)])
+    assert now() == {31: "y", 40: "back", 50: "u"}
+
+
+def test_a_repeated_batch_stays_old(spark):
+    """Numbers are given once: a batch that is written again after a later one does not become the newest."""
+    base = tempfile.mkdtemp(prefix="spark-")
+    write = lambda text, run: files.append_stage(
+        spark.createDataFrame([(1, text)], "point_id long, text string").withColumn("commit", F.lit(runs.commit_number(spark, base, run, 0)).cast("long")), base, 0, run=run
+    )
+    write("old", "r1")
+    write("new", "r2")
+    write("old", "r1")
+    assert [r["text"] for r in runs.current_points(spark, base).collect()] == ["new"]
+
+
+def test_upserts_are_deterministic_and_can_remove(spark):
+    store = spark.createDataFrame([(1, "a", False), (2, "b", False)], "point_id long, text string, gone boolean")
+    new = spark.createDataFrame([(1, "x", False), (1, "y", False), (2, "z", True), (3, "n", False)], "point_id long, text string, gone boolean")
+    got = {r["point_id"]: r["text"] for r in upsert_points(new.repartition(4), store, removed=F.col("gone")).collect()}
+    assert got == {1: "y", 3: "n"}
+
+
 def test_failed_batch_is_repeated_into_the_same_folder(spark):
     base = tempfile.mkdtemp(prefix="spark-")
     spark.range(3).select(F.col("id").alias("point_id")).write.parquet(f"{base}/in")
