@@ -38,11 +38,12 @@ def _local(order: list[str]) -> "Window":
     return Window.partitionBy(CELL, KEY).orderBy(*order)
 
 
-def _carried(rows: DataFrame, ends: list[Column], carry: Callable[["Window"], dict[str, Column]], heads: DataFrame) -> DataFrame:
+def _carried(rows: DataFrame, ends: list[Column], carry: Callable[["Window"], dict[str, Column]], heads: DataFrame,
+             scanned: Callable[[DataFrame], DataFrame] = lambda some: some) -> DataFrame:
     """Per range the carry of its first key, from what ``ends`` says of that key in the ranges before it. ``carry``
     builds columns over the window of a key's ranges in order."""
     spanning = heads.select(KEY).distinct()
-    totals = rows.join(F.broadcast(spanning), KEY, "left_semi").groupBy(CELL, KEY).agg(*ends)
+    totals = scanned(rows.join(F.broadcast(spanning), KEY, "left_semi")).groupBy(CELL, KEY).agg(*ends)
     across = Window.partitionBy(KEY).orderBy(CELL)
     return totals.withColumns(carry(across)).withColumn("_place", F.struct(CELL, KEY))
 
@@ -83,15 +84,19 @@ def with_changes(df: DataFrame, keys: list[str], order: list[str], value: str,
 
     rows = dealt(df.withColumn("_v", F.struct(F.col(value).alias("v"))), keys, order, parts)
     inside = _local(order)
+
+    def scanned(some: DataFrame) -> DataFrame:
+        return (
+            some.withColumn("_p", F.lag("_v").over(inside))
+            .withColumn("_first", F.row_number().over(inside) == 1)
+            .withColumn("_f", F.when(F.col("_first"), F.lit(0)).otherwise(flag(F.col("_p.v"), F.col("_v.v"))))
+        )
+
     local = (
-        rows.withColumn("_p", F.lag("_v").over(inside))
-        .withColumn("_first", F.row_number().over(inside) == 1)
-        .withColumn("_f", F.when(F.col("_first"), F.lit(0)).otherwise(flag(F.col("_p.v"), F.col("_v.v"))))
+        scanned(rows)
         .withColumn("_run", F.sum("_f").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_fv", F.first("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    # The carries are read from the local scan as well: it is written down, so that it runs once.
-    local = stored(local)
     at = F.struct(*order)
     ends = [F.min_by("_v", at).alias("_head"), F.max_by("_v", at).alias("_tail"), F.sum("_f").alias("_t")]
 
@@ -101,7 +106,9 @@ def with_changes(df: DataFrame, keys: list[str], order: list[str], value: str,
         before = F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return {"_cp": last, "_edge": edge, "_before": before}
 
-    carries = _carried(local, ends, carry, _heads(rows))
+    # Only keys that run over the end of a range are scanned for their carries.
+    slim = [c for c in rows.columns if c in {CELL, KEY, "_v", *order}]
+    carries = _carried(rows.select(*slim), ends, carry, _heads(rows), scanned)
     edges = F.sum("_edge").over(Window.partitionBy(KEY).orderBy(CELL).rowsBetween(Window.unboundedPreceding, 0))
     carries = carries.withColumn("_base", F.col("_before") + edges)
     nothing = F.lit(None).cast(df.schema[value].dataType)
