@@ -27,12 +27,6 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def release(df: DataFrame) -> None:
-    """Ask the driver to collect garbage: Spark deletes the shuffle files of plans that nobody holds any more. To be
-    called once a large table is stored, as its shuffles would otherwise lie on disk until the next collection."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def stored_parquet(df: DataFrame) -> DataFrame:
     """A wide intermediate table, written compressed to the shared folder and read by columns."""
     spark = df.sparkSession

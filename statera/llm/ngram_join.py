@@ -5,11 +5,12 @@ then on. Two sets can only link if they share one of their rarest shingles (the
 order) and if their sizes lie in the same or in neighbouring bands. Sets meet in tiles of one shared shingle and
 two bands:
 
-1. each set of a tile is compared with the tile's least set; verified links make first components;
-2. in tiles that still hold several components, sets of different components are compared with each other, the
-   largest component's sets only with the others. Pairs within a component need no look: they are connected. Small
-   shares of the shingles go first (``SHARES``): the links they find join most copies of one text, and what is left
-   for the tiles of all shingles is little.
+1. of shingles with the very same sets one is kept: they stand for the same tiles;
+2. each set of a tile is compared with the tile's least set; verified links make first components;
+3. in tiles that still hold several components, sets of different components are compared with each other, the
+   largest component's sets only with the others. Pairs within a component need no look: they are connected. The first
+   rounds (``ROUNDS``) take small shares of the shingles and only the most promising pair of every set, so that
+   copies of one text grow together while few pairs leave a tile; the last round takes every pair that is left.
 
 A comparison first counts common bits of two bitmaps, which bounds the intersection from above; only pairs that
 pass are intersected exactly. Every link is found or implied, and no group is expanded into all its pairs.
@@ -26,15 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, col, join_stored, release, stored, stored_parquet
+from .common import blocks_of, col, join_stored, parts_of, stored, stored_parquet
 from .components import components
+from .partials import added, packed
 
 RARITY_BITS = 18
 CACHE = 1 << 19
 #: Sets of a tile that are compared with each other at a time.
 SIDE, OTHER = 2048, 8192
-#: Shares of the shingles (one in so many) whose tiles are compared, one share after the other; the last is all.
-SHARES = (256, 32, 1)
+#: Rounds over the tiles: one in so many shingles, and whether only the best pair of every set counts. The last is whole.
+ROUNDS = ((256, True), (32, True), (1, True), (1, True), (1, False))
 #: Ids that may be broadcast (8 bytes each).
 IDS = 500_000
 
@@ -109,22 +111,18 @@ def _texts(df: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def rarity(texts: DataFrame, like: Likeness) -> np.ndarray:
-    """How often shingles occur, by the first bits of their hash: a table of fixed size over all documents."""
+    """How often shingles occur, by the first bits of their hash: a table of fixed size over all documents, one row of
+    it from every task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << RARITY_BITS, np.int64)
         for b in batches:
-            for t in b.column(0):
-                np.add.at(seen, (shingles(t.as_py(), like.words) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), 1)
-        at = np.flatnonzero(seen)
-        for i in range(0, len(at), 50_000):
-            part = at[i : i + 50_000]
-            yield pa.RecordBatch.from_pydict({"at": pa.array(part.astype(np.int32)), "n": pa.array(seen[part])})
+            for part in parts_of(b.column(0)):
+                found = np.concatenate([shingles(t, like.words) for _, t in part])
+                seen += np.bincount((found >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=1 << RARITY_BITS)
+        yield packed(seen)
 
-    sums = texts.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(1 << RARITY_BITS, np.int64)
-    table[sums["at"].to_numpy()] = sums["n"].to_numpy()
-    return table
+    return added(texts.select("text").mapInArrow(count, "sums binary"), 1 << RARITY_BITS)
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -164,11 +162,13 @@ def band_of(n: Column, like: Likeness) -> Column:
 
 
 def shared_entries(sets: DataFrame) -> DataFrame:
-    """(gram, set, n) of rare shingles that two sets or more have. The counting is a partial aggregation and the join
-    has one row per shingle on one side: a shingle of very many sets is no group."""
+    """(gram, set, n) of rare shingles that two sets or more have; of shingles with the same sets, told by their number
+    and the sum of their hashes without carry, the least one. The counting is a partial aggregation and the join has
+    one row per shingle on one side: a shingle of very many sets is no group."""
     grams = sets.select(F.explode("rare").alias("gram"), "set", "n")
-    shared = grams.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram")
-    return grams.join(shared, "gram").select("gram", "set", "n")
+    groups = grams.groupBy("gram").agg(F.count("*").cast("int").alias("k"), F.bit_xor(F.xxhash64("set")).alias("who")).filter("k > 1")
+    kept = groups.groupBy("k", "who").agg(F.min("gram").alias("gram")).select("gram")
+    return grams.join(kept, "gram").select("gram", "set", "n")
 
 
 def tiled(entries: DataFrame, like: Likeness) -> DataFrame:
@@ -223,7 +223,6 @@ def bounded(pairs: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
 def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """The pairs of sets that link, by the exact intersection of their arrays. ``rows``: set and row of one
     document each. Arrays are made again from the texts of the sets in pairs, and of no others."""
-    pairs = stored(pairs)
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(rows, "set"))
     few = wanted.limit(IDS + 1).count() <= IDS
     kind = F.broadcast if few else (lambda d: d)
@@ -278,14 +277,20 @@ def dealt(tiles: DataFrame) -> DataFrame:
     return tiles.select("gram", "tile", "own", "set", "n", "root", "major", F.explode(places).alias("p")).select("gram", "tile", "p.i", "p.j", "p.side", "own", "set", "n", "root", "major")
 
 
-def _block_pairs(block: dict[str, np.ndarray], maps: list[bytes], like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+def best_pairs(a: np.ndarray, b: np.ndarray, promise: np.ndarray) -> np.ndarray:
+    """Places of the pairs that are the most promising one of either of their sets: as many as sets at most."""
+    order = np.argsort(-promise, kind="stable")
+    return np.union1d(order[np.unique(a[order], return_index=True)[1]], order[np.unique(b[order], return_index=True)[1]])
+
+
+def _block_pairs(block: dict[str, np.ndarray], maps: list[bytes], like: Likeness, best: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one block that may link: side 0 with side 1, of different components, not both from the
-    lower band (they meet in their own tile), each pair once."""
+    lower band (they meet in their own tile), each pair once; with ``best`` only the best pair of every set."""
     width = min(map(len, maps))
     bits = np.frombuffer(b"".join(folded(m, width) for m in maps), np.uint64).reshape(len(maps), -1)
     ones = np.bitwise_count(bits).sum(1).astype(np.int64)
     left, right = np.flatnonzero(block["side"] == 0), np.flatnonzero(block["side"] == 1)
-    found_a, found_b = [], []
+    found_a, found_b, hope = [], [], []
     step = max(1, (1 << 22) // max(1, len(right) * bits.shape[1]))
     for s in range(0, len(left), step):
         some = left[s : s + step]
@@ -300,10 +305,19 @@ def _block_pairs(block: dict[str, np.ndarray], maps: list[bytes], like: Likeness
             common = np.bitwise_count(bits[x] & bits[y]).sum(1).astype(np.int64)
             may = links_bound(block["n"][x], block["n"][y], common, ones[x], ones[y], like)
             found_a.append(block["set"][x[may]]), found_b.append(block["set"][y[may]])
-    return np.concatenate([np.zeros(0, np.int64), *found_a]), np.concatenate([np.zeros(0, np.int64), *found_b])
-
-
-def tile_pairs(blocks: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
+            hope.append(common[may] / (ones[x[may]] + ones[y[may]] - common[may]))
+            if best and len(hope) > 1:  # keep no more than the best so far
+                found_a, found_b, hope = ([np.concatenate(v)] for v in (found_a, found_b, hope))
+                keep = best_pairs(found_a[0], found_b[0], hope[0])
+                found_a, found_b, hope = [found_a[0][keep]], [found_b[0][keep]], [hope[0][keep]]
+    a, b = np.concatenate([np.zeros(0, np.int64), *found_a]), np.concatenate([np.zeros(0, np.int64), *found_b])
+    if best and len(a):
+        keep = best_pairs(a, b, np.concatenate(hope))
+        a, b = a[keep], b[keep]
+    return a, b
+
+
+def tile_pairs(blocks: DataFrame, maps: DataFrame, like: Likeness, best: bool) -> DataFrame:
     """Pairs of different components that bit counts let pass, over all blocks."""
     keys = ["gram", "tile", "i", "j"]
     rows = blocks.join(maps.select("set", "bits"), "set").repartition(*keys).sortWithinPartitions(*keys)
@@ -313,7 +327,7 @@ def tile_pairs(blocks: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
             columns = {k: part.column(k).to_numpy() for k in ("side", "own", "set", "n", "root", "major")}
             maps = part.column("bits").to_pylist()
             got = [
-                _block_pairs({k: v[s:e] for k, v in columns.items()}, maps[s:e], like)
+                _block_pairs({k: v[s:e] for k, v in columns.items()}, maps[s:e], like, best)
                 for s, e in zip(starts, np.append(starts[1:], part.num_rows))
             ]
             a, b = (np.concatenate([g[x] for g in got]) for x in (0, 1))
@@ -325,17 +339,19 @@ def tile_pairs(blocks: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
 
 def set_links(sets: DataFrame, rows: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """Links (a, b) of sets that give the components of all links."""
-    entries = stored(shared_entries(sets))
-    release(entries)
+    entries = stored_parquet(shared_entries(sets))
     named = entries.select("set").distinct()
     # Bitmaps of sets without a shared rare shingle are not needed.
     maps = stored_parquet(sets.select("set", "n", "bits").join(named, "set", "left_semi"))
-    links = verified(bounded(star_pairs(tiled(entries, like), like), maps, like), rows, texts, like)
-    for share in SHARES:
+    links = verified(stored(bounded(star_pairs(tiled(entries, like), like), maps, like)), rows, texts, like)
+    for share, best in ROUNDS:
         some = entries.filter(F.pmod(F.xxhash64("gram"), F.lit(share)) == 0)
         blocks = dealt(open_tiles(tiled(some, like), stored(components(links))))
-        links = links.unionAll(verified(tile_pairs(blocks, maps, like), rows, texts, like))
-        release(entries)
+        pairs = stored(tile_pairs(blocks, maps, like, best))
+        if not pairs.isEmpty():
+            links = stored(links.unionAll(verified(pairs, rows, texts, like)))
+        elif share == 1:
+            break
     return links
 
 
@@ -353,7 +369,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", like:
 
 def _joined(df: DataFrame, id: str, text: str, like: Likeness) -> DataFrame:
     texts = _texts(df, id, text)
-    every = stored(set_table(texts, like))
+    every = stored_parquet(set_table(texts, like))
     full = every.filter(F.col("set").isNotNull())
     rows = stored(full.groupBy("set").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")))
     sets = full.select("set", "n", "rare", "bits").dropDuplicates(["set"])
