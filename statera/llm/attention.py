@@ -36,13 +36,64 @@ _MIX = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 _SALT = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64)
 
 
+#: Bytes that are encoded at a time: measuring takes some forty times as much memory.
+SLICE_BYTES = 1 << 20
+
+
+def slices(data: bytes) -> list[bytes]:
+    """A text in pieces of whole passages, of about ``SLICE_BYTES`` (a single longer passage is not cut)."""
+    if len(data) <= SLICE_BYTES:
+        return [data]
+    blank = _BLANK[np.frombuffer(data, np.uint8)]
+    first = np.flatnonzero(~blank & np.append(True, blank[:-1]))[::PASSAGE]
+    if not len(first):
+        return [data[:1]]  # without words a text is one empty passage
+    cuts = first[np.unique(np.searchsorted(first, np.arange(SLICE_BYTES, len(data), SLICE_BYTES)).clip(0, len(first) - 1))]
+    cuts = [0, *(int(c) for c in cuts if c > first[0]), len(data)]
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Encodings of all passages of the texts, and the first passage of each text. Texts are measured in groups and a
+    long one in slices of bounded size; the result is the same."""
+    found, bag, n = [], [], 0
+    group: list[bytes] = []
+
+    def measure() -> None:
+        nonlocal n
+        if group:
+            x, starts = _encoded(group)
+            found.append(x)
+            bag.extend(starts + n)
+            n += len(x)
+            group.clear()
+
+    size = 0
+    for t in texts:
+        data = t.encode()
+        if size + len(data) > SLICE_BYTES:
+            measure()
+            size = 0
+        if len(data) > SLICE_BYTES:
+            bag.append(n)
+            for piece in slices(data):
+                x, _ = _encoded([piece])
+                found.append(x)
+                n += len(x)
+        else:
+            group.append(data)
+            size += len(data)
+    measure()
+    return np.concatenate([np.zeros((0, FEATURES), np.float32), *found]), np.array(bag, np.int64)
+
+
+def _encoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Encodings of all passages of the texts, and the first passage of each text.
 
     A passage is 64 words in a row, the last one of a text may be shorter; a text without words is one passage of
     zeros. All passages of the batch are measured at once over its bytes.
     """
-    data = [t.encode() + b"\n" for t in texts]
+    data = [t + b"\n" for t in texts]
     raw = np.frombuffer(b"".join(data), np.uint8)
     ends = np.cumsum([len(x) for x in data])
     starts = ends - [len(x) for x in data]
@@ -106,10 +157,11 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass(frozen=True)
 class Training:
     """``sample``: most labelled documents that training reads, those with the smallest hash of their id. ``bytes``:
-    most bytes of a training text (a longer one is left out of the sample, never cut)."""
+    most bytes of a training text (a longer one is left out of the sample, never cut), so that the driver holds 210 MB of
+    passages at most."""
 
     sample: int = 6000
-    bytes: int = 1 << 20
+    bytes: int = 1 << 17
     hidden: int = 24
     gate: int = 12
     steps: int = 400
@@ -222,7 +274,7 @@ def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
 
     kind = dict(df.dtypes)[id]
     made = rows.select("_id", "_text", "_y").mapInArrow(encode, f"_id {kind}, _y int, x binary").toPandas()
-    made = made.sort_values("_id", kind="stable").drop_duplicates("_id")
+    made = made.sort_values(["_id", "x"], kind="stable").drop_duplicates("_id")
     bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in made["x"]]
     return train(bags, made["_y"].to_numpy(), options)
 

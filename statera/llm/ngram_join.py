@@ -32,7 +32,7 @@ from .components import components
 from .partials import added, packed
 
 RARITY_BITS = 18
-CACHE = 1 << 19
+CACHE = 1 << 18
 #: Sets of a tile that are compared with each other at a time.
 SIDE, OTHER = 2048, 8192
 #: Rounds over the tiles: one in so many shingles, and whether only the best pair of every set counts. The last is whole.

@@ -140,9 +140,10 @@ def _sql_level(level: str, parent: str | None, above: str) -> str:
         1 / least(0.5, greatest(1 / 10001.0, (sum(n * (bad / n - prior) ** 2) - sum(prior * (1 - prior)))
           / sum(prior * (1 - prior) * (n - 1)))) - 1 end as w from {level}_c),
     {level}_p as (
-      select name, (w * prior + bad) / (w + n) as mean, w + n as total from {level}_c, {level}_w)"""
+      select name, (w * prior + bad) / (w + n) as mean, w + n as total, w from {level}_c, {level}_w)"""
 
 
+_BARE = "regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '')"
 _TWO_LABELS = "', '".join(urls.SUFFIXES)
 
 
@@ -155,10 +156,10 @@ _TWO_LABELS = "', '".join(urls.SUFFIXES)
              regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
       from pages),
     counts as (
-      select host, count(*) as n, sum(1 - quality) as bad
+      select {_BARE} as host, count(*) as n, sum(1 - quality) as bad
       from split join labels on labels.doc_id = try_cast(regexp_extract(path, '/(\d+)(?:\.html)?/?$', 1) as bigint)
       where quality is not null group by 1),
-    hosts as (select host, {_sql_two('host')} as two from (select host from counts union select host from split)),
+    hosts as (select host, {_sql_two('host')} as two from (select host from counts union select {_BARE} from split)),
     names as (
       select host, case when two in ('{_TWO_LABELS}') then two else string_split(host, '.')[-1] end as suffix,
              case when two in ('{_TWO_LABELS}') then array_to_string(string_split(host, '.')[-3:], '.') else two end as domain
@@ -168,14 +169,16 @@ _TWO_LABELS = "', '".join(urls.SUFFIXES)
     {_sql_level("domain", "suffix", "suffix_p")},
     {_sql_level("host", "domain", "domain_p")},
     judged as (
-      select page_id, host, path, coalesce(host_p.mean, domain_p.mean, suffix_p.mean) as bad_rate,
-             host_p.mean - 1.645 * sqrt(host_p.mean * (1 - host_p.mean) / (host_p.total + 1)) as bad_bound,
-             case when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
-                  when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
-                  when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
-                  when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
-                  when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule
-      from split join names using (host) left join host_p on host_p.name = host
+      select page_id, split.host, path, coalesce(host_p.mean, domain_p.mean, suffix_p.mean) as bad_rate,
+             coalesce(host_p.mean - 1.645 * sqrt(host_p.mean * (1 - host_p.mean) / (host_p.total + 1)),
+               domain_p.mean - 1.645 * sqrt(domain_p.mean * (1 - domain_p.mean) / ((select max(w) from host_p) + 1)),
+               suffix_p.mean - 1.645 * sqrt(suffix_p.mean * (1 - suffix_p.mean) / ((select max(w) from host_p) + 1))) as bad_bound,
+             case when (split.host = 'www.example.com' or ends_with(split.host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
+                  when (split.host = 'example.com' or ends_with(split.host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
+                  when (split.host = 'net' or ends_with(split.host, '.net')) and starts_with(path, '/es/') then 'net/es/'
+                  when (split.host = 'net' or ends_with(split.host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
+                  when (split.host = 'com' or ends_with(split.host, '.com')) and starts_with(path, '/') then 'com/' end as rule
+      from split join names on names.host = {_BARE.replace("host", "split.host")} left join host_p on host_p.name = names.host
         left join domain_p on domain_p.name = names.domain left join suffix_p on suffix_p.name = names.suffix)
     select page_id, host, path, rule, bad_rate, bad_bound,
            case when rule in ('www.example.com/en/', 'com/') then 'allow' when rule is not null then 'block'

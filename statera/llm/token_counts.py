@@ -1,7 +1,7 @@
 """Token counts by a two-tier lookup on the map side.
 
-A text is cut into pre-tokens, and only their encoded lengths are looked up: first in a broadcast table of the
-corpus's most frequent ones, then in a cache of the Python worker, which encodes what it has not met. No
+A text is cut into pre-tokens, and only their encoded lengths are looked up: first in a broadcast table of frequent
+ones, made from a bounded sample, then in a cache of the Python worker, which encodes what it has not met. No
 pre-token reaches over white space and its length depends on nothing around it, so both tiers hold runs of
 pre-tokens between white space ("word," is two), and the sum is the library's own count.
 """
@@ -32,14 +32,13 @@ def default_tokenizer() -> str:
 class Lookup:
     """Bounds of the two tiers; they change the speed only.
 
-    ``frequent``: pre-tokens in the broadcast table. ``per_task``: pre-tokens a task keeps while it counts (rare
-    ones go when it is full) and ``sent`` those it reports. ``cache``: entries of a worker's cache before it is
-    emptied.
+    ``frequent``: pre-tokens in the broadcast table. ``sample`` and ``sample_bytes``: the texts it is made from, and the most
+    bytes of such a text (64 MB in all). ``cache``: entries of a worker's cache before it is emptied.
     """
 
     frequent: int = 1 << 16
-    per_task: int = 1 << 18
-    sent: int = 1 << 15
+    sample: int = 1 << 12
+    sample_bytes: int = 1 << 14
     cache: int = 1 << 19
 
 
@@ -99,27 +98,16 @@ def _cutter(path: str) -> Cutter:
 
 
 def frequent_pieces(texts: DataFrame, path: str, bounds: Lookup = Lookup()) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of all texts (at most ``bounds.frequent``).
-
-    Each task counts its own pre-tokens and reports a bounded summary; only summaries are merged.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, seen = _cutter(path), Counter()
-        for b in batches:
-            for t in b.column(0):
-                seen.update(cutter.runs(t.as_py() or "")[0])
-                if len(seen) > bounds.per_task:
-                    seen = Counter(dict(seen.most_common(bounds.per_task // 2)))
-        top = seen.most_common(bounds.sent)
-        for i in range(0, len(top), 10_000):
-            part = top[i : i + 10_000]
-            yield pa.RecordBatch.from_pydict({"piece": [p for p, _ in part], "n": pa.array([n for _, n in part], pa.int64())})
-
-    summaries = texts.mapInArrow(count, "piece string, n long")
-    top = summaries.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(bounds.frequent)
-    pieces = [r["piece"] for r in top.collect()]
-    return dict(zip(pieces, _cutter(path).lengths(pieces)))
+    """Lengths of the most frequent pre-tokens (at most ``bounds.frequent``) of a bounded sample: the ``bounds.sample`` texts
+    with the smallest hash among those of at most ``bounds.sample_bytes``. The table decides where a length is looked up,
+    never what it is, so no pre-token of the other texts is counted or sent anywhere."""
+    short = texts.filter(F.octet_length("text").between(1, bounds.sample_bytes))
+    some = short.orderBy(F.xxhash64("text"), "text").limit(bounds.sample).collect()
+    cutter, seen = _cutter(path), Counter()
+    for r in some:
+        seen.update(cutter.runs(r["text"])[0])
+    pieces = [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: bounds.frequent]]
+    return dict(zip(pieces, cutter.lengths(pieces)))
 
 
 def text_counter(path: str, table: dict[str, int], limit: int) -> Callable[[str | None], int]:

@@ -87,7 +87,7 @@ def test_tokens_equal_the_library(docs, odd, spark):
     more = spark.createDataFrame(list(enumerate(extra)), "doc_id long, text string")
     for d in (docs.select("doc_id", "text"), odd.select("doc_id", "text"), more):
         want = Counter((r.doc_id, len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in d.collect())
-        bounds = token_counts.Lookup(frequent=50, per_task=200, sent=100, cache=60)
+        bounds = token_counts.Lookup(frequent=50, sample=30, cache=60)
         for b in (bounds, token_counts.Lookup()):
             got = token_counts.token_counts(d, bounds=b, limit=100).collect()
             assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
@@ -347,6 +347,54 @@ def test_scores_do_not_depend_on_the_batch(docs):
     assert np.allclose(one, model.score(texts), atol=1e-5)
 
 
+def test_long_texts_are_encoded_in_slices(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["word ", "Ünï ", "a\n", "  ", "x" * 50 + " ", "9.5 "]) for _ in range(n)) for n in (0, 3, 700, 5000, 40)] + ["", " " * 3000, "y" * 3000, "\n z" * 2000]
+    whole = attention.passages(texts)
+    for size in (100, 1000, 5000):
+        monkeypatch.setattr(attention, "SLICE_BYTES", size)
+        x, bag = attention.passages(texts)
+        assert (bag == whole[1]).all() and np.allclose(x, whole[0])
+
+
+def plain_features(text):
+    """Passage by passage: shares of byte classes and counts of words, in plain Python."""
+    out = []
+    data = text.encode()
+    import re
+
+    begins = [m.start() for m in re.finditer(rb"[^\x09-\x0d\x20]+", data)]
+    for i in range(0, len(begins), attention.PASSAGE):
+        part = data[begins[i] : begins[i + attention.PASSAGE] if i + attention.PASSAGE < len(begins) else len(data)]
+        words = part.split()
+        share = [sum(attention._CLASS[b] == k for b in part) / len(part) for k in range(attention._CLASSES)]
+        n = [len(w) for w in words]
+        mean = sum(n) / len(n)
+        out.append([
+            *share, np.log1p(len(n)) / 4, mean / 10, (sum(x * x for x in n) / len(n) - mean**2) ** 0.5 / 10, len(set(words)) / len(n),
+            sum(a == b for a, b in zip(words, words[1:])) / len(n), sum(65 <= w[0] <= 90 for w in words) / len(n), 1,
+        ])
+    return np.array(out or [[0] * attention.FEATURES])
+
+
+def test_score_against_a_plain_forward_pass():
+    rng = np.random.default_rng(5)
+    words = ["the", "The", "cat", "42", "x#y", "é", "runs.", "(a)", "the"]
+    texts = [" ".join(rng.choice(words, n)) + "\n" for n in (1, 64, 65, 300)] + [""]
+    model = attention.train([attention.passages([t])[0] for t in texts[:4]], np.array([0, 1, 0, 1]), attention.Training(steps=30))
+    w = model.weights
+    for t, got in zip(texts, model.score(texts)):
+        rows = []
+        for f in plain_features(t):
+            h = np.tanh(((f - model.mean) / model.scale) @ w["W"] + w["b"])
+            e = sum(w["a"][g] * np.tanh(h @ w["V"][:, g]) / (1 + np.exp(-(h @ w["U"][:, g]))) for g in range(len(w["a"])))
+            rows.append((e, h))
+        top = max(e for e, _ in rows)
+        weights = [np.exp(e - top) for e, _ in rows]
+        z = sum(a * h for a, (_, h) in zip(weights, rows)) / sum(weights)
+        assert abs(got - 1 / (1 + np.exp(-(z @ w["c"] + w["d"][0])))) < 1e-4
+
+
 def test_passages_cover_whole_texts():
     x, bag = attention.passages(["", "a " * 64, "a " * 65, "ü" * 5])
     assert list(bag) == [0, 1, 2, 4] and len(x) == 5 and not x[0].any()

@@ -88,16 +88,30 @@ def test_odd_urls(spark):
     got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judged_urls(pages, bad).collect()}
     assert got == {
         (1, "", "", None, "allow"), (None, "a.example.com", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "/x", None, "allow"),
-        (4, "u@h.net:80", "/fr/", None, "allow"), (5, "www.example.com", "/en/1", "www.example.com/en/", "allow"),
+        (4, "u@h.net:80", "/fr/", None, "block"), (5, "www.example.com", "/en/1", "www.example.com/en/", "allow"),
     }
     assert urls.judged_urls(pages, bad).count() == 7 and urls.judged_urls(pages.limit(0), bad.limit(0)).count() == 0
 
 
-def test_bad_hosts_are_blocked(spark):
-    outcomes = [(f"http://bad.site.org/{i}", 1) for i in range(40)] + [(f"http://h{i % 30}.good.org/{i}", int(i % 20 == 0)) for i in range(600)]
-    pages = spark.createDataFrame([(1, "http://bad.site.org/new"), (2, "http://h3.good.org/new"), (3, "http://new.site.org/")], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in urls.judged_urls(pages, spark.createDataFrame(outcomes, "url string, bad int")).collect()}
-    assert got == {1: "block", 2: "allow", 3: "allow"}
+def test_bad_hosts_domains_and_suffixes_are_blocked(spark):
+    bad = [(f"http://{h}.site.org/{i}", 1) for h in ("bad", "worse", "worst") for i in range(40)]
+    bad += [(f"http://h{i % 9}.x{i % 7}.vile/{i}", 1) for i in range(200)]
+    good = [(f"http://h{i % 30}.g{i % 11}.org/{i}", int(i % 20 == 0)) for i in range(900)] + [(f"http://w{i % 5}.fine.net/{i}", 0) for i in range(300)]
+    pages = {
+        "http://bad.site.org/new": "block", "http://h3.g3.org/new": "allow", "http://fresh.site.org/": "block", "http://u:p@fresh.site.org:8080/a": "block",
+        "http://fresh.g3.org/": "allow", "http://fresh.new.vile/": "block", "http://fresh.new.org/": "allow", "http://fresh.new.zz/": "allow", "http://w9.fine.net:80/": "allow",
+    }
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    got = urls.judged_urls(frame, spark.createDataFrame(bad + good, "url string, bad int")).collect()
+    assert {list(pages)[r.page_id]: r.verdict for r in got} == pages
+    assert all((r.verdict == "block") == bool(r.bad_bound is not None and r.bad_bound > urls.MAX_BAD) for r in got)
+
+
+def test_suffixes_from_a_table(spark):
+    rows = spark.createDataFrame([("co.uk",), (" Co.UK ",), ("uk",), ("a.b.c",), (None,)], "suffix string")
+    assert urls.suffixes_of(rows) == ("co.uk",)
+    names = urls.with_names(spark.createDataFrame([("u@a.b.co.uk:80",), ("co.uk",), ("x.y.uk",)], "host string"), ("co.uk",)).collect()
+    assert [(r.bare, r.domain, r.suffix) for r in names] == [("a.b.co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("x.y.uk", "y.uk", "uk")]
 
 
 def test_odd_conversations(spark):
