@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import matches
+
 # The white space that counts everywhere in this library (the Unicode set, not only
 # the ASCII set of Java's \s), as a regex class and as a trim list.
 WS = (
@@ -109,12 +112,46 @@ def fixed(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", F.bround(c, digits))
 
 
-def contains_any(c: Column, needles) -> Column:
-    """True when one of a short literal list occurs in the text; a plain OR keeps it in codegen."""
-    out = F.lit(False)
-    for n in needles:
-        out = out | c.contains(n)
-    return out
+_SPECIAL = frozenset(r"\.^$|?*+()[]{}&-~#")
+
+
+def _quoted(ch: str) -> str:
+    return "\\" + ch if ch in _SPECIAL else ch
+
+
+def trie_pattern(needles: Iterable[str]) -> str:
+    """One pattern for a list of words, factored by their common beginnings: at a place in a text it goes down one path, so the
+    length of the list hardly matters. Of words that begin alike it matches the longest. An empty word is refused."""
+    root: dict = {}
+    for word in needles:
+        if not word:
+            raise ValueError("an empty keyword is in every text")
+        node = root
+        for ch in word:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def part(node: dict) -> str:
+        ways = [_quoted(ch) + part(node[ch]) for ch in sorted(node) if ch]
+        if not ways:
+            return ""
+        body = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})"
+        return f"{body}?" if "" in node else body
+
+    first = "".join(_quoted(ch) for ch in sorted(root))
+    return f"(?=[{first}]){part(root)}" if root else "(?!)"
+
+
+def contains_any(c: Column, needles: Iterable[str]) -> Column:
+    """True when one of a list of words occurs in the text: one pass over the text for the whole list."""
+    needles = list(needles)
+    return c.rlike(trie_pattern(needles)) if needles else F.lit(False)
+
+
+def keyword_hits(c: Column, needles: Iterable[str]) -> Column:
+    """array<struct<start,stop,text>>: the places of the words of a list, left to right and without overlaps; of words
+    that begin at one place the longest. One pass for the whole list."""
+    return matches(c, trie_pattern(needles))
 
 
 def nfc(c: Column) -> Column:

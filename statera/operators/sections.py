@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, matches, running_max
 from ..functions.rows import exploded
 from ..functions.text import strip, unicode_ws, word_count
 from .chunking import section_pieces
@@ -34,28 +33,20 @@ PAGE_MARKERS = (
     (r"<b>", "clause", 2),
 )
 
-MARKER = "array<struct<start:int,stop:int,section_id:string,level:int,chunk_type:string>>"
-
-
 def extract_markers(c: Column, markers=GERMAN_MARKERS) -> Column:
-    """All marker matches with offsets, in order of their start (Spark's regex functions give none)."""
-    spec = [(p, t, lv) for p, t, lv in markers]
+    """All marker matches with offsets, in order of their start, those of earlier forms first."""
 
-    @F.pandas_udf(MARKER)
-    def run(s: pd.Series) -> pd.Series:
-        compiled = [(re.compile(p, re.IGNORECASE), t, lv) for p, t, lv in spec]
-
-        def one(text):
-            hits = [
-                {"start": m.start(), "stop": m.end(), "section_id": m.group().strip(), "level": lv, "chunk_type": t}
-                for rx, t, lv in compiled
-                for m in rx.finditer(text)
-            ]
-            return sorted(hits, key=lambda h: h["start"])
+    def form(i: int, pattern: str, kind: str, level: int) -> Column:
+        def hit(m: Column) -> Column:
+            return F.struct(
+                m["start"].alias("start"), F.lit(i).alias("form"), m["stop"].alias("stop"), strip(m["text"]).alias("section_id"),
+                F.lit(level).alias("level"), F.lit(kind).alias("chunk_type"),
+            )
 
-        return s.map(one, na_action="ignore")
+        return F.transform(matches(c, "(?iu)" + unicode_ws(pattern)), hit)
 
-    return run(c)
+    hits = F.array_sort(F.concat(*[form(i, *m) for i, m in enumerate(markers)]))
+    return F.transform(hits, lambda h: F.struct(*[h[n].alias(n) for n in ("start", "stop", "section_id", "level", "chunk_type")]))
 
 
 def section_spans(c: Column, markers: Column) -> Column:
@@ -75,21 +66,23 @@ def section_spans(c: Column, markers: Column) -> Column:
 
 
 def section_parents(levels: Column, depth: int = 4) -> Column:
-    """Position of the nearest preceding section of a lower level (array<int>, null at the top).
+    """Position of the nearest preceding section of a lower level (array<int>, null at the top): the greatest of the
+    last positions seen so far of the levels below one's own."""
+
+    def last_of(level: int) -> Column:
+        return running_max(F.transform(levels, lambda lv, i: F.when(lv == level, i).otherwise(-1)))
 
-    A fold over the levels: the state is the last position seen per level.
-    """
-    empty = F.array(*[F.lit(-1)] * depth)
-    start = F.struct(empty.alias("last"), F.array().cast("array<int>").alias("out"))
+    def pick(last: Column) -> Column:
+        def parent(lv: Column, i: Column) -> Column:
+            seen = [F.when(lv > level, F.get(last[f"l{level}"], i)).otherwise(-1) for level in range(depth - 1)]
+            top = F.greatest(*seen, F.lit(-1))
+            return F.when(top >= 0, top).cast("int")
 
-    def step(acc: Column, lv: Column) -> Column:
-        pos = F.size(acc["out"])
-        parent = F.array_max(F.slice(acc["last"], F.lit(1), lv))
-        found = F.when((lv > 0) & (parent >= 0), parent)
-        last = F.transform(acc["last"], lambda x, i: F.when(i == lv, pos).otherwise(x))
-        return F.struct(last.alias("last"), F.concat(acc["out"], F.array(found.cast("int"))).alias("out"))
+        return F.transform(levels, parent)
 
-    return F.aggregate(levels, start, step, lambda acc: acc["out"])
+    if depth < 2:
+        return F.transform(levels, lambda lv: F.lit(None).cast("int"))
+    return let(F.struct(*[last_of(level).alias(f"l{level}") for level in range(depth - 1)]), pick)
 
 
 def parse_sections(df: DataFrame, doc_id: str, text: Column, markers=GERMAN_MARKERS) -> DataFrame:
@@ -97,8 +90,7 @@ def parse_sections(df: DataFrame, doc_id: str, text: Column, markers=GERMAN_MARK
     depth = max(lv for _, _, lv in markers) + 1
     staged = (
         df.select(F.col(doc_id), text.alias("_text"))
-        .withColumn("_markers", extract_markers(F.col("_text"), markers))
-        .select(doc_id, section_spans(F.col("_text"), F.col("_markers")).alias("_sections"))
+        .select(doc_id, let(extract_markers(F.col("_text"), markers), lambda m: section_spans(F.col("_text"), m)).alias("_sections"))
         .withColumn("_parents", section_parents(F.col("_sections.level"), depth))
     )
     return exploded(staged, [doc_id], F.arrays_zip("_sections", "_parents"), "position", "_s").select(
@@ -130,8 +122,7 @@ def number_chunks(df: DataFrame, doc_id: str, text: Column, markers=GERMAN_MARKE
     """Sections and their splits under one running position per document."""
     staged = (
         df.select(F.col(doc_id), text.alias("_text"))
-        .withColumn("_markers", extract_markers(F.col("_text"), markers))
-        .select(doc_id, section_spans(F.col("_text"), F.col("_markers")).alias("_sections"))
+        .select(doc_id, let(extract_markers(F.col("_text"), markers), lambda m: section_spans(F.col("_text"), m)).alias("_sections"))
         .withColumn("_pieces", split_sections(F.col("_sections.content"), size, overlap))
     )
 

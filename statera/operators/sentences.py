@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domains import DomainPack, LanguagePack
+from ..functions.arrays import let, matches
 from ..functions.rows import exploded
-from ..functions.text import WS, strip, word_count
+from ..functions.text import WS, WS_CHARS, strip, word_count
 
 SENTENCE_END = f"[.!?]+{WS}+"
 
@@ -17,30 +18,28 @@ def split_sentences(c: Column, min_len: int = 3) -> Column:
     return F.filter(parts, lambda s: F.length(s) >= min_len)
 
 
-def sentence_spans(c: Column, sentences: Column) -> Column:
-    """array<struct<sentence,start,stop>>: each sentence is looked up behind the one before."""
-    none = F.array().cast("array<struct<sentence:string,start:int,stop:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+def sentence_spans(c: Column, min_len: int = 3) -> Column:
+    """array<struct<sentence,start,stop>>: the places follow from the lengths of the sentence ends between them."""
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = F.position(s, c, acc["at"] + 1) - 1
-        stop = begin + F.length(s)
-        return F.struct(
-            stop.alias("at"),
-            F.concat(acc["out"], F.array(F.struct(s.alias("sentence"), begin.alias("start"), stop.alias("stop")))).alias("out"),
-        )
+    def spans(ends: Column) -> Column:
+        def one(part: Column, i: Column) -> Column:
+            begin = F.coalesce(F.get(ends, i - 1)["stop"], F.lit(0))
+            kept = F.length(F.ltrim(part, F.lit(WS_CHARS)))
+            start = begin + F.length(part) - kept
+            s = strip(part)
+            return F.struct(s.alias("sentence"), start.alias("start"), (start + F.length(s)).alias("stop"))
+
+        return F.filter(F.transform(F.split(c, SENTENCE_END), one), lambda s: F.length(s["sentence"]) >= min_len)
 
-    return F.aggregate(sentences, start, step, lambda acc: acc["out"])
+    return let(matches(c, SENTENCE_END), spans)
 
 
 def sentence_table(df: DataFrame, keys: list[str], text: str, language: LanguagePack, domain: DomainPack,
                    min_len: int = 3) -> DataFrame:
     """One row per sentence: index, offsets in the normalised text, tokens, citation flag."""
-    staged = df.select(*keys, language.normalize(F.col(text)).alias("_norm")).withColumn(
-        "_sentences", split_sentences(F.col("_norm"), min_len)
-    )
+    staged = df.select(*keys, language.normalize(F.col(text)).alias("_norm"))
     return (
-        exploded(staged, keys, sentence_spans(F.col("_norm"), F.col("_sentences")), "sentence_index", "_s")
+        exploded(staged, keys, sentence_spans(F.col("_norm"), min_len), "sentence_index", "_s")
         .select(*keys, "sentence_index", "_s.*")
         .withColumn("tokens", word_count(F.col("sentence")))
         .withColumn("has_citation", domain.has_citation(F.col("sentence")))

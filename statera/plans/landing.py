@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.domains import GERMAN_LEGAL, list_presets, preset
 from ..functions.rows import union_rows
-from ..functions.domains import list_presets, preset
+from ..functions.text import unicode_ws
 from ..session import shared_dir
 from ..sources import files, mail, records, store
 from ..streaming import runs
-from .catalog import query, sql_decode, sql_strip, sql_text_nodes, table, texts
+from .catalog import lit, query, sql_decode, sql_strip, sql_text_nodes, table, texts
 from .segments import long
 
 DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("text", T.StringType())])
@@ -246,19 +247,18 @@ def export_verifications(spark, sf):
 
 @query(
     "k3_domain_presets",
-    """select p as preset, count(*) filter (k and contains(text, 'kann') or k and contains(text, 'gilt') or k and contains(text, 'Recht')) as kann from conversations,
+    f"""select p as preset, count(*) filter (k and ({' or '.join(f"regexp_matches(coalesce(text, ''), {lit(unicode_ws(p))})" for p in GERMAN_LEGAL.citation_patterns)}
+           or {' or '.join(f"contains(coalesce(text, ''), {lit(k)})" for k in GERMAN_LEGAL.keywords)})) as statements from conversations,
          (values ('default', true), ('generic', false), ('generic.german', false), ('german_legal', true), ('legal.german', true)) v(p, k) group by 1""",
 )
 def domain_presets(spark, sf):
-    """One aggregation for all presets: how many turns hold one of three keywords under each."""
-    from ..functions.domains import DomainPack
-
+    """One aggregation for all presets: how many turns are statements of each, by its citations and keywords."""
     c = texts(spark, sf, "conversations")
     picks = []
     for name in sorted(set(list_presets()) & {"default", "generic", "generic.german", "german_legal", "legal.german"}):
         _, domain = preset(name)
-        few = DomainPack(domain.name, (), tuple(k for k in domain.keywords if k in ("kann", "gilt", "Recht")))
-        picks.append(F.struct(F.lit(name).alias("preset"), F.count_if(few.is_statement(F.col("text"))).alias("kann")))
+        held = domain.is_statement(F.coalesce("text", F.lit("")))
+        picks.append(F.struct(F.lit(name).alias("preset"), F.count_if(held).alias("statements")))
     return c.agg(F.array(*picks).alias("a")).select(F.explode("a").alias("s")).select("s.*")
 
 

