@@ -9,8 +9,9 @@ two bands:
 2. each set of a tile is compared with the tile's least set; verified links make first components;
 3. in tiles that still hold several components, sets of different components are compared with each other, the
    largest component's sets only with the others. Pairs within a component need no look: they are connected. The first
-   rounds (``ROUNDS``) take small shares of the shingles and only the most promising pair of every set, so that
-   copies of one text grow together while few pairs leave a tile; the last round takes every pair that is left.
+   rounds take small shares of the shingles (``SHARES``) and only the most promising pair of every set, so that
+   copies of one text grow together while few pairs leave a tile. Tiles in which pairs were passed over are looked at
+   again, in the end with every pair.
 
 A comparison first counts common bits of two bitmaps, which bounds the intersection from above; only pairs that
 pass are intersected exactly. Every link is found or implied, and no group is expanded into all its pairs.
@@ -35,8 +36,10 @@ RARITY_BITS = 18
 CACHE = 1 << 18
 #: Sets of a tile that are compared with each other at a time.
 SIDE, OTHER = 2048, 8192
-#: Rounds over the tiles: one in so many shingles, and whether only the best pair of every set counts. The last is whole.
-ROUNDS = ((256, True), (32, True), (1, True), (1, True), (1, False))
+#: Shares of the shingles (one in so many) whose tiles are compared, one share after the other; the last is all.
+SHARES = (256, 32, 1)
+#: Rounds over the tiles of all shingles in which only the best pair of every set counts; after them every pair does.
+BEST_ROUNDS = 3
 #: Ids that may be broadcast (8 bytes each).
 IDS = 500_000
 
@@ -268,12 +271,14 @@ def open_tiles(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 def dealt(tiles: DataFrame) -> DataFrame:
     """Blocks of a tile: its lesser components' sets (side 0) against all its sets (side 1). Both sides are cut into
-    bounded blocks by the hash of the set; a tile of usual size is one block."""
+    bounded blocks by the hash of the set; a tile of usual size is one block, in which a set stands once (side 2: both)."""
     lefts, rights = F.ceil(F.col("rest") / SIDE).cast("int"), F.ceil(F.col("all") / OTHER).cast("int")
     spot = F.xxhash64("set")
     left = F.when(~F.col("major"), F.transform(F.sequence(F.lit(0), rights - 1), lambda j: F.struct(F.lit(0).alias("side"), F.pmod(spot, lefts).cast("int").alias("i"), j.alias("j"))))
     right = F.transform(F.sequence(F.lit(0), lefts - 1), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), F.pmod(spot, rights).cast("int").alias("j")))
     places = F.concat(F.coalesce(left, F.array().cast("array<struct<side:int,i:int,j:int>>")), right)
+    one = F.array(F.struct(F.when(F.col("major"), 1).otherwise(2).alias("side"), F.lit(0).alias("i"), F.lit(0).alias("j")))
+    places = F.when((lefts == 1) & (rights == 1), one).otherwise(places)
     return tiles.select("gram", "tile", "own", "set", "n", "root", "major", F.explode(places).alias("p")).select("gram", "tile", "p.i", "p.j", "p.side", "own", "set", "n", "root", "major")
 
 
@@ -283,13 +288,15 @@ def best_pairs(a: np.ndarray, b: np.ndarray, promise: np.ndarray) -> np.ndarray:
     return np.union1d(order[np.unique(a[order], return_index=True)[1]], order[np.unique(b[order], return_index=True)[1]])
 
 
-def _block_pairs(block: dict[str, np.ndarray], maps: list[bytes], like: Likeness, best: bool) -> tuple[np.ndarray, np.ndarray]:
+def _block_pairs(block: dict[str, np.ndarray], maps: list[bytes], like: Likeness, best: bool) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of one block that may link: side 0 with side 1, of different components, not both from the
-    lower band (they meet in their own tile), each pair once; with ``best`` only the best pair of every set."""
+    lower band (they meet in their own tile), each pair once; with ``best`` only the best pair of every set, and whether
+    others were passed over."""
     width = min(map(len, maps))
     bits = np.frombuffer(b"".join(folded(m, width) for m in maps), np.uint64).reshape(len(maps), -1)
     ones = np.bitwise_count(bits).sum(1).astype(np.int64)
-    left, right = np.flatnonzero(block["side"] == 0), np.flatnonzero(block["side"] == 1)
+    left, right = np.flatnonzero(block["side"] != 1), np.flatnonzero(block["side"] != 0)
+    passed = 0
     found_a, found_b, hope = [], [], []
     step = max(1, (1 << 22) // max(1, len(right) * bits.shape[1]))
     for s in range(0, len(left), step):
@@ -309,16 +316,19 @@ def _block_pairs(block: dict[str, np.ndarray], maps: list[bytes], like: Likeness
             if best and len(hope) > 1:  # keep no more than the best so far
                 found_a, found_b, hope = ([np.concatenate(v)] for v in (found_a, found_b, hope))
                 keep = best_pairs(found_a[0], found_b[0], hope[0])
+                passed += len(found_a[0]) - len(keep)
                 found_a, found_b, hope = [found_a[0][keep]], [found_b[0][keep]], [hope[0][keep]]
     a, b = np.concatenate([np.zeros(0, np.int64), *found_a]), np.concatenate([np.zeros(0, np.int64), *found_b])
     if best and len(a):
         keep = best_pairs(a, b, np.concatenate(hope))
+        passed += len(a) - len(keep)
         a, b = a[keep], b[keep]
-    return a, b
+    return a, b, passed > 0
 
 
 def tile_pairs(blocks: DataFrame, maps: DataFrame, like: Likeness, best: bool) -> DataFrame:
-    """Pairs of different components that bit counts let pass, over all blocks."""
+    """Pairs (a, b) of different components that bit counts let pass, over all blocks, and as rows of their own the
+    tiles (gram, tile) in which pairs were passed over."""
     keys = ["gram", "tile", "i", "j"]
     rows = blocks.join(maps.select("set", "bits"), "set").repartition(*keys).sortWithinPartitions(*keys)
 
@@ -332,9 +342,19 @@ def tile_pairs(blocks: DataFrame, maps: DataFrame, like: Likeness, best: bool) -
             ]
             a, b = (np.concatenate([g[x] for g in got]) for x in (0, 1))
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            again = starts[[g[2] for g in got]] if len(got) else starts
+            n, m = pairs.shape[1], len(again)
+            grams, tiles = part.column("gram").to_numpy()[again], part.column("tile").to_numpy()[again]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(pairs[0]), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.array(pairs[1]), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(grams)]), pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(tiles, pa.int32())]),
+                ],
+                names=["a", "b", "gram", "tile"],
+            )
 
-    return rows.select(*keys, "side", "own", "set", "n", "root", "major", "bits").mapInArrow(run, "a long, b long").distinct()
+    found = rows.select(*keys, "side", "own", "set", "n", "root", "major", "bits").mapInArrow(run, "a long, b long, gram long, tile int")
+    return found.distinct()
 
 
 def set_links(sets: DataFrame, rows: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
@@ -343,15 +363,28 @@ def set_links(sets: DataFrame, rows: DataFrame, texts: DataFrame, like: Likeness
     named = entries.select("set").distinct()
     # Bitmaps of sets without a shared rare shingle are not needed.
     maps = stored_parquet(sets.select("set", "n", "bits").join(named, "set", "left_semi"))
-    links = verified(stored(bounded(star_pairs(tiled(entries, like), like), maps, like)), rows, texts, like)
-    for share, best in ROUNDS:
-        some = entries.filter(F.pmod(F.xxhash64("gram"), F.lit(share)) == 0)
-        blocks = dealt(open_tiles(tiled(some, like), stored(components(links))))
-        pairs = stored(tile_pairs(blocks, maps, like, best))
-        if not pairs.isEmpty():
-            links = stored(links.unionAll(verified(pairs, rows, texts, like)))
-        elif share == 1:
-            break
+    every = tiled(entries, like)
+    share_of = lambda k: F.pmod(F.xxhash64("gram"), F.lit(k)) == 0
+    links = verified(stored(bounded(star_pairs(every.filter(share_of(SHARES[1])), like), maps, like)), rows, texts, like)
+
+    def compared(tiles: DataFrame, best: bool) -> DataFrame | None:
+        """Look into tiles, add what links there; the tiles to look at again."""
+        nonlocal links
+        found = stored(tile_pairs(dealt(open_tiles(tiles, stored(components(links)))), maps, like, best))
+        pairs = found.filter("a is not null").select("a", "b")
+        if pairs.isEmpty():
+            return None
+        links = stored(links.unionAll(verified(pairs, rows, texts, like)))
+        again = found.filter("gram is not null").select("gram", "tile")
+        return None if again.isEmpty() else again
+
+    for share in SHARES:
+        again = compared(every.filter(share_of(share)), True)
+    done = 1
+    while again is not None:
+        some = every.join(again, ["gram", "tile"], "left_semi")
+        again = compared(some, done < BEST_ROUNDS)
+        done += 1
     return links
 
 
