@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(value: Column) -> Column:
+    """A value for a projection that no later step copies into itself: an outer explode of one element stands round it."""
+    return F.explode_outer(F.array(value))
+
+
 def computed(df: DataFrame, name: str, value: Column, keep: Callable[[Column], Column]) -> DataFrame:
     """Set a column and keep the rows whose new value passes; the value is computed once."""
     rest = [c for c in df.columns if c != name]

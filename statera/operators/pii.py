@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let, matches, running_max, running_sums
-from ..functions.rows import exploded
+from ..functions.rows import exploded, once
 from ..functions.text import unicode_ws
 
 
@@ -104,8 +104,7 @@ def mask_text(c: Column, entities: Column) -> Column:
 def mask_pii(df: DataFrame, request_id: str, text: str, recognizers=GERMAN_RECOGNIZERS,
              threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Masked rows, and the mapping table ``request_id, placeholder, original``."""
-    # An outer explode of one value: the detection is not copied into what reads it.
-    staged = df.withColumn("_e", F.explode_outer(F.array(detect_pii(F.col(text), recognizers, threshold))))
+    staged = df.withColumn("_e", once(detect_pii(F.col(text), recognizers, threshold)))
     masked = staged.withColumn("masked", mask_text(F.col(text), F.col("_e"))).withColumn("entities", F.size("_e")).drop("_e")
     mapping = exploded(staged, [request_id], F.col("_e"), "n", "e").select(
         request_id, F.col("e.placeholder").alias("placeholder"), F.col("e.text").alias("original")

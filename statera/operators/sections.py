@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let, matches, running_max
-from ..functions.rows import exploded
+from ..functions.rows import exploded, once
 from ..functions.text import strip, unicode_ws, word_count
 from .chunking import section_pieces
 
@@ -90,7 +90,7 @@ def parse_sections(df: DataFrame, doc_id: str, text: Column, markers=GERMAN_MARK
     depth = max(lv for _, _, lv in markers) + 1
     staged = (
         df.select(F.col(doc_id), text.alias("_text"))
-        .select(doc_id, let(extract_markers(F.col("_text"), markers), lambda m: section_spans(F.col("_text"), m)).alias("_sections"))
+        .select(doc_id, once(let(extract_markers(F.col("_text"), markers), lambda m: section_spans(F.col("_text"), m))).alias("_sections"))
         .withColumn("_parents", section_parents(F.col("_sections.level"), depth))
     )
     return exploded(staged, [doc_id], F.arrays_zip("_sections", "_parents"), "position", "_s").select(
@@ -122,7 +122,7 @@ def number_chunks(df: DataFrame, doc_id: str, text: Column, markers=GERMAN_MARKE
     """Sections and their splits under one running position per document."""
     staged = (
         df.select(F.col(doc_id), text.alias("_text"))
-        .select(doc_id, let(extract_markers(F.col("_text"), markers), lambda m: section_spans(F.col("_text"), m)).alias("_sections"))
+        .select(doc_id, once(let(extract_markers(F.col("_text"), markers), lambda m: section_spans(F.col("_text"), m))).alias("_sections"))
         .withColumn("_pieces", split_sections(F.col("_sections.content"), size, overlap))
     )
 
