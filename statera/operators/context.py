@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import left_join, union_rows
 from ..functions.text import fixed
+from .ordered import with_running_sum
 from .similarity import match_chunks
 
 
@@ -28,6 +29,36 @@ def sibling_rows(targets: DataFrame, chunks: DataFrame) -> DataFrame:
     return seek.join(family, "parent_id").filter(F.col("chunk_id") != F.col("sibling_id")).drop("parent_id")
 
 
+def families(chunks: DataFrame) -> DataFrame:
+    """Every family once: ``parent_id``, ``rank`` (from 1, by position), ``chunk_id``, ``position``, ``content``.
+
+    With ``with_family`` this says who is whose sibling without a row or a text for every pair: the siblings of a chunk are the
+    rows of its family but its own. Ranks come from a prefix scan, so a family with most of the chunks is no single task.
+    """
+    kids = chunks.filter(F.col("parent_id").isNotNull()).select("parent_id", "chunk_id", "position", "content")
+    return with_running_sum(kids, ["parent_id"], ["position", "chunk_id"], F.lit(1), "rank").select("parent_id", "rank", "chunk_id", "position", "content")
+
+
+def with_family(chunks: DataFrame, family: DataFrame) -> DataFrame:
+    """Adds a chunk's ``rank`` in its family (null without a parent) and its ``sibling_count``. One row a chunk."""
+    sizes = family.groupBy("parent_id").agg(F.count(F.lit(1)).alias("_n"))
+    placed = family.select("chunk_id", "rank").join(chunks.drop("rank"), "chunk_id", "right")
+    out = left_join(placed, sizes, "parent_id")
+    return out.withColumn("sibling_count", F.coalesce(F.col("_n") - 1, F.lit(0))).drop("_n")
+
+
+def shown_siblings(targets: DataFrame, family: DataFrame, first: int = 1, count: int = 5) -> DataFrame:
+    """A page of the siblings of each target (``chunk_id``, ``parent_id``, ``rank`` of ``with_family``): ``chunk_id``,
+    ``place`` (from ``first``), ``sibling_id``, ``content``. Only the ranks of the page are looked up, so the work follows what is
+    shown, not the families."""
+    seek = targets.filter(F.col("rank").isNotNull()).select("chunk_id", "parent_id", F.col("rank").alias("_own"))
+    page = F.sequence(F.lit(first).cast("long"), F.lit(first + count - 1).cast("long"))
+    wanted = seek.select("chunk_id", "parent_id", "_own", F.explode(page).alias("place"))
+    wanted = wanted.withColumn("rank", F.when(F.col("place") < F.col("_own"), F.col("place")).otherwise(F.col("place") + 1))
+    kin = family.select("parent_id", "rank", F.col("chunk_id").alias("sibling_id"), "content")
+    return wanted.join(kin, ["parent_id", "rank"]).select("chunk_id", "place", "sibling_id", "content")
+
+
 def _all_siblings(targets: DataFrame, chunks: DataFrame) -> DataFrame:
     kin = sibling_rows(targets, chunks).groupBy("chunk_id").agg(
         F.sort_array(F.collect_list(F.struct("position", "sibling_id", "content"))).alias("_kin")
@@ -35,10 +66,11 @@ def _all_siblings(targets: DataFrame, chunks: DataFrame) -> DataFrame:
     return kin.select("chunk_id", F.size("_kin").alias("sibling_count"), F.col("_kin.content").alias("siblings"))
 
 
-def with_siblings(chunks: DataFrame, shown: int | None = None) -> DataFrame:
-    """Adds ``sibling_count`` and the siblings by position: all of them, or for display the first ``shown``.
+def with_siblings(chunks: DataFrame, shown: int | None = 5) -> DataFrame:
+    """Adds ``sibling_count`` and the siblings by position: for display the first ``shown``, or all of them with None.
 
-    With ``shown`` the first ``shown + 1`` children of a parent hold the first ``shown`` siblings of every child, so
+    All siblings of all chunks are the square of a family: ask for that only where families are known to be small, else take
+    ``families``. With ``shown`` the first ``shown + 1`` children of a parent hold the first ``shown`` siblings of every child, so
     the work is linear in the chunks: no self join of a parent's children with each other.
     """
     if shown is None:

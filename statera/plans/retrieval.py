@@ -128,10 +128,59 @@ SIBLINGS = f"""
 
 @query("d4_with_siblings", SIBLINGS)
 def with_siblings(spark, sf):
-    out = context.with_siblings(chunk_table(spark, sf).drop("vec"))
+    out = context.with_siblings(chunk_table(spark, sf).drop("vec"), shown=None)  # families of eight
     return long(out.select("chunk_id", "sibling_count", F.array_join("siblings", "|").alias("siblings")), "sibling_count")
 
 
+FAMILY = f"""(select parent_id, row_number() over (partition by parent_id order by position, chunk_id) as rank, chunk_id, position, content
+    from {CHUNKS} where parent_id is not null)"""
+
+
+@query(
+    "d4_families",
+    f"""select c.chunk_id, c.parent_id, f.rank, coalesce(n - 1, 0) as sibling_count from {CHUNKS} c left join {FAMILY} f on f.chunk_id = c.chunk_id
+        left join (select parent_id, count(*) as n from {CHUNKS} where parent_id is not null group by 1) s on s.parent_id = c.parent_id""",
+)
+def families(spark, sf):
+    chunks = chunk_table(spark, sf).drop("vec")
+    out = context.with_family(chunks, context.families(chunks)).select("chunk_id", "parent_id", "rank", "sibling_count")
+    return long(out, "rank", "sibling_count")
+
+
+@query(
+    "d4_one_family",
+    """select vec_id as chunk_id, row_number() over (order by vec_id) as rank, (select count(*) - 1 from embeddings) as sibling_count from embeddings""",
+)
+def one_family(spark, sf):
+    """All chunks under one parent: the result is still one row a chunk."""
+    chunks = chunk_table(spark, sf).drop("vec").withColumn("parent_id", F.lit(-1).cast("long"))
+    return long(context.with_family(chunks, context.families(chunks)).select("chunk_id", "rank", "sibling_count"), "rank", "sibling_count")
+
+
+@query(
+    "d4_shown_siblings",
+    f"""select a.chunk_id, a.place, f.chunk_id as sibling_id, f.content
+        from (select chunk_id, parent_id, rank, unnest([2, 3, 4]) as place from {FAMILY}) a
+        join {FAMILY} f on f.parent_id = a.parent_id and f.rank = case when a.place < a.rank then a.place else a.place + 1 end""",
+)
+def shown_siblings(spark, sf):
+    """The second to the fourth sibling of every chunk."""
+    chunks = chunk_table(spark, sf).drop("vec")
+    family = context.families(chunks)
+    return long(context.shown_siblings(family, family, 2, 3), "place")
+
+
+@query(
+    "d4_sibling_rows",
+    f"""select c.chunk_id, s.chunk_id as sibling_id, s.position, s.content from {CHUNKS} c join {CHUNKS} s on s.parent_id = c.parent_id and s.chunk_id <> c.chunk_id
+        where c.chunk_id % 50 = 0 or c.chunk_id % 50 = 1""",
+)
+def sibling_rows(spark, sf):
+    """All siblings of a stated set of targets, as rows."""
+    chunks = chunk_table(spark, sf).drop("vec")
+    return context.sibling_rows(chunks.filter("chunk_id % 50 in (0, 1)"), chunks)
+
+
 @query(
     "d5_context_chunks",
     f"""

@@ -101,7 +101,7 @@ def test_siblings_and_context(spark, tree):
     got = {r["chunk_id"]: (r["sibling_count"], r["siblings"]) for r in context.with_siblings(tree, shown=3).collect()}
     assert got[2] == (4, ["c3", "c4", "c5"]) and got[4] == (4, ["c2", "c3", "c5"]) and got[6] == (4, ["c2", "c3", "c4"])
     assert got[1] == (0, []) and got[7] == (0, [])
-    whole = {r["chunk_id"]: (r["sibling_count"], r["siblings"]) for r in context.with_siblings(tree).collect()}
+    whole = {r["chunk_id"]: (r["sibling_count"], r["siblings"]) for r in context.with_siblings(tree, shown=None).collect()}
     assert whole[2] == (4, ["c3", "c4", "c5", "c6"]) and whole[6] == (4, ["c2", "c3", "c4", "c5"]) and whole[7] == (0, [])
     assert context.sibling_rows(tree, tree).count() == 20
     rows = context.context_chunks(spark.createDataFrame([(3,), (7,)], "target_id int"), tree).collect()
