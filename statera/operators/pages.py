@@ -34,14 +34,14 @@ def text_layer_quality(pages: DataFrame, doc: str = "doc_id", text: str = "text"
 
 
 def merge_pages(embedded: DataFrame, ocr: DataFrame, quality: Column, threshold: float = 0.75,
-                order: Column | None = None) -> DataFrame:
+                *, order: Column) -> DataFrame:
     """Choose the text of every page. ``quality`` is the document's text-layer quality (nullable).
 
     ``embedded``: doc_id, page_num, text (+ quality inputs). ``ocr``: doc_id, page_num, full_text,
-    avg_confidence, error; rows with an error do not count. Of several rows of a page the last by ``order`` wins
-    (without an order, the most confident one).
+    avg_confidence, error; rows with an error do not count. Of several rows of a page the last by ``order`` (when
+    it was read) wins, of equally late ones the most confident.
     """
-    rank = F.struct(*([order] if order is not None else []), "avg_confidence", "full_text")
+    rank = F.struct(order, "avg_confidence", "full_text")
     usable = (
         ocr.filter(F.coalesce(F.col("error"), F.lit("")) == "")
         .groupBy("doc_id", "page_num")

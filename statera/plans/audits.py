@@ -5,14 +5,17 @@ Assistant turns are the answers, the other turns of their conversation the sourc
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.domains import GERMAN
-from ..functions.rows import exploded
+from ..functions.rows import exploded, union_rows
 from ..functions.text import tokens
 from ..functions.vectors import jaccard
 from ..operators import audit, citations, lineage, sentences
+from ..session import shared_dir, stored
 from ..sources import store
 from .catalog import lit, query, sql_strip, sql_tokens, sql_words, table, texts
 from .corpus import LOG_SQL, log_table, sql_answer
@@ -188,6 +191,49 @@ def audit_batch(spark, sf):
     return _flat(audits(spark, sf))
 
 
+# Answers and sources that reach every outcome: of every three conversations one is quoted sentence by sentence and
+# cites five times, one has its whole answer as a source, one is as it is. Some have no source, some no sentence.
+LABELLED = AUDIT.replace(
+    "from conversations where role = 'assistant'),\n    st",
+    "from (select conv_id, turn, role, case when conv_id % 11 = 0 then '' when conv_id % 3 = 0 then text || ' (1) (2) (3) (4) (5)' else text end as text from conversations) where role = 'assistant'),\n    st",
+).replace(
+    "src as (select conv_id, turn as source_id, text, 1.0 / (1 + turn) as score from conversations where role <> 'assistant')",
+    """src as (select * from (
+        select conv_id, turn as source_id, text, 1.0 / (1 + turn) as score from conversations where role <> 'assistant' and conv_id % 3 = 2
+        union all select conv_id, 1000 * turn + i, sentence, 1.0 from st where conv_id % 3 = 0
+        union all select conv_id, turn, text, 0.9 from a where conv_id % 3 = 1) where conv_id % 7 <> 0)""",
+)
+
+
+def _labelled(spark, sf):
+    mod = F.col("conv_id") % 3
+    made = F.when(F.col("conv_id") % 11 == 0, "").when(mod == 0, F.concat("text", F.lit(" (1) (2) (3) (4) (5)"))).otherwise(F.col("text"))
+    a = answers(spark, sf).withColumn("text", made)
+    quoted = sentences.analyze_answers(a.filter(mod == 0), KEYS, "text", GERMAN, REFS)
+    quoted = exploded(quoted, KEYS, F.col("sentences"), "i", "text").select(
+        "conv_id", (1000 * F.col("turn") + F.col("i")).alias("source_id"), "text", F.lit(1.0).alias("score")
+    )
+    whole = a.filter(mod == 1).select("conv_id", F.col("turn").alias("source_id"), "text", F.lit(0.9).alias("score"))
+    return a, union_rows(sources(spark, sf).filter(mod == 2), quoted, whole).filter("conv_id % 7 <> 0")
+
+
+@query("e9_all_outcomes", LABELLED + f"select {AUDIT_COLUMNS} from r")
+def all_outcomes(spark, sf):
+    """Verified, Review and Rejected answers, and both errors."""
+    return _flat(audit.audit_batch(*_labelled(spark, sf), "conv_id", KEYS, "text", GERMAN, REFS, threshold=T))
+
+
+@query(
+    "e9_outcome_counts",
+    LABELLED + f"select {LABEL} as trust_label, coalesce(error, '') as error, count(*) as n, round(avg(conf), 6) as confidence from r group by all",
+)
+def outcome_counts(spark, sf):
+    out = audit.audit_batch(*_labelled(spark, sf), "conv_id", KEYS, "text", GERMAN, REFS, threshold=T)
+    return out.groupBy("trust_label", F.coalesce("error", F.lit("")).alias("error")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence_score"), 6).alias("confidence")
+    )
+
+
 # The second round's sources are the user turns only, with a full retrieval score.
 WIDER = AUDIT.replace("1.0 / (1 + turn) as score from conversations where role <> 'assistant'", "1.0 as score from conversations where role = 'user'")
 
@@ -224,6 +270,35 @@ def append_verifications(spark, sf):
     )
 
 
+@query(
+    "a18_whole_log_rows",
+    AUDIT + f"""select conv_id || '-' || turn as verification_id, a.text as answer_text, answer_hash, total_sentences::bigint as answer_sentences, source_count::bigint as source_count,
+      round(conf, 6) as confidence_score, {LABEL} as trust_label, 'conversations' as origin, (total_sentences * 3)::bigint as duration_ms,
+      (select count(distinct text) from src where src.conv_id = r.conv_id)::bigint as fingerprints, error
+      from r join a using (conv_id, turn)""",
+)
+def whole_log_rows(spark, sf):
+    """Log rows and the links to their sources, appended to a store in two batches and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/verifications-{uuid.uuid4().hex}"
+    done = audits(spark, sf)
+    made = store.verification_rows(
+        done, KEYS, F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(days=(F.col("conv_id") % 3).cast("int")),
+        metadata=F.create_map(F.lit("origin"), F.lit("conversations")), duration_ms=F.col("total_sentences") * 3,
+    )
+    made = stored(made)
+    used = store.verification_links(done, KEYS, audit.source_fingerprints(sources(spark, sf), "conv_id"), "conv_id")
+    odd = F.crc32("verification_id") % 2 == 1
+    for part in (odd, ~odd):
+        store.append_verifications(made.filter(part), path, used.filter(part))
+    log, links = store.read_verifications(spark, path)
+    n = links.groupBy("verification_id").agg(F.count_distinct("source_hash").alias("fingerprints"))
+    out = log.join(n, "verification_id", "left").select(
+        "verification_id", "answer_text", "answer_hash", "answer_sentences", "source_count", F.round("confidence_score", 6).alias("confidence_score"),
+        "trust_label", F.col("metadata")["origin"].alias("origin"), "duration_ms", F.coalesce("fingerprints", F.lit(0)).alias("fingerprints"), "error",
+    )
+    return long(out, "answer_sentences", "source_count", "duration_ms", "fingerprints")
+
+
 @query(
     "a21_export_fingerprints",
     "select conv_id, turn as source_id, sha256(text) as source_hash, left(sha256(text), 16) as fingerprint from conversations where role <> 'assistant'",
@@ -422,7 +497,12 @@ def fingerprint_by_hash(spark, sf):
 
 @query("f4_verification_page", f"select verification_id, created_at from {LOG_SQL} order by created_at desc, verification_id limit 100 offset 50")
 def verification_page(spark, sf):
-    return lineage.newest_page(log_table(spark, sf).select("verification_id", "created_at"), "created_at", "verification_id", 100, 50)
+    """The page behind the fiftieth row, by that row and not by counting."""
+    log = log_table(spark, sf).select("verification_id", "created_at")
+    before = lineage.page_after(log, "created_at", "verification_id", None, 50).collect()
+    if len(before) < 50:
+        return log.limit(0)
+    return lineage.page_after(log, "created_at", "verification_id", (before[-1]["created_at"], before[-1]["verification_id"]), 100)
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rows import union_rows
 from ..operators import pages, quality, similarity
 from .catalog import query, sql_strip, table
 from .retrieval import QUERIES, SCORE, _store, label_means
@@ -34,11 +35,11 @@ def ocr_pages(spark, sf):
         F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page_num"),
         F.concat(F.lit("ocr "), "o_orderkey").alias("full_text"), (F.col("o_totalprice") / 500000.0).alias("avg_confidence"),
         (F.col("o_totalprice") % 100).alias("typed_text_pct"), (100 - F.col("o_totalprice") % 100).alias("handwritten_text_pct"),
-        F.when(F.col("o_orderstatus") == "P", "timeout").alias("error"),
+        F.when(F.col("o_orderstatus") == "P", "timeout").alias("error"), F.lit(1).alias("read_at"),
     )
 
 
-def merged_pages(spark, sf):
+def merged_pages(spark, sf, ocr=None):
     segment = F.col("c_mktsegment")
     raw = (
         F.when(segment == "AUTOMOBILE", "Excellent").when(segment == "BUILDING", "good")
@@ -48,7 +49,7 @@ def merged_pages(spark, sf):
     embedded = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page_num"), F.concat(F.lit("p"), "o_orderkey").alias("text")
     )
-    return pages.merge_pages(embedded.join(quality_of, "doc_id"), ocr_pages(spark, sf), F.col("quality"))
+    return pages.merge_pages(embedded.join(quality_of, "doc_id"), ocr_pages(spark, sf) if ocr is None else ocr, F.col("quality"), order=F.col("read_at"))
 
 
 @query("d9_merge_pages", f"select doc_id, page_num, text, source, round(confidence, 6) as confidence, reason from ({MERGED})")
@@ -56,6 +57,30 @@ def merge_pages(spark, sf):
     return merged_pages(spark, sf).withColumn("confidence", F.round("confidence", 6))
 
 
+# Every third page was read a second time, with less confidence and, every ninth, with an error.
+AGAIN = f"""(select doc_id, page_num, full_text, avg_confidence, typed_text_pct, handwritten_text_pct, error from (
+    select *, 1 as read_at from {OCR}
+    union all select doc_id, page_num, 'late ' || page_num, avg_confidence / 2, typed_text_pct, handwritten_text_pct, case when page_num % 9 = 0 then 'timeout' end, 2
+    from {OCR} where page_num % 3 = 0)
+    where error is null qualify row_number() over (partition by doc_id, page_num order by read_at desc) = 1)"""
+
+
+@query(
+    "d9_last_reading",
+    f"select doc_id, page_num, text, source, round(confidence, 6) as confidence from ({MERGED.replace(f'left join {OCR} o', f'left join {AGAIN} o')})",
+)
+def last_reading(spark, sf):
+    first = ocr_pages(spark, sf)
+    late = first.filter("page_num % 3 = 0").withColumns(
+        {
+            "full_text": F.concat(F.lit("late "), "page_num"), "avg_confidence": F.col("avg_confidence") / 2, "read_at": F.lit(2),
+            "error": F.when(F.col("page_num") % 9 == 0, "timeout"),
+        }
+    )
+    out = merged_pages(spark, sf, union_rows(first, late))
+    return out.select("doc_id", "page_num", "text", "source", F.round("confidence", 6).alias("confidence"))
+
+
 @query(
     "e26_merge_report",
     f"""select doc_id, count(*) as total_pages, count(*) filter (source = 'embedded') as embedded, count(*) filter (source = 'ocr') as ocr, 0::bigint as hybrid,

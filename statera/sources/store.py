@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash, point_id
@@ -84,11 +84,14 @@ def result_projection(hits: DataFrame, metadata: list[str]) -> DataFrame:
     )
 
 
-def verification_rows(audits: DataFrame, ids: list[str], created_at: Column, links: DataFrame | None = None) -> DataFrame:
-    """Log rows of audits: flat columns, valid, not retried unless the audit says so."""
+def verification_rows(audits: DataFrame, ids: list[str], created_at: Column, text: str = "text", metadata: Column | None = None,
+                      duration_ms: Column | None = None) -> DataFrame:
+    """Whole log rows of audits: the answer's text and hash, its scores, what was said about the run, valid, not retried
+    unless the audit says so. The sources an audit used are link rows, see ``verification_links``."""
     out = audits.select(
         F.concat_ws("-", *ids).alias("verification_id"),
         created_at.alias("created_at"),
+        F.col(text).alias("answer_text"),
         "answer_hash",
         F.col("total_sentences").cast("long").alias("answer_sentences"),
         "has_citations", "citations",
@@ -100,12 +103,33 @@ def verification_rows(audits: DataFrame, ids: list[str], created_at: Column, lin
         F.lit(True).alias("is_valid"),
         F.lit(None).cast("timestamp").alias("invalidated_at"),
         "error",
+        (F.lit(None) if metadata is None else metadata).cast("map<string,string>").alias("metadata"),
+        (F.lit(None) if duration_ms is None else duration_ms).cast("long").alias("duration_ms"),
     )
     return out
 
 
-def append_verifications(rows: DataFrame, path: str) -> None:
-    rows.withColumn("log_date", F.to_date("created_at")).write.mode("append").partitionBy("log_date").parquet(path)
+def verification_links(audits: DataFrame, ids: list[str], fingerprints: DataFrame, key: str) -> DataFrame:
+    """One row for every audit and source text it was judged by: verification_id, source_hash. ``fingerprints`` has the key
+    that audits share with their sources; sources with equal texts are one link."""
+    used = fingerprints.select(key, "source_hash").distinct()
+    return audits.select(key, F.concat_ws("-", *ids).alias("verification_id")).join(used, key).select("verification_id", "source_hash")
+
+
+def append_verifications(rows: DataFrame, path: str, links: DataFrame | None = None) -> None:
+    """Append log rows, by the day they were made, and their links beside them, by the hash's first two digits: a change of
+    a source reads one partition of the links."""
+    base = path.rstrip("/")
+    rows.withColumn("log_date", F.to_date("created_at")).write.mode("append").partitionBy("log_date").parquet(f"{base}/log")
+    if links is not None:
+        links.withColumn("part", F.substring("source_hash", 1, 2)).write.mode("append").partitionBy("part").parquet(f"{base}/links")
+
+
+def read_verifications(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Log rows and link rows as appended."""
+    base = path.rstrip("/")
+    log = spark.read.parquet(f"{base}/log").drop("log_date")
+    return log, spark.read.parquet(f"{base}/links").drop("part")
 
 
 def query_log_rows(queries: DataFrame, ts: str, query: str, response: str, passthrough: list[str]) -> DataFrame:

@@ -127,7 +127,7 @@ def test_siblings_and_context(spark, tree):
 def test_page_rules(spark, quality_, conf, error, source, confidence, reason):
     emb = spark.createDataFrame([(1, 1, "E", quality_)], "doc_id int, page_num int, text string, q string")
     ocr = spark.createDataFrame([(1, 1, "O", conf, error)], "doc_id int, page_num int, full_text string, avg_confidence double, error string")
-    r = pages.merge_pages(emb, ocr, F.col("q")).first()
+    r = pages.merge_pages(emb, ocr, F.col("q"), order=F.lit(1)).first()
     assert (r["source"], r["confidence"], r["reason"], r["text"]) == (source, confidence, reason, "O" if source == "ocr" else "E")
 
 
