@@ -254,6 +254,28 @@ def audit_with_retry(spark, sf):
     return out.select(*KEYS, F.col("retry_attempts").cast("long").alias("retry_attempts")).join(flat, KEYS)
 
 
+# The third round's sources are the answers themselves.
+WIDEST = AUDIT.replace("1.0 / (1 + turn) as score from conversations where role <> 'assistant'", "1.0 as score from conversations where role = 'assistant'")
+
+
+@query(
+    "e10_two_retries",
+    f"""with first as ({AUDIT} select {AUDIT_COLUMNS} from r), second as ({WIDER} select {AUDIT_COLUMNS} from r), third as ({WIDEST} select {AUDIT_COLUMNS} from r),
+    low as (select conv_id, turn from ({AUDIT} select conv_id, turn from r where conf < 0.6)),
+    lower as (select w.conv_id, w.turn from ({WIDER} select conv_id, turn from r where conf < 0.6) w join low using (conv_id, turn))
+    select *, 0::bigint as retry_attempts from first where (conv_id, turn) not in (select (conv_id, turn) from low)
+    union all select *, 1::bigint from second where (conv_id, turn) in (select (conv_id, turn) from low) and (conv_id, turn) not in (select (conv_id, turn) from lower)
+    union all select *, 2::bigint from third where (conv_id, turn) in (select (conv_id, turn) from lower)""",
+)
+def two_retries(spark, sf):
+    c = table(spark, sf, "conversations")
+    of = lambda role: c.filter(F.col("role") == role).select("conv_id", F.col("turn").alias("source_id"), "text", F.lit(1.0).alias("score"))
+    out = audit.audit_with_retry(
+        answers(spark, sf), [sources(spark, sf), of("user"), of("assistant")], "conv_id", KEYS, "text", GERMAN, REFS, threshold=T
+    )
+    return out.select(*KEYS, F.col("retry_attempts").cast("long").alias("retry_attempts")).join(_flat(out), KEYS)
+
+
 @query(
     "a18_append_verifications",
     AUDIT + f"""select conv_id || '-' || turn as verification_id, answer_hash, total_sentences::bigint as answer_sentences, v::bigint as verified_sentences,

@@ -135,12 +135,27 @@ def normalize_case_records(spark, sf):
               'x/law/s' || page_id as url, 'S' || page_id as law from pages) where length(text) >= 50""",
 )
 def normalize_law_records(spark, sf):
+    return records.normalize_law_records(law_records(spark, sf), "x").select("doc_id", "title", "text", "url", "law")
+
+
+_REASON = "case when length(text) = 0 then 'no text' else 'fewer than 50 characters' end as reason"
+
+
+@query(
+    "a8_rejected_records",
+    f"""select doc_id, {_REASON} from (select 's' || page_id as doc_id, case when page_id % 5 = 0 then url else {NODES} end as text from pages) where length(text) < 50""",
+)
+def rejected_law_records(spark, sf):
+    return records.rejected_records(law_records(spark, sf), "law")
+
+
+def law_records(spark, sf):
     p = texts(spark, sf, "pages").select(
         F.col("page_id").cast("string").alias("id"), F.concat(F.lit("s"), "page_id").alias("slug"), F.col("url").alias("title"),
         F.lit(None).cast("string").alias("abbreviation"), F.when(F.col("page_id") % 5 != 0, F.col("html")).otherwise("").alias("content"),
         F.col("url").alias("text"), F.lit("2023-01-01").alias("latest_date"),
     )
-    return records.normalize_law_records(p, "x").select("doc_id", "title", "text", "url", "law")
+    return p
 
 
 @query(
@@ -150,6 +165,21 @@ def normalize_law_records(spark, sf):
        where length(text) >= 50""",
 )
 def normalize_court_records(spark, sf):
+    return records.normalize_court_records(court_records(spark, sf), "x").select("doc_id", "title", "text", "url")
+
+
+@query(
+    "a9_rejected_records",
+    f"""select doc_id, {_REASON} from (select 'BGH-X-' || doc_id as doc_id,
+          case when lang <> 'en' then 'Leitsatz: ' || lang else '' end || case when lang <> 'en' and coalesce(text, '') <> '' then chr(10) || chr(10) else '' end
+          || case when coalesce(text, '') <> '' then chr(10) || chr(10) || text else '' end as text from documents)
+       where length(text) < 50""",
+)
+def rejected_court_records(spark, sf):
+    return records.rejected_records(court_records(spark, sf), "court")
+
+
+def court_records(spark, sf):
     d = table(spark, sf, "documents").select(
         F.lit("BGH").alias("court"), F.lit("").alias("aktenzeichen"), F.concat(F.lit("X/"), "doc_id").alias("id"),
         F.when(F.col("lang") == "en", F.col("source")).otherwise("").alias("title"),
@@ -157,7 +187,7 @@ def normalize_court_records(spark, sf):
         F.lit(None).cast("string").alias("text"), F.col("text").alias("volltext"),
         F.lit("2024-01-01").alias("datum"), F.lit(None).cast("string").alias("date"), F.lit("").alias("url"),
     )
-    return records.normalize_court_records(d, "x").select("doc_id", "title", "text", "url")
+    return d
 
 
 def messages(spark, sf):
