@@ -39,7 +39,7 @@ SIDE, OTHER = 2048, 8192
 #: Shares of the shingles (one in so many) whose tiles are compared, one share after the other; the last is all.
 SHARES = (256, 32, 1)
 #: Rounds over the tiles of all shingles in which only the best pair of every set counts; after them every pair does.
-BEST_ROUNDS = 3
+BEST_ROUNDS = 2
 #: Ids that may be broadcast (8 bytes each).
 IDS = 500_000
 
@@ -164,21 +164,26 @@ def band_of(n: Column, like: Likeness) -> Column:
     return F.floor(F.log(n.cast("double")) / like.band + 1e-9).cast("int")
 
 
-def shared_entries(sets: DataFrame) -> DataFrame:
-    """(gram, set, n) of rare shingles that two sets or more have; of shingles with the same sets, told by their number
+def shared_entries(sets: DataFrame, like: Likeness) -> DataFrame:
+    """(gram, set, n, lead) of rare shingles that two sets or more have, one of them with the shingle among the first by
+    which a set finds those as large or larger (``lead``). Of shingles with the same sets, told by their number
     and the sum of their hashes without carry, the least one. The counting is a partial aggregation and the join has
     one row per shingle on one side: a shingle of very many sets is no group."""
-    grams = sets.select(F.explode("rare").alias("gram"), "set", "n")
-    groups = grams.groupBy("gram").agg(F.count("*").cast("int").alias("k"), F.bit_xor(F.xxhash64("set")).alias("who")).filter("k > 1")
+    # The smaller set of a link has more than its share in common, 2 p / (100 + p), so its shared shingle is among fewer.
+    first = F.col("n") - F.ceil(2 * like.percent * F.col("n") / (100 + like.percent) - 1e-9) + 1
+    grams = sets.select(F.posexplode("rare").alias("at", "gram"), "set", "n").select("gram", "set", "n", (F.col("at") < first).alias("lead"))
+    groups = grams.groupBy("gram").agg(
+        F.count("*").cast("int").alias("k"), F.bit_xor(F.xxhash64("set", "lead")).alias("who"), F.max("lead").alias("led")
+    ).filter("k > 1 and led")
     kept = groups.groupBy("k", "who").agg(F.min("gram").alias("gram")).select("gram")
-    return grams.join(kept, "gram").select("gram", "set", "n")
+    return grams.join(kept, "gram").select("gram", "set", "n", "lead")
 
 
 def tiled(entries: DataFrame, like: Likeness) -> DataFrame:
     """Every entry in the tile of its set's band and in the next one, ``own`` in the first."""
     band = band_of(F.col("n"), like)
     tiles = F.array(F.struct(band.alias("tile"), F.lit(True).alias("own")), F.struct((band + 1).alias("tile"), F.lit(False).alias("own")))
-    return entries.select("gram", F.explode(tiles).alias("t"), "set", "n").select("gram", "t.tile", "t.own", "set", "n")
+    return entries.select("gram", F.explode(tiles).alias("t"), "set", "n", "lead").select("gram", "t.tile", "t.own", "set", "n", "lead")
 
 
 def _within(a: Column, b: Column, like: Likeness) -> Column:
@@ -258,13 +263,14 @@ def open_tiles(entries: DataFrame, roots: DataFrame) -> DataFrame:
     most frequent one (``major``)."""
     marked = join_stored(entries, roots.select(F.col("node").alias("set"), "root"), ["set"], few=roots.limit(IDS + 1).count() <= IDS)
     marked = marked.withColumn("root", F.coalesce("root", "set"))
-    sizes = marked.groupBy("gram", "tile", "root").agg(F.count("*").alias("k"), F.max("own").alias("own"))
+    sizes = marked.groupBy("gram", "tile", "root").agg(F.count("*").alias("k"), F.max("own").alias("own"), F.max("lead").alias("led"))
     tiles = sizes.groupBy("gram", "tile").agg(
-        F.count("*").alias("roots"), F.max("own").alias("owned"), F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("most")
-    ).filter("roots > 1 and owned")
+        F.count("*").alias("roots"), F.max("own").alias("owned"), F.max("led").alias("led"), F.sum("k").alias("all"),
+        F.max(F.struct("k", "root")).alias("most"),
+    ).filter("roots > 1 and owned and led")
     out = marked.join(tiles, ["gram", "tile"])
     return out.select(
-        "gram", "tile", "own", "set", "n", "root", (F.col("root") == F.col("most.root")).alias("major"), "all",
+        "gram", "tile", "own", "set", "n", "lead", "root", (F.col("root") == F.col("most.root")).alias("major"), "all",
         (F.col("all") - F.col("most.k")).alias("rest"),
     )
 
@@ -279,7 +285,8 @@ def dealt(tiles: DataFrame) -> DataFrame:
     places = F.concat(F.coalesce(left, F.array().cast("array<struct<side:int,i:int,j:int>>")), right)
     one = F.array(F.struct(F.when(F.col("major"), 1).otherwise(2).alias("side"), F.lit(0).alias("i"), F.lit(0).alias("j")))
     places = F.when((lefts == 1) & (rights == 1), one).otherwise(places)
-    return tiles.select("gram", "tile", "own", "set", "n", "root", "major", F.explode(places).alias("p")).select("gram", "tile", "p.i", "p.j", "p.side", "own", "set", "n", "root", "major")
+    columns = ["own", "set", "n", "lead", "root", "major"]
+    return tiles.select("gram", "tile", *columns, F.explode(places).alias("p")).select("gram", "tile", "p.i", "p.j", "p.side", *columns)
 
 
 def best_pairs(a: np.ndarray, b: np.ndarray, promise: np.ndarray) -> np.ndarray:
@@ -305,6 +312,7 @@ def _block_pairs(block: dict[str, np.ndarray], maps: list[bytes], like: Likeness
         ok = (block["root"][some][:, None] != block["root"][right][None, :]) & (block["own"][some][:, None] | block["own"][right][None, :])
         ok &= block["major"][right][None, :] | (block["set"][some][:, None] < block["set"][right][None, :])
         ok &= 100 * np.minimum(na, nb) >= like.percent * np.maximum(na, nb)
+        ok &= (block["lead"][some][:, None] | (na > nb)) & (block["lead"][right][None, :] | (nb > na))
         i, j = np.nonzero(ok)
         i, j = some[i], right[j]
         for q in range(0, len(i), 1 << 16):
@@ -334,7 +342,7 @@ def tile_pairs(blocks: DataFrame, maps: DataFrame, like: Likeness, best: bool) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, starts in blocks_of(batches, keys):
-            columns = {k: part.column(k).to_numpy() for k in ("side", "own", "set", "n", "root", "major")}
+            columns = {k: part.column(k).to_numpy() for k in ("side", "own", "set", "n", "lead", "root", "major")}
             maps = part.column("bits").to_pylist()
             got = [
                 _block_pairs({k: v[s:e] for k, v in columns.items()}, maps[s:e], like, best)
@@ -353,13 +361,13 @@ def tile_pairs(blocks: DataFrame, maps: DataFrame, like: Likeness, best: bool) -
                 names=["a", "b", "gram", "tile"],
             )
 
-    found = rows.select(*keys, "side", "own", "set", "n", "root", "major", "bits").mapInArrow(run, "a long, b long, gram long, tile int")
+    found = rows.select(*keys, "side", "own", "set", "n", "lead", "root", "major", "bits").mapInArrow(run, "a long, b long, gram long, tile int")
     return found.distinct()
 
 
 def set_links(sets: DataFrame, rows: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """Links (a, b) of sets that give the components of all links."""
-    entries = stored_parquet(shared_entries(sets))
+    entries = stored_parquet(shared_entries(sets, like))
     named = entries.select("set").distinct()
     # Bitmaps of sets without a shared rare shingle are not needed.
     maps = stored_parquet(sets.select("set", "n", "bits").join(named, "set", "left_semi"))
