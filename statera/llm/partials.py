@@ -17,8 +17,8 @@ def packed(values: np.ndarray) -> pa.RecordBatch:
 
 
 def added(rows: DataFrame, width: int) -> np.ndarray:
-    """Sum of all rows of ``packed`` vectors of one width: a few tasks add them up first, so that the driver gets
-    ``MERGERS`` of them however many tasks there were."""
+    """Sum of all rows of ``packed`` vectors of one width: a few tasks add them up and one task their sums, so that the
+    driver gets one vector however many tasks there were."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
@@ -27,7 +27,6 @@ def added(rows: DataFrame, width: int) -> np.ndarray:
                 total += np.frombuffer(v.as_py(), np.int64)
         yield packed(total)
 
-    total = np.zeros(width, np.int64)
-    for r in rows.repartition(MERGERS).mapInArrow(add, "sums binary").collect():
-        total += np.frombuffer(bytes(r.sums), np.int64)
-    return total
+    few = rows.repartition(MERGERS).mapInArrow(add, "sums binary")
+    (one,) = few.repartition(1).mapInArrow(add, "sums binary").collect()
+    return np.frombuffer(bytes(one.sums), np.int64).copy()
