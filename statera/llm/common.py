@@ -15,6 +15,8 @@ from ..session import cut_lineage, shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of this many narrow rows may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 50_000
+#: Narrow rows that one task takes of a counted table.
+PER_TASK = 200_000
 
 
 def col(name: str) -> Column:
@@ -35,6 +37,12 @@ def stored_parquet(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """A stored narrow table in as many partitions as its counted rows need, whatever number it was written in: a
+    small one leaves few shuffle files, a large one keeps its partitions."""
+    return df.coalesce(1 + df.count() // PER_TASK)
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows sorted by integer keys as tables of whole blocks (rows of equal keys), with the first row of each block.
     A block that runs over the end of a batch waits for the next one."""

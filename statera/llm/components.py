@@ -2,10 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import PER_TASK, stored
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links as stars: every node but the least of its component, and that least node."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        least = np.minimum(low[x], low[y])
+        new = low.copy()
+        np.minimum.at(new, low[x], least)
+        np.minimum.at(new, low[y], least)
+        new = new[new]
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    far = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[low[far]], nodes[far]
+
+
+def contracted(links: DataFrame, parts: int) -> DataFrame:
+    """Links with the same components, dealt to ``parts`` tasks of bounded rows, each of which gives its part as stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            low, far = spanning(*(np.concatenate(c) for c in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(far)], names=["a", "b"])
+
+    return links.repartition(parts).mapInArrow(run, "a long, b long")
 
 
 def _pulled(links: DataFrame) -> DataFrame:
@@ -21,13 +57,16 @@ def _both(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b): its component's least node, the root included.
+    """(node, root) for every node (a long) of the links (a, b): its component's least node, the root included.
 
-    A large step links every greater neighbour of a node to the least of its neighbourhood, a small step the
-    node itself and its lesser neighbours; both keep components whole, and together they end in stars.
-    Links to oneself and repeated links do not matter; no links give no rows.
+    First every ``PER_TASK`` links become stars within one task. Then a large step links every greater neighbour of a
+    node to the least of its neighbourhood, a small step the node itself and its lesser neighbours; both keep
+    components whole, and together they end in stars. The links are counted, and each table is held in as many
+    partitions as its rows need. Links to oneself and repeated links do not matter; no links give no rows.
     """
-    now = stored(links.filter("a <> b").select("a", "b").distinct())
+    links = links.filter("a <> b").select("a", "b")
+    parts = 1 + links.count() // PER_TASK
+    now = stored(contracted(links, parts))
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -35,11 +74,11 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = state
         large = _pulled(_both(now)).filter("next > node").select(F.col("low").alias("a"), F.col("next").alias("b"))
-        down = large.filter("a <> b").distinct().select(F.col("b").alias("node"), F.col("a").alias("next"))
+        down = large.filter("a <> b").coalesce(parts).distinct().select(F.col("b").alias("node"), F.col("a").alias("next"))
         small = _pulled(down)
         own = small.select(F.col("low").alias("a"), F.col("node").alias("b"))
         others = small.select(F.col("low").alias("a"), F.col("next").alias("b"))
-        now = stored(own.unionAll(others).filter("a <> b").distinct())
+        now = stored(own.unionAll(others).filter("a <> b").coalesce(parts).distinct().coalesce(parts))
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(
-        now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+        now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct().coalesce(parts)
     )

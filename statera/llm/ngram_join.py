@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, col, join_stored, parts_of, stored, stored_parquet
+from .common import blocks_of, col, join_stored, parts_of, sized, stored, stored_parquet
 from .components import components
 from .partials import added, packed
 
@@ -231,7 +231,7 @@ def bounded(pairs: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
 def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """The pairs of sets that link, by the exact intersection of their arrays. ``rows``: set and row of one
     document each. Arrays are made again from the texts of the sets in pairs, and of no others."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(rows, "set"))
+    wanted = sized(stored(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(rows, "set")))
     few = wanted.limit(IDS + 1).count() <= IDS
     kind = F.broadcast if few else (lambda d: d)
     some = texts.select("row", "text").join(kind(wanted), "row").select("set", "text")
@@ -373,17 +373,17 @@ def set_links(sets: DataFrame, rows: DataFrame, texts: DataFrame, like: Likeness
     maps = stored_parquet(sets.select("set", "n", "bits").join(named, "set", "left_semi"))
     every = tiled(entries, like)
     share_of = lambda k: F.pmod(F.xxhash64("gram"), F.lit(k)) == 0
-    links = verified(stored(bounded(star_pairs(every.filter(share_of(SHARES[1])), like), maps, like)), rows, texts, like)
+    links = sized(verified(sized(stored(bounded(star_pairs(every.filter(share_of(SHARES[1])), like), maps, like))), rows, texts, like))
 
     def compared(tiles: DataFrame, best: bool) -> DataFrame | None:
         """Look into tiles, add what links there; the tiles to look at again."""
         nonlocal links
-        found = stored(tile_pairs(dealt(open_tiles(tiles, stored(components(links)))), maps, like, best))
-        pairs = found.filter("a is not null").select("a", "b")
+        found = stored(tile_pairs(dealt(open_tiles(tiles, sized(stored(components(links))))), maps, like, best))
+        pairs = sized(found.filter("a is not null").select("a", "b"))
         if pairs.isEmpty():
             return None
-        links = stored(links.unionAll(verified(pairs, rows, texts, like)))
-        again = found.filter("gram is not null").select("gram", "tile")
+        links = sized(links.unionAll(verified(pairs, rows, texts, like)))
+        again = sized(found.filter("gram is not null").select("gram", "tile"))
         return None if again.isEmpty() else again
 
     for share in SHARES:

@@ -277,7 +277,9 @@ def test_lines_against_all_pairs(spark, tile):
     assert kept == {d: t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]) for d, t in enumerate(texts)}
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("rows", [16, 200_000])
+def test_components_of_chains_and_stars(spark, monkeypatch, rows):
+    monkeypatch.setattr("statera.llm.components.PER_TASK", rows)
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
     rng.shuffle(pairs)
