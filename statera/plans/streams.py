@@ -23,8 +23,17 @@ DELAY = "10 minutes"
 CLOSED = "window_end <= (select max(ts) - interval 10 minute from events)"
 
 
+def _files(sf: str, name: str) -> str:
+    """A table as the source of a stream, one file or a folder of them: a path with a wildcard may be either."""
+    return f"{sf}/[{name[0]}]{name[1:]}.parquet"
+
+
 def _stream(spark, sf, name: str = "events"):
-    return runs.event_stream(spark, sf, table(spark, sf, name).schema, delay=DELAY, pattern=f"{name}.parquet")
+    return runs.event_stream(spark, _files(sf, name), table(spark, sf, name).schema, delay=DELAY, pattern="*")
+
+
+def _documents(spark, sf):
+    return spark.readStream.schema(table(spark, sf, "documents").schema).parquet(_files(sf, "documents"))
 
 
 def _land(spark, df):
@@ -102,7 +111,7 @@ def prepare(batch):
 )
 def incremental_update(spark, sf):
     base = f"{shared_dir(spark)}/update-{uuid.uuid4().hex}"
-    docs = spark.readStream.schema(table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    docs = _documents(spark, sf)
     runs.incremental_update(docs, prepare, f"{base}/store", f"{base}/checkpoint")
     points = runs.current_points(spark, f"{base}/store", document="doc_id")
     return points.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
@@ -121,7 +130,7 @@ def incremental_update(spark, sf):
 def two_sources(spark, sf):
     """All documents by one stream, then the German ones again, cut short, by a second one with its own checkpoint."""
     base = f"{shared_dir(spark)}/update-{uuid.uuid4().hex}"
-    docs = spark.readStream.schema(table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    docs = _documents(spark, sf)
     runs.incremental_update(docs, prepare, f"{base}/store", f"{base}/first")
     short = docs.filter("lang = 'de'").withColumn("text", F.substring("text", 1, 900))
     runs.incremental_update(short, prepare, f"{base}/store", f"{base}/second")
@@ -144,7 +153,7 @@ def removed_documents(spark, sf):
     """All documents, then the German ones again with a text too short for a chunk and the French ones as removed, then
     those of one source taken out by their ids: what is left is the rest."""
     base = f"{shared_dir(spark)}/update-{uuid.uuid4().hex}"
-    docs = spark.readStream.schema(table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    docs = _documents(spark, sf)
     gone = F.lit(False)
     runs.incremental_update(docs.withColumn("gone", gone), prepare, f"{base}/store", f"{base}/first", document="doc_id")
     again = docs.filter("lang in ('de', 'fr')").withColumn("text", F.when(F.col("lang") == "de", "short").otherwise(F.col("text")))

@@ -242,3 +242,15 @@ def test_dedupe_within_the_watermark(spark):
     s = runs.event_stream(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema)
     runs.run_available(runs.dedupe_stream(s, ["h"]), f"{base}/out", f"{base}/check")
     assert sorted(r["h"] for r in spark.read.parquet(f"{base}/out").collect()) == ["x", "y"]
+
+
+@pytest.mark.parametrize("name", ["j9_incremental_update", "j9_two_sources", "j9_removed_documents", "j1_request_rate_stream"])
+def test_streams_read_tables_that_are_folders(spark, sf, name):
+    from statera.plans import load
+
+    base = tempfile.mkdtemp(prefix="spark-")
+    for t in ("documents", "events"):
+        spark.read.parquet(f"{sf}/{t}.parquet").repartition(3).write.parquet(f"{base}/{t}.parquet")
+    run = load()[name].run
+    got, want = run(spark, base), run(spark, sf)
+    assert want.count() > 0 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
