@@ -106,7 +106,7 @@ LOW_SQL = f"""select window_start, window_end, scored, low, round(low / scored,
     select window_start, window_end, count(value) as scored, count(*) filter (value <= 20) as low from {W15} group by all)"""
 VERY_LOW_SQL = f"""select window_start, window_end, scored, low, round(low / scored, 6) as low_share, low / scored > 0.15 as firing from (
     select window_start, window_end, count(value) as scored, count(*) filter (value <= 5) as low from {W5} group by all)"""
-# A window of these tables holds fewer values than a sketch has room for, so its quantiles are exact order statistics.
+# Exact order statistics, however many values a window holds.
 SKETCH_SQL = f"""select window_start, window_end, count(value) as measured, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99
     from {W5} group by all"""
 LABEL_SQL = "select date_trunc('hour', ts) as window_start, date_trunc('hour', ts) + interval 1 hour as window_end, event_type, count(*) as n from events group by all"

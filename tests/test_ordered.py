@@ -127,3 +127,20 @@ def test_empty_profile(spark):
     df = spark.createDataFrame([], "x double, ok boolean, ts timestamp")
     r = latency.latency_profile(df, "x", F.col("ok"), "ts").first()
     assert r["total_requests"] == 0 and r["latency_p95"] == 0.0
+
+
+def test_window_quantiles_are_exact_beyond_the_entries_of_a_sketch(spark):
+    rng = random.Random(5)
+    rows = [(i % 540, None if i % 11 == 0 else float(rng.randint(0, 5000))) for i in range(9000)] + [(7200, None)]
+    df = spark.createDataFrame(rows, "s long, v double").withColumn("ts", F.timestamp_seconds("s")).repartition(5)
+    got = {r["w"]: (r["measured"], r["p50"], r["p95"], r["p99"]) for r in latency.sketched_quantiles(df, "v").withColumn("w", F.unix_timestamp("window_start")).collect()}
+    for start in range(-240, 541, 60):
+        held = sorted(v for s, v in rows if start <= s < start + 300 and v is not None)
+        at = [held[-(-len(held) * q // 100) - 1] for q in (50, 95, 99)] if held else [None] * 3
+        if any(start <= s < start + 300 for s, _ in rows):
+            assert got[start] == (len(held), *at)
+    assert got[7200] == (0, None, None, None) and max(g[0] for g in got.values()) > 4000
+    plain = latency.sketched_quantiles(df, "v", slide=None).collect()
+    assert any(r["measured"] > 4000 for r in plain) and all((r["p50"] is None) == (r["measured"] == 0) for r in plain)
+    rough = latency.sketched_quantiles(df, "v", k=latency.SKETCH_K).filter("measured > 4000").collect()
+    assert rough and all(2300 < r["p50"] < 2700 for r in rough)
