@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rows import union_rows
+from ..functions.rows import bounded_batches, union_rows
 
 
 def _blocks_of(left: DataFrame, right: DataFrame, key: str, block: int, sizes: DataFrame | None) -> DataFrame:
@@ -71,7 +71,7 @@ Kernel = Callable[[list, list], Iterator[tuple]]
 
 
 def run_kernel(cell_rows: DataFrame, kernel: Kernel, schema: T.StructType) -> DataFrame:
-    """Apply ``kernel(lefts, rights)`` to every cell; many small cells share one Arrow batch."""
+    """Apply ``kernel(lefts, rights)`` to every cell; many small cells share one Arrow batch, large ones are few to a batch."""
     names = [f.name for f in schema.fields]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,7 +86,7 @@ def run_kernel(cell_rows: DataFrame, kernel: Kernel, schema: T.StructType) -> Da
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return cell_rows.select("lefts", "rights").mapInPandas(work, schema)
+    return bounded_batches(cell_rows).select("lefts", "rights").mapInPandas(work, schema)
 
 
 def best_k(df: DataFrame, left_ids: list[str], right_id: str, k: int | None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ids import content_hash
-from ..functions.rows import exploded, union_rows
+from ..functions.rows import bounded_batches, exploded, union_rows
 from ..functions.text import strip, tokens
 from .blocks import _top, best_k, match_vectors, unit_rows
 
@@ -142,7 +142,7 @@ def match_chunks(queries: DataFrame, chunks: DataFrame, threshold: float = 0.7,
 def encode(df: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]], np.ndarray]],
            out: str = "vec", prefix: str | None = None) -> DataFrame:
     """Add a vector per row; rows with empty text are dropped. ``encoder`` builds the model once per task."""
-    kept = df.filter(strip(F.col(text)) != "")
+    kept = bounded_batches(df).filter(strip(F.col(text)) != "")
     schema = T.StructType(kept.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rows import union_rows
+from ..functions.rows import bounded_batches, union_rows
 from ..operators.chunking import paragraph_chunks
 from ..sources.files import _exists, append_stage, write_stage
 from ..sources.store import latest_per_id
@@ -153,7 +153,7 @@ def guarded_chunks(df: DataFrame, text: str = "text", size: int = 800, overlap:
                 errors.append(f"{type(e).__name__}: {e}")
         return pd.DataFrame({"chunks": chunks, "error": errors})
 
-    out = df.withColumn("_g", run(F.col(text)))
+    out = bounded_batches(df).withColumn("_g", run(F.col(text)))
     return out.withColumn("_chunks", F.col("_g.chunks")).withColumn("error", F.col("_g.error")).drop("_g")
 
 

@@ -147,3 +147,36 @@ def test_cache_encodes_misses_only(spark):
     ).select("text_hash", "vec")
     rows = {r["text"]: r["hit"] for r in similarity.encode_with_cache(texts, "text", cache, build).collect()}
     assert rows == {"a": True, "b": False, "c": False} and calls.value == 2
+
+
+def test_python_is_handed_few_bytes_at_once(spark):
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from statera.functions.rows import BATCH_BYTES, bounded_batches
+    from statera.operators.blocks import run_kernel
+
+    rows = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("x"), 5000).alias("text"))
+
+    def most(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    seen = [r.n for r in bounded_batches(rows).mapInPandas(most, "n long").collect()]
+    assert sum(seen) == 4000 and max(seen) <= 2 * BATCH_BYTES // 5000
+    one = F.array(F.struct("id", "text"))
+    cells = rows.select(one.alias("lefts"), one.alias("rights"))
+    sizes = run_kernel(cells, lambda a, b: iter([(a[0]["id"],)]), T.StructType([T.StructField("id", T.LongType())]))
+    assert sizes.distinct().count() == 4000
+
+
+def test_sections_that_need_no_cut_stay_out_of_python(spark):
+    from statera.operators import sections
+
+    df = spark.createDataFrame([(1, "<h1>short<p>" + "word. " * 200 + "<b>x"), (2, "<h1>a<p>b"), (3, None)], "id long, html string")
+    out = sections.number_chunks(df, "id", F.col("html"), sections.PAGE_MARKERS, 300, 50)
+    got = [(r.id, r.position, r.section_id, r.is_split) for r in out.orderBy("id", "position").collect()]
+    assert got[0] == (1, 0, "<h1>", False) and got[-1] == (2, 1, "<p>", False) and [g[1] for g in got[:-2]] == list(range(len(got) - 2))
+    assert sum(g[3] for g in got) > 3
+    sent = df.select(sections.split_sections(F.array("html"), 2000).alias("p")).collect()
+    assert [r.p for r in sent] == [None] * 3
