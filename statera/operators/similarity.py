@@ -21,6 +21,7 @@ from .blocks import _top, best_k, match_vectors, unit_rows
 
 QUERY_BYTES = 64 << 20  # the query side is sent to every task only below this size
 QUERY_ROWS = 4096
+SCORE_CELLS = 1 << 21  # scores that a task holds at once
 
 
 def payload_filter(df: DataFrame, filters: dict | None) -> DataFrame:
@@ -98,10 +99,10 @@ def _scanned(head: list, queries: DataFrame, store: DataFrame, k: int, match_on:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         best: dict = {}
-        for pdf_or_batch in batches:
-            table = pdf_or_batch
-            if table.num_rows == 0:
-                continue
+        # The worst score of a full list: rows below it change nothing.
+        floors = {g: np.full(len(qids), -np.inf) for g, (_, qids) in shared.value.items()}
+        step = max(1, SCORE_CELLS // max((len(qids) for _, qids in shared.value.values()), default=1))
+        for table in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
             ids_all = table.column(0).to_numpy(zero_copy_only=False)
             m_all = _matrix(table.column(1), dim)
             tags = np.array(table.column(2).to_pylist(), dtype=object) if match_on else None
@@ -110,16 +111,18 @@ def _scanned(head: list, queries: DataFrame, store: DataFrame, k: int, match_on:
                 ids, m = ids_all[pick], m_all[pick]
                 if not len(ids):
                     continue
-                scores = np.round(q @ m.T, 9)
-                for i, qid in enumerate(qids):
-                    s, sid = scores[i], ids
-                    if (g, qid) in best:
-                        old_s, old_i = best[(g, qid)]
-                        if len(old_s) >= k and s.max() < old_s[-1]:
-                            continue
-                        s, sid = np.concatenate([old_s, s]), np.concatenate([old_i, sid])
+                scores = q @ m.T
+                lowest = floors[g] - 1e-9  # rounding lifts a score by less
+                for i in np.flatnonzero(np.fmax.reduce(scores, axis=1) >= lowest):
+                    key = (g, qids[i])
+                    at = np.flatnonzero(scores[i] >= lowest[i])
+                    s, sid = np.round(scores[i][at], 9), ids[at]
+                    if key in best:
+                        s, sid = np.concatenate([best[key][0], s]), np.concatenate([best[key][1], sid])
                     at = _top(s, sid, k, None)
-                    best[(g, qid)] = (s[at], sid[at])
+                    best[key] = (s[at], sid[at])
+                    if k is not None and len(at) >= k:
+                        floors[g][i] = best[key][0][-1]
         rows = [(qid, i, sc) for (_, qid), (ss, ii) in best.items() for sc, i in zip(ss, ii)]
         cols = list(zip(*rows)) if rows else [(), (), ()]
         yield pa.RecordBatch.from_arrays(

@@ -28,7 +28,16 @@ TRAIN_ROWS = 1 << 16
 #: Queries of one pass over the index.
 PASS_QUERIES = 4096
 WORDS = 256
-_BATCH = 8192
+#: Numbers that a task holds at once: distances to the centers, scores, candidates of all queries of a pass.
+CELLS = 1 << 20
+
+
+def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Batches of as many rows as give ``CELLS`` numbers of that width; empty ones are left out."""
+    step = max(1, CELLS // max(1, width))
+    for b in batches:
+        for a in range(0, b.num_rows, step):
+            yield b.slice(a, step)
 
 
 @dataclass(frozen=True)
@@ -62,16 +71,20 @@ def lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     """Plain k-means of a bounded sample; an empty cell takes the row that is farthest from its center."""
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
+    step = max(1, CELLS // k)
     for _ in range(rounds):
-        d = (x * x).sum(1)[:, None] - 2 * (x @ centers.T) + (centers * centers).sum(1)[None]
-        label = d.argmin(1)
+        label, least = np.empty(len(x), np.int64), np.empty(len(x))
+        for a in range(0, len(x), step):
+            part = x[a : a + step]
+            d = (part * part).sum(1)[:, None] - 2 * (part @ centers.T) + (centers * centers).sum(1)[None]
+            label[a : a + step], least[a : a + step] = d.argmin(1), d.min(1)
         n = np.bincount(label, minlength=k)
         sums = np.zeros_like(centers)
         np.add.at(sums, label, x)
         centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
         empty = np.flatnonzero(n == 0)
         if len(empty):
-            centers[empty] = x[np.argsort(-d.min(1), kind="stable")[: len(empty)]] if len(x) >= len(empty) else centers[empty]
+            centers[empty] = x[np.argsort(-least, kind="stable")[: len(empty)]] if len(x) >= len(empty) else centers[empty]
     return centers
 
 
@@ -129,26 +142,23 @@ def build_index(store: DataFrame, path: str, id: str = "vec_id", vec: str = "vec
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers, books = sent.value
-        for b in batches:
-            for a in range(0, b.num_rows, _BATCH):
-                some = b.slice(a, _BATCH)
-                x = _rows(some.column(1), dims)
-                near = np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :copies]
-                at = np.repeat(np.arange(len(x)), copies)
-                codes = _encoded(x[at] - centers[near.ravel()], books)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        some.column(0).take(pa.array(at)), pa.array(near[at, 0].astype(np.int32)),
-                        pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(near.ravel().astype(np.int32)),
-                    ],
-                    names=[id, "home", "code", "list"],
-                )
+        for some in _slices(batches, len(centers)):
+            x = _rows(some.column(1), dims)
+            near = np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :copies]
+            at = np.repeat(np.arange(len(x)), copies)
+            codes = _encoded(x[at] - centers[near.ravel()], books)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    some.column(0).take(pa.array(at)), pa.array(near[at, 0].astype(np.int32)),
+                    pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(near.ravel().astype(np.int32)),
+                ],
+                names=[id, "home", "code", "list"],
+            )
 
     def house(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                near = (_rows(b.column(1), dims) @ sent.value[0].T).argmax(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32))], names=[id, "vec", "home"])
+        for b in _slices(batches, len(sent.value[0])):
+            near = (_rows(b.column(1), dims) @ sent.value[0].T).argmax(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32))], names=[id, "vec", "home"])
 
     # Ranges of (list, id) cut a large list into several files.
     placed = rows.mapInArrow(place, f"{kind}, home int, code binary, list int")
@@ -173,13 +183,12 @@ def _code_books(sample: DataFrame, centers: np.ndarray, layout: Layout) -> np.nd
     sent = sample.sparkSession.sparkContext.broadcast(centers)
 
     def residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = _rows(b.column(0), dims)
-                r = (x - sent.value[(x @ sent.value.T).argmax(1)]).reshape(len(x), parts, step)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(parts, dtype=np.int32), len(x))), pa.array(list(r.reshape(-1, step)), pa.list_(pa.float64()))], names=["part", "x"]
-                )
+        for b in _slices(batches, len(sent.value)):
+            x = _rows(b.column(0), dims)
+            r = (x - sent.value[(x @ sent.value.T).argmax(1)]).reshape(len(x), parts, step)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.tile(np.arange(parts, dtype=np.int32), len(x))), pa.array(list(r.reshape(-1, step)), pa.list_(pa.float64()))], names=["part", "x"]
+            )
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.array(sorted(map(tuple, pdf["x"])))  # the order of rows must not matter
@@ -201,6 +210,22 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(path, about.id, len(centers), about.rows, centers, books)
 
 
+def _best_of(held: list[tuple], keep: int, floor: np.ndarray) -> tuple:
+    """Of (queries, ids, homes, scores) the ``keep`` best ids of every query, each once; ``floor`` is lifted to the worst of full lists."""
+    query, ids, home, near = (np.concatenate(c) for c in zip(*held))
+    same = np.unique(ids, return_inverse=True)[1]
+    order = np.lexsort((-near, same, query))
+    q, i = query[order], same[order]
+    order = order[np.r_[True, (q[1:] != q[:-1]) | (i[1:] != i[:-1])][: len(order)]]
+    order = order[np.lexsort((same[order], -near[order], query[order]))]
+    q = query[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    full = order[rank == keep - 1]
+    floor[query[full]] = near[full]
+    order = order[rank < keep]
+    return query[order], ids[order], home[order], near[order]
+
+
 def _candidates(codes: DataFrame, index: Index, q: np.ndarray, probed: np.ndarray, keep: int) -> DataFrame:
     """The ``keep`` rows with the best approximate score for every query, from the lists it opens."""
     spark = codes.sparkSession
@@ -213,23 +238,34 @@ def _candidates(codes: DataFrame, index: Index, q: np.ndarray, probed: np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, base, by_list = sent.value
-        for b in batches:
+        floor = np.full(len(base), -np.inf, np.float32)  # what a row must reach to be among the best of a query
+        held: list[tuple] = []
+        size, kind = 0, None
+        for b in _slices(batches, len(base)):
+            kind = b.column(0).type
+            ids, homes = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
             lists = b.column(3).to_numpy(zero_copy_only=False)
             code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, parts)
-            rows, queries, scores = [], [], []
             for c in np.unique(lists):
+                some = by_list.get(int(c))
+                if some is None:
+                    continue
                 at = np.flatnonzero(lists == c)
-                for one in by_list.get(int(c), ()):
-                    s = base[one, c] + tables[one][np.arange(parts), code[at]].sum(1)
-                    best = np.argpartition(-s, keep - 1)[:keep] if len(s) > keep else np.arange(len(s))
-                    rows.append(at[best])
-                    queries.append(np.full(len(best), one, np.int32))
-                    scores.append(s[best])
-            if rows:
-                at = pa.array(np.concatenate(rows))
+                s = np.repeat(base[some, c][:, None], len(at), axis=1)
+                for p in range(parts):
+                    s += tables[some, p][:, code[at, p]]
+                one, row = np.nonzero(s >= floor[some][:, None])
+                held.append((some[one].astype(np.int32), ids[at[row]], homes[at[row]], s[one, row]))
+                size += len(one)
+                if size > 2 * max(CELLS, len(base) * keep):
+                    held = [_best_of(held, keep, floor)]
+                    size = len(held[0][0])
+        if held:
+            query, id_, home, near = _best_of(held, keep, floor)
+            for a in range(0, len(query), 1 << 16):
+                z = slice(a, a + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(queries)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(scores).astype(np.float64))],
-                    names=["query", id, "home", "near"],
+                    [pa.array(query[z]), pa.array(id_[z], kind), pa.array(home[z]), pa.array(near[z].astype(np.float64))], names=["query", id, "home", "near"]
                 )
 
     open_lists = codes.filter(F.col("list").isin([int(c) for c in by_list])).select(id, "home", "code", "list")
@@ -244,20 +280,23 @@ def probes_of(index: Index, q: np.ndarray, probes: int) -> np.ndarray:
 
 
 def search_index(queries: DataFrame, index: Index, k: int = 5, probes: int | None = None, candidates: int | None = None,
-                 query_id: str = "query_id", vec: str = "vec") -> DataFrame:
+                 query_id: str = "query_id", vec: str = "vec", exact: bool = False) -> DataFrame:
     """Approximate cosine top-k: ``query_id, <id>, score, rank``; scores are exact.
 
     A query opens ``probes`` lists, a quarter of them by default, and has ``candidates`` rows measured, by default 40 a
     result. The query side is a stated set: it is taken in passes of ``PASS_QUERIES``, each of which reads
     the codes of the lists its queries open and the vectors of its candidates. Query ids are unique; queries without a vector
     have no result.
+
+    ``exact`` checks the result: the vectors are read once more a pass, and every one that scores at least as much as the k-th best
+    measured candidate of a query takes its place. Good candidates let few of them through; whatever they are, nothing is missed.
     """
     spark = queries.sparkSession
     probes = probes or max(1, index.lists // 4)
     keep = candidates or 40 * k
     wanted = queries.select(query_id, F.col(vec).alias("vec")).filter(F.col("vec").isNotNull())
     n = wanted.count()
-    passes = max(1, -(-n // PASS_QUERIES))
+    passes = max(1, -(-n // max(1, min(PASS_QUERIES, CELLS // keep))))
     dims = index.centers.shape[1]
     out_type = queries.schema[query_id].dataType
     out = None
@@ -273,7 +312,11 @@ def search_index(queries: DataFrame, index: Index, k: int = 5, probes: int | Non
         vectors = index.vectors(spark).filter(F.col("home").isin(homes))
         # At most ``keep`` rows a query of the pass: a stated bound on what is broadcast.
         hit = vectors.join(F.broadcast(near.select("query", index.id)), index.id)
-        rows = _measured(hit, index.id, q, [r[query_id] for r in part], query_id, out_type)
+        names = [r[query_id] for r in part]
+        if exact:
+            rows = _checked(hit, index.vectors(spark), index.id, q, names, query_id, out_type, k)
+        else:
+            rows = _measured(hit, index.id, q, names, query_id, out_type)
         out = rows if out is None else out.unionAll(rows)
     if out is None:
         id_type = index.vectors(spark).schema[index.id].dataType if index.rows else T.LongType()
@@ -282,6 +325,33 @@ def search_index(queries: DataFrame, index: Index, k: int = 5, probes: int | Non
     return best_k(out, [query_id], index.id, k)
 
 
+def _checked(hits: DataFrame, vectors: DataFrame, id: str, q: np.ndarray, names: list, query_id: str, query_type: T.DataType, k: int) -> DataFrame:
+    """All vectors that score at least what the k-th best hit of a query does."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = hits.sparkSession
+    best = best_k(_measured(hits, id, q, list(range(len(q))), "_q", T.IntegerType()), ["_q"], id, k)
+    floor = np.full(len(q), -np.inf)
+    for r in best.filter(F.col("rank") == k).select("_q", "score").collect():  # one row a query of the pass
+        floor[r["_q"]] = r["score"] - 1e-8  # scores are rounded to nine digits
+    sent = spark.sparkContext.broadcast((q, names, floor))
+    arrow, dims = to_arrow_type(query_type), q.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, names, floor = sent.value
+        for b in _slices(batches, len(q)):
+            x = _rows(b.column(1), dims)
+            one, row = np.nonzero(q @ x.T >= floor[:, None])
+            if len(one):
+                score = np.round((q[one] * x[row]).sum(1), 9)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[i] for i in one], arrow), b.column(0).take(pa.array(row)), pa.array(score)], names=[query_id, id, "score"]
+                )
+
+    schema = T.StructType([T.StructField(query_id, query_type), T.StructField(id, hits.schema[id].dataType), T.StructField("score", T.DoubleType())])
+    return vectors.select(id, "vec").mapInArrow(run, schema)
+
+
 def _measured(hits: DataFrame, id: str, q: np.ndarray, names: list, query_id: str, query_type: T.DataType) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 

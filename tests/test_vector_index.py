@@ -82,3 +82,33 @@ def test_odd_stores(spark):
     ragged = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "vec_id int, vec array<double>")
     with pytest.raises(Exception):
         vector_index.build_index(ragged, folder(spark))
+
+
+def test_checked_search_is_exact_with_few_candidates(spark, built, monkeypatch):
+    store, _, index = built
+    q = spark.createDataFrame(rows(30, 16, 5), "query_id long, vec array<double>")
+    exact = found(similarity.knn(q, store, 5))
+    assert found(vector_index.search_index(q, index, 5, probes=index.lists, candidates=6)) != exact
+    assert found(vector_index.search_index(q, index, 5, probes=1, candidates=6, exact=True)) == exact
+    monkeypatch.setattr(vector_index, "PASS_QUERIES", 7)
+    assert found(vector_index.search_index(q, index, 5, probes=index.lists, candidates=6, exact=True)) == exact
+
+
+def test_best_of_a_task_counts_an_id_once():
+    held = [(np.array([0, 0, 1], np.int32), np.array(["a", "b", "a"], object), np.array([3, 3, 4]), np.array([0.1, 0.5, 0.2], np.float32)),
+            (np.array([0, 0], np.int32), np.array(["a", "c"], object), np.array([3, 3]), np.array([0.4, 0.3], np.float32))]
+    floor = np.full(2, -np.inf, np.float32)
+    query, ids, home, near = vector_index._best_of(held, 2, floor)
+    assert list(zip(query, ids)) == [(0, "b"), (0, "a"), (1, "a")] and floor[0] == np.float32(0.4) and floor[1] == -np.inf
+    assert list(home) == [3, 3, 4] and near[1] == np.float32(0.4)
+
+
+def test_scores_that_end_in_a_tie_are_rounded_as_the_sql_does(spark):
+    import duckdb
+
+    from statera.plans.retrieval import rounded
+
+    ties = [i / 1e7 for i in range(-9999995, 9999995, 70010)]
+    got = [r.score for r in rounded(spark.createDataFrame([(t, 1) for t in ties], "score double, rank int").coalesce(1)).collect()]
+    assert got == [duckdb.execute("select round(?::double, 6)", [t]).fetchone()[0] for t in ties]
+    assert 0.504787 in [r.score for r in rounded(spark.createDataFrame([(0.5047875, 1)], "score double, rank int")).collect()]
