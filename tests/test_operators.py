@@ -198,3 +198,12 @@ def test_expired_mappings_and_used_ones_are_gone(spark):
     m = spark.createDataFrame([(1, now - dt.timedelta(seconds=299)), (2, now - dt.timedelta(seconds=300)), (3, now)], "request_id int, created_at timestamp")
     used = spark.createDataFrame([(3,)], "request_id int")
     assert [r[0] for r in usage.live_mappings(m, used, F.lit(now)).select("request_id").collect()] == [1]
+
+
+def test_links_are_told_apart_before_they_are_hashed(spark, sf):
+    from statera.plans import audits, load
+
+    plan = audits.links(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan.split("Aggregate")[0] and "sha2" not in plan.split("Aggregate")[1]
+    status = load()["d14_verification_status"].run(spark, sf)
+    assert "sha2" not in status._jdf.queryExecution().optimizedPlan().toString()
