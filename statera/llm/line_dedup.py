@@ -6,9 +6,11 @@ within the length filter and pass the positional filter at their first common wo
 bitmaps allow it, are verified on their sorted arrays. A line goes if an earlier line (by document id, then line)
 matches it.
 
-1. Every set of a word's tile is paired with the earliest set that passes the filters; where that is verified the
-   line goes, whatever else it matches.
-2. Only sets that are still there and had more than one such partner are paired with all of them.
+1. The entries of usual words go, as arrays, to buckets of words. Sets that share a word there are compared by length
+   and by parity maps; the most alike earlier partner of a set is verified first, the others only if it fails.
+2. Of frequent words, and of those whose sets are all alike, every set is paired with the earliest set that passes
+   the filters; where that is verified the line goes, whatever else it matches.
+3. Only sets that are still there and had more than one such partner are paired with all of them.
 """
 
 from __future__ import annotations
@@ -18,15 +20,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import bounded_batches
 from .common import blocks_of, col, join_stored, parts_of, stored, stored_parquet
 from .ngram_join import IDS, _mixed, folded
+from .partials import added, packed
 
 BITS_BYTES = 64
 LOOK = 1 << 21
+#: Entries that a task gathers before it deals them to buckets.
+GATHERED = 1 << 19
+#: Pairs for each set of a word from which on the word is dense; bits of the table that marks dense words.
+DENSE = 8
+DENSE_BITS = 22
 
 
 @dataclass(frozen=True)
@@ -39,63 +49,72 @@ class Similar:
     tile: int = 4096
 
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _SALT = np.random.default_rng(5).integers(0, 1 << 63, 256, np.uint64)
 _PLACE = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 
 
 @dataclass
 class Lines:
-    """Lines with a word of some texts: text, place in the text, and the sorted distinct hashes of the words from
-    ``start`` on."""
+    """Lines with a word of some texts: text, place in the text, and the distinct hashes of the words from ``start`` on,
+    in the order of ``seen`` (in how many lines a word occurs, by the given table; else all 0) and hash."""
 
     text: np.ndarray
     place: np.ndarray
     start: np.ndarray
     size: np.ndarray
     words: np.ndarray
-
-    @property
-    def names(self) -> np.ndarray:
-        """A 64-bit name for each set of words."""
-        if not len(self.start):
-            return np.zeros(0, np.int64)
-        return _mixed(np.add.reduceat(_mixed(self.words + np.uint64(1)), self.start) + self.size.astype(np.uint64)).view(np.int64)
-
-
-def lines_of(texts: list[str]) -> Lines:
-    """All lines of the texts at once, over their bytes. A word's hash sums a salt of each byte times its place; words
-    of more than 64 bytes are hashed one by one."""
-    data = [t.encode().lower() + b"\n" for t in texts]
-    raw = np.frombuffer(b"".join(data), np.uint8)
-    blank = _BLANK[raw]
-    first = ~blank
-    first[1:] &= blank[:-1]
-    begin = np.flatnonzero(first)
-    if not len(begin):
-        none = np.zeros(0, np.int64)
-        return Lines(none, none, none, none, np.zeros(0, np.uint64))
-    last = ~blank
-    last[:-1] &= blank[1:]
-    length = np.flatnonzero(last) + 1 - begin
-    inside = np.flatnonzero(~blank)
-    codes = np.zeros(len(raw), np.uint64)
-    codes[inside] = _SALT[raw[inside]] * _PLACE[(inside - np.repeat(begin, length)) & 63]
-    word = _mixed(np.add.reduceat(codes, begin) + length.astype(np.uint64))
+    seen: np.ndarray
+    names: np.ndarray  # a 64-bit name for each set of words
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """A word's hash sums a salt of each byte times its place; words of more than 64 bytes are hashed one by one."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(words) else np.zeros(0, np.uint8)
+    length = np.diff(offsets)
+    out = np.zeros(len(words), np.uint64)
+    full = np.flatnonzero(length)
+    begin, long = offsets[:-1][full] - offsets[0], length[full]
+    if len(full):
+        codes = _SALT[raw] * _PLACE[(np.arange(len(raw)) - np.repeat(begin, long)) & 63]
+        out[full] = _mixed(np.add.reduceat(codes, begin) + long.astype(np.uint64))
     for i in np.flatnonzero(length > 64):
-        word[i] = xxhash.xxh3_64_intdigest(raw[begin[i] : begin[i] + length[i]].tobytes())
-    starts = np.cumsum([0, *map(len, data)])
-    breaks = np.append(0, np.cumsum(raw == 10))
-    line = breaks[begin]
-    order = np.lexsort((word, line))
-    word = word[order]
-    fresh = np.append(True, (word[1:] != word[:-1]) | (line[1:] != line[:-1]))
-    word, line = word[fresh], line[fresh]
-    start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-    first_line = breaks[starts[:-1]]
+        at = offsets[i] - offsets[0]
+        out[i] = xxhash.xxh3_64_intdigest(raw[at : at + length[i]].tobytes())
+    return out
+
+
+def lines_of(texts: list[str], often: np.ndarray | None = None) -> Lines:
+    """All lines of the texts at once. Every different word is hashed once."""
+    split = pc.split_pattern(pc.ascii_lower(pa.array(texts, pa.large_string())), "\n")
+    words = pc.ascii_split_whitespace(split.values)
+    coded = words.values.dictionary_encode()
+    hashes = _word_hashes(coded.dictionary)
+    seen = np.zeros(len(hashes), np.int32) if often is None else often[_bin(hashes, often)]
+    rank = np.lexsort((hashes, seen))
+    hashes, seen, turn = hashes[rank], seen[rank], np.empty(len(rank), np.int64)
+    turn[rank] = np.arange(len(rank))
+    per_line = np.diff(words.offsets.to_numpy())
+    code = coded.indices.to_numpy()
+    key = (np.repeat(np.arange(len(per_line)), per_line) << 32) | turn[code]
+    empty = pc.index(coded.dictionary, pa.scalar("", pa.large_string())).as_py()
+    if empty >= 0:  # what stands before leading and behind trailing white space
+        key = key[code != empty]
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    line, at = key >> 32, key & 0xFFFFFFFF
+    start = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(line)))
+    first_line = split.offsets.to_numpy()
     text = np.searchsorted(first_line, line[start], "right") - 1
-    return Lines(text, line[start] - first_line[text], start, np.diff(np.append(start, len(word))), word)
+    sums = np.add.reduceat(_mixed(hashes + np.uint64(1))[at], start) if len(start) else np.zeros(0, np.uint64)
+    names = _mixed(sums + size.astype(np.uint64)).view(np.int64)
+    return Lines(text, line[start] - first_line[text], start, size, hashes[at], seen[at], names)
+
+
+def _bin(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Places of words in a table of counts: the first bits of their hash."""
+    return (hashes >> np.uint64(65 - len(table).bit_length())).astype(np.int64)
 
 
 def _lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
@@ -118,81 +137,82 @@ def bitmaps(lines: Lines) -> pa.Array:
 
 def chosen(lines: Lines, keep: np.ndarray) -> Lines:
     """Some of the lines."""
-    words = lines.words[np.repeat(keep, lines.size)]
+    words = np.repeat(keep, lines.size)
     size = lines.size[keep]
-    return Lines(lines.text[keep], lines.place[keep], np.cumsum(size) - size, size, words)
+    return Lines(lines.text[keep], lines.place[keep], np.cumsum(size) - size, size, lines.words[words], lines.seen[words], lines.names[keep])
 
 
 def _rows(df: DataFrame, id: str, text: str) -> DataFrame:
     body = F.coalesce(col(text), F.lit(""))
-    return df.select(col(id).alias("doc_id"), F.xxhash64(col(id), body).alias("row"), body.alias("text"))
-
-
-def word_counts(rows: DataFrame, rule: Similar) -> np.ndarray:
-    """In how many lines words occur, by the first bits of their hash, over all documents."""
-    shift = np.uint64(64 - rule.rarity_bits)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << rule.rarity_bits, np.int32)
-        for b in batches:
-            for part in parts_of(b.column(0)):
-                seen += np.bincount((lines_of([t for _, t in part]).words >> shift).astype(np.int64), minlength=len(seen)).astype(np.int32)
-        at = np.flatnonzero(seen)
-        for i in range(0, len(at), 50_000):
-            part = at[i : i + 50_000]
-            yield pa.RecordBatch.from_pydict({"at": pa.array(part.astype(np.int32)), "n": pa.array(seen[part].astype(np.int64))})
-
-    sums = rows.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(1 << rule.rarity_bits, np.int64)
-    table[sums["at"].to_numpy()] = sums["n"].to_numpy()
-    return np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
+    return bounded_batches(df).select(col(id).alias("doc_id"), F.xxhash64(col(id), body).alias("row"), body.alias("text"))
 
 
-def line_names(rows: DataFrame) -> DataFrame:
-    """Per row the places and set names of its lines."""
+def read_lines(rows: DataFrame, rule: Similar) -> tuple[DataFrame, np.ndarray]:
+    """Per row the places and set names of its lines; and in how many lines words occur, by the first bits of their
+    hash, over all documents. One pass over the texts."""
     kind = dict(rows.dtypes)["doc_id"]
+    names = ["doc_id", "row", "lines", "sums"]
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, schema = np.zeros(1 << rule.rarity_bits, np.int64), None
         for b in batches:
             for part in parts_of(b.column(2)):
                 lines = lines_of([t for _, t in part])
+                seen += np.bincount(_bin(lines.words, seen), minlength=len(seen))
                 counts = np.bincount(lines.text, minlength=len(part))
                 found = pa.StructArray.from_arrays([pa.array(lines.place.astype(np.int32)), pa.array(lines.names)], names=["line", "set"])
                 at = pa.array([i for i, _ in part])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), _lists(counts, found)], names=["doc_id", "row", "lines"])
-
-    return rows.mapInArrow(name, f"doc_id {kind}, row long, lines array<struct<line:int,set:long>>")
-
-
-def line_sets(rows: DataFrame, often: np.ndarray, rule: Similar) -> DataFrame:
-    """One row per distinct set that can match another: its first line, size, bitmap and prefix in the order of
-    rarity. A word with a count of one is in no other line and not part of the prefix's entries. Sets of up
-    to three words match equal sets only."""
-    table, shift = rows.sparkSession.sparkContext.broadcast(often), np.uint64(64 - rule.rarity_bits)
+                out = pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), _lists(counts, found), pa.nulls(len(part), pa.binary())], names=names)
+                schema = out.schema
+                yield out
+        if schema:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in schema)][:3] + packed(seen).columns, names=names)
+
+    found = stored_parquet(rows.mapInArrow(read, f"doc_id {kind}, row long, lines array<struct<line:int,set:long>>, sums binary"))
+    sums = added(found.filter("sums is not null").select("sums"), 1 << rule.rarity_bits)
+    return found.filter("sums is null").drop("sums"), np.minimum(sums, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def prefix(lines: Lines, rule: Similar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Line, place among the line's words, and place in ``words`` of the words of each prefix that occur in other lines
+    too, and whether the word is among the first by which a set finds those as large or larger: of a pair the smaller
+    set has all but 1 - 2 p / (100 + p) of its words in common."""
+    n = lines.size
+    line = np.repeat(np.arange(len(n)), n)
+    pos = np.arange(len(line)) - np.repeat(lines.start, n)
+    some = np.flatnonzero((pos < np.repeat(n - -(-rule.percent * n // 100) + 1, n)) & (lines.seen > 1))
+    line, pos = line[some], pos[some]
+    lead = pos < n[line] - -(-2 * rule.percent * n[line] // (100 + rule.percent)) + 1
+    return line, pos, some, lead
+
+
+def line_sets(rows: DataFrame, often: np.ndarray, rule: Similar, dense: np.ndarray, buckets: int) -> DataFrame:
+    """One row per distinct set with a frequent word, or one that ``dense`` marks, in its prefix: its first line, size,
+    bitmap and those words."""
+    known = rows.sparkSession.sparkContext.broadcast((often, dense))
     kind = dict(rows.dtypes)["doc_id"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, dense = known.value
         for b in batches:
             for part in parts_of(b.column(2)):
-                lines = lines_of([t for _, t in part])
+                lines = lines_of([t for _, t in part], often)
                 lines = chosen(lines, lines.size > 3)
-                n = lines.size
-                seen = table.value[(lines.words >> shift).astype(np.int64)]
-                line = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((lines.words, seen, line))
-                pos = np.arange(len(line)) - np.repeat(lines.start, n)
-                rare = (pos < np.repeat(n - -(-rule.percent * n // 100) + 1, n)) & (seen[order] > 1)
-                some = order[rare]
+                line, pos, at, _ = prefix(lines, rule)
+                bucket, short = placed(lines.words[at], buckets)
+                some = (lines.seen[at] > rule.tile) | dense[mark(bucket, short)]
+                line, pos, at = line[some], pos[some], at[some]
+                counts = np.bincount(line, minlength=len(lines.size))
+                keep = counts > 0
                 entries = pa.StructArray.from_arrays(
-                    [pa.array(lines.words[some].view(np.int64)), pa.array(pos[rare].astype(np.int32)), pa.array(seen[some] > rule.tile)],
-                    names=["word", "pos", "hot"],
+                    [pa.array(lines.words[at].view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(lines.seen[at] > rule.tile)], names=["word", "pos", "hot"]
                 )
+                kept = chosen(lines, keep)
                 made = [
-                    b.column(0).take(pa.array(np.array([i for i, _ in part], np.int64)[lines.text])), pa.array(lines.place.astype(np.int32)),
-                    pa.array(lines.names), pa.array(n.astype(np.int32)), bitmaps(lines), _lists(np.bincount(line[some], minlength=len(n)), entries),
+                    b.column(0).take(pa.array(np.array([i for i, _ in part], np.int64)[kept.text])), pa.array(kept.place.astype(np.int32)),
+                    pa.array(kept.names), pa.array(kept.size.astype(np.int32)), bitmaps(kept), _lists(counts[keep], entries),
                 ]
-                out = pa.RecordBatch.from_arrays(made, names=["doc_id", "line", "set", "n", "bits", "rare"])
-                yield out.filter(pa.array(np.bincount(line[some], minlength=len(n)) > 0))
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "line", "set", "n", "bits", "rare"])
 
     lines = rows.mapInArrow(describe, f"doc_id {kind}, line int, set long, n int, bits binary, rare array<struct<word:long,pos:int,hot:boolean>>")
     return lines.groupBy("set").agg(
@@ -200,6 +220,165 @@ def line_sets(rows: DataFrame, often: np.ndarray, rule: Similar) -> DataFrame:
     ).select("set", "at", "n", "bits", "rare")
 
 
+def placed(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of a word, and 32 bits that tell it from the others there (words that share them only give more pairs to
+    look at)."""
+    return ((words >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), words.astype(np.uint32)
+
+
+def mark(bucket: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Place of a word in the table of dense words."""
+    return (_mixed((bucket.astype(np.uint64) << np.uint64(32)) | short.astype(np.uint64)) >> np.uint64(64 - DENSE_BITS)).astype(np.int64)
+
+
+def widths(n: np.ndarray) -> np.ndarray:
+    """64-bit numbers in the parity map of a set: at least a bit for a word up to 512."""
+    return np.where(n <= 64, 1, np.where(n <= 128, 2, np.where(n <= 256, 4, 8)))
+
+
+def parities(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Maps of all lines one behind the other, and where each begins. A bit tells whether the number of words at it
+    is odd, so two maps differ in no more bits than their sets in words."""
+    wide = widths(lines.size)
+    base = np.cumsum(wide) - wide
+    bit = (lines.words & np.repeat(64 * wide - 1, lines.size).astype(np.uint64)).astype(np.int64)
+    ones = np.bincount(64 * np.repeat(base, lines.size) + bit, minlength=64 * int(wide.sum())) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").view(np.uint64), base
+
+
+def ragged(values: np.ndarray, base: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """The runs of ``wide`` values from each ``base`` on, one behind the other."""
+    return values[np.arange(int(wide.sum())) + np.repeat(base - (np.cumsum(wide) - wide), wide)]
+
+
+def word_chunks(rows: DataFrame, often: np.ndarray, rule: Similar, buckets: int) -> DataFrame:
+    """Prefix entries of all lines but frequent words', as arrays: a row holds those of one bucket of words that a task
+    gathered (at most ``GATHERED``): words, names of the sets, sizes with the lead bit, parity maps."""
+    table = rows.sparkSession.sparkContext.broadcast(often)
+
+    def chunks(held: list[tuple]) -> pa.RecordBatch:
+        bucket, short, name, size, maps = (np.concatenate(c) for c in zip(*held))
+        wide = widths(size >> 1)
+        base = np.cumsum(wide) - wide
+        order = np.lexsort((name, short, bucket))
+        same = (np.diff(bucket[order]) == 0) & (np.diff(short[order].astype(np.int64)) == 0) & (name[order][1:] == name[order][:-1])
+        order = order[np.append(True, ~same)]
+        bucket, wide = bucket[order], wide[order]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        rows, numbers = np.diff(np.append(first, len(bucket))), np.add.reduceat(wide, first)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket[first]), _bytes(4 * rows, short[order].tobytes()), _bytes(8 * rows, name[order].tobytes()),
+                _bytes(4 * rows, size[order].tobytes()), _bytes(8 * numbers, ragged(maps, base[order], wide).tobytes()),
+            ],
+            names=["bucket", "words", "sets", "sizes", "maps"],
+        )
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for part in parts_of(b.column(0)):
+                lines = lines_of([t for _, t in part], table.value)
+                lines = chosen(lines, lines.size > 3)
+                line, _, at, lead = prefix(lines, rule)
+                usual = lines.seen[at] <= rule.tile
+                line, at, lead = line[usual], at[usual], lead[usual]
+                if not len(line):
+                    continue
+                maps, base = parities(lines)
+                held.append((*placed(lines.words[at], buckets), lines.names[line], (2 * lines.size[line] + lead).astype(np.uint32), ragged(maps, base[line], widths(lines.size)[line])))
+                size += len(line)
+                if size >= GATHERED:
+                    yield chunks(held)
+                    held, size = [], 0
+        if held:
+            yield chunks(held)
+
+    return rows.select("text").mapInArrow(deal, "bucket int, words binary, sets binary, sizes binary, maps binary")
+
+
+def bucket_pairs(short: np.ndarray, name: np.ndarray, size: np.ndarray, maps: np.ndarray, rule: Similar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of sets that share a word of a bucket and pass the length and parity filters, each with the share of bits
+    that differ; and the words with many pairs for their sets, whose pairs are left out."""
+    n = (size >> 1).astype(np.int64)
+    wide = widths(n)
+    base = np.cumsum(wide) - wide
+    order = np.lexsort((name, (short.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)))
+    short, name, n, lead, wide, base = short[order], name[order], n[order], (size & 1)[order] > 0, wide[order], base[order]
+    fresh = np.append(True, (short[1:] != short[:-1]) | (name[1:] != name[:-1]))
+    short, name, n, lead, wide, base = (v[fresh] for v in (short, name, n, lead, wide, base))
+    key = (short.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)
+    # Maps folded to 1, 2, 4 and 8 numbers, of the sets that have as many.
+    fold, who = {}, {}
+    for w in (1, 2, 4, 8):
+        who[w] = np.flatnonzero(wide >= w)
+        fold[w] = np.zeros((len(who[w]), w), np.uint64)
+        for v in (1, 2, 4, 8):
+            of = np.flatnonzero(wide[who[w]] == v)
+            if len(of):
+                m = maps[base[who[w][of]][:, None] + np.arange(v)]
+                fold[w][of] = np.bitwise_xor.reduce(m.reshape(len(of), v // w, w), axis=1)
+    place = {w: np.cumsum(wide >= w) - 1 for w in fold}
+    low = np.searchsorted(key, (short.astype(np.uint64) << np.uint64(32)) | (-(-rule.percent * n // 100)).astype(np.uint64))
+    leads, before = np.flatnonzero(lead), np.append(0, np.cumsum(lead))
+    least = before[low]
+    looks = before[:-1] - least
+    cuts = np.append(0, np.cumsum(looks))
+    found: list[tuple] = []
+    s, total = 0, len(n)
+    while s < total:
+        e = max(s + 1, int(np.searchsorted(cuts, cuts[s] + LOOK, "right")) - 1)
+        k = looks[s:e]
+        x = np.repeat(np.arange(s, e), k)
+        y = leads[np.arange(len(x)) - np.repeat(np.cumsum(k) - k - least[s:e], k)]
+        most = (100 - rule.percent) * (n[x] + n[y]) // (100 + rule.percent)
+        differ = np.zeros(len(x), np.int64)
+        for w in (1, 2, 4, 8):
+            at = np.flatnonzero(np.minimum(wide[x], wide[y]) >= w) if w > 1 else np.arange(len(x))
+            if not len(at):
+                break
+            differ[at] = np.bitwise_count(fold[w][place[w][x[at]]] ^ fold[w][place[w][y[at]]]).sum(1)
+            ok = differ <= most
+            x, y, most, differ = x[ok], y[ok], most[ok], differ[ok]
+        found.append((x, y, differ / (n[x] + n[y])))
+        s = e
+    x, y, far = (np.concatenate(c) for c in zip(*found))
+    group = np.cumsum(np.append(0, short[1:] != short[:-1]))
+    dense = np.bincount(group[x], minlength=group[-1] + 1) > DENSE * np.bincount(group)
+    usual = ~dense[group[x]]
+    a, b, far = np.minimum(name[x], name[y])[usual], np.maximum(name[x], name[y])[usual], far[usual]
+    order = np.lexsort((b, a))
+    order = order[np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))] if len(order) else order
+    return np.stack([a[order], b[order]]), far[order], short[np.flatnonzero(np.append(True, short[1:] != short[:-1]))[dense]]
+
+
+def shared_words(chunks: DataFrame, rule: Similar) -> DataFrame:
+    """Pairs (a, b, far) over all buckets, and as rows of their own the marks of dense words."""
+
+    def compared(bucket: int, held: list[dict]) -> pa.RecordBatch:
+        kinds = {"words": np.uint32, "sets": np.int64, "sizes": np.uint32, "maps": np.uint64}
+        pairs, far, dense = bucket_pairs(*(np.frombuffer(b"".join(h[c] for h in held), t) for c, t in kinds.items()), rule)
+        n, m = len(far), len(dense)
+        marks = mark(np.full(m, bucket), dense).astype(np.int32)
+        parts = [(pairs[0], pa.int64()), (pairs[1], pa.int64()), (far.astype(np.float32), pa.float32())]
+        columns = [pa.concat_arrays([pa.array(v, t), pa.nulls(m, t)]) for v, t in parts]
+        return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(marks)])], names=["a", "b", "far", "dense"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if held and r["bucket"] != now:
+                    yield compared(now, held)
+                    held = []
+                now = r["bucket"]
+                held.append(r)
+        if held:
+            yield compared(now, held)
+
+    return chunks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, far float, dense int")
+
+
 def entries(sets: DataFrame, rule: Similar, words: DataFrame | None = None) -> DataFrame:
     """Prefix entries dealt to cells. A word of usual frequency is one cell. A frequent one is cut by length bands,
     and a band of many sets into pairs of blocks, so that a cell has at most about two tiles of sets."""
@@ -282,20 +461,39 @@ def paired(cells: DataFrame, rule: Similar, first_only: bool) -> DataFrame:
     return rows.mapInArrow(run, "word long, x long, y long, more boolean")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, names: DataFrame, rule: Similar) -> DataFrame:
-    """The pairs whose sorted arrays reach the similarity; arrays are made for sets in pairs only, from the text of one
-    row that has the set."""
-    wanted = stored(pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct())
+def word_arrays(wanted: DataFrame, rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The words of some sets (a stored table of distinct names), each from the text of one row that has the set."""
     few = wanted.limit(IDS + 1).count() <= IDS
-    known = rows.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["set"].to_numpy()) if few else None)
+    lines = names.select("row", F.explode("lines.set").alias("set"))
+    holders = stored(join_stored(lines, wanted, ["set"], "left_semi", few).groupBy("set").agg(F.min("row").alias("row")))
+    held = holders.toPandas().sort_values("set") if few else None
+    known = rows.sparkSession.sparkContext.broadcast((held["set"].to_numpy(), held["row"].to_numpy()) if few else None)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in parts_of(b.column(0)):
+            row = b.column(0).to_numpy()
+            for part in parts_of(b.column(1)):
                 lines = lines_of([t for _, t in part])
-                keep = np.isin(lines.names, known.value) if few else np.ones(len(lines.size), bool)
-                lines = chosen(lines, keep)
-                yield pa.RecordBatch.from_arrays([pa.array(lines.names), _bytes(8 * lines.size, lines.words.tobytes())], names=["set", "words"])
+                of = row[[i for i, _ in part]][lines.text]
+                keep = np.zeros(len(of), bool)
+                keep[np.unique(np.stack([lines.names, of]), axis=1, return_index=True)[1] if len(of) else []] = True
+                if few and len(known.value[0]):
+                    at = np.minimum(np.searchsorted(known.value[0], lines.names), len(known.value[0]) - 1)
+                    keep &= (known.value[0][at] == lines.names) & (known.value[1][at] == of)
+                lines, of = chosen(lines, keep), of[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(lines.names), pa.array(of), _bytes(8 * lines.size, lines.words.tobytes())], names=["set", "row", "words"])
+
+    some = join_stored(rows.select("row", "text"), holders.select("row").distinct(), ["row"], "left_semi", few)
+    made = some.mapInArrow(arrays, "set long, row long, words binary")
+    if not few:
+        made = made.join(holders, ["set", "row"], "left_semi")
+    made = stored_parquet(made.select("set", "words"))
+    # Rows equal in id and text all give the set.
+    return made if made.count() == holders.count() else made.dropDuplicates(["set"])
+
+
+def verified(pairs: DataFrame, made: DataFrame, rule: Similar) -> DataFrame:
+    """The pairs whose arrays reach the similarity."""
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -306,30 +504,57 @@ def verified(pairs: DataFrame, rows: DataFrame, names: DataFrame, rule: Similar)
                 keep.append(100 * common >= rule.percent * (len(x) + len(y) - common))
             yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    lines = names.select("row", F.explode("lines.set").alias("set"))
-    holders = join_stored(lines, wanted, ["set"], "left_semi", few).groupBy("set").agg(F.min("row").alias("row")).select("row").distinct()
-    holders = stored(holders)
-    some = join_stored(rows, holders, ["row"], "left_semi", holders.limit(IDS + 1).count() <= IDS)
-    made = some.select("text").mapInArrow(arrays, "set long, words binary").join(wanted, "set", "left_semi").dropDuplicates(["set"])
-    made = stored(made)
     both = pairs.join(made.select(F.col("set").alias("x"), F.col("words").alias("wx")), "x")
     both = both.join(made.select(F.col("set").alias("y"), F.col("words").alias("wy")), "y").select("x", "y", "wx", "wy")
     return both.mapInArrow(intersect, "x long, y long")
 
 
-def matched_sets(rows: DataFrame, names: DataFrame, rule: Similar) -> DataFrame:
+def _sets_of(pairs: DataFrame) -> DataFrame:
+    return stored(pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct())
+
+
+def later_first(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs (a, b, far) as (x, y, far), x the set whose first line is the later one."""
+    lines = names.select("doc_id", F.explode("lines").alias("l")).select(F.col("l.set").alias("set"), F.struct("doc_id", "l.line").alias("at"))
+    wanted = _sets_of(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")))
+    first = join_stored(lines, wanted, ["set"], "left_semi", wanted.limit(IDS + 1).count() <= IDS).groupBy("set").agg(F.min("at").alias("at"))
+    first = stored(first)
+    both = pairs.join(first.select(F.col("set").alias("a"), F.col("at").alias("at_a")), "a").join(first.select(F.col("set").alias("b"), F.col("at").alias("at_b")), "b")
+    later = F.struct(F.col("at_a").alias("at"), F.col("a").alias("set")) > F.struct(F.col("at_b").alias("at"), F.col("b").alias("set"))
+    return both.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("y"), "far")
+
+
+def matched_sets(rows: DataFrame, names: DataFrame, often: np.ndarray, rule: Similar) -> DataFrame:
     """Sets that an earlier, different set matches."""
-    sets = stored_parquet(line_sets(rows, word_counts(rows, rule), rule))
-    one = stored(paired(entries(sets, rule), rule, True))
-    gone = stored(verified(stored(one.select("x", "y").distinct()), rows, names, rule).select(F.col("x").alias("set")).distinct())
-    left = join_stored(one.filter("more").select("word", F.col("x").alias("set")).distinct(), gone, ["set"], "left_anti", gone.limit(IDS + 1).count() <= IDS)
-    left = stored(left)
+    buckets = 4 * max(1, rows.rdd.getNumPartitions())
+    shared = stored_parquet(shared_words(word_chunks(rows, often, rule, buckets), rule))
+    dense = np.zeros(1 << DENSE_BITS, bool)
+    dense[shared.filter("dense is not null").select("dense").distinct().toPandas()["dense"].to_numpy(np.int64)] = True
+    near = stored(shared.filter("a is not null").groupBy("a", "b").agg(F.min("far").alias("far")))
+    pairs, left = later_first(near, names), None
+    if dense.any() or (often > rule.tile).any():
+        sets = stored_parquet(line_sets(rows, often, rule, dense, buckets))
+        left = stored(paired(entries(sets, rule), rule, True))
+        pairs = pairs.unionAll(left.select("x", "y", F.lit(0.0).cast("float").alias("far")))
+    pairs = stored(pairs.groupBy("x", "y").agg(F.min("far").alias("far")))
+    made = word_arrays(_sets_of(pairs), rows, names)
+    best = stored(pairs.groupBy("x").agg(F.min(F.struct("far", "y")).alias("best")).select("x", "best.y"))
+    gone = stored(verified(best, made, rule).select(F.col("x").alias("set")).distinct())
+    few = gone.limit(IDS + 1).count() <= IDS
+    others = pairs.select(F.col("x").alias("set"), "y").join(best.select(F.col("x").alias("set"), "y"), ["set", "y"], "left_anti")
+    others = stored(join_stored(others, gone, ["set"], "left_anti", few).select(F.col("set").alias("x"), "y"))
+    if not others.isEmpty():
+        gone = stored(gone.unionAll(verified(others, made, rule).select(F.col("x").alias("set")).distinct()))
+        few = gone.limit(IDS + 1).count() <= IDS
+    if left is None:
+        return gone
+    left = stored(join_stored(left.filter("more").select("word", F.col("x").alias("set")).distinct(), gone, ["set"], "left_anti", few))
     if left.isEmpty():
         return gone
     again = entries(sets, rule, stored(left.select("word").distinct()))
     again = again.join(left.withColumn("open", F.lit(True)), ["word", "set"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
     two = stored(paired(again, rule, False).select("x", "y").distinct())
-    return stored(gone.unionAll(verified(two, rows, names, rule).select(F.col("x").alias("set"))).distinct())
+    return stored(gone.unionAll(verified(two, word_arrays(_sets_of(two), rows, names), rule).select(F.col("x").alias("set"))).distinct())
 
 
 def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text", rule: Similar = Similar()) -> DataFrame:
@@ -342,8 +567,8 @@ def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text", rule:
     not read; an empty table gives an empty result. Exact up to collisions of 64-bit hashes.
     """
     rows = _rows(df, id, text)
-    names = stored(line_names(rows))
-    gone = matched_sets(rows, names, rule)
+    names, often = read_lines(rows, rule)
+    gone = matched_sets(rows, names, often, rule)
     lines = names.select("doc_id", "row", F.explode("lines").alias("l")).select("doc_id", "row", "l.line", "l.set")
     at = F.struct("doc_id", "line")
     often = lines.groupBy("set").agg(F.min(at).alias("first"), F.count("*").alias("k")).filter("k > 1").select("set", "first")

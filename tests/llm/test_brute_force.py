@@ -423,3 +423,55 @@ def test_roles_of_held_out_conversations(spark, sf):
 def test_blank_transcripts_render_empty():
     model = chat.model_of(Counter(), Counter(), Counter())
     assert [chat.rendered(chat.turns_of(t, model)) for t in (None, "", " \n ")] == [""] * 3
+
+
+def test_lines_of_dense_and_of_usual_words(spark):
+    """Sixty copies of a line share words whose pairs are left to the ordered cells; the others' words go by buckets."""
+    rng = random.Random(3)
+    lines = [" ".join([f"b{k}" for k in range(30)] + [f"u{i}"]) for i in range(60)] + near_copies(rng, n_bases=8, copies=6, words=70) + ["w" * 100 + " b c d e f", "f e d c b " + "W" * 100 + " g"]
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 3]) for i in range(0, len(lines), 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rule = line_dedup.Similar()
+    rows = line_dedup._rows(df, "doc_id", "text")
+    chunks = line_dedup.word_chunks(rows, line_dedup.read_lines(rows, rule)[1], rule, 12)
+    made = chunks.collect()
+    n = sum(len(r.words) // 4 for r in made)
+    # No row for an entry, and few bytes: what is shuffled stays near the size of the texts.
+    assert len(made) <= 12 * df.rdd.getNumPartitions() and sum(len(r.words) + len(r.sets) + len(r.sizes) + len(r.maps) for r in made) <= 32 * n
+    found = line_dedup.shared_words(chunks, rule)
+    assert not found.filter("dense is not null").isEmpty() and not found.filter("a is not null").isEmpty()
+    seen, want = [], {}
+    for d, t in enumerate(texts):
+        want[d] = []
+        for i, line in enumerate(t.split("\n")):
+            s = frozenset(line.lower().split())
+            if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                want[d].append(i)
+            seen.append(s)
+    assert {r.doc_id: list(r.removed) for r in line_dedup.repeated_lines(df).collect()} == want
+
+
+def test_parity_maps_lose_no_pair():
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    for n in (4, 9, 20, 63, 66, 130, 250, 300, 700):
+        for _ in range(4):
+            base = list(rng.choice(vocabulary, n, replace=False))
+            for drop in range(0, n // 4 + 1, max(1, n // 20)):
+                texts.append(" ".join(base[drop:] + list(rng.choice(vocabulary, drop // 3, replace=False))))
+    rule = line_dedup.Similar()
+    lines = line_dedup.lines_of(texts, np.full(1 << rule.rarity_bits, 2, np.int32))
+    line, _, at, lead = line_dedup.prefix(lines, rule)
+    maps, base = line_dedup.parities(lines)
+    _, short = line_dedup.placed(lines.words[at], 1)
+    sizes = (2 * lines.size[line] + lead).astype(np.uint32)
+    pairs, _, dense = line_dedup.bucket_pairs(short, lines.names[line], sizes, line_dedup.ragged(maps, base[line], line_dedup.widths(lines.size)[line]), rule)
+    got = set(zip(*pairs.tolist()))
+    sets = [frozenset(t.split()) for t in texts]
+    want = {
+        (min(a, b), max(a, b)) for i, a in enumerate(lines.names.tolist()) for j, b in enumerate(lines.names.tolist()[:i])
+        if a != b and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    }
+    assert not len(dense) and len(want) > 100 and want <= got
