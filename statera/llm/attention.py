@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import bounded_batches
 from .common import col, parts_of
 
 PASSAGE = 64
@@ -273,7 +274,7 @@ def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array(made, pa.binary())], names=["_id", "_y", "x"])
 
     kind = dict(df.dtypes)[id]
-    made = rows.select("_id", "_text", "_y").mapInArrow(encode, f"_id {kind}, _y int, x binary").toPandas()
+    made = bounded_batches(rows.select("_id", "_text", "_y")).mapInArrow(encode, f"_id {kind}, _y int, x binary").toPandas()
     made = made.sort_values(["_id", "x"], kind="stable").drop_duplicates("_id")
     bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in made["x"]]
     return train(bags, made["_y"].to_numpy(), options)
@@ -299,7 +300,7 @@ def quality_scores(df: DataFrame, model: Model, id: str = "doc_id", text: str =
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return bounded_batches(rows).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def good_documents(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -311,4 +312,4 @@ def good_documents(df: DataFrame, model: Model, text: str = "text") -> DataFrame
             yield b.filter(pa.array(np.concatenate(score) >= 0.5)) if score else b
 
     fitted = df.sparkSession.sparkContext.broadcast(model)
-    return df.mapInArrow(run, df.schema)
+    return bounded_batches(df).mapInArrow(run, df.schema)

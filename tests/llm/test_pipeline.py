@@ -92,3 +92,24 @@ def test_pipeline_on_odd_and_empty_tables(spark, request, rows, monkeypatch):
     got = corpus_pipeline.run(spark, "").collect()
     allowed = {r.doc_id for r in table.collect() if "seven other animals" not in (r.text or "")}
     assert {r.doc_id for r in got} <= allowed and (rows == "odd" or not got)
+
+
+def test_texts_come_to_python_in_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from statera.functions.rows import BATCH_BYTES, BATCH_SETTING
+    from statera.llm import ngram_join
+
+    rows = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    model = attention.train([], [])
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows])})
+
+    for stage in (lambda: attention.good_documents(rows, model), lambda: attention.quality_scores(rows, model), lambda: ngram_join.near_duplicates(rows.limit(1))):
+        spark.conf.unset(BATCH_SETTING)
+        stage()
+        seen = [r.n for r in rows.mapInArrow(count, "n long").collect()]
+        assert sum(seen) == 4000 and max(seen) <= 2 * BATCH_BYTES // 5000
