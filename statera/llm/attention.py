@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import bounded_batches
-from .common import col, parts_of
+from .common import col, parts_of, stored
 
 PASSAGE = 64
 
@@ -257,12 +257,11 @@ def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
     an id with several labels counts with its least one."""
     marks = labels.filter(col(id).isNotNull() & col(label).isNotNull() & ~held_out(id))
     marks = marks.groupBy(col(id).alias("_id")).agg(F.min(label).cast("int").alias("_y"))
-    rows = df.select(col(id).alias("_id"), col(text).alias("_text")).join(marks, "_id")
+    rows = df.select(col(id).alias("_id"), col(text).alias("_text"))
     rows = rows.filter(F.coalesce(F.octet_length("_text"), F.lit(0)) <= options.bytes)
-    few = rows.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(options.sample)
-    ids = [r["_id"] for r in few.collect()]  # at most options.sample ids
-    rows = df.select(col(id).alias("_id"), col(text).alias("_text")).filter(F.col("_id").isin(ids)) if ids else rows.limit(0)
-    rows = rows.join(F.broadcast(marks.filter(F.col("_id").isin(ids))), "_id") if ids else rows
+    # A stored table, as so many ids in an expression take several times as much memory in every plan of the driver.
+    few = stored(rows.join(marks, "_id").select("_id", "_y").distinct().orderBy(F.xxhash64("_id"), "_id").limit(options.sample))
+    rows = rows.join(F.broadcast(few), "_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,10 +273,12 @@ def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array(made, pa.binary())], names=["_id", "_y", "x"])
 
     kind = dict(df.dtypes)[id]
-    made = bounded_batches(rows.select("_id", "_text", "_y")).mapInArrow(encode, f"_id {kind}, _y int, x binary").toPandas()
-    made = made.sort_values(["_id", "x"], kind="stable").drop_duplicates("_id")
-    bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in made["x"]]
-    return train(bags, made["_y"].to_numpy(), options)
+    made = bounded_batches(rows.select("_id", "_text", "_y")).mapInArrow(encode, f"_id {kind}, _y int, x binary").toArrow()
+    one: dict = {}
+    for i, y, x in sorted(zip(*(c.to_pylist() for c in made.columns))):
+        one.setdefault(i, (x, y))
+    bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x, _ in one.values()]
+    return train(bags, np.array([y for _, y in one.values()]), options)
 
 
 def quality_scores(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -37,10 +37,16 @@ def stored_parquet(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A stored narrow table in as many partitions as its counted rows need, whatever number it was written in, and the
+    count: a small one leaves few shuffle files, a large one keeps its partitions."""
+    rows = df.count()
+    return df.coalesce(1 + rows // PER_TASK), rows
+
+
 def sized(df: DataFrame) -> DataFrame:
-    """A stored narrow table in as many partitions as its counted rows need, whatever number it was written in: a
-    small one leaves few shuffle files, a large one keeps its partitions."""
-    return df.coalesce(1 + df.count() // PER_TASK)
+    """``counted`` without the count."""
+    return counted(df)[0]
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -44,6 +44,19 @@ def contracted(links: DataFrame, parts: int) -> DataFrame:
     return links.repartition(parts).mapInArrow(run, "a long, b long")
 
 
+def whole(links: DataFrame) -> DataFrame:
+    """(node, root) of links that one task may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            low, far = spanning(*(np.concatenate(c) for c in zip(*held)))
+            roots = np.unique(low)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(far, roots)), pa.array(np.append(low, roots))], names=["node", "root"])
+
+    return links.repartition(1).mapInArrow(run, "node long, root long")
+
+
 def _pulled(links: DataFrame) -> DataFrame:
     """Links (node, next) with ``low``, the least of a node and its neighbours. The join key may be hot: the other
     side has one row per node, so Spark may split it."""
@@ -59,13 +72,17 @@ def _both(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node (a long) of the links (a, b): its component's least node, the root included.
 
-    First every ``PER_TASK`` links become stars within one task. Then a large step links every greater neighbour of a
+    Up to ``PER_TASK`` links are joined within one task, in one query: the plans of star steps, which take more of the
+    driver's memory than so few rows are worth, are left to more links. Of these first every ``PER_TASK`` become stars
+    within one task. Then a large step links every greater neighbour of a
     node to the least of its neighbourhood, a small step the node itself and its lesser neighbours; both keep
     components whole, and together they end in stars. The links are counted, and each table is held in as many
     partitions as its rows need. Links to oneself and repeated links do not matter; no links give no rows.
     """
     links = links.filter("a <> b").select("a", "b")
     parts = 1 + links.count() // PER_TASK
+    if parts == 1:
+        return whole(links)
     now = stored(contracted(links, parts))
     before = None
     while True:

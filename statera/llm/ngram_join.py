@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import bounded_batches
-from .common import blocks_of, col, join_stored, parts_of, sized, stored, stored_parquet
+from .common import blocks_of, col, counted, join_stored, parts_of, sized, stored, stored_parquet
 from .components import components
 from .partials import added, packed
 
@@ -232,9 +232,8 @@ def bounded(pairs: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
 def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """The pairs of sets that link, by the exact intersection of their arrays. ``rows``: set and row of one
     document each. Arrays are made again from the texts of the sets in pairs, and of no others."""
-    wanted = sized(stored(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(rows, "set")))
-    few = wanted.limit(IDS + 1).count() <= IDS
-    kind = F.broadcast if few else (lambda d: d)
+    wanted, many = counted(stored(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(rows, "set")))
+    kind = F.broadcast if many <= IDS else (lambda d: d)
     some = texts.select("row", "text").join(kind(wanted), "row").select("set", "text")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,10 +258,10 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, like: Likeness
     return stored(both.mapInArrow(intersect, "a long, b long"))
 
 
-def open_tiles(entries: DataFrame, roots: DataFrame) -> DataFrame:
+def open_tiles(entries: DataFrame, roots: DataFrame, few: bool) -> DataFrame:
     """Entries of tiles with several components: with their component (``root``) and whether it is the tile's
-    most frequent one (``major``)."""
-    marked = join_stored(entries, roots.select(F.col("node").alias("set"), "root"), ["set"], few=roots.limit(IDS + 1).count() <= IDS)
+    most frequent one (``major``). ``few``: whether the roots may be broadcast."""
+    marked = join_stored(entries, roots.select(F.col("node").alias("set"), "root"), ["set"], few=few)
     marked = marked.withColumn("root", F.coalesce("root", "set"))
     sizes = marked.groupBy("gram", "tile", "root").agg(F.count("*").alias("k"), F.max("own").alias("own"), F.max("lead").alias("led"))
     tiles = sizes.groupBy("gram", "tile").agg(
@@ -379,13 +378,14 @@ def set_links(sets: DataFrame, rows: DataFrame, texts: DataFrame, like: Likeness
     def compared(tiles: DataFrame, best: bool) -> DataFrame | None:
         """Look into tiles, add what links there; the tiles to look at again."""
         nonlocal links
-        found = stored(tile_pairs(dealt(open_tiles(tiles, sized(stored(components(links))))), maps, like, best))
-        pairs = sized(found.filter("a is not null").select("a", "b"))
-        if pairs.isEmpty():
+        roots, many = counted(stored(components(links)))
+        found = stored(tile_pairs(dealt(open_tiles(tiles, roots, many <= IDS)), maps, like, best))
+        pairs, many = counted(found.filter("a is not null").select("a", "b"))
+        if not many:
             return None
         links = sized(links.unionAll(verified(pairs, rows, texts, like)))
-        again = sized(found.filter("gram is not null").select("gram", "tile"))
-        return None if again.isEmpty() else again
+        again, many = counted(found.filter("gram is not null").select("gram", "tile"))
+        return again if many else None
 
     for share in SHARES:
         again = compared(every.filter(share_of(share)), True)

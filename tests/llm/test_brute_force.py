@@ -298,6 +298,13 @@ def test_components_of_chains_and_stars(spark, monkeypatch, rows):
     assert got == {n: find(n) for n in linked}
 
 
+def test_few_links_are_joined_in_one_query(spark, monkeypatch):
+    monkeypatch.setattr("statera.llm.components._pulled", None)  # no star steps
+    links = spark.createDataFrame([(3, 2), (2, 9), (5, 5), (7, 8), (8, 7)], "a long, b long")
+    assert sorted(map(tuple, components(links).collect())) == [(2, 2), (3, 2), (7, 7), (8, 7), (9, 2)]
+    assert components(links.filter("a = b")).collect() == []
+
+
 def test_blocks_run_over_batches():
     import pyarrow as pa
 

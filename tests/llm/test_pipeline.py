@@ -113,3 +113,25 @@ def test_texts_come_to_python_in_small_batches(spark):
         stage()
         seen = [r.n for r in rows.mapInArrow(count, "n long").collect()]
         assert sum(seen) == 4000 and max(seen) <= 2 * BATCH_BYTES // 5000
+
+
+def test_the_driver_plans_few_and_short_queries(spark, sf):
+    from pyspark.sql import functions as F
+
+    from statera.llm import ngram_join
+
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def plans(run):
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty(30_000)
+        before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+        run()
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty(30_000)
+        every = store.executionsList()
+        new = (every.apply(i) for i in range(every.size()))
+        return [len(x.physicalPlanDescription()) for x in new if x.executionId() not in before]
+
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("text"), "id").alias("text"))
+    labels = many.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    assert max(plans(lambda: attention.fit(many, labels, options=attention.Training(steps=1)))) < 20_000
+    assert len(plans(lambda: ngram_join.one_of_each(spark.read.parquet(f"{sf}/documents.parquet")).collect())) < 70
