@@ -82,13 +82,13 @@ def blocks_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tu
 PART_BYTES = 4 << 20
 
 
-def parts_of(column: pa.Array) -> Iterator[list[tuple[int, str]]]:
+def parts_of(column: pa.Array, most: int = PART_BYTES) -> Iterator[list[tuple[int, str]]]:
     """Places and texts of a column (null as empty) in parts of bounded bytes; a longer text is a part of its own."""
     part: list[tuple[int, str]] = []
     size = 0
     for i, t in enumerate(column):
         t = t.as_py() or ""
-        if part and size + len(t) > PART_BYTES:
+        if part and size + len(t) > most:
             yield part
             part, size = [], 0
         part.append((i, t))

@@ -2,14 +2,16 @@
 
 A line is the set of its words (A-Z in lower case). Words are ordered by rarity in the corpus. Two sets with a
 Jaccard similarity of at least ``percent`` share a word in their prefixes (the rarest fifth and one more), have sizes
-within the length filter and pass the positional filter at their first common word. Pairs that pass, and whose
-bitmaps allow it, are verified on their sorted arrays. A line goes if an earlier line (by document id, then line)
+within the length filter, and their first common word is among the leading ones of the smaller. Pairs that pass, and
+whose parity maps allow it, are verified on their arrays. A line goes if an earlier line (by document id, then line)
 matches it.
 
-1. The entries of usual words go, as arrays, to buckets of words. Sets that share a word there are compared by length
-   and by parity maps; the most alike earlier partner of a set is verified first, the others only if it fails.
-2. Of frequent words, and of those whose sets are all alike, every set is paired with the earliest set that passes
-   the filters; where that is verified the line goes, whatever else it matches.
+1. The entries of all but very frequent words go, as arrays, to buckets of words. Sets that share a word there are
+   compared by length and by parity maps; the most alike earlier partner of a set is verified first, the others only
+   if it fails.
+2. Of frequent words, and of those whose sets are all alike, the entries are passed on as they are (the texts are not
+   read again for them), and every set is paired with the earliest set that passes the filters; where that is verified
+   the line goes, whatever else it matches.
 3. Only sets that are still there and had more than one such partner are paired with all of them.
 """
 
@@ -20,37 +22,39 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import bounded_batches
-from .common import blocks_of, col, join_stored, parts_of, stored, stored_parquet
-from .ngram_join import IDS, _mixed, folded
+from .common import blocks_of, col, is_small, join_stored, parts_of, stored, stored_parquet
+from .ngram_join import _ODD, IDS, _mixed
 from .partials import added, packed
 
-BITS_BYTES = 64
 LOOK = 1 << 21
+#: Text whose words a task holds as numbers at a time: what they take stays in the processor's cache.
+TEXT_BYTES = 1 << 19
 #: Entries that a task gathers before it deals them to buckets.
 GATHERED = 1 << 19
-#: Pairs for each set of a word from which on the word is dense; bits of the table that marks dense words.
+#: Pairs for each set of a word from which on the word is dense.
 DENSE = 8
-DENSE_BITS = 22
+#: Times the mean count of the table of word counts above which a word is kept out of the buckets (if above a tile, too).
+FREQUENT = 8
+#: Bits of the hash, the place of its count first, that order the words of a line; the line's number stands before them.
+ORDER_BITS = 42
 
 
 @dataclass(frozen=True)
 class Similar:
     """``percent``: least Jaccard similarity. ``rarity_bits``: size of the table of word counts (fixed, whatever the
-    corpus). ``tile``: sets that meet in one piece; more frequent words are cut by length and into blocks."""
+    corpus). ``tile``: sets that meet in one piece; words of more sets are cut by length and into blocks."""
 
     percent: int = 80
     rarity_bits: int = 18
     tile: int = 4096
 
 
-_SALT = np.random.default_rng(5).integers(0, 1 << 63, 256, np.uint64)
-_PLACE = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 @dataclass
@@ -67,49 +71,61 @@ class Lines:
     names: np.ndarray  # a 64-bit name for each set of words
 
 
-def _word_hashes(words: pa.Array) -> np.ndarray:
-    """A word's hash sums a salt of each byte times its place; words of more than 64 bytes are hashed one by one."""
-    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(words) else np.zeros(0, np.uint8)
-    length = np.diff(offsets)
-    out = np.zeros(len(words), np.uint64)
-    full = np.flatnonzero(length)
-    begin, long = offsets[:-1][full] - offsets[0], length[full]
-    if len(full):
-        codes = _SALT[raw] * _PLACE[(np.arange(len(raw)) - np.repeat(begin, long)) & 63]
-        out[full] = _mixed(np.add.reduceat(codes, begin) + long.astype(np.uint64))
+def _word_hashes(raw: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a buffer (with 8 bytes to spare) that mix in 8 bytes at a time; words of more than 64 bytes
+    are hashed one by one."""
+    eight = np.ndarray(len(raw) - 7, np.uint64, raw, strides=(1,))
+    out = _mixed((eight[begin] & _MASK[np.minimum(length, 8)]) + length.astype(np.uint64))
+    for k in range(8, 64, 8):
+        at = np.flatnonzero(length > k)
+        if not len(at):
+            break
+        out[at] = _mixed(out[at] * _ODD[0] + (eight[begin[at] + k] & _MASK[np.minimum(length[at] - k, 8)]))
     for i in np.flatnonzero(length > 64):
-        at = offsets[i] - offsets[0]
-        out[i] = xxhash.xxh3_64_intdigest(raw[at : at + length[i]].tobytes())
+        out[i] = xxhash.xxh3_64_intdigest(raw[begin[i] : begin[i] + length[i]].tobytes())
     return out
 
 
-def lines_of(texts: list[str], often: np.ndarray | None = None) -> Lines:
-    """All lines of the texts at once. Every different word is hashed once."""
-    split = pc.split_pattern(pc.ascii_lower(pa.array(texts, pa.large_string())), "\n")
-    words = pc.ascii_split_whitespace(split.values)
-    coded = words.values.dictionary_encode()
-    hashes = _word_hashes(coded.dictionary)
-    seen = np.zeros(len(hashes), np.int32) if often is None else often[_bin(hashes, often)]
-    rank = np.lexsort((hashes, seen))
-    hashes, seen, turn = hashes[rank], seen[rank], np.empty(len(rank), np.int64)
-    turn[rank] = np.arange(len(rank))
-    per_line = np.diff(words.offsets.to_numpy())
-    code = coded.indices.to_numpy()
-    key = (np.repeat(np.arange(len(per_line)), per_line) << 32) | turn[code]
-    empty = pc.index(coded.dictionary, pa.scalar("", pa.large_string())).as_py()
-    if empty >= 0:  # what stands before leading and behind trailing white space
-        key = key[code != empty]
-    key.sort()
-    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-    line, at = key >> 32, key & 0xFFFFFFFF
+def order_of(often: np.ndarray) -> np.ndarray:
+    """Rank of each place of a table of word counts, the rarest first."""
+    rank = np.empty(len(often), np.uint64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often), dtype=np.uint64)
+    return rank
+
+
+def lines_of(texts: list[str], often: np.ndarray | None = None, order: np.ndarray | None = None) -> Lines:
+    """All lines of the texts at once. ``order``: ``order_of`` the counts, where they are used more than once."""
+    raw = np.frombuffer("\n".join(texts).encode().lower() + b"\n" + bytes(8), np.uint8)
+    space = (raw == 32) | (raw - np.uint8(9) < 5)
+    space[-8:] = True
+    edge = np.flatnonzero(np.diff(space, prepend=True))
+    begin, length = edge[::2], edge[1::2] - edge[::2]
+    hashes = _word_hashes(raw, begin, length)
+    per_line = np.diff(np.searchsorted(begin, np.flatnonzero(raw == 10)), prepend=0)
+    line = np.repeat(np.arange(len(per_line)), per_line)
+    first = hashes
+    if often is not None:
+        order = order_of(often) if order is None else order
+        bits = len(often).bit_length() - 1
+        first = (order[_bin(hashes, often)] << np.uint64(64 - bits)) | ((hashes << np.uint64(bits)) >> np.uint64(bits))
+    key = (line.astype(np.uint64) << np.uint64(ORDER_BITS)) | (first >> np.uint64(64 - ORDER_BITS))
+    rank = np.argsort(key, kind="stable")  # faster than the default, as the lines are in order
+    key, by = key[rank], hashes[rank]
+    same = key[1:] == key[:-1]
+    if (same & (by[1:] != by[:-1])).any() or len(per_line) >> (64 - ORDER_BITS):  # the bits of the key do not tell all words apart
+        rank = np.lexsort((first, line))
+        by = hashes[rank]
+        same = (by[1:] == by[:-1]) & (line[rank][1:] == line[rank][:-1])
+    new = np.append(True, ~same)[: len(by)]
+    line, by = line[rank][new], by[new]
     start = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(line)))
-    first_line = split.offsets.to_numpy()
+    first_line = np.cumsum([0, *(t.count("\n") + 1 for t in texts)])
     text = np.searchsorted(first_line, line[start], "right") - 1
-    sums = np.add.reduceat(_mixed(hashes + np.uint64(1))[at], start) if len(start) else np.zeros(0, np.uint64)
+    sums = np.add.reduceat(by, start) if len(start) else np.zeros(0, np.uint64)
     names = _mixed(sums + size.astype(np.uint64)).view(np.int64)
-    return Lines(text, line[start] - first_line[text], start, size, hashes[at], seen[at], names)
+    seen = np.zeros(len(by), np.int32) if often is None else often[_bin(by, often)]
+    return Lines(text, line[start] - first_line[text], start, size, by, seen, names)
 
 
 def _bin(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -126,15 +142,6 @@ def _bytes(sizes: np.ndarray, data: bytes) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
-def bitmaps(lines: Lines) -> pa.Array:
-    """Bits at the hashes' low bits: two or more for each word, up to 512 in all."""
-    bits = np.minimum(8 * BITS_BYTES, np.maximum(64, 1 << np.ceil(np.log2(2.0 * lines.size)).astype(np.int64)))
-    base = np.cumsum(bits) - bits
-    flat = np.zeros(int(bits.sum()), np.uint8)
-    flat[np.repeat(base, lines.size) + (lines.words & np.repeat(bits - 1, lines.size).astype(np.uint64)).astype(np.int64)] = 1
-    return _bytes(bits // 8, np.packbits(flat, bitorder="little").tobytes())
-
-
 def chosen(lines: Lines, keep: np.ndarray) -> Lines:
     """Some of the lines."""
     words = np.repeat(keep, lines.size)
@@ -156,15 +163,17 @@ def read_lines(rows: DataFrame, rule: Similar) -> tuple[DataFrame, np.ndarray]:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, schema = np.zeros(1 << rule.rarity_bits, np.int64), None
         for b in batches:
-            for part in parts_of(b.column(2)):
+            bins = [np.zeros(0, np.int64)]
+            for part in parts_of(b.column(2), TEXT_BYTES):
                 lines = lines_of([t for _, t in part])
-                seen += np.bincount(_bin(lines.words, seen), minlength=len(seen))
+                bins.append(_bin(lines.words, seen))
                 counts = np.bincount(lines.text, minlength=len(part))
                 found = pa.StructArray.from_arrays([pa.array(lines.place.astype(np.int32)), pa.array(lines.names)], names=["line", "set"])
                 at = pa.array([i for i, _ in part])
                 out = pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), _lists(counts, found), pa.nulls(len(part), pa.binary())], names=names)
                 schema = out.schema
                 yield out
+            seen += np.bincount(np.concatenate(bins), minlength=len(seen))
         if schema:
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in schema)][:3] + packed(seen).columns, names=names)
 
@@ -186,49 +195,15 @@ def prefix(lines: Lines, rule: Similar) -> tuple[np.ndarray, np.ndarray, np.ndar
     return line, pos, some, lead
 
 
-def line_sets(rows: DataFrame, often: np.ndarray, rule: Similar, dense: np.ndarray, buckets: int) -> DataFrame:
-    """One row per distinct set with a frequent word, or one that ``dense`` marks, in its prefix: its first line, size,
-    bitmap and those words."""
-    known = rows.sparkSession.sparkContext.broadcast((often, dense))
-    kind = dict(rows.dtypes)["doc_id"]
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, dense = known.value
-        for b in batches:
-            for part in parts_of(b.column(2)):
-                lines = lines_of([t for _, t in part], often)
-                lines = chosen(lines, lines.size > 3)
-                line, pos, at, _ = prefix(lines, rule)
-                bucket, short = placed(lines.words[at], buckets)
-                some = (lines.seen[at] > rule.tile) | dense[mark(bucket, short)]
-                line, pos, at = line[some], pos[some], at[some]
-                counts = np.bincount(line, minlength=len(lines.size))
-                keep = counts > 0
-                entries = pa.StructArray.from_arrays(
-                    [pa.array(lines.words[at].view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(lines.seen[at] > rule.tile)], names=["word", "pos", "hot"]
-                )
-                kept = chosen(lines, keep)
-                made = [
-                    b.column(0).take(pa.array(np.array([i for i, _ in part], np.int64)[kept.text])), pa.array(kept.place.astype(np.int32)),
-                    pa.array(kept.names), pa.array(kept.size.astype(np.int32)), bitmaps(kept), _lists(counts[keep], entries),
-                ]
-                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "line", "set", "n", "bits", "rare"])
-
-    lines = rows.mapInArrow(describe, f"doc_id {kind}, line int, set long, n int, bits binary, rare array<struct<word:long,pos:int,hot:boolean>>")
-    return lines.groupBy("set").agg(
-        F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("rare").alias("rare")
-    ).select("set", "at", "n", "bits", "rare")
-
-
 def placed(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of a word, and 32 bits that tell it from the others there (words that share them only give more pairs to
     look at)."""
     return ((words >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), words.astype(np.uint32)
 
 
-def mark(bucket: np.ndarray, short: np.ndarray) -> np.ndarray:
-    """Place of a word in the table of dense words."""
-    return (_mixed((bucket.astype(np.uint64) << np.uint64(32)) | short.astype(np.uint64)) >> np.uint64(64 - DENSE_BITS)).astype(np.int64)
+def whole_word(bucket: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Bucket and bits of a word as one number."""
+    return (bucket.astype(np.int64) << 32) | short.astype(np.int64)
 
 
 def widths(n: np.ndarray) -> np.ndarray:
@@ -252,54 +227,88 @@ def ragged(values: np.ndarray, base: np.ndarray, wide: np.ndarray) -> np.ndarray
 
 
 def word_chunks(rows: DataFrame, often: np.ndarray, rule: Similar, buckets: int) -> DataFrame:
-    """Prefix entries of all lines but frequent words', as arrays: a row holds those of one bucket of words that a task
-    gathered (at most ``GATHERED``): words, names of the sets, sizes with the lead bit, parity maps."""
+    """Prefix entries of all lines, as arrays: a row holds those of one bucket of words that a task gathered (about
+    ``GATHERED``): words, names of the sets, sizes with the lead bit, parity maps. Entries of very frequent words need
+    not meet: they are dealt to places below 0, with their whole words."""
     table = rows.sparkSession.sparkContext.broadcast(often)
-
-    def chunks(held: list[tuple]) -> pa.RecordBatch:
-        bucket, short, name, size, maps = (np.concatenate(c) for c in zip(*held))
-        wide = widths(size >> 1)
+    limit = max(rule.tile, FREQUENT * int(often.mean()))
+
+    def chunks(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        name, n, maps = (np.concatenate(c) for c in list(zip(*held))[:3])
+        before = np.cumsum([0, *(len(h[0]) for h in held)])
+        line = np.concatenate([h[3] + k for h, k in zip(held, before)])
+        bucket, short, lead, often = (np.concatenate(c) for c in list(zip(*held))[4:])
+        fresh = np.zeros(len(name), bool)
+        fresh[np.unique(name, return_index=True)[1]] = True
+        wide, word = widths(n), whole_word(bucket, short)
         base = np.cumsum(wide) - wide
-        order = np.lexsort((name, short, bucket))
-        same = (np.diff(bucket[order]) == 0) & (np.diff(short[order].astype(np.int64)) == 0) & (name[order][1:] == name[order][:-1])
-        order = order[np.append(True, ~same)]
-        bucket, wide = bucket[order], wide[order]
-        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        rows, numbers = np.diff(np.append(first, len(bucket))), np.add.reduceat(wide, first)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(bucket[first]), _bytes(4 * rows, short[order].tobytes()), _bytes(8 * rows, name[order].tobytes()),
-                _bytes(4 * rows, size[order].tobytes()), _bytes(8 * numbers, ragged(maps, base[order], wide).tobytes()),
-            ],
-            names=["bucket", "words", "sets", "sizes", "maps"],
-        )
+        for kind in (False, True):
+            order = np.flatnonzero(fresh[line] & (often == kind))
+            if not len(order):
+                continue
+            order = order[np.argsort(word[order])]
+            of, own = line[order], bucket[order]
+            first = np.zeros(1, np.int64) if kind else np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            rows, numbers = np.diff(np.append(first, len(order))), np.add.reduceat(wide[of], first)
+            size = (2 * n[of] + lead[order]).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([-1 - int(name[0]) % buckets], pa.int32()) if kind else pa.array(own[first]),
+                    _bytes(8 * rows, word[order].tobytes()) if kind else _bytes(4 * rows, short[order].tobytes()),
+                    _bytes(8 * rows, name[of].tobytes()), _bytes(4 * rows, size.tobytes()), _bytes(8 * numbers, ragged(maps, base[of], wide[of]).tobytes()),
+                ],
+                names=["bucket", "words", "sets", "sizes", "maps"],
+            )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        order, held, size = order_of(table.value), [], 0
         for b in batches:
-            for part in parts_of(b.column(0)):
-                lines = lines_of([t for _, t in part], table.value)
+            for part in parts_of(b.column(0), TEXT_BYTES):
+                lines = lines_of([t for _, t in part], table.value, order)
                 lines = chosen(lines, lines.size > 3)
                 line, _, at, lead = prefix(lines, rule)
-                usual = lines.seen[at] <= rule.tile
-                line, at, lead = line[usual], at[usual], lead[usual]
-                if not len(line):
-                    continue
-                maps, base = parities(lines)
-                held.append((*placed(lines.words[at], buckets), lines.names[line], (2 * lines.size[line] + lead).astype(np.uint32), ragged(maps, base[line], widths(lines.size)[line])))
-                size += len(line)
+                held.append((lines.names, lines.size, parities(lines)[0], line, *placed(lines.words[at], buckets), lead, lines.seen[at] > limit))
+                size += len(line) + len(lines.size)
                 if size >= GATHERED:
-                    yield chunks(held)
+                    yield from chunks(held)
                     held, size = [], 0
         if held:
-            yield chunks(held)
+            yield from chunks(held)
 
     return rows.select("text").mapInArrow(deal, "bucket int, words binary, sets binary, sizes binary, maps binary")
 
 
+class Maps:
+    """Parity maps folded to 1, 2, 4 and 8 numbers, of the sets that have as many."""
+
+    def __init__(self, maps: np.ndarray, base: np.ndarray, wide: np.ndarray):
+        self.wide, self.fold, self.place = wide, {}, {}
+        for w in (1, 2, 4, 8):
+            who = np.flatnonzero(wide >= w)
+            self.place[w] = np.cumsum(wide >= w) - 1
+            self.fold[w] = np.zeros((len(who), w), np.uint64)
+            for v in (1, 2, 4, 8):
+                of = np.flatnonzero(wide[who] == v)
+                if len(of):
+                    m = maps[base[who[of]][:, None] + np.arange(v)]
+                    self.fold[w][of] = np.bitwise_xor.reduce(m.reshape(len(of), v // w, w), axis=1)
+
+    def near(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs' maps differ in at most so many bits, and in how many these differ."""
+        some, differ = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for w in (1, 2, 4, 8):
+            at = np.flatnonzero(np.minimum(self.wide[x[some]], self.wide[y[some]]) >= w) if w > 1 else np.arange(len(some))
+            if not len(at):
+                break
+            differ[at] = np.bitwise_count(self.fold[w][self.place[w][x[some[at]]]] ^ self.fold[w][self.place[w][y[some[at]]]]).sum(1)
+            ok = differ <= most[some]
+            some, differ = some[ok], differ[ok]
+        return some, differ
+
+
 def bucket_pairs(short: np.ndarray, name: np.ndarray, size: np.ndarray, maps: np.ndarray, rule: Similar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of sets that share a word of a bucket and pass the length and parity filters, each with the share of bits
-    that differ; and the words with many pairs for their sets, whose pairs are left out."""
+    that differ; and the words with many sets or many pairs for their sets, whose pairs are left out."""
     n = (size >> 1).astype(np.int64)
     wide = widths(n)
     base = np.cumsum(wide) - wide
@@ -308,21 +317,13 @@ def bucket_pairs(short: np.ndarray, name: np.ndarray, size: np.ndarray, maps: np
     fresh = np.append(True, (short[1:] != short[:-1]) | (name[1:] != name[:-1]))
     short, name, n, lead, wide, base = (v[fresh] for v in (short, name, n, lead, wide, base))
     key = (short.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)
-    # Maps folded to 1, 2, 4 and 8 numbers, of the sets that have as many.
-    fold, who = {}, {}
-    for w in (1, 2, 4, 8):
-        who[w] = np.flatnonzero(wide >= w)
-        fold[w] = np.zeros((len(who[w]), w), np.uint64)
-        for v in (1, 2, 4, 8):
-            of = np.flatnonzero(wide[who[w]] == v)
-            if len(of):
-                m = maps[base[who[w][of]][:, None] + np.arange(v)]
-                fold[w][of] = np.bitwise_xor.reduce(m.reshape(len(of), v // w, w), axis=1)
-    place = {w: np.cumsum(wide >= w) - 1 for w in fold}
+    alike = Maps(maps, base, wide)
+    group = np.cumsum(np.append(0, short[1:] != short[:-1]))
+    many = np.bincount(group) > rule.tile
     low = np.searchsorted(key, (short.astype(np.uint64) << np.uint64(32)) | (-(-rule.percent * n // 100)).astype(np.uint64))
     leads, before = np.flatnonzero(lead), np.append(0, np.cumsum(lead))
     least = before[low]
-    looks = before[:-1] - least
+    looks = np.where(many[group], 0, before[:-1] - least)
     cuts = np.append(0, np.cumsum(looks))
     found: list[tuple] = []
     s, total = 0, len(n)
@@ -332,19 +333,12 @@ def bucket_pairs(short: np.ndarray, name: np.ndarray, size: np.ndarray, maps: np
         x = np.repeat(np.arange(s, e), k)
         y = leads[np.arange(len(x)) - np.repeat(np.cumsum(k) - k - least[s:e], k)]
         most = (100 - rule.percent) * (n[x] + n[y]) // (100 + rule.percent)
-        differ = np.zeros(len(x), np.int64)
-        for w in (1, 2, 4, 8):
-            at = np.flatnonzero(np.minimum(wide[x], wide[y]) >= w) if w > 1 else np.arange(len(x))
-            if not len(at):
-                break
-            differ[at] = np.bitwise_count(fold[w][place[w][x[at]]] ^ fold[w][place[w][y[at]]]).sum(1)
-            ok = differ <= most
-            x, y, most, differ = x[ok], y[ok], most[ok], differ[ok]
+        some, differ = alike.near(x, y, most)
+        x, y = x[some], y[some]
         found.append((x, y, differ / (n[x] + n[y])))
         s = e
     x, y, far = (np.concatenate(c) for c in zip(*found))
-    group = np.cumsum(np.append(0, short[1:] != short[:-1]))
-    dense = np.bincount(group[x], minlength=group[-1] + 1) > DENSE * np.bincount(group)
+    dense = many | (np.bincount(group[x], minlength=group[-1] + 1) > DENSE * np.bincount(group))
     usual = ~dense[group[x]]
     a, b, far = np.minimum(name[x], name[y])[usual], np.maximum(name[x], name[y])[usual], far[usual]
     order = np.lexsort((b, a))
@@ -353,78 +347,81 @@ def bucket_pairs(short: np.ndarray, name: np.ndarray, size: np.ndarray, maps: np
 
 
 def shared_words(chunks: DataFrame, rule: Similar) -> DataFrame:
-    """Pairs (a, b, far) over all buckets, and as rows of their own the marks of dense words."""
+    """Pairs (a, b, far) over all buckets, and as rows of their own the entries of dense and very frequent words: the word,
+    set, size with the lead bit, and map."""
+    kinds = {"sets": np.int64, "sizes": np.uint32, "maps": np.uint64}
+    types = {"a": pa.int64(), "b": pa.int64(), "far": pa.float32(), "dense": pa.int64(), "set": pa.int64(), "size": pa.int32(), "map": pa.binary()}
+
+    def batch(**columns: pa.Array) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, t)) for k, t in types.items()], names=list(types))
+
+    def passed(word: np.ndarray, name: np.ndarray, size: np.ndarray, maps: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
+        wide = widths(size >> 1)
+        base = np.cumsum(wide) - wide
+        some = some[np.lexsort((name[some], word[some]))]
+        some = some[np.append(True, (word[some][1:] != word[some][:-1]) | (name[some][1:] != name[some][:-1]))]
+        return batch(
+            dense=pa.array(word[some]), set=pa.array(name[some]), size=pa.array(size[some].astype(np.int32)), map=_bytes(8 * wide[some], ragged(maps, base[some], wide[some]).tobytes()),
+        )
 
-    def compared(bucket: int, held: list[dict]) -> pa.RecordBatch:
-        kinds = {"words": np.uint32, "sets": np.int64, "sizes": np.uint32, "maps": np.uint64}
-        pairs, far, dense = bucket_pairs(*(np.frombuffer(b"".join(h[c] for h in held), t) for c, t in kinds.items()), rule)
-        n, m = len(far), len(dense)
-        marks = mark(np.full(m, bucket), dense).astype(np.int32)
-        parts = [(pairs[0], pa.int64()), (pairs[1], pa.int64()), (far.astype(np.float32), pa.float32())]
-        columns = [pa.concat_arrays([pa.array(v, t), pa.nulls(m, t)]) for v, t in parts]
-        return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(marks)])], names=["a", "b", "far", "dense"])
+    def compared(bucket: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(b"".join(h["words"] for h in held), np.int64 if bucket < 0 else np.uint32)
+        own = [np.frombuffer(b"".join(h[c] for h in held), t) for c, t in kinds.items()]
+        if bucket < 0:
+            yield passed(words, *own, np.arange(len(words)))
+            return
+        pairs, far, dense = bucket_pairs(words, *own, rule)
+        yield batch(a=pa.array(pairs[0]), b=pa.array(pairs[1]), far=pa.array(far.astype(np.float32)))
+        if len(dense):
+            at = np.minimum(np.searchsorted(dense, words), len(dense) - 1)
+            yield passed(whole_word(np.full(len(words), bucket), words), *own, np.flatnonzero(dense[at] == words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held = 0, []
         for b in batches:
             for r in b.to_pylist():
-                if held and r["bucket"] != now:
-                    yield compared(now, held)
+                if held and (r["bucket"] != now or now < 0):
+                    yield from compared(now, held)
                     held = []
                 now = r["bucket"]
                 held.append(r)
         if held:
-            yield compared(now, held)
+            yield from compared(now, held)
 
-    return chunks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, far float, dense int")
+    return chunks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, far float, dense long, set long, size int, map binary")
 
 
 def entries(sets: DataFrame, rule: Similar, words: DataFrame | None = None) -> DataFrame:
-    """Prefix entries dealt to cells. A word of usual frequency is one cell. A frequent one is cut by length bands,
-    and a band of many sets into pairs of blocks, so that a cell has at most about two tiles of sets."""
-    rows = sets.select("set", "at", "n", "bits", F.explode("rare").alias("e")).select("set", "at", "n", "bits", "e.word", "e.pos", "e.hot")
-    if words is not None:
-        rows = join_stored(rows, words, ["word"], "left_semi")
-    cells = rows.filter(~F.col("hot")).select("word", F.lit(-1).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "at", "set", "n", "pos", "bits")
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / rule.percent)) + 1e-9).cast("int")
-    hot = rows.filter("hot").withColumn("band", F.explode(F.array(band, band + 1))).drop("hot")
+    """Entries (word, set, at, size, map) dealt to cells. A word of up to a tile of sets is one cell. Others are cut by
+    length bands, and a band of many sets into pairs of blocks, so that a cell has at most about two tiles of sets."""
+    rows = sets if words is None else join_stored(sets, words, ["word"], "left_semi")
+    frequent = stored(sets.groupBy("word").count().filter(F.col("count") > rule.tile).select("word"))
+    few = is_small(frequent)
+    cells = join_stored(rows, frequent, ["word"], "left_anti", few)
+    cells = cells.select("word", F.lit(-1).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "at", "set", "size", "map")
+    band = F.floor(F.log(F.shiftright("size", 1).cast("double")) / float(np.log(100 / rule.percent)) + 1e-9).cast("int")
+    hot = join_stored(rows, frequent, ["word"], "left_semi", few).withColumn("band", F.explode(F.array(band, band + 1)))
     sizes = stored(hot.groupBy("word", "band").agg(F.ceil(F.count("*") / rule.tile).cast("int").alias("blocks")))
     many = join_stored(hot, sizes, ["word", "band"], "inner").withColumn("block", F.pmod(F.xxhash64("set", F.lit(5)), "blocks").cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: F.struct(F.least("block", q).alias("i"), F.greatest("block", q).alias("j")))
-    many = many.withColumn("c", F.explode(others)).select("word", "band", "c.i", "c.j", "block", "at", "set", "n", "pos", "bits")
+    many = many.withColumn("c", F.explode(others)).select("word", "band", "c.i", "c.j", "block", "at", "set", "size", "map")
     return cells.unionAll(many)
 
 
-def passing(n, pos, bits, x, y, percent: int) -> np.ndarray:
-    """Which pairs of rows pass the length, positional and bitmap filters."""
-    a, b = n[x], n[y]
-    ok = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-    ok &= (100 + percent) * np.minimum(a - pos[x], b - pos[y]) >= percent * (a + b)
-    at = np.flatnonzero(ok)
-    if len(at):
-        x, y = x[at], y[at]
-        common = np.bitwise_count(bits[x] & bits[y]).sum(1).astype(np.int64)
-        most = np.minimum(n[x] - (np.bitwise_count(bits[x]).sum(1) - common), n[y] - (np.bitwise_count(bits[y]).sum(1) - common))
-        ok[at] = (100 + percent) * most >= percent * (n[x] + n[y])
-    return ok
-
-
 def cell_pairs(part: pa.Table, starts: np.ndarray, rule: Similar, first_only: bool) -> dict[str, np.ndarray]:
-    """Pairs (later, earlier) of rows of the same cell that pass; rows of a cell come in the order of their first line.
-    ``first_only``: of each row the earliest partner, and whether it has more."""
+    """Pairs (later, earlier) of rows of the same cell that pass the length, lead and parity filters; rows of a cell come
+    in the order of their first line. ``first_only``: of each row the earliest partner, and whether it has more."""
     total = part.num_rows
     ends = np.append(starts[1:], total)
     begin = np.repeat(starts, ends - starts)
-    n, pos = part.column("n").to_numpy().astype(np.int64), part.column("pos").to_numpy().astype(np.int64)
+    size = part.column("size").to_numpy().astype(np.int64)
+    n, lead = size >> 1, (size & 1) > 0
     sets = part.column("set").to_numpy()
     i, j, block = (part.column(k).to_numpy() for k in ("i", "j", "block"))
     probe = part.column("open").to_numpy() if "open" in part.column_names else np.ones(total, bool)
-    raw = part.column("bits").to_pylist()
-    widths = np.fromiter(map(len, raw), np.int64, total)
-    wide = int(widths.max())
-    # Bitmaps of one cell are folded to the cell's narrowest, then stand in rows of the widest.
-    narrow = np.repeat(np.minimum.reduceat(widths, starts), ends - starts)
-    bits = np.frombuffer(b"".join(folded(r, w).ljust(wide, b"\0") for r, w in zip(raw, narrow)), np.uint64).reshape(total, -1)
+    wide = widths(n)
+    alike = Maps(np.frombuffer(b"".join(part.column("map").to_pylist()), np.uint64), np.cumsum(wide) - wide, wide)
     earlier = np.where(probe, np.arange(total) - begin, 0)
     found: dict[str, list] = {"x": [], "y": [], "more": []}
     cuts = np.append(0, np.cumsum(earlier))
@@ -436,8 +433,11 @@ def cell_pairs(part: pa.Table, starts: np.ndarray, rule: Similar, first_only: bo
         y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + begin[x]
         ok = (i[x] == j[x]) | (block[x] != block[y])
         ok &= sets[x] != sets[y]
-        ok[ok] = passing(n, pos, bits, x[ok], y[ok], rule.percent)
+        ok &= 100 * np.minimum(n[x], n[y]) >= rule.percent * np.maximum(n[x], n[y])
+        ok &= (lead[x] | (n[x] > n[y])) & (lead[y] | (n[y] > n[x]))
         x, y = x[ok], y[ok]
+        some, _ = alike.near(x, y, (100 - rule.percent) * (n[x] + n[y]) // (100 + rule.percent))
+        x, y = x[some], y[some]
         if first_only and len(x):
             x, at, times = np.unique(x, return_index=True, return_counts=True)
             y, more = y[at], times > 1
@@ -461,18 +461,17 @@ def paired(cells: DataFrame, rule: Similar, first_only: bool) -> DataFrame:
     return rows.mapInArrow(run, "word long, x long, y long, more boolean")
 
 
-def word_arrays(wanted: DataFrame, rows: DataFrame, names: DataFrame) -> DataFrame:
+def word_arrays(wanted: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
     """The words of some sets (a stored table of distinct names), each from the text of one row that has the set."""
     few = wanted.limit(IDS + 1).count() <= IDS
-    lines = names.select("row", F.explode("lines.set").alias("set"))
-    holders = stored(join_stored(lines, wanted, ["set"], "left_semi", few).groupBy("set").agg(F.min("row").alias("row")))
+    holders = stored(join_stored(first.select("set", "row"), wanted, ["set"], "left_semi", few))
     held = holders.toPandas().sort_values("set") if few else None
     known = rows.sparkSession.sparkContext.broadcast((held["set"].to_numpy(), held["row"].to_numpy()) if few else None)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row = b.column(0).to_numpy()
-            for part in parts_of(b.column(1)):
+            for part in parts_of(b.column(1), TEXT_BYTES):
                 lines = lines_of([t for _, t in part])
                 of = row[[i for i, _ in part]][lines.text]
                 keep = np.zeros(len(of), bool)
@@ -513,12 +512,15 @@ def _sets_of(pairs: DataFrame) -> DataFrame:
     return stored(pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct())
 
 
-def later_first(pairs: DataFrame, names: DataFrame) -> DataFrame:
+def first_lines(wanted: DataFrame, names: DataFrame) -> DataFrame:
+    """The first line of some sets (a stored table of distinct names), and a row that has the set."""
+    lines = names.select("doc_id", "row", F.explode("lines").alias("l")).select("row", F.col("l.set").alias("set"), F.struct("doc_id", "l.line").alias("at"))
+    lines = join_stored(lines, wanted, ["set"], "left_semi", wanted.limit(IDS + 1).count() <= IDS)
+    return stored(lines.groupBy("set").agg(F.min("at").alias("at"), F.min("row").alias("row")))
+
+
+def later_first(pairs: DataFrame, first: DataFrame) -> DataFrame:
     """Pairs (a, b, far) as (x, y, far), x the set whose first line is the later one."""
-    lines = names.select("doc_id", F.explode("lines").alias("l")).select(F.col("l.set").alias("set"), F.struct("doc_id", "l.line").alias("at"))
-    wanted = _sets_of(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")))
-    first = join_stored(lines, wanted, ["set"], "left_semi", wanted.limit(IDS + 1).count() <= IDS).groupBy("set").agg(F.min("at").alias("at"))
-    first = stored(first)
     both = pairs.join(first.select(F.col("set").alias("a"), F.col("at").alias("at_a")), "a").join(first.select(F.col("set").alias("b"), F.col("at").alias("at_b")), "b")
     later = F.struct(F.col("at_a").alias("at"), F.col("a").alias("set")) > F.struct(F.col("at_b").alias("at"), F.col("b").alias("set"))
     return both.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("y"), "far")
@@ -528,16 +530,16 @@ def matched_sets(rows: DataFrame, names: DataFrame, often: np.ndarray, rule: Sim
     """Sets that an earlier, different set matches."""
     buckets = 4 * max(1, rows.rdd.getNumPartitions())
     shared = stored_parquet(shared_words(word_chunks(rows, often, rule, buckets), rule))
-    dense = np.zeros(1 << DENSE_BITS, bool)
-    dense[shared.filter("dense is not null").select("dense").distinct().toPandas()["dense"].to_numpy(np.int64)] = True
     near = stored(shared.filter("a is not null").groupBy("a", "b").agg(F.min("far").alias("far")))
-    pairs, left = later_first(near, names), None
-    if dense.any() or (often > rule.tile).any():
-        sets = stored_parquet(line_sets(rows, often, rule, dense, buckets))
+    sets = shared.filter("dense is not null").select(F.col("dense").alias("word"), "set", "size", "map")
+    first = first_lines(stored(near.select(F.explode(F.array("a", "b")).alias("set")).unionAll(sets.select("set")).distinct()), names)
+    pairs, left = later_first(near, first), None
+    if not sets.isEmpty():
+        sets = stored_parquet(sets.dropDuplicates(["word", "set"]).join(first.select("set", "at"), "set"))
         left = stored(paired(entries(sets, rule), rule, True))
         pairs = pairs.unionAll(left.select("x", "y", F.lit(0.0).cast("float").alias("far")))
     pairs = stored(pairs.groupBy("x", "y").agg(F.min("far").alias("far")))
-    made = word_arrays(_sets_of(pairs), rows, names)
+    made = word_arrays(_sets_of(pairs), rows, first)
     best = stored(pairs.groupBy("x").agg(F.min(F.struct("far", "y")).alias("best")).select("x", "best.y"))
     gone = stored(verified(best, made, rule).select(F.col("x").alias("set")).distinct())
     few = gone.limit(IDS + 1).count() <= IDS
@@ -554,7 +556,7 @@ def matched_sets(rows: DataFrame, names: DataFrame, often: np.ndarray, rule: Sim
     again = entries(sets, rule, stored(left.select("word").distinct()))
     again = again.join(left.withColumn("open", F.lit(True)), ["word", "set"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
     two = stored(paired(again, rule, False).select("x", "y").distinct())
-    return stored(gone.unionAll(verified(two, word_arrays(_sets_of(two), rows, names), rule).select(F.col("x").alias("set"))).distinct())
+    return stored(gone.unionAll(verified(two, word_arrays(_sets_of(two), rows, first), rule).select(F.col("x").alias("set"))).distinct())
 
 
 def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text", rule: Similar = Similar()) -> DataFrame:

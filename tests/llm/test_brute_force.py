@@ -482,3 +482,45 @@ def test_parity_maps_lose_no_pair():
         if a != b and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
     }
     assert not len(dense) and len(want) > 100 and want <= got
+
+
+@pytest.mark.parametrize("bits", [42, 20])
+def test_lines_split_like_plain_ones(monkeypatch, bits):
+    """Also where the bits that order the words of a line do not tell them apart."""
+    monkeypatch.setattr(line_dedup, "ORDER_BITS", bits)
+    rng = random.Random(5)
+    texts = ["", "\n", "a\x0bb A\n\nx\r\ny", "ü Ü ÄA äa", " ".join("w" * n for n in (7, 8, 9, 16, 17, 64, 65, 100, 65)), "\0 a\0 a"]
+    texts += ["\n".join(" ".join(f"v{rng.randint(0, 900)}" for _ in range(rng.randint(0, 60))) for _ in range(30)) for _ in range(20)]
+    want = [(i, j, frozenset(x.split())) for i, t in enumerate(texts) for j, x in enumerate(t.encode().lower().split(b"\n")) if x.split()]
+    counts = np.random.default_rng(1).integers(1, 9, 1 << 18).astype(np.int32)
+    sets: dict[frozenset, tuple] = {}
+    for lines in (line_dedup.lines_of(texts), line_dedup.lines_of(texts, counts)):
+        assert list(zip(lines.text, lines.place, lines.size)) == [(i, j, len(s)) for i, j, s in want]
+        for k, (_, _, s) in enumerate(want):
+            words = lines.words[lines.start[k] : lines.start[k] + lines.size[k]]
+            assert sets.setdefault(s, (lines.names[k], sorted(words))) == (lines.names[k], sorted(words)) and len(set(words)) == len(s)
+    assert len({n for n, _ in sets.values()}) == len(sets)
+    rank = {w: r for r, w in enumerate(sorted(set(lines.words.tolist()), key=lambda w: (counts[w >> 46], w)))}
+    for a, n in zip(lines.start, lines.size):
+        assert (np.diff([rank[w] for w in lines.words[a : a + n].tolist()]) > 0).all()
+
+
+def test_entries_of_dense_and_frequent_words_are_passed_on(spark):
+    """The texts are not read a third time for them; and in a corpus so large that all places of the table of word counts
+    lie above a tile, usual words still go by buckets."""
+    rng = random.Random(8)
+    lines = [" ".join([f"b{k}" for k in range(12)] + [f"u{i}"]) for i in range(40)] + near_copies(rng, n_bases=5, copies=4, words=20)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(2)
+    rule = line_dedup.Similar()
+    rows = line_dedup._rows(df, "doc_id", "text")
+    often = line_dedup.read_lines(rows, rule)[1]
+    many = np.where(often > 0, often + 5 * rule.tile, 5 * rule.tile).astype(np.int32)
+    plain = line_dedup.lines_of(lines, many)
+    line, _, at, _ = line_dedup.prefix(plain, rule)
+    want = set(zip((plain.words[at] & np.uint64(0xFFFFFFFF)).tolist(), plain.names[line].tolist()))
+    for table, usual in ((many, True), (np.where(often > 1, 10**6, 0).astype(np.int32), False)):
+        chunks = line_dedup.word_chunks(rows, table, rule, 8)
+        assert all((r.bucket >= 0) == usual for r in chunks.collect())
+        found = line_dedup.shared_words(chunks, rule).filter("dense is not null").collect()
+        got = {(r.dense & 0xFFFFFFFF, r.set) for r in found}
+        assert len(found) == len(got) and (got < want if usual else got) and all(len(r.map) == 8 and r.size >> 1 > 3 for r in found)
