@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,9 +58,9 @@ def read_statute_markdown(spark: SparkSession, folder: str, base_url: str = "fil
     return parse_statute_markdown(raw, base_url)
 
 
-def parse_statute_markdown(raw: DataFrame, base_url: str = "file:///") -> DataFrame:
+def parse_statute_markdown(raw: DataFrame, base_url: str = "file:///", keep: Sequence[str] = ()) -> DataFrame:
     """One row (``value, file_name``) is one law: front matter ``key: value``, else ``# [SLUG] Title``,
-    else the file name."""
+    else the file name. ``keep`` names columns that go along."""
     front_rx = r"(?s)^---\n(.*?)\n---\n(.*)"
     front = F.regexp_extract("value", front_rx, 1)
     has_front = F.col("value").rlike(front_rx)
@@ -97,6 +99,7 @@ def parse_statute_markdown(raw: DataFrame, base_url: str = "file:///") -> DataFr
         title.alias("title"),
         F.regexp_replace(strip(body), "\n{3,}", "\n\n").alias("content"),
         F.concat(F.lit(base_url), F.col("file_name")).alias("url"),
+        *keep,
     )
 
 

@@ -164,3 +164,21 @@ def test_messages_are_dealt_to_tasks_and_headers_are_kept(spark, monkeypatch):
         made.append(mail.parse_message(rows[0][1], policy))
     info = policy.header_factory.cache_info()
     assert made[0] == made[1] and callable(kept) and info.misses <= 8 and info.hits >= info.misses
+
+
+def test_laws_of_odd_documents_give_the_rows_of_the_sql(spark):
+    """Nulls, blank texts, white space at both ends and texts that begin like a law, in every kind of file."""
+    import check_oracles
+    import duckdb
+    from statera.plans import load
+
+    texts = [None, "", " \n", "a", "\n  a\n\n\n\nb ", "---\nSlug: x\n---\nb", "# [X] Y\nb", "a\n---\nb\n---\nc"]
+    names = [("en", "src1"), (None, "src2"), ("de", None), ("", "")]
+    rows = [(t, lang, source) for t in texts for lang, source in names for _ in range(3)]
+    sf = tempfile.mkdtemp(prefix="spark-")
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    docs.coalesce(1).write.parquet(f"{sf}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet/*.parquet'")
+    q = load()["a4_read_statute_markdown"]
+    assert check_oracles.compare(q.run(spark, sf), con, q.sql) == ("ok", len(rows))
