@@ -28,6 +28,8 @@ TRAIN_ROWS = 1 << 16
 #: Queries of one pass over the index.
 PASS_QUERIES = 4096
 WORDS = 256
+#: Codes of the sample that says what a candidate of a query must reach at least; it changes the speed only.
+FLOOR_ROWS = 1 << 16
 #: Numbers that a task holds at once: distances to the centers, scores, candidates of all queries of a pass.
 CELLS = 1 << 20
 
@@ -226,40 +228,80 @@ def _best_of(held: list[tuple], keep: int, floor: np.ndarray) -> tuple:
     return query[order], ids[order], home[order], near[order]
 
 
+def _decoded(code: np.ndarray, homes: np.ndarray, centers: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors that codes of lists stand for: their product with a query is the sum of its lookup tables."""
+    parts = np.concatenate([book[code[:, p]] for p, book in enumerate(books)], axis=1)
+    return parts + centers[homes]
+
+
+def _codes_of(column: pa.Array, parts: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, parts)
+
+
+def _least(codes: DataFrame, index: Index, sent, queries: int, keep: int) -> np.ndarray:
+    """What the ``keep``-th best row of a query reaches at least: that of a bounded sample of its lists, as more rows only lift
+    it. Where the sample has fewer rows of these lists, nothing."""
+    spark = codes.sparkSession
+    own = codes.filter(F.col("list") == F.col("home"))
+    share = max(1, -(-index.rows // FLOOR_ROWS))
+    some = own.filter(F.pmod(F.xxhash64(index.id), F.lit(share)) == 0) if share > 1 else own
+    table = some.select("code", "home").toArrow().combine_chunks()
+    if table.num_rows < keep:
+        return np.full(queries, -np.inf, np.float32)
+    parts = len(index.books)
+    sample = spark.sparkContext.broadcast((_codes_of(table.column(0), parts), table.column(1).to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, centers, books, opened = sent.value
+        code, homes = sample.value
+        x = _decoded(code, homes, centers, books).T
+        for b in _slices(batches, len(homes)):
+            at = b.column(0).to_numpy()
+            s = q[at] @ x
+            if opened is not None:
+                s[~opened[at][:, homes]] = -np.inf
+            least = np.partition(s, len(homes) - keep, axis=1)[:, len(homes) - keep]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(least)], names=["query", "least"])
+
+    cores = spark.sparkContext.defaultParallelism
+    found = spark.range(0, queries, 1, min(queries, cores)).select(F.col("id").alias("query")).mapInArrow(run, "query long, least float").toArrow()
+    out = np.empty(queries, np.float32)
+    # Single precision: a product of other shape may differ in its last digits.
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy() - np.float32(1e-5)
+    return out
+
+
 def _candidates(codes: DataFrame, index: Index, q: np.ndarray, probed: np.ndarray, keep: int) -> DataFrame:
     """The ``keep`` rows with the best approximate score for every query, from the lists it opens."""
     spark = codes.sparkSession
-    parts, step = len(index.books), index.books.shape[2]
-    tables = np.einsum("qps,pws->qpw", q.reshape(len(q), parts, step), index.books).astype(np.float32)
-    base = (q @ index.centers.T).astype(np.float32)
-    by_list: dict[int, np.ndarray] = {int(c): np.flatnonzero((probed == c).any(1)) for c in np.unique(probed)}
-    sent = spark.sparkContext.broadcast((tables, base, by_list))
-    id = index.id
+    parts, id = len(index.books), index.id
+    wide = probed.shape[1] >= index.lists
+    opened = None
+    if not wide:
+        opened = np.zeros((len(q), index.lists), bool)
+        opened[np.arange(len(q))[:, None], probed] = True
+    sent = spark.sparkContext.broadcast((q.astype(np.float32), index.centers.astype(np.float32), index.books.astype(np.float32), opened))
+    least = spark.sparkContext.broadcast(_least(codes, index, sent, len(q), keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, base, by_list = sent.value
-        floor = np.full(len(base), -np.inf, np.float32)  # what a row must reach to be among the best of a query
+        q, centers, books, opened = sent.value
+        floor = least.value.copy()  # what a row must reach to be among the best of a query
         held: list[tuple] = []
         size, kind = 0, None
-        for b in _slices(batches, len(base)):
+        for b in _slices(batches, len(q)):
             kind = b.column(0).type
             ids, homes = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
             lists = b.column(3).to_numpy(zero_copy_only=False)
-            code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, parts)
-            for c in np.unique(lists):
-                some = by_list.get(int(c))
-                if some is None:
-                    continue
-                at = np.flatnonzero(lists == c)
-                s = np.repeat(base[some, c][:, None], len(at), axis=1)
-                for p in range(parts):
-                    s += tables[some, p][:, code[at, p]]
-                one, row = np.nonzero(s >= floor[some][:, None])
-                held.append((some[one].astype(np.int32), ids[at[row]], homes[at[row]], s[one, row]))
-                size += len(one)
-                if size > 2 * max(CELLS, len(base) * keep):
-                    held = [_best_of(held, keep, floor)]
-                    size = len(held[0][0])
+            s = q @ _decoded(_codes_of(b.column(2), parts), lists, centers, books).T
+            good = s >= floor[:, None]
+            if opened is not None:
+                good &= opened[:, lists]
+            one, row = np.nonzero(good)
+            held.append((one.astype(np.int32), ids[row], homes[row], s[one, row]))
+            size += len(one)
+            if size > 2 * max(CELLS, len(q) * keep):
+                held = [_best_of(held, keep, floor)]
+                size = len(held[0][0])
         if held:
             query, id_, home, near = _best_of(held, keep, floor)
             for a in range(0, len(query), 1 << 16):
@@ -268,10 +310,10 @@ def _candidates(codes: DataFrame, index: Index, q: np.ndarray, probed: np.ndarra
                     [pa.array(query[z]), pa.array(id_[z], kind), pa.array(home[z]), pa.array(near[z].astype(np.float64))], names=["query", id, "home", "near"]
                 )
 
-    open_lists = codes.filter(F.col("list").isin([int(c) for c in by_list])).select(id, "home", "code", "list")
-    found = open_lists.mapInArrow(run, f"query int, {_typed(codes, id)}, home int, near double")
-    # A vector that several opened lists hold counts once.
-    once = found.groupBy("query", id).agg(F.max("near").alias("near"), F.first("home").alias("home"))
+    # Where every list is open, a vector is ranked once, in its nearest list; else once of the opened lists that hold it.
+    rows = codes.filter(F.col("list") == F.col("home")) if wide else codes.filter(F.col("list").isin([int(c) for c in np.unique(probed)]))
+    found = rows.select(id, "home", "code", "list").mapInArrow(run, f"query int, {_typed(codes, id)}, home int, near double")
+    once = found if wide else found.groupBy("query", id).agg(F.max("near").alias("near"), F.first("home").alias("home"))
     return best_k(once.withColumnRenamed("near", "score"), ["query"], id, keep).drop("score", "rank")
 
 
@@ -339,13 +381,30 @@ def _checked(hits: DataFrame, vectors: DataFrame, id: str, q: np.ndarray, names:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, names, floor = sent.value
+        full = np.full(len(q), -np.inf)  # the k-th best of the task's rows
+        held: list[tuple] = []
+        size, kind = 0, None
+
+        def best() -> list[tuple]:
+            return [_best_of(held, k, full)]
+
         for b in _slices(batches, len(q)):
+            kind = b.column(0).type
             x = _rows(b.column(1), dims)
-            one, row = np.nonzero(q @ x.T >= floor[:, None])
+            one, row = np.nonzero(q @ x.T >= np.maximum(floor, full - 1e-8)[:, None])
             if len(one):
-                score = np.round((q[one] * x[row]).sum(1), 9)
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                held.append((one.astype(np.int32), ids[row], one, np.round((q[one] * x[row]).sum(1), 9)))
+                size += len(one)
+            if size > max(CELLS, 2 * len(q) * k):
+                held = best()
+                size = len(held[0][0])
+        if held:
+            one, ids, _, score = best()[0]
+            for a in range(0, len(one), 1 << 16):
+                z = slice(a, a + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[i] for i in one], arrow), b.column(0).take(pa.array(row)), pa.array(score)], names=[query_id, id, "score"]
+                    [pa.array([names[i] for i in one[z]], arrow), pa.array(ids[z], kind), pa.array(score[z])], names=[query_id, id, "score"]
                 )
 
     schema = T.StructType([T.StructField(query_id, query_type), T.StructField(id, hits.schema[id].dataType), T.StructField("score", T.DoubleType())])

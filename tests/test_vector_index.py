@@ -112,3 +112,35 @@ def test_scores_that_end_in_a_tie_are_rounded_as_the_sql_does(spark):
     got = [r.score for r in rounded(spark.createDataFrame([(t, 1) for t in ties], "score double, rank int").coalesce(1)).collect()]
     assert got == [duckdb.execute("select round(?::double, 6)", [t]).fetchone()[0] for t in ties]
     assert 0.504787 in [r.score for r in rounded(spark.createDataFrame([(0.5047875, 1)], "score double, rank int")).collect()]
+
+
+def test_open_lists_rank_a_vector_once_and_start_from_a_floor(spark, built, monkeypatch):
+    """A scan of all lists goes over every vector once, and a task begins with what a sample says that a candidate must reach."""
+    _, _, index = built
+    monkeypatch.setattr(vector_index, "FLOOR_ROWS", 300)
+    floors, plans = [], []
+    least, stored = vector_index._least, vector_index.stored
+    monkeypatch.setattr(vector_index, "_least", lambda *a: (floors.append(least(*a)), floors[-1])[1])
+    monkeypatch.setattr(vector_index, "stored", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), stored(df))[1])
+    q = spark.createDataFrame(rows(9, 16, 6), "query_id long, vec array<double>")
+    vector_index.search_index(q, index, 2, probes=index.lists, candidates=20)
+    assert "(list" in plans[0].split("Filter")[-1] and "= home" in plans[0] and "Aggregate" not in plans[0]
+    codes = index.codes(spark).filter("list = home").collect()
+    x = vector_index._decoded(np.array([list(r.code) for r in codes]), np.array([r.home for r in codes]), index.centers, index.books)
+    part = q.collect()
+    s = np.sort(vector_index.unit_rows([r.vec for r in part]) @ x.T, axis=1)[:, ::-1]
+    assert (floors[0] <= s[:, 19]).all() and (np.sum(s >= floors[0][:, None], axis=1) < 250).all()
+    vector_index.search_index(q, index, 2, candidates=20)
+    assert (floors[1] <= floors[0]).all() and "Aggregate" in plans[1]  # a vector of several opened lists
+
+
+def test_check_hands_on_few_of_many_copies(spark, monkeypatch):
+    store = spark.createDataFrame([(i, [1.0, 0.0] if i else [0.0, 1.0]) for i in range(2000)], "vec_id long, vec array<double>")
+    index = vector_index.build_index(store, folder(spark), layout=Layout(lists=2))
+    seen = []
+    real = vector_index.best_k
+    monkeypatch.setattr(vector_index, "best_k", lambda df, *a: (seen.append(df), real(df, *a))[1])
+    q = spark.createDataFrame([(i, [1.0, 0.1]) for i in range(20)], "query_id long, vec array<double>")
+    got = vector_index.search_index(q, index, 3, candidates=4, exact=True).collect()
+    assert sorted({(r["rank"], r["vec_id"]) for r in got}) == [(1, 1), (2, 2), (3, 3)] and len(got) == 60
+    assert seen[-1].count() <= 20 * 3 * seen[-1].rdd.getNumPartitions()
