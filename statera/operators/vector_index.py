@@ -3,8 +3,8 @@
 The folder holds three tables. ``centers`` and ``codebooks`` are small. ``codes`` has, under a partition column for
 the list, the ids of its vectors and their product-quantised residuals; a vector stands in its ``copies`` nearest lists, as
 in high dimensions the nearest list alone is often not the one a query looks into. ``vectors`` has every vector once, under its
-nearest list. A query opens its nearest lists (partition pruning), ranks their codes by lookup tables, and has the
-best candidates measured exactly.
+nearest list. A query opens its nearest lists (partition pruning), ranks their codes by the vectors they stand for, and has
+the best candidates measured exactly.
 """
 
 from __future__ import annotations
